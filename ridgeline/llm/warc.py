@@ -86,7 +86,7 @@ class Bundle:
 
         files, base = filesystem(folder)
         self.uri = f"{folder}/{name}"
-        self.out = files.open_output_stream(f"{base}/{name}")
+        self.out = files.open_output_stream(f"{base}/{name}", compression=None)
         self.packer = zstandard.ZstdCompressor(level=3)
         self.frames: list[tuple[int, int]] = []
         self.held: list[bytes] = []
