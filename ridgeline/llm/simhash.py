@@ -6,7 +6,13 @@ fingerprint goes once to each block's value, where that block has no error budge
 over its sorted fingerprints (a node is a range that shares a prefix); pairs of nodes are walked together, add up
 the bits in which their prefixes differ and stop as soon as the budget is exceeded. A group gives the edges of a
 spanning forest only, never all its pairs, so links of different texts are kept and dense groups stay small.
-Groups that are hot (by a count, not a sample) are dealt again by a further block of the bits that remain.
+Groups that are hot (by a count, not a sample) are dealt again by a further block of the bits that remain, and in the
+end by pairs of slices: every slice of a hot group meets every other in a task of bounded size.
+
+drop_near_duplicates() is the form for filtering a corpus: five-word shingles, and 128 bits, as a similarity of 0.8
+moves about a seventh of the bits, too many for 64. There two fingerprints are compared if one of eight blocks of 16
+bits agrees but for one bit (each fingerprint also goes to the values that clear one of its bits), which holds for
+over nine in ten pairs of similarity 0.8 and for nearly all closer ones; the trie join decides by all 128 bits.
 
 Defined results: a null text counts as empty; a document without words has fingerprint zero and links like any
 other; fewer words than a shingle are one shingle; a null doc_id joins its component but never names it (it is
@@ -26,6 +32,10 @@ from pyspark.sql import functions as F
 from . import common, components
 
 BITS, SEED = 64, 42
+#: Odd multiplier that mixes hashes for further lanes.
+MIX = 0x9E3779B97F4A7C15
+#: The corpus form: words of a shingle, lanes of 64 bits, bits of a block, and bits that near copies may differ in.
+WIDTH, LANES, BLOCK_BITS, SIMILAR = 5, 2, 16, 21
 #: Groups beyond this many fingerprints are dealt again.
 HOT_GROUP = 2048
 #: Shingles whose bits are counted at a time.
@@ -34,8 +44,8 @@ COUNTED = 1 << 15
 LEAF_PAIRS = 64
 
 
-def fingerprint(text: bytes, width: int = 3) -> int:
-    """SimHash of the word shingles: a bit is 1 if over half of the shingles' hashes have it."""
+def fingerprint(text: bytes, width: int = 3, lanes: int = 1) -> int:
+    """SimHash of the word shingles, 64 bits for each lane: a bit is 1 if over half of the shingles' hashes have it. Later lanes mix the hash anew."""
     import numpy as np
     import xxhash
 
@@ -43,13 +53,15 @@ def fingerprint(text: bytes, width: int = 3) -> int:
     if not words:
         return 0
     n = max(1, len(words) - width + 1)
-    counts = np.zeros(BITS, dtype=np.int64)
+    counts = np.zeros((lanes, BITS), dtype=np.int64)
     for start in range(0, n, COUNTED):
         some = words[start : min(n, start + COUNTED) + width - 1]
         shingles = map(b" ".join, zip(*(some[i:] for i in range(width)))) if len(words) >= width else [b" ".join(words)]
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), dtype="<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
+        for lane in range(lanes):
+            counts[lane] += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(MIX)
+    return int.from_bytes(np.packbits(counts.ravel() * 2 > n, bitorder="little").tobytes(), "little")
 
 
 def signed(value: int) -> int:
@@ -87,25 +99,43 @@ class Forest:
             self.edges.append((i, j))
 
 
-def trie_links(values: list[int], budget: int) -> list[tuple[int, int]]:
-    """Edges (positions) of a spanning forest of the pairs of sorted, distinct 64-bit values that differ in at most budget bits."""
+def compared(found: Forest, values: list[int], arrays, l1: int, h1: int, l2: int, h2: int, budget: int) -> None:
+    """Leaf of the walk: two small ranges, entry by entry."""
+    import numpy as np
+
+    if (h1 - l1) * (h2 - l2) <= LEAF_PAIRS:
+        for i in range(l1, h1):
+            a = values[i]
+            for j in range(max(l2, i + 1) if l1 == l2 else l2, h2):
+                if (a ^ values[j]).bit_count() <= budget:
+                    found.join(i, j)
+        return
+    for i in range(l1, h1):
+        start = i + 1 if l1 == l2 else l2
+        apart = sum(np.bitwise_count(lane[start:h2] ^ lane[i]).astype(np.int16) for lane in arrays)
+        for j in np.flatnonzero(apart <= budget).tolist():
+            found.join(i, start + j)
+
+
+def trie_links(values: list[int], budget: int, bits: int = BITS) -> list[tuple[int, int]]:
+    """Edges (positions) of a spanning forest of the pairs of sorted, distinct values that differ in at most budget bits."""
+    import numpy as np
+
     found = Forest(len(values))
+    arrays = [np.array([v >> s & (1 << 64) - 1 for v in values], dtype=np.uint64) for s in range(0, bits, 64)] if len(values) > 8 else []
+    few = LEAF_PAIRS if budget * 8 < bits else bits * LEAF_PAIRS  # a generous budget prunes late: end the walk early
 
     def halves(low: int, high: int, bit: int) -> int:
         """Where the node's child 1 starts; its values share all higher bits."""
         return bisect_left(values, (values[low] >> bit | 1) << bit, low, high)
 
-    todo = [(0, len(values), 0, len(values), BITS, 0)]
+    todo = [(0, len(values), 0, len(values), bits, 0)]
     while todo:
         l1, h1, l2, h2, bit, errors = todo.pop()
         if l1 == h1 or l2 == h2 or errors > budget:
             continue
-        if (h1 - l1) * (h2 - l2) <= LEAF_PAIRS or bit == 0:
-            for i in range(l1, h1):
-                a = values[i]
-                for j in range(max(l2, i + 1) if l1 == l2 else l2, h2):
-                    if (a ^ values[j]).bit_count() <= budget:
-                        found.join(i, j)
+        if (h1 - l1) * (h2 - l2) <= few or bit == 0:
+            compared(found, values, arrays, l1, h1, l2, h2, budget)
             continue
         bit -= 1
         m1 = halves(l1, h1, bit)
@@ -182,7 +212,7 @@ def dealt(fps: DataFrame, budget: int, hot: int, levels: int = 3) -> DataFrame:
 
 def links(fps: DataFrame, budget: int = 3, hot: int = HOT_GROUP) -> DataFrame:
     """a, b: edges that connect all distinct fingerprints of at most budget differing bits; fps: distinct fp."""
-    keyed = dealt(fps, budget, hot).repartition("key").sortWithinPartitions("key")
+    keyed = slices(common.written(dealt(fps, budget, hot), "dealt"), hot).repartition("key").sortWithinPartitions("key")
     return common.arrow_map(keyed.select("key", "fp"), edges_of(budget), "a long, b long")
 
 
@@ -195,7 +225,88 @@ def classes(made: DataFrame, budget: int = 3, hot: int = HOT_GROUP) -> DataFrame
     return marked.select("fp", "component").join(least, "component").select("fp", "component_id")
 
 
+def slices(keyed: DataFrame, hot: int) -> DataFrame:
+    """The rows of keyed (key string); those of a hot key go to a key for each pair of slices that holds theirs."""
+    sizes = keyed.groupBy("key").count().where(F.col("count") > hot).select("key", F.ceil(F.col("count") / hot).cast("int").alias("slices"))
+    sizes = common.written(sizes, "hot-slices")
+    if not sizes.take(1):
+        return keyed
+    cool = keyed.join(sizes.select("key"), "key", "left_anti")
+    own = F.pmod(F.xxhash64(F.lit("slice"), *[c for c in keyed.columns if c != "key"]), F.col("slices")).cast("int")
+    warm = keyed.join(sizes, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    pair = F.concat("key", F.lit("#"), F.least("own", "other").cast("string"), F.lit("-"), F.greatest("own", "other").cast("string"))
+    return cool.unionByName(warm.withColumn("key", pair).select(*cool.columns))
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 3) -> DataFrame:
     """doc_id, fingerprint, component_id of each row."""
     made = common.written(fingerprints(docs, width), "fingerprints")
     return made.join(classes(made, budget), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def wide_fingerprints(docs: DataFrame, width: int, lanes: int) -> DataFrame:
+    """doc_id, fp (big-endian bytes) of each row."""
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary())])
+
+    def make(parts):
+        for part in parts:
+            found = pa.array([fingerprint(t.as_py(), width, lanes).to_bytes(8 * lanes, "big") for t in part.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), found], schema=schema)
+
+    return common.arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_bytes().alias("text")), make, "doc_id long, fp binary")
+
+
+def blocks_and_flips(lanes: int):
+    """For mapInArrow: nid, fp -> key, nid, fp for each block's value and for the values that clear one of its bits."""
+    schema = pa.schema([("key", pa.string()), ("nid", pa.int64()), ("fp", pa.binary())])
+
+    def rows(parts):
+        for part in parts:
+            for nid, fp in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                value = int.from_bytes(fp, "big")
+                for block in range(lanes * BITS // BLOCK_BITS):
+                    own = value >> block * BLOCK_BITS & (1 << BLOCK_BITS) - 1
+                    yield f"{block}:{own}", nid, fp
+                    for bit in range(BLOCK_BITS):
+                        if own >> bit & 1:
+                            yield f"{block}:{own ^ 1 << bit}", nid, fp
+
+    return lambda parts: common.batches(rows(parts), schema, 8192)
+
+
+def wide_edges(lanes: int, budget: int):
+    """For mapInArrow over rows sorted by key: the edges (nids) within each key's group."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def rows(parts):
+        key, held = None, {}
+
+        def flush():
+            values = sorted(held)
+            for i, j in trie_links(values, budget, lanes * BITS) if len(values) > 1 else ():
+                yield held[values[i]], held[values[j]]
+
+        for part in parts:
+            for k, nid, fp in zip(*(part.column(c).to_pylist() for c in range(3))):
+                if k != key:
+                    yield from flush()
+                    key, held = k, {}
+                held[int.from_bytes(fp, "big")] = nid
+        yield from flush()
+
+    return lambda parts: common.batches(rows(parts), schema)
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = WIDTH, lanes: int = LANES, similar: int = SIMILAR, hot: int = 2 * HOT_GROUP) -> DataFrame:
+    """The rows of docs, with their own columns, that stay: of each component of near copies the rows of its smallest doc_id (all rows, if none has an id). Rows without a word stay."""
+    made = common.written(wide_fingerprints(docs, width, lanes).where("doc_id IS NOT NULL"), "wide-fingerprints")
+    blank = b"\0" * (8 * lanes)
+    nodes = made.where(F.col("fp") != F.lit(blank)).groupBy("fp").agg(F.min("doc_id").alias("nid"))
+    nodes = common.written(nodes, "wide-nodes")
+    keyed = common.written(common.arrow_map(nodes.select("nid", "fp"), blocks_and_flips(lanes), "key string, nid long, fp binary"), "wide-blocks")
+    dealt_out = slices(keyed, hot).repartition("key").sortWithinPartitions("key")
+    joined = components.connected(common.arrow_map(dealt_out.select("key", "nid", "fp"), wide_edges(lanes, similar), "a long, b long"))
+    # what goes: rows of a fingerprint's other ids, and fingerprints that aren't their component's smallest
+    owners = nodes.join(joined.withColumnRenamed("node", "nid"), "nid", "left").select("fp", F.coalesce("component", "nid").alias("keep_id"))
+    gone = made.join(owners, "fp").where("doc_id <> keep_id").select(F.col("doc_id").alias("gone_id"))
+    return docs.join(gone, F.col("doc_id").cast("long") == gone.gone_id, "left_anti")
