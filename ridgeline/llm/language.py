@@ -165,7 +165,7 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, model).withColumn("held_out", held_out()).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def keep_known(docs: DataFrame, least: float = 0.3) -> DataFrame:
+def keep_known(docs: DataFrame, least: float = 0.2) -> DataFrame:
     """The rows of docs, with their own columns, whose text is in a language of the corpus; rejected are those without a letter and those of which the best language explains less than least."""
     model = learn(docs.where(~held_out()).select("doc_id", "text", "lang"))
     if not model.names:

@@ -10,8 +10,8 @@ are queries of equal vectors: copies cost nothing. The leaves of a tree make blo
 larger leaf is dealt over several); a block's vectors are held, queries stream past them, and each gives its k + 1
 nearest only, so no task holds all pairs, or more of the index than a block.
 
-Isotropic vectors have no structure that trees can use: for those, a recall of 0.9 needs an effort of over a half,
-as the default allows for. Lower it for data with clusters.
+Isotropic vectors have no structure that trees can use: for those, a recall of 0.9 needs leaves that hold about half
+of all rows, some of them in several trees, and the default allows for that. Lower it for data with clusters.
 
 Defined results: vectors that are null, empty, zero, of another length than most, or hold null or non-finite parts
 take no part, nor do rows without an id; ties go to the smaller vec_id; a repeated row counts once; with no other
@@ -31,7 +31,7 @@ from . import common
 
 #: Vectors that the trees are grown on, about: the bound of the sample.
 SAMPLE = 16_384
-TREES, LEAF, BLOCK, EFFORT, SEED = 4, 192, 8192, 0.8, 7
+TREES, LEAF, BLOCK, EFFORT, SEED = 4, 64, 8192, 1.0, 7
 
 
 class Forest:

@@ -9,10 +9,11 @@ spanning forest only, never all its pairs, so links of different texts are kept
 Groups that are hot (by a count, not a sample) are dealt again by a further block of the bits that remain, and in the
 end by pairs of slices: every slice of a hot group meets every other in a task of bounded size.
 
-drop_near_duplicates() is the form for filtering a corpus: five-word shingles, and 128 bits, as a similarity of 0.8
-moves about a seventh of the bits, too many for 64. There two fingerprints are compared if one of eight blocks of 16
-bits agrees but for one bit (each fingerprint also goes to the values that clear one of its bits), which holds for
-over nine in ten pairs of similarity 0.8 and for nearly all closer ones; the trie join decides by all 128 bits.
+drop_near_duplicates() is the form for filtering a corpus: five-word shingles, and 256 bits, as a similarity of 0.8
+moves about a seventh of the bits, too many for 64 to tell from chance. There two fingerprints are compared if one of
+eight blocks of 16 bits agrees but for one bit (each fingerprint also goes to the values that clear one of its bits),
+which holds for over nine in ten pairs of similarity 0.8 and for nearly all closer ones; the trie join decides by all
+256 bits.
 
 Defined results: a null text counts as empty; a document without words has fingerprint zero and links like any
 other; fewer words than a shingle are one shingle; a null doc_id joins its component but never names it (it is
@@ -34,8 +35,8 @@ from . import common, components
 BITS, SEED = 64, 42
 #: Odd multiplier that mixes hashes for further lanes.
 MIX = 0x9E3779B97F4A7C15
-#: The corpus form: words of a shingle, lanes of 64 bits, bits of a block, and bits that near copies may differ in.
-WIDTH, LANES, BLOCK_BITS, SIMILAR = 5, 2, 16, 21
+#: The corpus form: words of a shingle, lanes of 64 bits, those with blocks and their bits, and bits that near copies may differ in.
+WIDTH, LANES, BLOCK_LANES, BLOCK_BITS, SIMILAR = 5, 4, 2, 16, 41
 #: Groups beyond this many fingerprints are dealt again.
 HOT_GROUP = 2048
 #: Shingles whose bits are counted at a time.
@@ -256,7 +257,7 @@ def wide_fingerprints(docs: DataFrame, width: int, lanes: int) -> DataFrame:
     return common.arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_bytes().alias("text")), make, "doc_id long, fp binary")
 
 
-def blocks_and_flips(lanes: int):
+def blocks_and_flips(lanes: int = BLOCK_LANES):
     """For mapInArrow: nid, fp -> key, nid, fp for each block's value and for the values that clear one of its bits."""
     schema = pa.schema([("key", pa.string()), ("nid", pa.int64()), ("fp", pa.binary())])
 
@@ -303,7 +304,7 @@ def drop_near_duplicates(docs: DataFrame, width: int = WIDTH, lanes: int = LANES
     blank = b"\0" * (8 * lanes)
     nodes = made.where(F.col("fp") != F.lit(blank)).groupBy("fp").agg(F.min("doc_id").alias("nid"))
     nodes = common.written(nodes, "wide-nodes")
-    keyed = common.written(common.arrow_map(nodes.select("nid", "fp"), blocks_and_flips(lanes), "key string, nid long, fp binary"), "wide-blocks")
+    keyed = common.arrow_map(nodes.select("nid", "fp"), blocks_and_flips(), "key string, nid long, fp binary")
     dealt_out = slices(keyed, hot).repartition("key").sortWithinPartitions("key")
     joined = components.connected(common.arrow_map(dealt_out.select("key", "nid", "fp"), wide_edges(lanes, similar), "a long, b long"))
     # what goes: rows of a fingerprint's other ids, and fingerprints that aren't their component's smallest
