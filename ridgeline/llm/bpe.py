@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Entries of the caches of pieces and of pairs, after which they start anew.
-CACHED_PIECES, CACHED_PAIRS = 250_000, 300_000
+CACHED_PIECES, CACHED_PAIRS = 700_000, 300_000
 #: Characters of a text that are split at a time.
 SEGMENT = 1 << 18
 
@@ -66,7 +66,8 @@ class MergeList:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
         self.lookahead = max(map(len, self.ids))
-        self.suffixes = {b[i:] for b in self.ids for i in range(len(b))}
+        #: Every end of a token: its id, or -1 if it is no token itself.
+        self.ends = {b[i:]: -1 for b in self.ids for i in range(len(b))} | self.ids
         self.pairs: dict[tuple[int, int], bool] = {}
 
     def merged(self, text: bytes) -> list[int]:
@@ -103,28 +104,28 @@ class Transducer:
 
     def feed(self, data: bytes) -> list[int]:
         m, out = self.merges, []
-        ids, suffixes, intact, far = m.ids, m.suffixes, m.intact, m.lookahead
+        ends, intact, far, last, base = m.ends, m.intact, m.lookahead, self.last, self.base
         work, offset = self.tail + data, len(self.tail)
         shift = self.base + len(self.last) - 1 - offset  # position of work[0]
         for i in range(offset + 1, len(work) + 1):
             options = []
             for j in range(i - 1, max(i - far, 0, self.done - shift) - 1, -1):
-                suffix = work[j:i]
-                if suffix not in suffixes:
+                token = ends.get(work[j:i])
+                if token is None:
                     break
-                token = ids.get(suffix)
-                if token is not None:
-                    options.append((token, j))
-            for token, j in reversed(options):
-                before = self.last[j + shift - self.base][0]
-                if (before != -1 or j + shift == 0) and intact(before, token):
-                    self.last.append((token, j + shift))
+                if token >= 0:
+                    options.append((token, j + shift))
+            for token, start in reversed(options):
+                before = last[start - base][0]
+                if (before != -1 or start == 0) and intact(before, token):
+                    last.append((token, start))
                     break
             else:
-                self.last.append((-1, -1))
+                last.append((-1, -1))
             self.unchecked += 1
             if self.unchecked >= 2 * far:
                 out += self.settle()
+                base = self.base
         self.tail = work[-far:]
         return out
 
