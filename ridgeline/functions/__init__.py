@@ -1 +1 @@
-"""Functions of the residual analytics engine."""
+"""Column functions with the value semantics that all operators share."""

@@ -1 +1 @@
-"""Operators of the residual analytics engine."""
+"""Operators of residual analysis: bins, histograms, split search, patches, scores and logs."""

@@ -1 +1 @@
-"""Plans of the residual analytics engine."""
+"""Whole plans: the queries with their SQL, and the improvement loop."""

@@ -1 +1 @@
-"""Sources of the residual analytics engine."""
+"""Where corpora, models and logs come from, and where results go."""

@@ -1 +1 @@
-"""Streaming of the residual analytics engine."""
+"""Structured Streaming forms of mergeable operators."""
