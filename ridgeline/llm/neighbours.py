@@ -99,7 +99,7 @@ class Blocks:
     def __init__(self, sizes: list[list[int]], most: int):
         self.block, self.parts = [], []
         for own in sizes:
-            at, held, block, parts = -1, most, [], []
+            at, held, block, parts = -1, most + 1, [], []
             for n in own:
                 if held + n > most:
                     at, held = at + 1, 0
