@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 from operator import or_
 
@@ -37,6 +38,20 @@ class Model:
         inner = [c for n in self.neurons for c in (f"_h_{n['id']}", f"_{n['id']}")]
         return out.withColumn("prediction", F.col(f"_{self.output}").cast("float")).withColumn("hint", F.col(f"_h_{self.output}").cast("float")).drop(*inner)
 
+    @classmethod
+    def from_json(cls, text: str) -> Model:
+        """{"output": id, "neurons": [{"id", "squash", "bias", "in": [[source, weight], ...]}, ...]}"""
+        found = json.loads(text)
+        return cls([n | {"in": [(str(s), float(w)) for s, w in n["in"]]} for n in found["neurons"]], found["output"])
+
+    def to_json(self) -> str:
+        return json.dumps({"output": self.output, "neurons": self.neurons})
+
+    def corrected(self, rows: DataFrame, correction: Column) -> DataFrame:
+        """rows with the prediction of the model and a correction that goes in before the output's activation."""
+        found = self.columns(rows)
+        return found.withColumn("prediction", squash(self.squash, F.col("hint") + correction).cast("float")).drop("hint")
+
     @property
     def squash(self) -> str:
         return next(n["squash"] for n in self.neurons if n["id"] == self.output)
@@ -66,28 +81,42 @@ def stats(rows: DataFrame) -> DataFrame:
     )
 
 
-def magnitude_counts(rows: DataFrame) -> DataFrame:
-    """a (absolute residual) and n: equal magnitudes are one row."""
-    return rows.where(is_finite(F.col("residual"))).groupBy(F.abs("residual").alias("a")).agg(F.count("*").alias("n"))
+#: Parts of a range of magnitudes that is looked at more closely.
+PARTS = 4096
 
 
-def at_positions(rows: DataFrame, positions: dict[str, int]) -> dict[str, float]:
-    """Absolute residuals at positions of the falling order. A coarse histogram finds the range of each position, then only that range is sorted."""
-    counts = magnitude_counts(rows)
-    cells = F.floor(F.log2(F.col("a") + F.lit(1e-30)) * 16)
-    coarse = {r.cell: r.n for r in counts.groupBy(cells.alias("cell")).agg(F.sum("n").alias("n")).collect()}  # at most some thousand cells of float magnitudes
-    out, passed, wanted = {}, 0, {}
-    for cell in sorted(coarse, key=lambda c: (c is not None, c), reverse=True):
+def holders(sizes: dict, positions: dict[str, int]) -> dict:
+    """Which cell of a falling order holds each position, and the position within it; a null cell comes last."""
+    out, passed = {}, 0
+    for cell in sorted(sizes, key=lambda c: (c is not None, c), reverse=True):
         for name, at in positions.items():
-            if passed <= at < passed + coarse[cell]:
-                wanted.setdefault(cell, []).append((name, at - passed))
-        passed += coarse[cell]
-    for cell, names in wanted.items():
-        order = W.orderBy(F.desc("a"))
-        inside = counts.where(cells == cell).withColumn("end", F.sum("n").over(order.rowsBetween(W.unboundedPreceding, 0)))
-        hits = inside.where(reduce(or_, [((F.col("end") - F.col("n")) <= k) & (F.col("end") > k) for _, k in names])).collect()
-        for name, k in names:
-            out[name] = next(r.a for r in hits if r.end - r.n <= k < r.end)
+            if passed <= at < passed + sizes[cell]:
+                out.setdefault(cell, {})[name] = at - passed
+        passed += sizes[cell]
+    return out
+
+
+def at_positions(rows: DataFrame, positions: dict[str, int]) -> dict[str, float]:
+    """Absolute residuals at positions of the falling order, without sorting all: counts by magnitude find each position's range (a sixteenth of an octave), counts by PARTS of it a narrower one, and only that is sorted."""
+    a = F.abs("residual")
+    finite = rows.where(is_finite(F.col("residual"))).select(a.alias("a"))
+    cell = F.when(F.col("a") > 0, F.floor(F.log2(F.col("a").cast("double")) * 16))
+    out: dict[str, float] = {}
+    sizes = {r.cell: r["count"] for r in finite.groupBy(cell.alias("cell")).count().collect()}  # some thousand cells at most: FLOAT magnitudes
+    for c, names in holders(sizes, positions).items():
+        if c is None:
+            out |= {name: 0.0 for name in names}
+            continue
+        low, high = 2.0 ** (c / 16), 2.0 ** ((c + 1) / 16)
+        part = F.floor((F.col("a").cast("double") - low) / (high - low) * PARTS)
+        inside = finite.where(cell == c).select("a", part.alias("part"))
+        parts = {r.part: r["count"] for r in inside.groupBy("part").count().collect()}
+        for k, few in holders(parts, names).items():
+            order = W.orderBy(F.desc("a")).rowsBetween(W.unboundedPreceding, 0)
+            runs = inside.where(F.col("part") == k).groupBy("a").agg(F.count("*").alias("n")).withColumn("end", F.sum("n").over(order))
+            wanted = reduce(or_, [((F.col("end") - F.col("n")) <= at) & (F.col("end") > at) for at in few.values()])
+            hits = runs.where(wanted).collect()
+            out |= {name: next(r.a for r in hits if r.end - r.n <= at < r.end) for name, at in few.items()}
     return out
 
 

@@ -75,9 +75,19 @@ def test_corrections_before_a_logistic_output(spark):
     assert got[2].correction == 0.0
 
 
+def test_models_round_trip_and_take_corrections(spark):
+    rows = spark.createDataFrame([(0, 0.3, 0.8), (1, -0.2, 0.2)], "record_id long, f0 float, y float")
+    model = residuals.Model([{"id": "h", "squash": "RELU", "bias": 0.5, "in": [("f0", 1.0)]}, {"id": "o", "squash": "LOGISTIC", "bias": 0.1, "in": [("h", 2.0)]}], "o")
+    again = residuals.Model.from_json(model.to_json())
+    correction = residuals.compute_residuals(rows, again).select("record_id", "correction")
+    exact = again.corrected(rows.join(correction, "record_id"), F.col("correction"))
+    assert all(r.prediction == pytest.approx(r.y, abs=1e-6) for r in exact.collect())
+
+
 def test_positions_of_the_falling_order(spark):
     rng = np.random.default_rng(2)
     values = np.round(rng.normal(size=997) * 10, 1).astype(np.float32)
+    values[:20] = 0
     rows = corpus(spark, [values], values)
     order = np.sort(np.abs(values))[::-1]
     got = residuals.quantiles(rows)
