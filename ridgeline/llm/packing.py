@@ -114,8 +114,9 @@ def cut(window: int, with_ids: bool):
 def pack(docs: DataFrame, path: str, window: int = WINDOW, with_ids: bool = True) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (little-endian unsigned 32-bit; null without with_ids) of each piece."""
     made = tokenized(docs, path)
+    # one row for each input partition: the broadcast is bounded by the number of tasks, and the ids stay where they are
     totals = made.groupBy("part").agg(F.sum("n").alias("total"))
     bases = totals.select("part", (F.sum("total").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, 0)) - F.col("total")).alias("base"))
-    placed = made.join(bases, "part").select((F.col("base") + F.col("local")).alias("at"), "doc_id", "n", "width", "ids")
+    placed = made.join(F.broadcast(bases), "part").select((F.col("base") + F.col("local")).alias("at"), "doc_id", "n", "width", "ids")
     out = common.arrow_map(placed, cut(window, with_ids), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
     return out if with_ids else out.drop("ids")
