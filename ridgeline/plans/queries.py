@@ -791,3 +791,143 @@ def join_scores(spark, d):
     made = experiments(spark, d)
     rows = made.select("iteration", F.explode("candidates").alias("c")).select("iteration", "c.id", "c.full_delta")
     return rows.join(made.where("accepted").select("iteration", F.col("winner").alias("id"), "improvement"), ["iteration", "id"], "left")
+
+
+# ---------------------------------------------------------------- the smaller steps, each on its own
+
+
+@query("squash", f"SELECT record_id, round(tanh(CAST(f0 AS DOUBLE) / 100), 6) AS tanh_value, round(1 / (1 + exp(-CAST(f0 AS DOUBLE) / 100)), 6) AS logistic_value, greatest(CAST(f0 AS DOUBLE) - 50, 0) AS relu_value FROM ({EVENTS.sql})")
+def squash(spark, d):
+    x = F.col("f0").cast("double")
+    return EVENTS.load(spark, d).select("record_id", F.round(sem.squash("TANH", x / 100), 6).alias("tanh_value"), F.round(sem.squash("LOGISTIC", x / 100), 6).alias("logistic_value"), sem.squash("RELU", x - 50).alias("relu_value"))
+
+
+@query("unsquash", f"SELECT record_id, CASE WHEN y > 0 AND y < 1 THEN round(ln(y / (1 - y)), 5) END AS before_logistic, CASE WHEN abs(y) < 1 THEN round(atanh(y), 5) END AS before_tanh FROM (SELECT record_id, CAST(f0 AS DOUBLE) / 100 - 0.1 AS y FROM ({EVENTS.sql}))")
+def unsquash(spark, d):
+    y = F.col("f0").cast("double") / 100 - 0.1
+    return EVENTS.load(spark, d).select("record_id", F.round(sem.unsquash("LOGISTIC", y), 5).alias("before_logistic"), F.round(sem.unsquash("TANH", y), 5).alias("before_tanh"))
+
+
+@query("if_kernel", f"SELECT record_id, CASE WHEN f1 - CAST(11 AS FLOAT) > 0 THEN f0 + CAST(2.5 AS FLOAT) ELSE f2 + CAST(2.5 AS FLOAT) END AS value FROM ({EVENTS.sql})")
+def if_kernel(spark, d):
+    bias = sem.single(2.5)
+    return EVENTS.load(spark, d).select("record_id", F.when(sem.gt(F.col("f1") - sem.single(11), sem.single(0)), F.col("f0") + bias).otherwise(F.col("f2") + bias).alias("value"))
+
+
+@query("clamp_correction", chain_sql(EVENTS) + ", c AS (SELECT *, greatest(least(s / n, 2.0), -2.0) AS c FROM hist) SELECT feature, bin, round(c, 4) AS correction, round(2 * c * s - n * c * c, 3) AS gain FROM c")
+def clamp_correction(spark, d):
+    c = histogram.clamped(F.col("s"), F.col("n"), 2.0)
+    hist = histogram.histogram(prepared(spark, d, EVENTS)[3], 3)
+    return hist.select("feature", "bin", F.round(c, 4).alias("correction"), F.round(histogram.gain(c, F.col("s"), F.col("n")), 3).alias("gain"))
+
+
+@query("evaluate_split", chain_sql(EVENTS) + kinds_sql() + " SELECT feature, bin, kind, round(gain, 3) AS gain, affected_records FROM kinds")
+def evaluate_split(spark, d):
+    _, edges, _, binned = prepared(spark, d, EVENTS)
+    found = histogram.split_kinds(histogram.prefix_scan(histogram.histogram(binned, 3), edges), CONTROLS)
+    return found.select("feature", "bin", "kind", F.round("gain", 3).alias("gain"), "affected_records")
+
+
+@query("min_leaf_filter", chain_sql(EVENTS) + kinds_sql(least=2000.0) + " SELECT kind, count(*) AS splits FROM kinds GROUP BY kind")
+def min_leaf_filter(spark, d):
+    _, edges, _, binned = prepared(spark, d, EVENTS)
+    return histogram.split_kinds(histogram.prefix_scan(histogram.histogram(binned, 3), edges), Controls(min_leaf=2000.0)).groupBy("kind").agg(F.count("*").alias("splits"))
+
+
+@query("gain_filter", chain_sql(EVENTS) + kinds_sql() + " SELECT kind, count(*) AS splits FROM kinds WHERE gain >= 5000 GROUP BY kind")
+def gain_filter(spark, d):
+    _, edges, _, binned = prepared(spark, d, EVENTS)
+    return histogram.split_kinds(histogram.prefix_scan(histogram.histogram(binned, 3), edges), Controls(min_gain=5000.0)).groupBy("kind").agg(F.count("*").alias("splits"))
+
+
+@query("leaf_correction", chain_sql(EVENTS) + " SELECT CASE WHEN b0 > 7 THEN 1 ELSE 0 END AS leaf, round(greatest(least(sum(CAST(residual AS DOUBLE)) / count(*), 3.0), -3.0), 4) AS correction FROM binned GROUP BY 1")
+def leaf_correction(spark, d):
+    leaf = F.when(F.col("b0") > 7, 1).otherwise(0)
+    sums = prepared(spark, d, EVENTS)[3].groupBy(leaf.alias("leaf")).agg(F.sum("residual").alias("s"), F.count("*").cast("double").alias("n"))
+    return sums.select("leaf", F.round(histogram.clamped(F.col("s"), F.col("n"), 3.0), 4).alias("correction"))
+
+
+@query("scaled_gain", chain_sql(EVENTS) + kinds_sql() + f", top AS (SELECT * FROM kinds {ORDER_SQL} LIMIT 4) SELECT feature, bin, kind, k AS scale, round(CASE WHEN k < 0 THEN -abs(gain) ELSE gain * (2 * k - k * k) END, 2) AS gain FROM top, (VALUES (0.5::DOUBLE), (1.5::DOUBLE), (-1.0::DOUBLE)) s(k)")
+def scaled_gain(spark, d):
+    _, edges, _, binned = prepared(spark, d, EVENTS)
+    top = histogram.search_stumps(histogram.histogram(binned, 3), edges, Controls(top_k=4))
+    k = F.col("scale")
+    rows = top.withColumn("scale", F.explode(F.array(*[F.lit(x) for x in (0.5, 1.5, -1.0)])))
+    return rows.select("feature", "bin", "kind", "scale", F.round(F.when(k < 0, -F.abs("gain")).otherwise(F.col("gain") * (2 * k - k * k)), 2).alias("gain"))
+
+
+@query("discard_zero", chain_sql(EVENTS) + kinds_sql() + " SELECT count(*) AS kept FROM kinds WHERE greatest(abs(left_correction), abs(right_correction)) > 0")
+def discard_zero(spark, d):
+    _, edges, _, binned = prepared(spark, d, EVENTS)
+    found = histogram.split_kinds(histogram.prefix_scan(histogram.histogram(binned, 3), edges), CONTROLS)
+    return found.where(F.greatest(F.abs("left_correction"), F.abs("right_correction")) > 0).agg(F.count("*").alias("kept"))
+
+
+@query("threshold_filter", SCORED + " SELECT candidate_id FROM scores WHERE candidate_id <> 'baseline' AND score - (SELECT score FROM scores WHERE candidate_id = 'baseline') > 1.0")
+def threshold_filter(spark, d):
+    found = promotion.rank_screen(promotion.score_all(EVENTS.load(spark, d), FIXED), len(FIXED), 1.0)
+    return spark.createDataFrame([(k,) for k, _ in found], "candidate_id string")
+
+
+@query("pick_winner", SCORED + " SELECT candidate_id AS winner, round(score - (SELECT score FROM scores WHERE candidate_id = 'baseline'), 5) AS improvement FROM scores WHERE candidate_id <> 'baseline' ORDER BY score DESC, candidate_id LIMIT 1")
+def pick_winner(spark, d):
+    found = promotion.promote(EVENTS.load(spark, d), FIXED, count=len(FIXED))
+    return spark.createDataFrame([(found["winner"], round(found["deltas"][found["winner"]], 5))], "winner string, improvement double")
+
+
+@query("drift_veto", "SELECT TRUE AS veto, CAST(NULL AS VARCHAR) AS winner")
+def drift_veto(spark, d):
+    found = promotion.promote(EVENTS.load(spark, d), FIXED, count=len(FIXED), stored_baseline=0.25)
+    return spark.createDataFrame([(found["veto"], found["winner"])], "veto boolean, winner string")
+
+
+@query("parity_gate", f"SELECT abs(m - m2) <= 1e-9 + 1e-6 * abs(m2) AS same, FALSE AS other FROM (SELECT avg(pow(CAST(y AS DOUBLE) - p, 2)) AS m, avg(pow(CAST(residual AS DOUBLE), 2)) AS m2 FROM ({PARTS.sql}))")
+def parity_gate(spark, d):
+    rows = PARTS.load(spark, d)
+    local, other = rows.agg(residuals.mse(F.col("y"), F.col("p")).alias("a")).first().a, promotion.score_all(rows, [])["baseline"][1]
+    return spark.createDataFrame([(promotion.parity(local, other), promotion.parity(local, other + 1.0))], "same boolean, other boolean")
+
+
+@query("strategy_label", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 > 1 THEN 'combo/' || CAST(o_orderkey % 4 AS VARCHAR) || ':' || o_orderpriority ELSE o_orderpriority END AS label FROM orders")
+def strategy_label(spark, d):
+    k = F.col("o_orderkey") % 4
+    return read(spark, d, "orders").select("o_orderkey", F.when(k > 1, F.concat(F.lit("combo/"), k.cast("string"), F.lit(":"), F.col("o_orderpriority"))).otherwise(F.col("o_orderpriority")).alias("label"))
+
+
+@query("anti_tried_carried", f"WITH l AS ({LOG}) SELECT DISTINCT id FROM l WHERE id NOT IN (SELECT id FROM l WHERE incumbent = '2') AND id NOT IN (SELECT id FROM l WHERE position % 13 = 0)")
+def anti_tried_carried(spark, d):
+    log = verdict_log(spark, d)
+    return log.select("id").distinct().join(verdicts.tried(log, "2"), "id", "left_anti").join(log.where("position % 13 = 0").select("id"), "id", "left_anti")
+
+
+@query("replay_order", f"""WITH o AS (SELECT * FROM ({LOG}) WHERE outcome = 'accepted') SELECT id, max(delta) AS delta FROM o GROUP BY id ORDER BY delta DESC, id LIMIT 25""")
+def replay_order(spark, d):
+    won = verdict_log(spark, d).where(verdicts.accepted())
+    return won.groupBy("id").agg(F.max("delta").alias("delta")).orderBy(F.desc("delta"), "id").limit(25)
+
+
+@query("file_verdicts", f"SELECT position, id, incumbent, outcome, delta FROM ({LOG}) l WHERE host <> '0' AND NOT EXISTS (SELECT 1 FROM ({LOG}) f WHERE f.host = '0' AND f.id = l.id AND f.incumbent = l.incumbent)")
+def file_verdicts(spark, d):
+    log = verdict_log(spark, d)
+    return verdicts.unfiled(log.where("host <> '0'"), log.where("host = '0'")).select("position", "id", "incumbent", "outcome", "delta")
+
+
+@query("read_log", f"SELECT host, count(*) AS verdicts, min(at_unix) AS first_at, max(at_unix) AS last_at FROM ({LOG}) GROUP BY host")
+def read_log(spark, d):
+    path = f"{store.shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    verdict_log(spark, d).write.json(path)
+    found = files.read_log(spark, path, "host string, at_unix long")
+    return found.groupBy("host").agg(F.count("*").alias("verdicts"), F.min("at_unix").alias("first_at"), F.max("at_unix").alias("last_at"))
+
+
+@query("report_json")
+def report_json(spark, d):
+    return report_totals(spark, d).select(F.to_json(F.struct("*")).alias("report"))
+
+
+@query("top_k_groups")
+def top_k_groups(spark, d):
+    _, edges, _, binned = prepared(spark, d, EVENTS)
+    top = placed(histogram.search_stumps(histogram.histogram(binned, 3), edges, Controls(top_k=12, max_per_feature=4)))
+    found = candidates.combos(candidates.distinct(candidates.expand(top, edges, scales=(), jitter=0).orderBy("phase", "step", "place").collect()))
+    return spark.createDataFrame([(c.id, c.strategy, len(c.parts), c.gain) for c in found], "id string, strategy string, parts int, gain double")

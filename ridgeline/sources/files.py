@@ -59,6 +59,19 @@ def read_verdicts(spark: SparkSession, root: str, corpus: str) -> DataFrame:
     return spark.read.schema(VERDICT).option("mode", "DROPMALFORMED").json(f"{root}/corpus-{corpus}/*.jsonl").where("id IS NOT NULL")
 
 
+def corpora_in(spark: SparkSession, root: str) -> list[str]:
+    """Names of the corpora that have verdicts under root, sorted: the folders are partitions of what is read."""
+    names = spark.read.text(f"{root}/corpus-*/*.jsonl").select(F.regexp_extract(F.col("_metadata.file_path"), "/corpus-([^/]+)/[^/]+$", 1).alias("name"))
+    return [r.name for r in names.distinct().orderBy("name").collect()]
+
+
+def rewrite_verdicts(kept: DataFrame, folder: str) -> None:
+    """Replace a host's verdicts by those that are kept; written aside and read from there, so kept may come from the same folder."""
+    aside = f"{folder.rstrip('/')}.new"
+    kept.write.mode("overwrite").json(aside)
+    kept.sparkSession.read.schema(kept.schema).json(aside).write.mode("overwrite").json(folder)
+
+
 def append_verdicts(verdicts: DataFrame, root: str, corpus: str) -> None:
     verdicts.write.mode("append").json(f"{root}/corpus-{corpus}")
 

@@ -287,6 +287,11 @@ def test_logs(spark, tmp_path):
     folder.mkdir()
     (folder / "h.jsonl").write_text('{"id":"a","outcome":"accepted","delta":1.0,"at_unix":5}\nnot json\n{"id":"b","outcome":"rejected"}\n')
     assert {r.id for r in files.read_verdicts(spark, f"file://{tmp_path}", "x").collect()} == {"a", "b"}
+    assert files.corpora_in(spark, f"file://{tmp_path}") == ["x"]
+    host = f"file://{tmp_path}/own"
+    verdict_rows(spark, [("a", "m", "accepted", 1.0, 1), ("b", "m", "rejected", 0.0, 2)]).write.json(host)
+    files.rewrite_verdicts(spark.read.schema(VERDICT).json(host).where("id = 'b'"), host)
+    assert [r.id for r in spark.read.schema(VERDICT).json(host).collect()] == ["b"]
     with pytest.raises(Exception):
         files.read_log(spark, f"file://{folder}", files.VERDICT).collect()
 
