@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of an Arrow batch handed to Python: long documents come few at a time.
-BATCH_ROWS = 512
+#: Rows and bytes of an Arrow batch handed to Python: long documents come few at a time.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,8 +42,9 @@ def nullable(schema: T.StructType) -> T.StructType:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound what one Arrow batch holds; the setting is read when a plan starts, so it stays set."""
+    """Bound what one Arrow batch holds; the settings are read when a plan starts, so they stay set."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
