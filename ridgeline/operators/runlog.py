@@ -58,9 +58,9 @@ def trajectory(experiments: DataFrame) -> DataFrame:
 
 
 def carried_forward(experiments: DataFrame) -> DataFrame:
-    """iteration, previous_best: the best delta of the iteration before that wasn't accepted."""
+    """iteration, previous_best: the best delta of the iteration before (iterations are numbered without gaps) that wasn't accepted."""
     best = exploded(experiments).groupBy("iteration").agg(F.max(F.when(~(F.col("accepted") & (F.col("winner") == F.col("id"))), F.col("full_delta"))).alias("near"))
-    return best.select("iteration", F.lag("near").over(W.orderBy("iteration")).alias("previous_best"))
+    return best.select("iteration").join(best.select((F.col("iteration") + 1).alias("iteration"), F.col("near").alias("previous_best")), "iteration", "left")
 
 
 def affected_fraction(affected, weighted_total, records):
