@@ -36,28 +36,31 @@ def histogram(binned: DataFrame, features: int, keys: Sequence[str] = (), weight
 
 
 def wide_histogram(rows: DataFrame, edges: Sequence[Sequence[float]]) -> DataFrame:
-    """The same for hundreds of features in an array x: Arrow batches binned and summed in numpy, one partial table a task."""
+    """The same for hundreds of features in an array x: Arrow batches binned and summed in numpy, one partial table a task. Rows whose array is null or of another width take no part."""
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
     bounds = [np.array(e, dtype=np.float32) for e in edges]
-    most = max((len(e) for e in edges), default=0) + 1
+    width, most = len(bounds), max((len(e) for e in edges), default=0) + 1
 
     def partial(parts):
-        sums = np.zeros((3, len(bounds), most))
-        for pdf in parts:
-            if not len(pdf):
+        sums = np.zeros((3, width * most))
+        offsets = np.arange(width)[:, None] * most
+        for part in parts:
+            if not part.num_rows:
                 continue
-            x = np.stack(pdf["x"].to_numpy()).astype(np.float32)
-            r = pdf["residual"].to_numpy().astype(np.float64)
-            for i, e in enumerate(bounds):
-                b = np.where(np.isnan(x[:, i]), 0, np.searchsorted(e, x[:, i], side="left"))
-                for k, w in enumerate((None, r, r * r)):
-                    sums[k, i] += np.bincount(b, weights=w, minlength=most)
-        feature, bin_ = np.nonzero(sums[0])
-        yield pd.DataFrame({"feature": feature.astype("int32"), "bin": bin_.astype("int32"), "n": sums[0][feature, bin_], "s": sums[1][feature, bin_], "q": sums[2][feature, bin_]})
-
-    made = rows.select("x", "residual").mapInPandas(partial, "feature int, bin int, n double, s double, q double")
+            x = np.ascontiguousarray(part.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(-1, width).T)
+            r = part.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
+            bins = np.stack([np.searchsorted(e, v, side="left") for e, v in zip(bounds, x)])
+            bins[np.isnan(x)] = 0
+            cells = (bins + offsets).ravel()
+            for k, w in enumerate((None, r, r * r)):
+                sums[k] += np.bincount(cells, weights=None if w is None else np.tile(w, width), minlength=width * most)
+        held = np.flatnonzero(sums[0])
+        yield pa.RecordBatch.from_arrays([pa.array((held // most).astype(np.int32)), pa.array((held % most).astype(np.int32)), *(pa.array(s[held]) for s in sums)], names=["feature", "bin", "n", "s", "q"])
+
+    fitting = rows.where(F.size("x") == width).select("x", "residual")
+    made = fitting.mapInArrow(partial, "feature int, bin int, n double, s double, q double")
     return made.groupBy("feature", "bin").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
 
 

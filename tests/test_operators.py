@@ -124,6 +124,19 @@ def test_histogram_search_equals_brute_force_when_each_value_has_a_bin(spark):
     assert best.gain == pytest.approx(gain, abs=1e-6) and (best.feature, best.threshold) == (f, pytest.approx(t))
 
 
+def test_wide_form_equals_the_long_one(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(5, 300)).astype(np.float32)
+    x[1, ::7] = NAN
+    rows = corpus(spark, x, rng.normal(size=300))
+    listed, _ = edges_for(spark, rows, 5, 8)
+    names = [f"f{i}" for i in range(5)]
+    want = {(r.feature, r.bin): (r.n, r.s, r.q) for r in histogram.histogram(binning.bin_rows(rows, names, listed), 5).collect()}
+    wide = rows.select(F.array(*names).alias("x"), "residual").unionByName(spark.createDataFrame([(None, 1.0), ([1.0], 1.0)], "x array<float>, residual float"))
+    got = {(r.feature, r.bin): (r.n, r.s, r.q) for r in histogram.wide_histogram(wide, listed).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
 def test_planted_right_only_stump_and_controls(spark):
     i = np.arange(200)
     rows = corpus(spark, [i % 7, i / 200], np.where(i / 200 > 0.3, 0.5, 0))
