@@ -35,7 +35,7 @@ STATES, HEAD, CLASSES = 8, 64_000, 512
 ROUNDS = 3
 #: Tokens of a segment, and tokens that a task holds at a time.
 SEGMENT, HELD = 128, 1 << 20
-#: Documents of the sample that a start is found on, and rounds for it.
+#: Documents of the sample that a start is found on (about), and rounds for it.
 START_DOCS, START_ROUNDS, SEED = 256, 25, 3
 #: Pseudo-tokens that each state shares with the whole corpus.
 PRIOR = 2000.0
@@ -113,20 +113,25 @@ class Symbols:
 
 
 def symbols(vocabulary: DataFrame) -> Symbols:
-    """The head comes to the driver (HEAD tokens), the rest as one sum for each class."""
+    """The head comes to the driver (at most HEAD tokens, and the end), the rest as one sum for each class.
+
+    The head is cut at a frequency that counts by frequency range find: only the tokens above it leave their tasks.
+    """
     total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    order = [F.desc("n"), F.asc("token")]
-    head = [(bytes(r.token), r.n) for r in vocabulary.orderBy(*order).limit(HEAD).select("token", "n").collect()]
-    if END not in {t for t, _ in head}:
-        head = [*head[: HEAD - 1], (END, 0)]
-        last = None
-    else:
-        last = head[-1] if distinct > len(head) else None
-    sums = vocabulary.groupBy("class").agg(F.sum(F.col("n") + 1).alias("mass")).collect() if last else []
+    cell = F.floor(F.log2(F.col("n").cast("double")) * 64)
+    cut, taken = math.inf, 0
+    for r in sorted(vocabulary.groupBy(cell.alias("cell")).count().collect(), key=lambda r: -r.cell):  # 64 ranges an octave
+        taken += r["count"]
+        if taken > HEAD:
+            break
+        cut = r.cell
+    found = vocabulary.where((cell >= cut) | (F.octet_length("token") == 0)).select("token", "n").collect()
+    head = sorted(((bytes(r.token), r.n) for r in found), key=lambda x: (-x[1], x[0]))
+    sums = vocabulary.groupBy("class").agg(F.sum(F.col("n") + 1).alias("mass")).collect() if distinct > len(head) else []
     masses = {r["class"]: r.mass for r in sums}
-    for t, c in head if last else ():
+    for t, c in head if sums else ():
         masses[class_of(t)] -= c + 1
-    return Symbols(head, masses, total, distinct)
+    return Symbols(head or [(END, 0)], masses, total, distinct)
 
 
 def coded(docs: DataFrame, model: Symbols) -> DataFrame:
@@ -286,10 +291,12 @@ def round_of(rows: DataFrame, model: Hmm, known: Symbols) -> Hmm:
 
 
 def train(rows: DataFrame, known: Symbols, rounds: int = ROUNDS) -> Hmm:
-    """rows: codes of the training documents."""
+    """rows: rid and codes of the training documents."""
     import numpy as np
 
-    few = rows.orderBy(F.xxhash64(F.lit("start"), "rid"), "rid").select("codes").limit(START_DOCS).collect()
+    share = min(1.0, START_DOCS / max(1, rows.count()))
+    few = rows.where(F.pmod(F.xxhash64(F.lit("start"), "rid"), F.lit(1 << 30)) < share * float(1 << 30)).collect()  # about START_DOCS, from all tasks together
+    few.sort(key=lambda r: r.rid)
     model = first_model([np.frombuffer(bytes(r.codes), dtype="<u4").astype(np.int64) for r in few], known.mass)
     for _ in range(rounds if few else 0):
         model = round_of(rows, model, known)
