@@ -41,8 +41,8 @@ WIDTH, LANES, BLOCK_LANES, BLOCK_BITS, SIMILAR = 5, 4, 2, 16, 41
 HOT_GROUP = 2048
 #: Shingles whose bits are counted at a time.
 COUNTED = 1 << 15
-#: Pairs below which two nodes are compared directly.
-LEAF_PAIRS = 64
+#: Pairs below which two nodes are compared directly, and below which that is done one by one.
+LEAF_PAIRS, PLAIN_PAIRS = 64, 2048
 
 
 def fingerprint(text: bytes, width: int = 3, lanes: int = 1) -> int:
@@ -100,17 +100,25 @@ class Forest:
             self.edges.append((i, j))
 
 
-def compared(found: Forest, values: list[int], arrays, l1: int, h1: int, l2: int, h2: int, budget: int) -> None:
+def lanes_of(values: list[int], bits: int) -> list:
+    import numpy as np
+
+    return [np.array([v >> s & (1 << 64) - 1 for v in values], dtype=np.uint64) for s in range(0, bits, 64)]
+
+
+def compared(found: Forest, values: list[int], arrays: list, bits: int, l1: int, h1: int, l2: int, h2: int, budget: int) -> None:
     """Leaf of the walk: two small ranges, entry by entry."""
     import numpy as np
 
-    if (h1 - l1) * (h2 - l2) <= LEAF_PAIRS:
+    if (h1 - l1) * (h2 - l2) <= PLAIN_PAIRS:
         for i in range(l1, h1):
             a = values[i]
             for j in range(max(l2, i + 1) if l1 == l2 else l2, h2):
                 if (a ^ values[j]).bit_count() <= budget:
                     found.join(i, j)
         return
+    if not arrays:
+        arrays += lanes_of(values, bits)
     for i in range(l1, h1):
         start = i + 1 if l1 == l2 else l2
         apart = sum(np.bitwise_count(lane[start:h2] ^ lane[i]).astype(np.int16) for lane in arrays)
@@ -120,10 +128,7 @@ def compared(found: Forest, values: list[int], arrays, l1: int, h1: int, l2: int
 
 def trie_links(values: list[int], budget: int, bits: int = BITS) -> list[tuple[int, int]]:
     """Edges (positions) of a spanning forest of the pairs of sorted, distinct values that differ in at most budget bits."""
-    import numpy as np
-
-    found = Forest(len(values))
-    arrays = [np.array([v >> s & (1 << 64) - 1 for v in values], dtype=np.uint64) for s in range(0, bits, 64)] if len(values) > 8 else []
+    found, arrays = Forest(len(values)), []
     few = LEAF_PAIRS if budget * 8 < bits else bits * LEAF_PAIRS  # a generous budget prunes late: end the walk early
 
     def halves(low: int, high: int, bit: int) -> int:
@@ -136,7 +141,7 @@ def trie_links(values: list[int], budget: int, bits: int = BITS) -> list[tuple[i
         if l1 == h1 or l2 == h2 or errors > budget:
             continue
         if (h1 - l1) * (h2 - l2) <= few or bit == 0:
-            compared(found, values, arrays, l1, h1, l2, h2, budget)
+            compared(found, values, arrays, bits, l1, h1, l2, h2, budget)
             continue
         bit -= 1
         m1 = halves(l1, h1, bit)
