@@ -9,11 +9,13 @@ spanning forest only, never all its pairs, so links of different texts are kept
 Groups that are hot (by a count, not a sample) are dealt again by a further block of the bits that remain, and in the
 end by pairs of slices: every slice of a hot group meets every other in a task of bounded size.
 
-drop_near_duplicates() is the form for filtering a corpus: five-word shingles, and 256 bits, as a similarity of 0.8
-moves about a seventh of the bits, too many for 64 to tell from chance. There two fingerprints are compared if one of
-eight blocks of 16 bits agrees but for one bit (each fingerprint also goes to the values that clear one of its bits),
-which holds for over nine in ten pairs of similarity 0.8 and for nearly all closer ones; the trie join decides by all
-256 bits.
+drop_near_duplicates() is the form for filtering a corpus, by the exact Jaccard similarity of the sets of five-word
+shingles: 0.8 or more is a near copy, and anything less is none. Bits of a SimHash can't tell these apart, so there the
+candidates come from bands of minima of the shingles' hashes (a pair of similarity 0.8 shares none of the 40 bands of
+five with probability 1.3e-7, closer ones more rarely), and only say which texts have to meet: each component of
+candidates is gathered with its shingle sets, those that are large by pairs of slices, and an exact set-similarity join
+in the task (prefix and length filters, then counting) gives the links. Texts that an exact link has joined already
+aren't compared again, so a family of copies costs links in proportion to its size and never all its pairs.
 
 Defined results: a null text counts as empty; a document without words has fingerprint zero and links like any
 other; fewer words than a shingle are one shingle; a null doc_id joins its component but never names it (it is
@@ -35,8 +37,10 @@ from . import common, components
 BITS, SEED = 64, 42
 #: Odd multiplier that mixes hashes for further lanes.
 MIX = 0x9E3779B97F4A7C15
-#: The corpus form: words of a shingle, lanes of 64 bits, those with blocks and their bits, and bits that near copies may differ in.
-WIDTH, LANES, BLOCK_LANES, BLOCK_BITS, SIMILAR = 5, 4, 2, 16, 41
+#: The corpus form: words of a shingle, bands and the minima of each, and the least similarity of near copies as a fraction.
+WIDTH, BANDS, ROWS, SIMILAR = 5, 40, 5, (4, 5)
+#: Bytes of shingle sets that a slice of a component of candidates holds, about.
+SLICE_BYTES = 16 << 20
 #: Groups beyond this many fingerprints are dealt again.
 HOT_GROUP = 2048
 #: Shingles whose bits are counted at a time.
@@ -231,9 +235,11 @@ def classes(made: DataFrame, budget: int = 3, hot: int = HOT_GROUP) -> DataFrame
     return marked.select("fp", "component").join(least, "component").select("fp", "component_id")
 
 
-def slices(keyed: DataFrame, hot: int) -> DataFrame:
-    """The rows of keyed (key string); those of a hot key go to a key for each pair of slices that holds theirs."""
-    sizes = keyed.groupBy("key").count().where(F.col("count") > hot).select("key", F.ceil(F.col("count") / hot).cast("int").alias("slices"))
+def slices(keyed: DataFrame, hot: int, weight=None) -> DataFrame:
+    """The rows of keyed (key string); those of a hot key go to a key for each pair of slices that holds theirs. A key is hot by its rows and, if weight is given, by the sum of that (as a share of a slice)."""
+    size = F.count("*") / F.lit(hot)
+    size = size if weight is None else F.greatest(size, F.sum(weight))
+    sizes = keyed.groupBy("key").agg(size.alias("size")).where("size > 1").select("key", F.ceil("size").cast("int").alias("slices"))
     sizes = common.written(sizes, "hot-slices")
     if not sizes.take(1):
         return keyed
@@ -250,69 +256,159 @@ def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 3) -> DataFra
     return made.join(classes(made, budget), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def wide_fingerprints(docs: DataFrame, width: int, lanes: int) -> DataFrame:
-    """doc_id, fp (big-endian bytes) of each row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary())])
+def shingle_set(text: bytes, width: int = WIDTH):
+    """The distinct hashes of a text's word shingles, sorted; empty without a word."""
+    import numpy as np
+    import xxhash
 
-    def make(parts):
-        for part in parts:
-            found = pa.array([fingerprint(t.as_py(), width, lanes).to_bytes(8 * lanes, "big") for t in part.column(1)], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(0), found], schema=schema)
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, dtype="<u8")
+    n = max(1, len(words) - width + 1)
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) >= width else [b" ".join(words)]
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), dtype="<u8", count=n))
+
+
+def mixed(values):
+    """Hashes of hashes, whose order has nothing to do with that of the values."""
+    import numpy as np
+
+    values = (values ^ (values >> np.uint64(32))) * np.uint64(MIX)
+    values = (values ^ (values >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return values ^ (values >> np.uint64(32))
 
-    return common.arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_bytes().alias("text")), make, "doc_id long, fp binary")
 
+def band_keys(shingles):
+    """A key for each band: texts share it if all minima of the band are equal."""
+    import numpy as np
 
-def blocks_and_flips(lanes: int = BLOCK_LANES):
-    """For mapInArrow: nid, fp -> key, nid, fp for each block's value and for the values that clear one of its bits."""
-    schema = pa.schema([("key", pa.string()), ("nid", pa.int64()), ("fp", pa.binary())])
+    seeds = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(MIX))[:, None]
+    least = np.full(BANDS * ROWS, (1 << 64) - 1, dtype=np.uint64)
+    for start in range(0, len(shingles), 512):
+        np.minimum(least, mixed(shingles[None, start : start + 512] + seeds).min(axis=1), out=least)
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, ROWS).T:
+        keys = mixed(keys * np.uint64(MIX) + column)
+    return keys.view(np.int64)
+
+
+def signatures(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, shingles (digest of the set), bands of each row with a word."""
+    import xxhash
+
+    schema = pa.schema([("doc_id", pa.int64()), ("shingles", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def rows(parts):
         for part in parts:
-            for nid, fp in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                value = int.from_bytes(fp, "big")
-                for block in range(lanes * BITS // BLOCK_BITS):
-                    own = value >> block * BLOCK_BITS & (1 << BLOCK_BITS) - 1
-                    yield f"{block}:{own}", nid, fp
-                    for bit in range(BLOCK_BITS):
-                        if own >> bit & 1:
-                            yield f"{block}:{own ^ 1 << bit}", nid, fp
+            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1)):
+                found = shingle_set(text.as_py(), width)
+                if len(found):
+                    yield doc_id, xxhash.xxh128_digest(found.tobytes()), band_keys(found)
 
-    return lambda parts: common.batches(rows(parts), schema, 8192)
+    return common.arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_bytes().alias("text")), lambda parts: common.batches(rows(parts), schema, 512), "doc_id long, shingles binary, bands array<long>")
 
 
-def wide_edges(lanes: int, budget: int):
-    """For mapInArrow over rows sorted by key: the edges (nids) within each key's group."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
+    """key, nid, held (the shingle set as bytes) of each row of key, nid, text (bytes)."""
+    schema = pa.schema([("key", pa.string()), ("nid", pa.int64()), ("held", pa.binary())])
 
-    def rows(parts):
-        key, held = None, {}
+    def make(parts):
+        for part in parts:
+            held = pa.array([shingle_set(t.as_py(), width).tobytes() for t in part.column(2)], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), held], schema=schema)
 
-        def flush():
-            values = sorted(held)
-            for i, j in trie_links(values, budget, lanes * BITS) if len(values) > 1 else ():
-                yield held[values[i]], held[values[j]]
+    return common.arrow_map(docs.select("key", "nid", "text"), make, "key string, nid long, held binary")
+
+
+def exact_links(sets: list, similar: tuple[int, int] = SIMILAR) -> list[tuple[int, int]]:
+    """Edges (positions) of a spanning forest of the pairs of sets (sorted arrays) whose Jaccard similarity is at least similar.
+
+    Prefix filter: with a set's elements ordered rarest first, a pair that is similar shares one of the first
+    n - ceil(similar * n) + 1 elements of both.
+    """
+    import numpy as np
+
+    up, down = similar
+    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
+    sets = [sets[i] for i in order]
+    sizes = np.array([len(s) for s in sets])
+    tokens, where, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    places = np.argsort(np.argsort(counts, kind="stable"), kind="stable")[where]
+    prefixes, at = [], 0
+    for n in sizes.tolist():
+        prefixes.append(np.sort(places[at : at + n])[: n - -(-up * n // down) + 1])
+        at += n
+    listed = np.concatenate(prefixes)
+    owners = np.repeat(np.arange(len(sets)), [len(p) for p in prefixes])
+    by = np.argsort(listed, kind="stable")  # the owners of an element in order of their place
+    owners = owners[by]
+    starts = np.searchsorted(listed[by], np.arange(len(tokens) + 1))
+    roots, edges = np.arange(len(sets)), []
+    flags = np.zeros(len(sets), dtype=bool)
+    for i in range(1, len(sets)):
+        first = int(np.searchsorted(sizes, -(-up * int(sizes[i]) // down)))
+        if first >= i:
+            continue
+        flags[:i] = False
+        for p in prefixes[i].tolist():
+            if starts[p + 1] - starts[p] > 1:
+                flags[owners[starts[p] : starts[p + 1]]] = True
+        found = np.flatnonzero(flags[first:i]) + first
+        found = found[roots[found] != roots[i]]
+        while len(found):
+            j = int(found[0])
+            at = np.minimum(np.searchsorted(sets[i], sets[j]), len(sets[i]) - 1)
+            both = int((sets[i][at] == sets[j]).sum())
+            if both * down >= up * (len(sets[i]) + len(sets[j]) - both):
+                edges.append((order[i], order[j]))
+                roots[roots == roots[j]] = roots[i]
+                found = found[roots[found] != roots[i]]
+            else:
+                found = found[1:]
+    return edges
+
+
+def exact_edges(similar: tuple[int, int]):
+    """For mapInArrow over rows sorted by key: the edges (nids) of exact links within each key's group."""
+    import numpy as np
 
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def rows(parts):
+        key, nids, sets = None, [], []
         for part in parts:
-            for k, nid, fp in zip(*(part.column(c).to_pylist() for c in range(3))):
+            for k, nid, held in zip(*(part.column(c).to_pylist() for c in range(3))):
                 if k != key:
-                    yield from flush()
-                    key, held = k, {}
-                held[int.from_bytes(fp, "big")] = nid
-        yield from flush()
+                    for i, j in exact_links(sets, similar) if len(sets) > 1 else ():
+                        yield nids[i], nids[j]
+                    key, nids, sets = k, [], []
+                nids.append(nid)
+                sets.append(np.frombuffer(held, dtype="<u8"))
+        for i, j in exact_links(sets, similar) if len(sets) > 1 else ():
+            yield nids[i], nids[j]
 
     return lambda parts: common.batches(rows(parts), schema)
 
 
-def drop_near_duplicates(docs: DataFrame, width: int = WIDTH, lanes: int = LANES, similar: int = SIMILAR, hot: int = 2 * HOT_GROUP) -> DataFrame:
+def candidates(nodes: DataFrame) -> DataFrame:
+    """a, b: edges that connect all nodes (nid, bands) that share a band."""
+    keyed = nodes.select("nid", F.explode("bands").alias("band"))
+    least = keyed.groupBy("band").agg(F.min("nid").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "a")
+    return keyed.join(least, "band").where("nid > a").select("a", F.col("nid").alias("b")).distinct()
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIMILAR, hot: int = HOT_GROUP) -> DataFrame:
     """The rows of docs, with their own columns, that stay: of each component of near copies the rows of its smallest doc_id (all rows, if none has an id). Rows without a word stay."""
-    made = common.written(wide_fingerprints(docs, width, lanes).where("doc_id IS NOT NULL"), "wide-fingerprints")
-    blank = b"\0" * (8 * lanes)
-    nodes = made.where(F.col("fp") != F.lit(blank)).groupBy("fp").agg(F.min("doc_id").alias("nid"))
-    nodes = common.written(nodes, "wide-nodes")
-    keyed = common.arrow_map(nodes.select("nid", "fp"), blocks_and_flips(), "key string, nid long, fp binary")
-    dealt_out = slices(keyed, hot).repartition("key").sortWithinPartitions("key")
-    joined = components.connected(common.arrow_map(dealt_out.select("key", "nid", "fp"), wide_edges(lanes, similar), "a long, b long"))
-    # what goes: rows of a fingerprint's other ids, and fingerprints that aren't their component's smallest
-    owners = nodes.join(joined.withColumnRenamed("node", "nid"), "nid", "left").select("fp", F.coalesce("component", "nid").alias("keep_id"))
-    gone = made.join(owners, "fp").where("doc_id <> keep_id").select(F.col("doc_id").alias("gone_id"))
+    made = common.written(signatures(docs.where("doc_id IS NOT NULL"), width), "signatures")
+    nodes = made.groupBy("shingles").agg(F.min("doc_id").alias("nid"), F.min("bands").alias("bands"))
+    nodes = common.written(nodes, "near-nodes")
+    met = components.connected(candidates(nodes.select("nid", "bands")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("nid"), common.text_bytes().alias("text"))
+    texts = texts.join(met.select(F.col("node").alias("nid"), F.col("component").cast("string").alias("key")), "nid")
+    sets = common.written(shingle_sets(texts, width).where(F.length("held") > 0), "shingle-sets")
+    dealt_out = slices(sets, hot, F.length("held") / F.lit(SLICE_BYTES)).repartition("key").sortWithinPartitions("key")
+    joined = components.connected(common.arrow_map(dealt_out.select("key", "nid", "held"), exact_edges(similar), "a long, b long"))
+    # what goes: rows of a set's other ids, and sets that aren't their component's smallest
+    owners = nodes.join(joined.withColumnRenamed("node", "nid"), "nid", "left").select("shingles", F.coalesce("component", "nid").alias("keep_id"))
+    gone = made.join(owners, "shingles").where("doc_id <> keep_id").select(F.col("doc_id").alias("gone_id"))
     return docs.join(gone, F.col("doc_id").cast("long") == gone.gone_id, "left_anti")

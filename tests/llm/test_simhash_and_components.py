@@ -87,3 +87,53 @@ def test_query_with_nulls_short_texts_repeats_and_clashing_columns(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
     monkey = simhash.fingerprint(("x y z w " * 20_000).encode())
     assert monkey == brute_fingerprint("x y z w " * 20_000)
+
+
+def jaccard(a, b):
+    cut = lambda t: {tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))}
+    a, b = cut(a), cut(b)
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("hot", [2048, 16])
+def test_near_copies_are_those_of_exact_similarity_and_no_others(spark, hot):
+    rng = random.Random(5)
+    texts = []
+    for family in range(150):  # a text and one that shares a run of it, around the least similarity on both sides
+        n = rng.choice([12, 40, 200])
+        base = [f"f{family}w{rng.randrange(10**6)}" for _ in range(n)]
+        cut = rng.randint(n * 6 // 10, n - 1)
+        texts += [base, base[:cut] + [f"f{family}x{i}" for i in range((n - cut) // 3)]]
+    line = "this very line stands in each of them".split()
+    texts += [line * 40 + texts[0], line + texts[0]]  # repeated lines: the sets are nearly equal
+    parent = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(texts[i], texts[j]) >= 0.8:
+                parent = [parent[j] if p == parent[i] else p for p in parent]
+    want = sorted({min(j for j, q in enumerate(parent) if q == p) for p in parent})
+    assert len(want) > 160 and len(texts) - len(want) > 30  # both kinds are there
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs, hot=hot).collect()) == want
+
+
+def test_exact_links_join_every_similar_pair_of_large_families():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    sets = []
+    for _ in range(6):
+        base = rng.integers(0, 1 << 60, 60, dtype=np.uint64)
+        for _ in range(30):
+            some = base.copy()
+            some[rng.integers(0, 60, rng.integers(0, 12))] = rng.integers(0, 1 << 60, dtype=np.uint64)
+            sets.append(np.unique(some))
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if (n := len(np.intersect1d(sets[i], sets[j]))) * 5 >= 4 * (len(sets[i]) + len(sets[j]) - n)]
+    want, got = simhash.Forest(len(sets)), simhash.Forest(len(sets))
+    for i, j in near:
+        want.join(i, j)
+    edges = simhash.exact_links(sets)
+    for i, j in edges:
+        got.join(i, j)
+    assert {(max(e), min(e)) for e in edges} <= set(near) and len(edges) == len(want.edges)
+    assert [got.find(i) for i in range(len(sets))] == [want.find(i) for i in range(len(sets))]
