@@ -28,6 +28,8 @@ UNKNOWN = "und"
 SAMPLE = 8_000
 #: Least share of a language's trigrams that one in its set has, and of the largest share that it has in any language.
 LEAST_SHARE, LEAST_OF_BEST = 2e-5, 0.1
+#: A text is in a language if it scores this share of the score that all but a thousandth of the language's own held-out rows reach.
+OWN_QUANTILE, OWN_SHARE = 0.001, 0.85
 #: Positions for each n-gram of the filter, and how many of them it sets.
 ROOM, HASHES = 16, 3
 #: Code points with a letter table; those beyond aren't letters.
@@ -113,14 +115,22 @@ class LanguageFilter:
         return self.names[best], float(min(1.0, max(0.0, true[best] / n)))
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE) -> LanguageFilter:
-    """The filter of the languages of docs (text, lang, doc_id). The driver gets trigrams that have a least share each: at most 1 / LEAST_SHARE for a language."""
+def taught(docs: DataFrame, sample: int) -> tuple[dict[str, int], DataFrame]:
+    """Labelled rows by language, and about sample of them for each, drawn by a hash of the id."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return LanguageFilter({})
+        return counts, labelled
     share = F.create_map(*[x for name, n in counts.items() for x in (F.lit(name), F.lit(min(1.0, sample / n)))])
     drawn = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * float(1 << 30)
+    return counts, labelled.where(drawn)
+
+
+def learn(docs: DataFrame, sample: int = SAMPLE) -> LanguageFilter:
+    """The filter of the languages of docs (text, lang, doc_id). The driver gets trigrams that have a least share each: at most 1 / LEAST_SHARE for a language."""
+    counts, labelled = taught(docs, sample)
+    if not counts:
+        return LanguageFilter({})
     schema = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
 
     def count(parts):
@@ -134,7 +144,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> LanguageFilter:
                 grams, n = np.unique(np.concatenate(found), return_counts=True) if found else ([], [])
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.int64()), pa.array(n, pa.int64())], schema=schema)
 
-    made = common.arrow_map(labelled.where(drawn).select("lang", "text"), count, "lang string, gram long, n long")
+    made = common.arrow_map(labelled.select("lang", "text"), count, "lang string, gram long, n long")
     summed = common.written(made.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "trigrams")
     totals = summed.groupBy("lang").agg(F.sum("n").alias("total"))
     shares = summed.join(F.broadcast(totals), "lang").withColumn("share", F.col("n") / F.col("total")).where(F.col("share") >= LEAST_SHARE)
@@ -165,15 +175,34 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, model).withColumn("held_out", held_out()).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def least_scores(docs: DataFrame, model: LanguageFilter, least: float, sample: int = SAMPLE) -> dict[str, float]:
+    """For each language of the model, the score from which a text counts as being in it; docs: labelled rows that the model hasn't learned from.
+
+    No language's is below least; one without rows of its own has the smallest of the others'.
+    """
+    counts, labelled = taught(docs, sample)
+    schema = pa.schema([("lang", pa.string()), ("score", pa.float64())])
+
+    def own(parts):
+        said = ((lang, *model.predict(t.as_py())) for part in parts for lang, t in zip(part.column(0).to_pylist(), part.column(1)))
+        yield from common.batches(((lang, score) for lang, name, score in said if name == lang), schema)
+
+    made = common.arrow_map(labelled.select("lang", "text"), own, "lang string, score double")
+    found = {r.lang: max(least, OWN_SHARE * r.low) for r in made.groupBy("lang").agg(F.percentile_approx("score", OWN_QUANTILE).alias("low")).collect()} if counts else {}
+    return {name: found.get(name, min(found.values(), default=least)) for name in model.names}
+
+
 def keep_known(docs: DataFrame, least: float = 0.2) -> DataFrame:
-    """The rows of docs, with their own columns, whose text is in a language of the corpus; rejected are those without a letter and those of which the best language explains less than least."""
-    model = learn(docs.where(~held_out()).select("doc_id", "text", "lang"))
+    """The rows of docs, with their own columns, whose text is in a language of the corpus; rejected are those without a letter and those that score less than held-out rows of their best language do (less than least at any rate)."""
+    rows = docs.select("doc_id", "text", "lang")
+    model = learn(rows.where(~held_out()))
     if not model.names:
         return docs
+    enough = least_scores(rows.where(held_out()), model, least)
 
     @F.pandas_udf("boolean")
     def known(texts):
-        return texts.map(lambda t: (p := model.predict(t))[0] != UNKNOWN and p[1] >= least)
+        return texts.map(lambda t: (p := model.predict(t))[0] != UNKNOWN and p[1] >= enough[p[0]])
 
     common.small_batches(docs.sparkSession)
     return docs.where(known(F.col("text")))

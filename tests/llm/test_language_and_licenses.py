@@ -67,6 +67,16 @@ def test_predicts_held_out_rows_and_defines_odd_ones(spark):
     assert language.keep_known(untaught).count() == len(rows)
 
 
+def test_texts_in_a_language_that_was_not_taught_go(spark):
+    some = lambda t: " ".join("what should" if k % 4 == 0 else w for k, w in enumerate(t.split()))
+    rows = [(i, some(t), None) if lang == "fr" else (i, t, lang) for i, t, lang in texts(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.learn(docs.where(~language.held_out()))
+    assert sum(model.predict(t)[1] >= 0.2 for _, t, lang in rows if lang is None) > 20  # hits alone don't tell
+    assert {r.doc_id for r in language.keep_known(docs).collect()} == {i for i, _, lang in rows if lang}
+    assert language.least_scores(docs.limit(0), model, 0.2) == {"de": 0.2, "en": 0.2}
+
+
 def brute_base(text):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     starts, labels = [], set()
