@@ -5,8 +5,8 @@ containment threshold only if it holds one of the template's rarest tokens (pref
 filter), and has enough left behind the first match (positional filter); what passes is counted exactly. Templates
 and their index are a fixed, small table; the corpus is read twice, and nothing else is shuffled than token counts.
 
-A block is a line, or a window of BLOCK words of it that moves by half a block, so a template within half a block is
-always whole in one.
+A block is a window of BLOCK words of the whole text that moves by half a block, whatever its lines, so a notice within
+half a block of words is always whole in one. Lines are blocks too (a long one by such windows of its own).
 
 Defined results: a null text counts as empty; a text without words has no labels and score 0; repeated rows are
 repeated; an empty table gives no rows.
@@ -70,11 +70,16 @@ def places(words: list[bytes]) -> dict[str, list[int]]:
     return found
 
 
+def windows(words: list[bytes]) -> Iterator[list[bytes]]:
+    for start in range(0, max(1, len(words) - BLOCK // 2), BLOCK // 2):
+        yield words[start : start + BLOCK]
+
+
 def blocks(text: bytes) -> Iterator[list[bytes]]:
-    for line in text.split(b"\n"):
-        words = words_of(line)
-        for start in range(0, max(1, len(words) - BLOCK // 2), BLOCK // 2):
-            yield words[start : start + BLOCK]
+    yield from windows(words_of(text))
+    lines = text.split(b"\n")
+    for line in lines if len(lines) > 1 else ():
+        yield from windows(words_of(line))
 
 
 class TemplateIndex:

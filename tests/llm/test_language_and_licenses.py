@@ -148,3 +148,25 @@ def test_filters_lose_no_match(containment):
             if both >= need:
                 want[k] = both / len(tokens)
         assert index.matches(block) == want
+
+
+WRAPPED = [
+    ("bsd", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted"),
+    ("mpl", "This form is subject to the terms of the Mozilla Public\nLicense, v. 2.0."),
+]
+
+
+def test_notices_that_wrap_are_found_wherever_they_stand(spark):
+    texts = [(label, "\n".join(["w"] * before) + "\n" + text.replace(" ", gap)) for label, text in WRAPPED for before in (0, 20, 31, 50, 97) for gap in (" ", "\n# ")]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    for r in licenses.scan(docs).collect():
+        label, text = texts[r.doc_id]
+        words = re.findall("[0-9a-z]+", text.lower())
+        shares = {}
+        for start in range(0, len(words), 32):  # the whole text's windows, whatever its lines
+            for name, template in licenses.TEMPLATES:
+                share = len(set(template.split()) & set(words[start : start + 64])) / len(set(template.split()))
+                if share >= licenses.CONTAINMENT:
+                    shares[name] = max(share, shares.get(name, 0))
+        assert set(r.labels.split(",")) == set(shares) and label in shares and r.score == max(shares.values()) == 1.0
