@@ -8,6 +8,10 @@ page_id is the response, the others are revisits that refer to it.
 Pages move through one shuffle: the left side of the join with the owners of repeated payloads, which Spark may
 split where a payload is hot. Each task streams its rows into bundles of a bounded size, named by task attempt: the
 catalog that is committed names the bundles of the attempt that was, and those of lost attempts are never read.
+Bundles have about the same size and are read back one to a task.
+
+A record's id names its page, its task and its number there, so a repeated row has records of different ids. A revisit
+says what it refers to by the target and the date of the response, and by its page in a field of our own.
 
 Defined results: a null html is an empty payload; a null page_id never owns a payload that has another id; a
 repeated row writes its record again, of the same type; an empty table gives no rows; other columns are ignored.
@@ -18,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -45,20 +50,31 @@ def filesystem(folder: str):
     return fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, owner: int | None) -> bytes:
-    """One WARC/1.1 record; owner is the page that a revisit refers to."""
-    name = "" if page_id is None else str(page_id)
+def target_of(page_id: int | None, url: str | None) -> str:
+    """A page's target: its url without white space, or a name made of its id."""
+    return "".join((url or "").split()) or f"urn:page:{'' if page_id is None else page_id}"
+
+
+def record(record_id: str, date: str, page_id: int | None, url: str | None, payload: bytes, digest: str, owner: tuple[int, str | None] | None) -> bytes:
+    """One WARC/1.1 record; owner is the page (and its url) that a revisit refers to."""
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if owner is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{name}>",
+        f"WARC-Record-ID: <{record_id}>",
+        f"WARC-Date: {date}",
+        f"WARC-Target-URI: {target_of(page_id, url)}",
         f"WARC-Payload-Digest: sha256:{digest}",
-        f"WARC-Payload-Length: {len(payload)}",
+        f"Payload-Bytes: {len(payload)}",
     ]
-    if url:
-        head.append("WARC-Target-URI: " + "".join(url.split()))
+    if page_id is not None:
+        head.append(f"Page-Id: {page_id}")
     if owner is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{owner}>"]
+        head += [
+            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+            f"WARC-Refers-To-Target-URI: {target_of(*owner)}",
+            f"WARC-Refers-To-Date: {date}",
+            f"Refers-To-Page-Id: {owner[0]}",
+        ]
     body = payload if owner is None else b""
     return "\r\n".join([*head, "Content-Type: text/html", f"Content-Length: {len(body)}", "", ""]).encode() + body + b"\r\n\r\n"
 
@@ -67,12 +83,12 @@ def parse(plain: bytes, at: int = 0) -> tuple[tuple[int | None, int, str, str, i
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of the record at an offset, and where the next one starts. A response's payload is digested anew."""
     end = plain.index(b"\r\n\r\n", at)
     fields = dict(line.split(": ", 1) for line in plain[at:end].decode().split("\r\n")[1:])
-    number = lambda uri: int(v) if (v := uri.removeprefix("<urn:page:").rstrip(">")) else None
-    page, kind, length = number(fields["WARC-Record-ID"]), fields["WARC-Type"], int(fields["Content-Length"])
+    number = lambda name: int(fields[name]) if name in fields else None
+    page, kind, length = number("Page-Id"), fields["WARC-Type"], int(fields["Content-Length"])
     after = end + 4 + length + 4
     if kind == "revisit":
-        return (page, int(fields["WARC-Payload-Length"]), fields["WARC-Payload-Digest"].removeprefix("sha256:"), kind, number(fields["WARC-Refers-To"])), after
-    digest = hashlib.sha256(plain[end + 4 : end + 4 + length]).hexdigest()
+        return (page, int(fields["Payload-Bytes"]), fields["WARC-Payload-Digest"].removeprefix("sha256:"), kind, number("Refers-To-Page-Id")), after
+    digest = hashlib.sha256(memoryview(plain)[end + 4 : end + 4 + length]).hexdigest()
     if f"sha256:{digest}" != fields["WARC-Payload-Digest"]:
         raise ValueError(f"the payload of record {page} differs from its digest")
     return (page, length, digest, kind, None), after
@@ -146,8 +162,8 @@ def read_frames(bundle: str, frames: list[int] | None = None) -> Iterator[bytes]
             yield unpacker.decompress(source.read(packed), max_output_size=plain)
 
 
-def write_bundles(folder: str):
-    """A function for mapInArrow: page_id, url, payload, digest, owner -> rows of the catalog."""
+def write_bundles(folder: str, date: str):
+    """A function for mapInArrow: page_id, url, payload, digest, owner, owner_url -> rows of the catalog."""
 
     def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -155,14 +171,16 @@ def write_bundles(folder: str):
         task, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
 
         def rows():
-            bundle, count = None, 0
+            bundle, bundles, number = None, 0, 0
             for part in parts:
-                for page_id, url, payload, digest, owner in zip(*(part.column(i) for i in range(5))):
+                for page_id, url, payload, digest, owner, owner_url in zip(*(part.column(i) for i in range(6))):
                     if bundle is None:
-                        bundle, count = Bundle(folder, f"bundle-{task:06d}-{count:04d}-{attempt}.warc.zst"), count + 1
-                    page = page_id.as_py()
-                    plain = record(page, url.as_py(), payload.as_py(), digest.as_py().hex(), owner.as_py())
-                    yield page, f"urn:page:{'' if page is None else page}", bundle.uri, *bundle.add(plain), len(plain)
+                        bundle, bundles = Bundle(folder, f"bundle-{task:06d}-{bundles:04d}-{attempt}.warc.zst"), bundles + 1
+                    page, owner = page_id.as_py(), owner.as_py()
+                    name = f"urn:page:{'' if page is None else page}:{task}-{number}"
+                    plain = record(name, date, page, url.as_py(), payload.as_py(), digest.as_py().hex(), None if owner is None else (owner, owner_url.as_py()))
+                    yield page, name, bundle.uri, *bundle.add(plain), len(plain)
+                    number += 1
                     if bundle.plain >= BUNDLE_BYTES:
                         bundle.close()
                         bundle = None
@@ -175,17 +193,18 @@ def write_bundles(folder: str):
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
-    """Write every page as a record under folder; the catalog: page_id, record_id, bundle, frame, frame_offset, record_bytes."""
+    """Write every page as a record under folder, dated with the time of this call; the catalog: page_id, record_id, bundle, frame, frame_offset, record_bytes."""
+    date = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     found = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         (F.col("url").cast("string") if "url" in pages.columns else F.lit(None).cast("string")).alias("url"),
         common.text_bytes("html").alias("payload"),
     ).withColumn("digest", F.unhex(F.sha2("payload", 256)))
-    owners = (
-        found.where(F.octet_length("payload") >= LEAST_BYTES).groupBy("digest").agg(F.min("page_id").alias("owner"), F.count("*").alias("n")).where("n > 1").select("digest", "owner")
-    )
-    dealt = found.join(owners, "digest", "left").select("page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("owner")), F.col("owner")).alias("owner"))
-    return common.written(common.arrow_map(dealt, write_bundles(folder), "page_id long, record_id string, bundle string, frame int, frame_offset long, record_bytes long"), "warc-catalog")
+    page = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))
+    owners = found.where(F.octet_length("payload") >= LEAST_BYTES).groupBy("digest").agg(F.min(page).alias("owner"), F.count("*").alias("n")).where("n > 1").select("digest", "owner")
+    another = ~F.col("page_id").eqNullSafe(F.col("owner.page_id"))
+    dealt = found.join(owners, "digest", "left").select("page_id", "url", "payload", "digest", F.when(another, F.col("owner.page_id")).alias("owner"), F.when(another, F.col("owner.url")).alias("owner_url"))
+    return common.written(common.arrow_map(dealt, write_bundles(folder, date), "page_id long, record_id string, bundle string, frame int, frame_offset long, record_bytes long"), "warc-catalog")
 
 
 def records_of(bundle: str) -> Iterator[tuple[int | None, int, str, str, int | None]]:
@@ -202,7 +221,8 @@ def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_archives(spark: SparkSession, catalog: DataFrame) -> DataFrame:
     """The records of all bundles of a catalog: page_id, payload_bytes, payload_digest, record_type, refers_to."""
-    bundles = catalog.select("bundle").distinct().repartition("bundle")
+    bundles = catalog.select("bundle").distinct()
+    bundles = bundles.repartitionByRange(max(1, bundles.count()), "bundle")  # a given number, which adaptive execution leaves alone: about one bundle to a task
     return common.arrow_map(bundles, scan, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
