@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -15,13 +14,16 @@ from pyspark.sql import types as T
 #: Rows and bytes of an Arrow batch handed to Python: long documents come few at a time.
 BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
+_own: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it; one of our own only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share, as the session names it. Where it is unset, a local session gets one of its own, and any other is an error: a folder of one machine would lose data there."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or _own.get("dir")
     if not found:
-        found = os.environ.get("RIDGELINE_SHARED_DIR") or "file://" + tempfile.mkdtemp(prefix="ridgeline-")
-        os.environ["RIDGELINE_SHARED_DIR"] = found
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        found = _own["dir"] = "file://" + tempfile.mkdtemp(prefix="ridgeline-")
     return found.rstrip("/")
 
 
@@ -42,7 +44,7 @@ def nullable(schema: T.StructType) -> T.StructType:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound what one Arrow batch holds; the settings are read when a plan starts, so they stay set."""
+    """Bound what one Arrow batch holds. Spark reads the session's settings when a plan starts, so they stay set for its later Python stages."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
@@ -66,13 +68,24 @@ def id_remainder(divisor: int, column: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % divisor
 
 
-def batches(rows: Iterable[tuple], schema: pa.Schema, size: int = 4096) -> Iterator[pa.RecordBatch]:
-    """Rows as Arrow batches of a bounded number of rows."""
+def batches(rows: Iterable[tuple], schema: pa.Schema, size: int = 4096, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows as Arrow batches that are bounded in rows and in the bytes of their texts, binaries and lists; a row beyond that is a batch of its own."""
+    flat = [i for i, f in enumerate(schema) if not pa.types.is_primitive(f.type) and not pa.types.is_list(f.type)]
+    lists = [(i, not pa.types.is_primitive(f.type.value_type)) for i, f in enumerate(schema) if pa.types.is_list(f.type)]
+
+    def made():
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+
     held: list[tuple] = []
+    n = 0
     for row in rows:
+        own = sum(len(row[i] or b"") for i in flat)
+        for i, wide in lists:
+            own += 16 * len(row[i] or ()) + (sum(map(len, row[i] or ())) if wide else 0)
+        if held and (len(held) >= size or n + own > most_bytes):
+            yield made()
+            held, n = [], 0
         held.append(row)
-        if len(held) >= size:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
-            held = []
+        n += own
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+        yield made()

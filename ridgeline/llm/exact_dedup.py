@@ -3,9 +3,10 @@
 Each map task inserts the whole byte strings that it reads into a compressed radix trie whose terminal
 nodes hold the owner (the largest doc_id) and the number of rows. That is a combiner: of a group of copies
 a task sends one row, however large the group is. The distinct strings are then partitioned by (length,
-content hash) and inserted again, so two strings of one hash stay apart; the final terminals are the owners.
-A trie that outgrows its memory spills by subtree: the heaviest subtree's terminals go on to the next step
-(map side), where they meet the rest of their group again.
+content hash) and inserted again, one trie for a run of a partition, so two strings of one hash stay apart; the
+final terminals are the owners. A trie that outgrows its memory spills by subtree: on the map side the heaviest
+subtree's terminals go on to the next step, where they meet the rest of their group again; on the reduce side rows
+come in order of (length, hash), so what is spilled between two of these is final.
 
 Defined results: a null text counts as empty; a null doc_id never owns a group that has another id (a group
 of null ids only has a null owner and keeps its rows); a repeated row is the same document and is kept or
@@ -135,15 +136,16 @@ def combine(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def own(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reduce side: rows sorted by (length, hash) -> the owner of each distinct text. One trie holds one (length, hash)."""
+    """Reduce side: rows sorted by (length, hash) -> the owner of each distinct text. One trie holds a run of the partition; where the next (length, hash) begins all that it holds is final, so a trie that is full spills subtrees there."""
 
     def rows():
         trie, key = PatriciaTrie(), None
         for part in parts:
             for length, content, text, owner, copies in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), part.column(3).to_pylist(), part.column(4).to_pylist()):
                 if (length, content) != key:
-                    yield from trie.terminals()
-                    trie, key = PatriciaTrie(), (length, content)
+                    key = length, content
+                    while trie.size > TRIE_BYTES and trie.root.children:
+                        yield from trie.spill()
                 trie.insert(text.as_py(), owner, copies)
         yield from trie.terminals()
 

@@ -1,6 +1,10 @@
 """Exact duplicates and WARC bundles against plain Python."""
 
 import hashlib
+import random
+import re
+
+from pyspark.sql import functions as F
 
 from ridgeline.llm import exact_dedup, warc
 from ridgeline.llm.exact_dedup import PatriciaTrie
@@ -50,11 +54,38 @@ def test_small_memory_gives_the_same_owners(monkeypatch):
     assert best == {t: (max(i for i, x in enumerate(texts) if x == t), texts.count(t)) for t in set(texts)}
 
 
+def test_reduce_side_spills_whole_subtrees_between_keys(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(exact_dedup, "TRIE_BYTES", 1500)
+    texts = [b"shared beginning %d" % (i % 60) for i in range(300)] + [b"same hash a", b"same hash b"] * 3
+    keys = [(len(t), 5 if t.startswith(b"same") else hash(t)) for t in texts]
+    rows = sorted(zip(keys, texts, range(306)), key=lambda x: x[0])
+    columns = [pa.array([k[0] for k, _, _ in rows]), pa.array([k[1] for k, _, _ in rows]), pa.array([t for _, t, _ in rows], pa.binary()), pa.array([i for _, _, i in rows]), pa.array([1] * 306)]
+    part = pa.RecordBatch.from_arrays(columns, names=["l", "h", "t", "o", "c"])
+    found = [x for out in exact_dedup.own(iter([part.slice(0, 100), part.slice(100)])) for x in zip(*(c.to_pylist() for c in out.columns))]
+    assert len(found) == len(set(texts))
+    assert {(s, o, c) for s, o, c in found} == {(hashlib.sha256(t).digest(), max(i for i, u in enumerate(texts) if u == t), texts.count(t)) for t in set(texts)}
+
+
+def test_batches_are_bounded_by_bytes():
+    import pyarrow as pa
+
+    from ridgeline.llm import common
+
+    schema = pa.schema([("i", pa.int64()), ("b", pa.binary()), ("l", pa.list_(pa.binary())), ("n", pa.list_(pa.int64()))])
+    rows = [(i, None if i % 5 == 0 else bytes(1000 * i), [b"x" * 500] * i, None) for i in range(60)]
+    made = list(common.batches(iter(rows), schema, size=8, most_bytes=40_000))
+    assert [r for m in made for r in zip(*(c.to_pylist() for c in m.columns))] == rows
+    assert all(m.num_rows <= 8 and (m.num_rows == 1 or m.nbytes < 45_000) for m in made) and any(m.num_rows == 1 for m in made)
+
+
 def test_archives_round_trip_and_seek(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "FRAME_BYTES", 300)
     long, short = "<p>é" + "x" * 150, "tiny"
     rows = [(1, "u", long), (2, "u v", long), (3, None, short), (4, "u", short), (5, "u", None), (None, "u", long), (7, "u", "\r\n\r\nWARC/1.1" * 30), (7, "u", "\r\n\r\nWARC/1.1" * 30)]
     pages = spark.createDataFrame([(*r, "o") for r in rows], "page_id long, url string, html string, owner string")
+    date = re.compile(rb"WARC-Date: \d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ\r\n")
     catalog = warc.write_archives(pages, f"file://{tmp_path}")
     got = sorted(map(tuple, warc.read_archives(spark, catalog).collect()), key=repr)
     want = []
@@ -64,7 +95,30 @@ def test_archives_round_trip_and_seek(spark, tmp_path, monkeypatch):
         again = len(data) >= 100 and i != owner
         want.append((i, len(data), hashlib.sha256(data).hexdigest(), "revisit" if again else "response", owner if again else None))
     assert got == sorted(want, key=repr)
-    assert b"WARC-Refers-To: <urn:page:1>" in warc.lookup(catalog, 2)
+    revisit = warc.lookup(catalog, 2)
+    assert b"Refers-To-Page-Id: 1\r\n" in revisit and b"WARC-Refers-To-Target-URI: u\r\n" in revisit and b"WARC-Target-URI: uv\r\n" in revisit
+    assert catalog.select("record_id").distinct().count() == len(rows)
+    assert all(date.search(warc.lookup(catalog, i)) for i in (1, 2, 3))
     (found, end) = warc.parse(warc.lookup(catalog, 4))
     assert found[:2] == (4, 4) and end == len(warc.lookup(catalog, 4))
     assert warc.round_trip(pages.limit(0)).count() == 0
+
+
+def test_bundles_roll_over_and_are_read_one_to_a_task(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "BUNDLE_BYTES", 1 << 20)
+    rng = random.Random(1)
+    large = rng.randbytes(10 << 20).hex()  # 20 MB
+    rows = [(i, rng.randbytes(15_000).hex()) for i in range(300)] + [(1000, large), (1001, large)]
+    pages = spark.createDataFrame(rows, "page_id long, html string").repartition(2)
+    catalog = warc.write_archives(pages, f"file://{tmp_path}")
+    bundles = catalog.select("bundle").distinct().count()
+    assert bundles >= 9
+    read = warc.read_archives(spark, catalog)
+    got = {r.page_id: r for r in read.collect()}
+    assert len(got) == 302 and (got[1000].payload_bytes, got[1000].record_type, got[1001].record_type, got[1001].refers_to) == (20 << 20, "response", "revisit", 1000)
+    assert all(got[i].payload_digest == hashlib.sha256(t.encode()).hexdigest() for i, t in rows)
+    by_task = read.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    assert len(by_task) >= 0.8 * bundles
+    for name in {r.bundle for r in catalog.collect()}:  # frames join up to the whole, in the order of the seek table
+        frames = list(warc.read_frames(name))
+        assert [warc.read_frames(name, [i]).__next__() for i in range(len(frames))] == frames
