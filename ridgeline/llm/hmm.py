@@ -4,12 +4,14 @@ Symbols are the HEAD most frequent tokens and, for all others, classes by a toke
 token has its add-one share. Counts, classes and the tokens' shares come from every training document: words are
 counted by Spark, and tokens outside the head are joined with their counts, so no vocabulary has to fit anywhere.
 
-Training is Baum-Welch: each round, tasks run the forward and backward recursions over segments of their documents
-and send expected counts (arrays of a fixed size), which Spark adds up. A start is found on a bounded sample; the
-rounds that follow learn from all training documents.
+Training is Baum-Welch: each round, tasks run the forward and backward recursions over their whole documents and send
+expected counts (arrays of a fixed size), which Spark adds up. A start is found on a bounded sample; the rounds that
+follow learn from all training documents.
 
-Scoring is exact: the scaled forward recursion as a product of each segment's transfer matrices (state by state), so
-a very long document costs no more for each token than a short one.
+Documents are cut into segments that are worked on side by side, and nothing is lost at their edges: a segment's
+transfer matrix (state by state) carries the forward message into the next segment and the backward message into the
+one before, so counts and likelihoods are those of the whole sequence, and a very long document costs no more for each
+token than a short one.
 
 Defined results: a null text counts as empty and is one end token; a null id counts as an empty text in the split;
 without training documents, scores are those of no knowledge; repeated rows are scored and counted each; an empty
@@ -35,8 +37,10 @@ STATES, HEAD, CLASSES = 8, 64_000, 512
 ROUNDS = 3
 #: Tokens of a segment, and tokens that a task holds at a time.
 SEGMENT, HELD = 128, 1 << 20
-#: Documents of the sample that a start is found on (about), and rounds for it.
-START_DOCS, START_ROUNDS, SEED = 256, 25, 3
+#: Documents of the sample that a start is found on (about), the tokens that one gives to it at most (pieces from all over its text), and rounds for it.
+START_DOCS, START_TOKENS, START_ROUNDS, SEED = 256, 16_384, 25, 3
+#: Bytes of a token of the head at most; longer ones belong to their class, however frequent.
+TOKEN_BYTES = 64
 #: Pseudo-tokens that each state shares with the whole corpus.
 PRIOR = 2000.0
 #: Tokens a counting task holds before it sends them on.
@@ -113,20 +117,23 @@ class Symbols:
 
 
 def symbols(vocabulary: DataFrame) -> Symbols:
-    """The head comes to the driver (at most HEAD tokens, and the end), the rest as one sum for each class.
+    """The head comes to the driver (about HEAD tokens of at most TOKEN_BYTES each, and the end), the rest as one sum for each class.
 
-    The head is cut at a frequency that counts by frequency range find: only the tokens above it leave their tasks.
+    The head is cut at a frequency that counts by frequency range find: only the tokens above it leave their tasks. Of
+    the range that doesn't fit whole, a share comes that a hash of the token draws.
     """
     total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     cell = F.floor(F.log2(F.col("n").cast("double")) * 64)
-    cut, taken = math.inf, 0
-    for r in sorted(vocabulary.groupBy(cell.alias("cell")).count().collect(), key=lambda r: -r.cell):  # 64 ranges an octave
+    short = vocabulary.where(F.octet_length("token").between(1, TOKEN_BYTES))
+    cut, share, taken = math.inf, 0.0, 0
+    for r in sorted(short.groupBy(cell.alias("cell")).count().collect(), key=lambda r: -r.cell):  # 64 ranges an octave
+        cut, share = r.cell, min(1.0, (HEAD - taken) / r["count"])
         taken += r["count"]
-        if taken > HEAD:
+        if taken >= HEAD:
             break
-        cut = r.cell
-    found = vocabulary.where((cell >= cut) | (F.octet_length("token") == 0)).select("token", "n").collect()
-    head = sorted(((bytes(r.token), r.n) for r in found), key=lambda x: (-x[1], x[0]))
+    drawn = F.pmod(F.xxhash64("token", F.lit("head")), F.lit(1 << 30)) < share * float(1 << 30)
+    head_rows = short.where((cell > cut) | ((cell == cut) & drawn)).unionByName(vocabulary.where(F.octet_length("token") == 0))
+    head = sorted(((bytes(r.token), r.n) for r in head_rows.select("token", "n").collect()), key=lambda x: (-x[1], x[0]))
     sums = vocabulary.groupBy("class").agg(F.sum(F.col("n") + 1).alias("mass")).collect() if distinct > len(head) else []
     masses = {r["class"]: r.mass for r in sums}
     for t, c in head if sums else ():
@@ -156,9 +163,9 @@ def coded(docs: DataFrame, model: Symbols) -> DataFrame:
 
 
 class Hmm:
-    def __init__(self, start, again, move, emit):
-        #: Start of a document, start of a later segment (training only), moves, and emissions (symbol by state).
-        self.start, self.again, self.move, self.emit = start, again, move, emit
+    def __init__(self, start, move, emit):
+        #: Start of a document, moves, and emissions (symbol by state).
+        self.start, self.move, self.emit = start, move, emit
 
 
 def first_model(texts: list, mass) -> Hmm:
@@ -182,60 +189,122 @@ def first_model(texts: list, mass) -> Hmm:
     emit /= emit.sum(axis=1, keepdims=True)
     move = np.full((STATES, STATES), 0.1 / STATES) + 0.9 * np.eye(STATES)
     weight = (part.sum(axis=0) + 1) / (len(texts) + STATES)
-    return Hmm(weight, weight, move, np.ascontiguousarray(emit.T))
+    return Hmm(weight, move, np.ascontiguousarray(emit.T))
 
 
-def cut_segments(texts: list):
-    """(symbols as segments x positions, lengths, whether a document starts, document) in order of falling length."""
-    import numpy as np
+class Segments:
+    """Some documents as segments x positions in order of falling length, and the order in which messages pass from one to the next."""
+
+    def __init__(self, texts: list):
+        import numpy as np
+
+        n = np.array([len(t) for t in texts])
+        each = -(-n // SEGMENT)
+        doc = np.repeat(np.arange(len(texts)), each)
+        number = np.arange(len(doc)) - np.repeat(np.cumsum(each) - each, each)
+        lengths = np.minimum(SEGMENT, n[doc] - number * SEGMENT)
+        grid = np.zeros((len(doc), SEGMENT), dtype=np.int64)
+        grid[np.arange(SEGMENT) < lengths[:, None]] = np.concatenate(texts)
+        order = np.argsort(-lengths, kind="stable")
+        self.grid, self.lengths, self.first, self.doc, self.docs = grid[order], lengths[order], number[order] == 0, doc[order], len(texts)
+        number = number[order]
+        waves = np.lexsort((self.doc, number))  # all first segments, then all second ones, ...
+        edges = np.searchsorted(number[waves], np.arange(number.max() + 2))
+        self.waves = [waves[low:high] for low, high in zip(edges, edges[1:])]
+
+    def transfers(self, model: Hmm):
+        """(segment x state before x state at its end, scaled; log10 of each segment's scale). Before a first segment stands its own first state."""
+        import numpy as np
+
+        out, logs = np.empty((len(self.grid), STATES, STATES)), np.zeros(len(self.grid))
+        for at in range(0, len(self.grid), 2048):
+            g, n, f = self.grid[at : at + 2048], self.lengths[at : at + 2048], self.first[at : at + 2048]
+            m = np.where(f[:, None, None], np.eye(STATES), model.move)
+            own = logs[at : at + 2048]
+            for t in range(int(n[0])):
+                k = int((n > t).sum())
+                if t:
+                    m[:k] = (m[:k].reshape(-1, STATES) @ model.move).reshape(k, STATES, STATES)
+                m[:k] *= model.emit[g[:k, t]][:, None, :]
+                if t % 16 == 15:
+                    c = m[:k].sum(axis=(1, 2), keepdims=True)
+                    m[:k] /= c
+                    own[:k] += np.log10(c[:, 0, 0])
+            c = m.sum(axis=(1, 2), keepdims=True)
+            out[at : at + 2048] = m / c
+            own += np.log10(c[:, 0, 0])
+        return out, logs
+
+    def before(self, model: Hmm, transfers):
+        """(distribution of the state before each segment, the start's before a first one; log10 of what scaling it took, by document)."""
+        import numpy as np
+
+        state, into, logs = np.tile(model.start, (self.docs, 1)), np.empty((len(self.grid), STATES)), np.zeros(self.docs)
+        for some in self.waves:
+            doc = self.doc[some]
+            into[some] = state[doc]
+            moved = np.einsum("ns,nst->nt", state[doc], transfers[some])
+            c = moved.sum(axis=1, keepdims=True)
+            state[doc] = moved / c
+            logs[doc] += np.log10(c[:, 0])
+        return into, logs
+
+    def after(self, transfers):
+        """For each segment, how likely what follows it is from each state at its end, scaled."""
+        import numpy as np
 
-    n = np.array([len(t) for t in texts])
-    each = -(-n // SEGMENT)
-    doc = np.repeat(np.arange(len(texts)), each)
-    number = np.arange(len(doc)) - np.repeat(np.cumsum(each) - each, each)
-    lengths = np.minimum(SEGMENT, n[doc] - number * SEGMENT)
-    grid = np.zeros((len(doc), SEGMENT), dtype=np.int64)
-    grid[np.arange(SEGMENT) < lengths[:, None]] = np.concatenate(texts)
-    order = np.argsort(-lengths, kind="stable")
-    return grid[order], lengths[order], number[order] == 0, doc[order], number[order]
+        ahead, out = np.ones((self.docs, STATES)), np.empty((len(self.grid), STATES))
+        for some in reversed(self.waves):
+            doc = self.doc[some]
+            out[some] = ahead[doc]
+            back = np.einsum("nst,nt->ns", transfers[some], ahead[doc])
+            ahead[doc] = back / back.sum(axis=1, keepdims=True)
+        return out
 
 
 def expected(model: Hmm, texts: list, size: int):
-    """Expected counts of starts, later starts, moves and emissions over some documents: Baum-Welch's E step."""
+    """Expected counts of starts, moves and emissions over some whole documents: Baum-Welch's E step."""
     import numpy as np
 
-    grid, lengths, first, _, _ = cut_segments(texts)
-    starts, agains, moves, emits = np.zeros(STATES), np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((size, STATES))
-    for at in range(0, len(grid), 2048):
-        g, n, f = grid[at : at + 2048], lengths[at : at + 2048], first[at : at + 2048]
-        steps = int(n[0])
+    held = Segments(texts)
+    transfers, _ = held.transfers(model)
+    into, _ = held.before(model, transfers)
+    beyond = held.after(transfers)
+    starts, moves, emits = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((size, STATES))
+    for at in range(0, len(held.grid), 2048):
+        g, n, f = held.grid[at : at + 2048], held.lengths[at : at + 2048], held.first[at : at + 2048]
+        start, steps = into[at : at + 2048], int(n[0])
         active = [int((n > t).sum()) for t in range(steps)]
         alpha, likely, scale = [], [], []
+        last = np.empty((len(g), STATES))
         for t in range(steps):
             b = model.emit[g[: active[t], t]]
-            a = (np.where(f[:, None], model.start, model.again) if t == 0 else alpha[-1][: active[t]] @ model.move) * b
+            a = (np.where(f[:, None], start, start @ model.move) if t == 0 else alpha[-1][: active[t]] @ model.move) * b
             c = a.sum(axis=1, keepdims=True)
             alpha.append(a / c)
             likely.append(b)
             scale.append(c)
-        beta = np.ones((len(g), STATES))
+            last[: active[t]] = alpha[-1]
+        beta = beyond[at : at + 2048]
+        beta = beta / (last * beta).sum(axis=1, keepdims=True)
         posterior = [None] * steps
         for t in range(steps - 1, -1, -1):
             k = active[t]
             gamma = alpha[t] * beta[:k]
             gamma /= gamma.sum(axis=1, keepdims=True)
             posterior[t] = gamma
+            ahead = likely[t] * beta[:k] / scale[t]
             if t:
-                ahead = likely[t] * beta[:k] / scale[t]
                 moves += model.move * (alpha[t - 1][:k].T @ ahead)
                 beta[:k] = ahead @ model.move.T
+            else:
+                moves += model.move * (start[~f].T @ ahead[~f])
         starts += posterior[0][f].sum(axis=0)
-        agains += posterior[0][~f].sum(axis=0)
         flat = np.concatenate([g[: active[t], t] for t in range(steps)])
         gammas = np.concatenate(posterior)
         for k in range(STATES):
             emits[:, k] += np.bincount(flat, weights=gammas[:, k], minlength=size)
-    return starts, agains, moves, emits
+    return starts, moves, emits
 
 
 def groups(parts: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list[int], list]]:
@@ -269,7 +338,7 @@ def round_of(rows: DataFrame, model: Hmm, known: Symbols) -> Hmm:
             found = expected(model, texts, size)
             sums = found if sums is None else [a + b for a, b in zip(sums, found)]
         if sums is not None:
-            yield from common.batches(((-1, np.concatenate([sums[0], sums[1], sums[2].ravel()]).tobytes()), *((i // BLOCK, sums[3][i : i + BLOCK].astype(np.float32).tobytes()) for i in range(0, size, BLOCK))), schema, 16)
+            yield from common.batches(((-1, np.concatenate([sums[0], sums[1].ravel()]).tobytes()), *((i // BLOCK, sums[2][i : i + BLOCK].astype(np.float32).tobytes()) for i in range(0, size, BLOCK))), schema, 16)
 
     def add(parts):
         held: dict[int, np.ndarray] = {}
@@ -284,10 +353,20 @@ def round_of(rows: DataFrame, model: Hmm, known: Symbols) -> Hmm:
     if not added:
         return model
     small = added.pop(-1)
-    starts, agains, moves = small[:STATES], small[STATES : 2 * STATES], small[2 * STATES :].reshape(STATES, STATES)
+    starts, moves = small[:STATES], small[STATES:].reshape(STATES, STATES)
     emits = np.concatenate([added[k] for k in sorted(added)]).reshape(size, STATES) + PRIOR * known.mass[:, None]
     share = lambda a: (a + 1) / (a + 1).sum(axis=-1, keepdims=True)
-    return Hmm(share(starts), share(agains), share(moves), emits / emits.sum(axis=0))
+    return Hmm(share(starts), share(moves), emits / emits.sum(axis=0))
+
+
+def spread(codes, most: int):
+    """At most so many of a text's tokens: all, or segments at even distances from its beginning to its end."""
+    import numpy as np
+
+    if len(codes) <= most:
+        return codes
+    starts = np.linspace(0, len(codes) - SEGMENT, most // SEGMENT).astype(np.int64)
+    return codes[(starts[:, None] + np.arange(SEGMENT)).ravel()]
 
 
 def train(rows: DataFrame, known: Symbols, rounds: int = ROUNDS) -> Hmm:
@@ -295,7 +374,15 @@ def train(rows: DataFrame, known: Symbols, rounds: int = ROUNDS) -> Hmm:
     import numpy as np
 
     share = min(1.0, START_DOCS / max(1, rows.count()))
-    few = rows.where(F.pmod(F.xxhash64(F.lit("start"), "rid"), F.lit(1 << 30)) < share * float(1 << 30)).collect()  # about START_DOCS, from all tasks together
+    schema = pa.schema([("rid", pa.int64()), ("codes", pa.binary())])
+
+    def pieces(parts):
+        for part in parts:
+            found = ((r, spread(np.frombuffer(c.as_py(), dtype="<u4"), START_TOKENS).tobytes()) for r, c in zip(part.column(0).to_pylist(), part.column(1)))
+            yield from common.batches(found, schema)
+
+    drawn = rows.where(F.pmod(F.xxhash64(F.lit("start"), "rid"), F.lit(1 << 30)) < share * float(1 << 30))  # about START_DOCS, from all tasks together
+    few = common.arrow_map(drawn.select("rid", "codes"), pieces, "rid long, codes binary").collect()
     few.sort(key=lambda r: r.rid)
     model = first_model([np.frombuffer(bytes(r.codes), dtype="<u4").astype(np.int64) for r in few], known.mass)
     for _ in range(rounds if few else 0):
@@ -307,34 +394,10 @@ def log_likelihoods(model: Hmm, texts: list):
     """log10 of each sequence's probability: the scaled forward recursion, segments side by side."""
     import numpy as np
 
-    grid, lengths, first, doc, number = cut_segments(texts)
-    logs = np.zeros(len(texts))
-    after = np.empty((len(grid), STATES, STATES))
-    for at in range(0, len(grid), 2048):
-        g, n, f = grid[at : at + 2048], lengths[at : at + 2048], first[at : at + 2048]
-        m = np.where(f[:, None, None], np.eye(STATES), model.move)
-        own = np.zeros(len(g))
-        for t in range(int(n[0])):
-            k = int((n > t).sum())
-            if t:
-                m[:k] = (m[:k].reshape(-1, STATES) @ model.move).reshape(k, STATES, STATES)
-            m[:k] *= model.emit[g[:k, t]][:, None, :]
-            if t % 16 == 15:
-                c = m[:k].sum(axis=(1, 2), keepdims=True)
-                m[:k] /= c
-                own[:k] += np.log10(c[:, 0, 0])
-        c = m.sum(axis=(1, 2), keepdims=True)
-        after[at : at + len(g)] = m / c
-        np.add.at(logs, doc[at : at + len(g)], own + np.log10(c[:, 0, 0]))
-    order = np.lexsort((doc, number))  # all first segments, then all second ones, ...
-    edges = np.searchsorted(number[order], np.arange(number.max() + 2))
-    state = np.tile(model.start, (len(texts), 1))
-    for low, high in zip(edges, edges[1:]):
-        some = order[low:high]
-        moved = np.einsum("ns,nst->nt", state[doc[some]], after[some])
-        c = moved.sum(axis=1, keepdims=True)
-        state[doc[some]] = moved / c
-        logs[doc[some]] += np.log10(c[:, 0])
+    held = Segments(texts)
+    transfers, scales = held.transfers(model)
+    _, logs = held.before(model, transfers)
+    np.add.at(logs, held.doc, scales)
     return logs
 
 

@@ -21,7 +21,7 @@ def brute_forward(model, codes):
 
 def random_model(rng, size):
     rows = lambda *shape: rng.dirichlet(np.ones(shape[-1]), shape[:-1])
-    return hmm.Hmm(rows(hmm.STATES), rows(hmm.STATES), rows(hmm.STATES, hmm.STATES), np.ascontiguousarray(rows(hmm.STATES, size).T))
+    return hmm.Hmm(rows(hmm.STATES), rows(hmm.STATES, hmm.STATES), np.ascontiguousarray(rows(hmm.STATES, size).T))
 
 
 def test_segments_give_the_whole_sequence_its_exact_likelihood():
@@ -31,35 +31,44 @@ def test_segments_give_the_whole_sequence_its_exact_likelihood():
     assert hmm.log_likelihoods(model, texts) == pytest.approx([brute_forward(model, t) for t in texts], rel=1e-10)
 
 
-def test_expected_counts_equal_a_plain_forward_backward():
+def test_expected_counts_are_those_of_whole_sequences():
     rng = np.random.default_rng(2)
     model, size = random_model(rng, 20), 20
-    texts = [rng.integers(0, size, n) for n in (5, 128, 200)]
-    starts, agains, moves, emits = (np.zeros(s) for s in (hmm.STATES, hmm.STATES, (hmm.STATES, hmm.STATES), (size, hmm.STATES)))
-    for t in texts:
-        for at in range(0, len(t), hmm.SEGMENT):
-            s = t[at : at + hmm.SEGMENT]
-            a = [(model.start if at == 0 else model.again) * model.emit[s[0]]]
-            for c in s[1:]:
-                a.append(a[-1] @ model.move * model.emit[c])
-            b = [np.ones(hmm.STATES)]
-            for c in s[:0:-1]:
-                b.insert(0, model.move @ (model.emit[c] * b[0]))
-            z = a[-1].sum()
-            for i, c in enumerate(s):
-                emits[c] += a[i] * b[i] / z
-                if i:
-                    moves += a[i - 1][:, None] * model.move * (model.emit[c] * b[i])[None] / z
-            (starts if at == 0 else agains).__iadd__(a[0] * b[0] / z)
-    for got, want in zip(hmm.expected(model, texts, size), (starts, agains, moves, emits)):
+    texts = [rng.integers(0, size, n) for n in (5, 127, 128, 129, 200, 700, 1)]
+    starts, moves, emits = np.zeros(hmm.STATES), np.zeros((hmm.STATES, hmm.STATES)), np.zeros((size, hmm.STATES))
+    for s in texts:
+        a = [model.start * model.emit[s[0]]]
+        for c in s[1:]:
+            a.append(a[-1] @ model.move * model.emit[c])
+            a[-1] /= a[-1].sum()
+        b = [np.ones(hmm.STATES)]
+        for c in s[:0:-1]:
+            b.insert(0, model.move @ (model.emit[c] * b[0]))
+            b[0] /= b[0].sum()
+        for i, c in enumerate(s):
+            emits[c] += a[i] * b[i] / (a[i] * b[i]).sum()
+            if i:
+                pair = a[i - 1][:, None] * model.move * (model.emit[c] * b[i])[None]
+                moves += pair / pair.sum()
+        starts += a[0] * b[0] / (a[0] * b[0]).sum()
+    for got, want in zip(hmm.expected(model, texts, size), (starts, moves, emits)):
         assert got == pytest.approx(want, rel=1e-8, abs=1e-9)
 
 
+def test_the_start_sees_all_of_a_long_text():
+    codes = np.arange(100_000, dtype="<u4")
+    few = hmm.spread(codes, 16_384)
+    assert len(few) == 16_384 and few[0] == 0 and few[-1] == 99_999 and np.diff(few).max() < 1000
+    assert hmm.spread(codes[:500], 16_384).tolist() == list(range(500))
+
+
 def test_scores_counts_and_proper_shares(spark, monkeypatch):
     monkeypatch.setattr(hmm, "HEAD", 20)  # a small head, so that tokens outside of it matter
+    trained, train = [], hmm.train
+    monkeypatch.setattr(hmm, "train", lambda rows, known, rounds: trained.append((train(rows, known, rounds), known)) or trained[0][0])
     rng = random.Random(3)
     kinds = [[f"{p}{i}" for i in range(40)] for p in ("a", "b")]
-    rows = [(i, " ".join(rng.choice(kinds[i % 2]) for _ in range(60))) for i in range(120)] + [(200, None), (201, ""), (202, "A0 a0 unseen"), (None, "a1"), (203, "b1 " * 4000), (203, "b1 " * 4000)]
+    rows = [(i, " ".join(rng.choice(kinds[i % 2]) for _ in range(60))) for i in range(120)] + [(130 + i, "much" * 50 + " a1") for i in range(30)] + [(200, None), (201, ""), (202, "A0 a0 unseen"), (None, "a1"), (203, "b1 " * 4000), (203, "b1 " * 4000)]
     docs = spark.createDataFrame([(*r, 1, "t") for r in rows], "doc_id long, text string, n long, token string")
     got = hmm.score(docs, rounds=2).collect()
     assert len(got) == len(rows)
@@ -74,11 +83,20 @@ def test_scores_counts_and_proper_shares(spark, monkeypatch):
         tokens = [*(texts[r.doc_id] or "").encode().lower().split(), b""]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(r.doc_id), len(tokens), sum(t in counts for t in tokens), n)
         assert r.base_score == pytest.approx(sum(math.log10((counts[t] + 1) / (n + v + 1)) for t in tokens), rel=1e-9)
-        assert math.isfinite(r.score) and r.score < 0
+        model, known = trained[0]
+        alpha, total = model.start, 0.0  # the plain forward recursion; a token outside the head has its add-one share of its class
+        for k, t in enumerate(tokens):
+            symbol = known.ids.get(t, len(known.ids) + zlib.crc32(t[-3:]) % hmm.CLASSES)
+            own = 1.0 if t in known.ids else (counts[t] + 1) / (1 + sum(c + 1 for u, c in counts.items() if u not in known.ids and hmm.class_of(u) == hmm.class_of(t)))
+            alpha = (alpha if k == 0 else alpha @ model.move) * model.emit[symbol] * own
+            total += math.log10(alpha.sum())
+            alpha /= alpha.sum()
+        assert r.score == pytest.approx(total, rel=1e-9)
     own = [r for r in got if r.held_out and r.n_tokens > 30]
     assert own and sum(r.score for r in own) > sum(r.base_score for r in own)  # two kinds of text: the states must help
     assert hmm.score(docs.limit(0)).count() == 0
     known = hmm.symbols(hmm.count_tokens(docs.where(~hmm.held_out())))
+    assert known.ids.keys().isdisjoint({b"much" * 50}) and 10 < len(known.ids) <= 35  # a long token is in no head
     assert known.mass.sum() == pytest.approx(1) and known.total == n and known.distinct == v
 
 
