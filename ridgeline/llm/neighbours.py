@@ -13,14 +13,18 @@ nearest only, so no task holds all pairs, or more of the index than a block.
 Isotropic vectors have no structure that trees can use: for those, a recall of 0.9 needs leaves that hold about half
 of all rows, some of them in several trees, and the default allows for that. Lower it for data with clusters.
 
-Defined results: vectors that are null, empty, zero, of another length than most, or hold null or non-finite parts
-take no part, nor do rows without an id; ties go to the smaller vec_id; a repeated row counts once; with no other
-vector a query gives no rows; an empty table gives no rows.
+Defined results: vectors that are null, empty, zero, or hold null or non-finite parts take no part, nor do rows without
+an id; vectors of another length than most have no distance to them and take no part either, which a warning reports
+with their number; ties go to the smaller vec_id; a repeated row counts once; with no other vector a query gives no
+rows; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import heapq
+import struct
+import warnings
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -111,8 +115,9 @@ class Blocks:
             self.parts.append(parts)
 
     def of_vector(self, tree: int, leaf: int, number: int) -> str:
+        """The part of the leaf's block that a vector is in, dealt by its number in the whole index."""
         block = self.block[tree][leaf]
-        return f"{tree}:{block}:{number % self.parts[tree][block]}"
+        return f"{tree}:{block}:{zlib.crc32(struct.pack('<q', number)) % self.parts[tree][block]}"
 
     def of_query(self, opened: list[tuple[int, int]]) -> dict[str, list[int]]:
         out: dict[str, list[int]] = {}
@@ -134,8 +139,12 @@ def usable(rows: DataFrame) -> DataFrame:
     """vec_id, vector of the rows that take part."""
     finite = F.forall("vector", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))
     found = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vector")).where(F.col("vec_id").isNotNull() & (F.size("vector") > 0) & finite & F.exists("vector", lambda x: x != 0))
-    common_length = found.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return found.where(F.size("vector") == (common_length[0].n if common_length else 0)).distinct()
+    lengths = found.groupBy(F.size("vector").alias("n")).count()
+    most = lengths.orderBy(F.desc("count"), "n").first()
+    left_out = lengths.where(F.col("n") != most.n).agg(F.sum("count").alias("n")).first().n if most else 0
+    if left_out:
+        warnings.warn(f"{left_out} vectors are not of length {most.n} and take no part", stacklevel=2)
+    return found.where(F.size("vector") == (most.n if most else 0)).distinct()
 
 
 SENT = "key string, query boolean, cid long, vector array<double>, leaves array<int>, ids array<long>"
@@ -216,9 +225,9 @@ def nearest_neighbours(rows: DataFrame, k: int = 10, is_query=None, effort: floa
     def index(parts):
         def out():
             for part in parts:
-                for number, (cid, vector, ids, leaves) in enumerate(zip(*(part.column(i).to_pylist() for i in range(4)))):
+                for cid, vector, ids, leaves in zip(*(part.column(i).to_pylist() for i in range(4))):
                     for tree, leaf in enumerate(leaves):
-                        yield blocks.of_vector(tree, leaf, number), False, cid, vector, [leaf], ids
+                        yield blocks.of_vector(tree, leaf, cid), False, cid, vector, [leaf], ids
 
         yield from common.batches(out(), sent_schema(), 1024)
 
