@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -135,6 +136,51 @@ def test_toxicity_on_held_out_rows_and_odd_ones(spark):
     assert toxicity.classify(docs.limit(0), labels).count() == 0
 
 
+def brute_score(net, text):
+    """The network by plain loops, and the threshold of the text's language."""
+    words = [w.encode() for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())]
+    features = [[zlib.crc32(w) % toxicity.BUCKETS, *(zlib.crc32(w[:n], n) % toxicity.BUCKETS if len(w) > n else toxicity.PAD for n in (4, 6))] for w in words]
+    vectors = [sum(net.table[i].astype(float) for i in own) for own in features]
+    vectors += [np.zeros(toxicity.DIM)] * (2 if words else 3)
+    pooled = []
+    for f in net.filters:
+        for k in range(toxicity.FILTERS):
+            pooled.append(max(sum(float(vectors[at + j] @ f[j][:, k]) for j in range(len(f))) for at in range(max(1, len(words)))))
+    z = sum(max(p + s, 0) * o for p, s, o in zip(pooled, net.shift, net.out)) + net.bias
+    limit = net.limits.get(net.languages.predict(text)[0], net.limit)
+    return 1 / (1 + math.exp(-max(-40, min(40, net.slope * (z - limit) + math.log(0.7 / 0.3)))))
+
+
+def test_scores_are_those_of_the_network_with_a_threshold_for_each_learned_language(spark, monkeypatch):
+    rng = random.Random(7)
+    words = {"xx": [f"{a}{b}" for a in ("kra", "mol", "ti") for b in ("ska", "vot", "no")], "yy": [f"{a}{b}" for a in ("ee", "uo", "aja") for b in ("lli", "ssa", "ppe")]}
+    rows = []
+    for i in range(500):
+        lang = ("xx", "yy")[i % 2]
+        text = [rng.choice(words[lang]) for _ in range(rng.randint(5, 60))]
+        bad = i % 4 < 2
+        if bad:
+            text.insert(rng.randrange(len(text)), rng.choice(INSULTS))
+        rows.append((i, " ".join(text), lang, int(bad)))
+    docs = spark.createDataFrame([r[:3] for r in rows] + [(9000, None, "xx"), (9001, "", None)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, y) for i, _, _, y in rows], "doc_id long, toxic int")
+    nets, learned = [], toxicity.learned
+    monkeypatch.setattr(toxicity, "learned", lambda *a: nets.append(learned(*a)) or nets[0])
+    got = {r.doc_id: r.score for r in toxicity.classify(docs, labels).collect()}
+    assert set(nets[0].limits) == {"xx", "yy"}
+    for i, text in [*((r[0], r[1]) for r in rows[:120]), (9000, ""), (9001, "")]:
+        assert got[i] == pytest.approx(brute_score(nets[0], text), abs=1e-4)
+
+
+def test_a_long_text_teaches_with_runs_from_all_over_it(spark):
+    words = [b"%d" % i for i in range(100_000)]
+    few = toxicity.spread(words)
+    assert len(few) == toxicity.TEACH_WORDS and few[0] == b"0" and few[-1] == b"99999" and toxicity.spread(words[:50]) == words[:50]
+    docs = spark.createDataFrame([(1, "wota " * 30)] * 300 + [(i, "idiot wota") for i in range(2, 30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0)] + [(i, 1) for i in range(2, 30)], "doc_id long, toxic int")
+    assert toxicity.classify(docs, labels).count() == 328  # an id that is repeated teaches once
+
+
 def test_windows_pool_as_the_whole(monkeypatch):
     net = toxicity.ConvNet()
     ids = np.random.default_rng(1).integers(0, toxicity.BUCKETS, (100, 3))
@@ -163,7 +209,9 @@ def test_neighbours_with_copies_and_odd_vectors(spark, monkeypatch):
     want = brute_nearest(rows, 10)
     monkeypatch.setattr(neighbours, "LEAF", 32)
     got: dict = {}
-    for r in neighbours.nearest_neighbours(frame).orderBy("query_id", "rank").collect():
+    with pytest.warns(UserWarning, match="1 vectors are not of length 8"):
+        made = neighbours.nearest_neighbours(frame).orderBy("query_id", "rank").collect()
+    for r in made:
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
         assert r.rank == len(got[r.query_id])
     assert got.keys() == want.keys()
@@ -181,6 +229,25 @@ def test_neighbours_with_copies_and_odd_vectors(spark, monkeypatch):
 
 def test_leaves_of_a_block_are_dealt_out_when_they_are_large():
     blocks = neighbours.Blocks([[3, 4, 20, 1], [0, 0, 0, 0]], 8)
-    keys = {blocks.of_vector(0, 2, n) for n in range(50)}
+    held = Counter(blocks.of_vector(0, 2, n << 33) for n in range(3000))
+    assert max(held.values()) < 1.2 * min(held.values())
+    keys = set(held)
     assert keys == set(blocks.of_query([(0, 2)])) and len(keys) == 3
     assert blocks.of_vector(0, 0, 1) == blocks.of_vector(0, 1, 9)
+
+
+def test_a_search_over_many_blocks_and_parts_finds_what_one_block_does(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=8)]) for i in range(1500)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want = brute_nearest(rows, 10)
+
+    def search():
+        return sorted(map(tuple, neighbours.nearest_neighbours(frame, effort=4.0).collect()))
+
+    one = search()
+    monkeypatch.setattr(neighbours, "BLOCK", 100)  # several blocks for each tree
+    many = search()
+    monkeypatch.setattr(neighbours, "LEAF", 400)  # leaves beyond a block: several parts
+    parts = search()
+    assert one == many == parts == sorted((q, k + 1, j, pytest.approx(d, abs=1e-12)) for q, found in want.items() for k, (j, d) in enumerate(found))
