@@ -4,7 +4,8 @@ Encoding. The tokens of a prefix end in exactly one last token: the one that its
 token of what precedes it. So a byte adds one step (the last token that ends there), and a token is final once the
 chains of all positions that a later token can start from share its boundary. Such positions lie within the longest
 token's length: that is the merge list's sufficient lookahead, computed from the list. The transducer keeps that
-window and what isn't final yet, and emits the rest.
+window and what isn't final yet, and emits the rest. Long pieces and texts without spaces come in slices, so memory
+beyond the text itself is constant.
 
 Decoding. Tokens give bytes; an incremental UTF-8 machine gives text as soon as a character is complete, and U+FFFD
 for each maximal broken part.
@@ -20,7 +21,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,8 +31,10 @@ from . import common
 
 #: Entries of the caches of pieces and of pairs, after which they start anew.
 CACHED_PIECES, CACHED_PAIRS = 700_000, 300_000
-#: Characters of a text that are split at a time.
-SEGMENT = 1 << 18
+#: Characters of a text that are split at a time, and pieces of one that can't be cut.
+SEGMENT, PIECES = 1 << 18, 4096
+#: Characters beyond which a piece is encoded in slices of so many bytes.
+LONG_PIECE, SLICE = 1 << 12, 1 << 16
 
 #: The split of text before merges (GPT-2's), for any text and for Latin-1 text without odd numerals and separators.
 ANY = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -47,12 +50,29 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: The settings of a tokenizer's file that this module reads as the library does.
+MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+SPLIT = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+ADDED = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False}
+
+
+def check(found: dict) -> None:
+    """An error for a tokenizer's file with settings that would need other work than this."""
+    wrong = [f"model.{k}" for k, v in MODEL.items() if (found["model"].get(k) or None) != (v or None)]
+    wrong += [f"pre_tokenizer.{k}" for k, v in SPLIT.items() if (found.get("pre_tokenizer") or {}).get(k, True if k == "use_regex" else None) != v]
+    wrong += ["normalizer"] * bool(found.get("normalizer")) + ["decoder"] * ((found.get("decoder") or {}).get("type") != "ByteLevel")
+    wrong += [f"added_tokens.{k}" for t in found["added_tokens"] for k, v in ADDED.items() if t.get(k, False) != v]
+    if wrong:
+        raise ValueError("not a plain byte-level BPE: " + ", ".join(dict.fromkeys(wrong)))
+
+
 class MergeList:
     """A byte-level vocabulary and its merges, from a tokenizer's JSON file."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             found = json.load(f)
+        check(found)
         letters = byte_letters()
         raw = {token: bytes(letters[c] for c in token) for token in found["model"]["vocab"]}
         vocab = found["model"]["vocab"]
@@ -175,6 +195,18 @@ class Pieces(dict):
             self[piece] = found
         return found
 
+    def slices(self, piece: str) -> Iterator[tuple[int, ...]]:
+        for ids in sliced(self.merges, piece):
+            yield tuple(ids)
+
+
+def sliced(merges: MergeList, piece: str) -> Iterator[list[int]]:
+    """The ids of a long piece, slice by slice."""
+    machine = Transducer(merges)
+    for at in range(0, len(piece), SLICE):
+        yield machine.feed(piece[at : at + SLICE].encode())
+    yield machine.finish()
+
 
 def segments(text: str) -> Iterator[str]:
     """Parts of a text that split as the whole does: cut before a space that follows something else."""
@@ -188,12 +220,22 @@ def segments(text: str) -> Iterator[str]:
     yield text[at:] if at else text
 
 
-def split_pieces(text: str) -> list[str]:
-    if NOT_LATIN.search(text) is None:
-        return LATIN.findall(text)
+def split_pieces(text: str) -> Iterator[list[str]]:
+    """The pieces of a segment, in lists of bounded length where the segment is long."""
+    latin = NOT_LATIN.search(text) is None
+    if len(text) <= 2 * SEGMENT:
+        if latin:
+            yield LATIN.findall(text)
+            return
+        import regex
+
+        yield regex.findall(ANY, text)
+        return
     import regex
 
-    return regex.findall(ANY, text)
+    found = (LATIN if latin else regex.compile(ANY)).finditer(text)
+    while some := [m[0] for m in islice(found, PIECES)]:
+        yield some
 
 
 class Encoder:
@@ -211,7 +253,16 @@ class Encoder:
                 yield [self.pieces.of_special(ordinary)] if hasattr(self.pieces, "of_special") else [(self.special[ordinary],)]
             elif ordinary:
                 for segment in segments(ordinary):
-                    yield list(map(self.pieces.__getitem__, split_pieces(segment)))
+                    for pieces in split_pieces(segment):
+                        if len(segment) <= LONG_PIECE or len(max(pieces, key=len)) <= LONG_PIECE:
+                            yield list(map(self.pieces.__getitem__, pieces))
+                            continue
+                        for piece in pieces:
+                            if len(piece) <= LONG_PIECE:
+                                yield [self.pieces[piece]]
+                            else:
+                                for part in self.pieces.slices(piece):
+                                    yield [part]
 
     def ids(self, text: str) -> Iterator[list[int]]:
         for part in self.parts(text):
@@ -271,7 +322,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def make(parts):
         encoder = Encoder(*load(path))
-        yield from common.batches(((d, list(chain.from_iterable(encoder.ids(t.as_py())))) for part in parts for d, t in zip(part.column(0).to_pylist(), part.column(1))), schema, 64)
+        yield from common.batches(((d, list(chain.from_iterable(encoder.ids(t.as_py())))) for part in parts for d, t in zip(part.column(0).to_pylist(), part.column(1))), schema)
 
     return common.arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), make, "doc_id long, ids array<int>")
 
@@ -287,7 +338,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             machine = TextMachine(merges.bytes_of)
             return machine.feed([i for i in ids or () if i in merges.bytes_of]) + machine.finish()
 
-        yield from common.batches(((d, text(i.as_py())) for part in parts for d, i in zip(part.column(0).to_pylist(), part.column(1))), schema, 64)
+        yield from common.batches(((d, text(i.as_py())) for part in parts for d, i in zip(part.column(0).to_pylist(), part.column(1))), schema)
 
     return common.arrow_map(encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")), make, "doc_id long, text string")
 

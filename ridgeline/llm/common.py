@@ -79,9 +79,10 @@ def batches(rows: Iterable[tuple], schema: pa.Schema, size: int = 4096, most_byt
     held: list[tuple] = []
     n = 0
     for row in rows:
-        own = sum(len(row[i] or b"") for i in flat)
+        own = sum(len(row[i]) for i in flat if row[i] is not None)
         for i, wide in lists:
-            own += 16 * len(row[i] or ()) + (sum(map(len, row[i] or ())) if wide else 0)
+            if row[i] is not None:
+                own += 16 * len(row[i]) + (sum(map(len, row[i])) if wide else 0)
         if held and (len(held) >= size or n + own > most_bytes):
             yield made()
             held, n = [], 0

@@ -3,6 +3,9 @@
 Every round sends each node's neighbours to the smallest node that it knows; after O(log n) rounds each node hangs
 on the smallest node of its component. Rounds are written to the shared folder, so plans stay short and lost
 executors cost a round at most. Hot nodes are joined, never gathered: Spark may split them.
+
+Defined results: an edge with a null end joins nothing and gives no row; an edge from a node to itself gives no row;
+repeated edges count once; without edges there are no rows.
 """
 
 from __future__ import annotations

@@ -11,6 +11,7 @@ not, is packed; an empty table gives no rows; the order is that of the input's p
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,19 +34,25 @@ class PackedPieces(dict):
         import tiktoken
 
         super().__init__()
-        self.kind, self.special = kind, merges.special
-        self.merger = tiktoken.Encoding("ranks", pat_str=bpe.ANY, mergeable_ranks=merges.ids, special_tokens={})._core_bpe
+        self.kind, self.special, self.merges = kind, merges.special, merges
+        self.merger = tiktoken.Encoding("ranks", pat_str="(?s:.+)", mergeable_ranks=merges.ids, special_tokens={})  # what it gets is one piece
 
     def __missing__(self, piece: str) -> bytes:
         import numpy as np
 
         if len(self) >= bpe.CACHED_PIECES:
             self.clear()
-        found = np.array(self.merger.encode_single_piece(piece.encode()), dtype=self.kind).tobytes()
+        found = np.array(self.merger.encode_ordinary(piece), dtype=self.kind).tobytes()
         if len(piece) <= 64:
             self[piece] = found
         return found
 
+    def slices(self, piece: str) -> Iterator[bytes]:
+        import numpy as np
+
+        for ids in bpe.sliced(self.merges, piece):
+            yield np.array(ids, dtype=self.kind).tobytes()
+
     def of_special(self, content: str) -> bytes:
         import numpy as np
 
@@ -84,7 +91,7 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
                     yield part_id, at, doc_id, len(ids) // width, width, ids
                     at += len(ids) // width
 
-        yield from common.batches(rows(), schema, 256)
+        yield from common.batches(rows(), schema)
 
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return common.written(common.arrow_map(found, make, "part long, local long, doc_id long, n long, width long, ids binary"), "token-ids")

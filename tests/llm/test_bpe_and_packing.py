@@ -64,6 +64,35 @@ def test_segments_split_as_the_whole(monkeypatch, library, merges):
     assert [i for part in encoder.ids(text) for i in part] == library.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["日本語" * 400, "x=1;y" * 300, "a" * 900 + "\n\n" + "b" * 700, "word" * 30 + " é" * 500, "\n" * 999 + "z"])
+def test_texts_without_spaces_come_in_slices(monkeypatch, library, merges, text):
+    for name, value in (("SEGMENT", 50), ("PIECES", 7), ("LONG_PIECE", 20), ("SLICE", 16)):
+        monkeypatch.setattr(bpe, name, value)
+    want = library.encode(text, add_special_tokens=False).ids
+    parts = list(bpe.Encoder(merges, bpe.Pieces(merges)).ids(text))
+    assert [i for part in parts for i in part] == want and max(map(len, parts)) <= 4 * merges.lookahead
+    packed = bpe.Encoder(merges, packing.PackedPieces(merges, "<u2"))
+    assert np.frombuffer(b"".join(b"".join(p) for p in packed.parts(text)), dtype="<u2").tolist() == want
+
+
+def test_other_kinds_of_tokenizers_are_refused(tmp_path):
+    import json
+
+    with open(PATH, encoding="utf-8") as f:
+        found = json.load(f)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": found["pre_tokenizer"] | {"add_prefix_space": True}}, {"model": found["model"] | {"ignore_merges": True}}, {"added_tokens": [found["added_tokens"][0] | {"lstrip": True}]}):
+        (tmp_path / "t.json").write_text(json.dumps(found | change))
+        with pytest.raises(ValueError):
+            bpe.MergeList(str(tmp_path / "t.json"))
+
+
+def test_batches_of_long_documents(spark, library):
+    docs = spark.createDataFrame([(i, "lorem ipsum " * 300_000) for i in range(12)], "doc_id long, text string").coalesce(1)
+    want = library.encode("lorem ipsum " * 300_000, add_special_tokens=False).ids
+    assert {(r.doc_tokens, r.n) for r in packing.pack(docs, PATH).groupBy("doc_id", "doc_tokens").agg({"length": "sum"}).toDF("doc_id", "doc_tokens", "n").collect()} == {(len(want) + 1, len(want) + 1)}
+    assert {len(r.ids) for r in bpe.encode(docs, PATH).limit(2).collect()} == {len(want)}
+
+
 ROWS = [(1, "one two three"), (2, None), (3, ""), (None, "é ß"), (5, "word " * 3000), (5, "word " * 3000), (7, "a<|endoftext|>b")]
 
 

@@ -2,6 +2,7 @@
 
 import re
 import zlib
+from collections import Counter
 
 import pytest
 
@@ -67,6 +68,30 @@ def test_predicts_held_out_rows_and_defines_odd_ones(spark):
     assert language.keep_known(untaught).count() == len(rows)
 
 
+def brute_grams(text):
+    """Trigrams around each letter, lower case, gaps for what isn't one."""
+    folded = [" ", *(c.lower()[0] if c.isalpha() else " " for c in text or ""), " "]
+    return ["".join(g) for g in zip(folded, folded[1:], folded[2:]) if g[1] != " "]
+
+
+def test_predictions_equal_plain_sets_but_for_the_filters_false_positives(spark):
+    rows = [*texts(400), (500, "Zwölf und über", None), (505, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts = {lang: Counter() for lang in WORDS}
+    for i, t, lang in rows:
+        if lang and zlib.crc32(str(i).encode()) % 5:
+            counts[lang].update(brute_grams(t))
+    shares = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in counts.items()}
+    sets = {lang: {g for g, s in own.items() if s >= 2e-5 and s >= 0.1 * max(o.get(g, 0) for o in shares.values())} for lang, own in shares.items()}
+    by = {i: t for i, t, _ in rows}
+    for r in language.identify(docs).collect():
+        grams = brute_grams(by[r.doc_id])
+        found = {lang: sum(g in own for g in grams) / len(grams) for lang, own in sets.items()}
+        best = max(found.values())
+        assert r.score == pytest.approx(best, abs=0.03)
+        assert found[r.lang_pred] >= best - 0.03
+
+
 def test_texts_in_a_language_that_was_not_taught_go(spark):
     some = lambda t: " ".join("what should" if k % 4 == 0 else w for k, w in enumerate(t.split()))
     rows = [(i, some(t), None) if lang == "fr" else (i, t, lang) for i, t, lang in texts(600)]
