@@ -46,33 +46,51 @@ def weighted_sum(terms: Sequence[tuple[Column, float]], threshold: float) -> Col
     return total + single(-threshold)
 
 
+ACTIVATIONS = {
+    "IDENTITY": lambda v: v,
+    "TANH": F.tanh,
+    "LOGISTIC": lambda v: 1 / (1 + F.exp(-v)),
+    "RELU": lambda v: F.greatest(v, F.lit(0.0)),
+}
+#: Activations over several inputs: the smallest or largest of them, or one of two sums by the sign of a third.
+AGGREGATES = ("MINIMUM", "MAXIMUM", "IF")
+
+
 def squash(name: str, x: Column) -> Column:
-    """A neuron's activation."""
-    kinds = {
-        "IDENTITY": lambda v: v,
-        "TANH": F.tanh,
-        "LOGISTIC": lambda v: 1 / (1 + F.exp(-v)),
-        "RELU": lambda v: F.greatest(v, F.lit(0.0)),
-    }
-    if name not in kinds:
+    """A neuron's activation of the sum of its inputs."""
+    if name not in ACTIVATIONS:
         raise ValueError(f"no activation {name}")
-    return kinds[name](x)
+    return ACTIVATIONS[name](x)
 
 
 def unsquash(name: str, y: Column) -> Column:
-    """What goes into an activation to get y; null where nothing does."""
+    """What goes into an activation to get y; null where nothing does. Of an aggregate, y itself: its correction is measured at its output."""
     kinds = {
         "IDENTITY": lambda v: v,
         "TANH": lambda v: F.when(F.abs(v) < 1, 0.5 * F.log((1 + v) / (1 - v))),
         "LOGISTIC": lambda v: F.when((v > 0) & (v < 1), F.log(v / (1 - v))),
         "RELU": lambda v: F.when(v > 0, v),
-    }
+    } | {k: (lambda v: v) for k in AGGREGATES}
     if name not in kinds:
         raise ValueError(f"no activation {name}")
     return kinds[name](y)
 
 
+def if_kernel(condition: Column, positive: Column, negative: Column, bias: Column) -> Column:
+    """One of two sums with a bias: the positive one if the condition is above 0; NaN and null take the negative one."""
+    return F.when(gt(condition, F.lit(0.0)), positive + bias).otherwise(negative + bias)
+
+
+#: Draws are numbers of so many bits.
+DRAW_BITS = 52
+
+
+def draw_number(key: Column, seed: int) -> Column:
+    """A number below 2 ** DRAW_BITS that depends on the key and the seed only: the first digits of an MD5, so other engines can repeat it."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed)))), 1, DRAW_BITS // 4), 16, 10).cast("long")
+
+
 def drawn(key: Column, seed: int, share: Column | float) -> Column:
     """A Bernoulli draw that depends on the key and the seed only, not on partitions or order."""
-    share = F.lit(share) if isinstance(share, (int, float)) else share
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 40)) < share * float(1 << 40)
+    share = F.lit(float(share)) if isinstance(share, (int, float)) else share
+    return draw_number(key, seed) < share * float(1 << DRAW_BITS)

@@ -1,7 +1,8 @@
 """Quantile bins: exact edges of a bounded stride sample, and bin numbers as expressions.
 
 Edges come from value counts: equal values are one row before the window sees them, and the stride sample bounds how
-many rows a feature has there. A bin number is a balanced CASE over the edges, which stays inside generated code.
+many rows a feature has there. A stride counts records by position, not by key: keys may be sparse or have a pattern.
+A bin number is a balanced CASE over the edges, which stays inside generated code.
 """
 
 from __future__ import annotations
@@ -22,10 +23,50 @@ def stride_for(rows: int, target: int) -> int:
     return max(1, -(-rows // target)) if target else 1
 
 
-def stride_sample(corpus: DataFrame, target: int = SAMPLE_ROWS) -> DataFrame:
-    """Every k-th record by record_id."""
-    k = stride_for(corpus.count(), target)
-    return corpus.where(F.col("record_id") % k == 0)
+#: Ranges of keys in which positions are counted side by side.
+RANGES = 256
+
+
+def cell_of(key: str, bounds: Sequence) -> Column:
+    """How many of the ascending bounds lie below a key, as a balanced CASE."""
+
+    def part(low: int, high: int) -> str:
+        if low == high:
+            return str(low)
+        mid = (low + high) // 2
+        return f"CASE WHEN `{key}` > {bounds[mid]!r} THEN {part(mid + 1, high)} ELSE {part(low, mid)} END"
+
+    return F.expr(part(0, len(bounds))).cast("int")
+
+
+def positioned(rows: DataFrame, order: Sequence[str] = ("record_id",), ranges: int = RANGES) -> DataFrame:
+    """rows with position: 0, 1, ... in the given order, without a global sort. The first column of the order is a whole number and parts the rows at approximate quantiles; a range counts its own rows, and what the ranges before it hold is added."""
+    key = order[0]
+    bounds = rows.select(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 10 * ranges).alias("q")).first().q or []
+    ranged = rows.withColumn("_range", cell_of(key, sorted(set(bounds))))
+    passed, before = 0, {}
+    for r in sorted(ranged.groupBy("_range").count().collect(), key=lambda r: r["_range"]):  # as many rows as ranges
+        before[r["_range"]], passed = passed, passed + r["count"]
+    if not before:
+        return rows.withColumn("position", F.lit(0).cast("long"))
+    offset = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("_range"))
+    place = F.row_number().over(W.partitionBy("_range").orderBy(*order))
+    return ranged.withColumn("position", (offset + place - 1).cast("long")).drop("_range")
+
+
+def every(rows: DataFrame, k: int, phase: int = 0, order: Sequence[str] = ("record_id",)) -> DataFrame:
+    """The rows whose position and phase add up to a multiple of k; all rows for k = 1, without counting."""
+    return rows if k <= 1 else positioned(rows, order).where((F.col("position") + phase) % k == 0).drop("position")
+
+
+def stride_sample(corpus: DataFrame, target: int = SAMPLE_ROWS, features: Sequence[str] = ()) -> DataFrame:
+    """Every k-th record by position, target of them at most. Features break the ties of a key that some records share."""
+    return every(corpus, stride_for(corpus.count(), target), order=["record_id", *features])
+
+
+def project(rows: DataFrame, features: Sequence[str], chosen: Sequence[int], keep: Sequence[str] = ("record_id",)) -> DataFrame:
+    """The chosen features only, numbered anew from f0."""
+    return rows.select(*keep, *[F.col(features[i]).alias(f"f{n}") for n, i in enumerate(chosen)])
 
 
 def long_form(rows: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -55,7 +96,7 @@ def edges_of(counts: DataFrame, bins: int, keys: Sequence[str] = ("feature",)) -
 
 
 def build_edges(corpus: DataFrame, features: Sequence[str], bins: int, target: int = SAMPLE_ROWS) -> DataFrame:
-    return edges_of(value_counts(stride_sample(corpus, target), features), bins)
+    return edges_of(value_counts(stride_sample(corpus.select("record_id", *features), target, features), features), bins)
 
 
 def collect_edges(edges: DataFrame, features: int) -> list[list[float]]:
@@ -87,6 +128,16 @@ def bin_rows(corpus: DataFrame, features: Sequence[str], edges: Sequence[Sequenc
     return corpus.select(*keep, *[bin_of(f, e).alias(f"b{i}") for i, (f, e) in enumerate(zip(features, edges))])
 
 
+def effective_bins(edges: DataFrame) -> DataFrame:
+    """feature, effective_bins: one more than its edges."""
+    return edges.groupBy("feature").agg((F.count("*") + 1).alias("effective_bins"))
+
+
+def occupancy(binned: DataFrame, feature: int) -> DataFrame:
+    """bin, records of one feature."""
+    return binned.groupBy(F.col(f"b{feature}").alias("bin")).agg(F.count("*").alias("records"))
+
+
 def feature_scale(edges: DataFrame) -> DataFrame:
     """feature, scale: the edges' interquartile distance; 1 with fewer than four edges or none that is positive."""
     listed = edges.groupBy("feature").agg(F.array_sort(F.collect_list("threshold")).alias("e"))

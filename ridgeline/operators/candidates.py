@@ -1,4 +1,7 @@
-"""From discoveries to candidates: scaled, one-sided and shifted variants, random stumps, and stacks of several."""
+"""From discoveries to candidates: scaled, one-sided and shifted variants, random stumps, and stacks of several.
+
+A candidate's strategy says how it was found; that of a stack of k is combo/<k>:<strategy of its first>.
+"""
 
 from __future__ import annotations
 
@@ -7,10 +10,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import patches
+from .histogram import KINDS
 
 SCALES = (0.5, 1.5)
 
@@ -37,7 +41,7 @@ def expand(stumps: DataFrame, edges: DataFrame, scales: Sequence[float] = SCALES
     parts = [variant(found, 1, 0, "stump")]
     for i, scale in enumerate(s for s in scales if s != 1.0):
         by = F.lit(float(np.float32(scale))).cast("float")
-        kept = -F.abs("gain") if scale < 0 else F.col("gain") * (2 * scale - scale * scale)
+        kept = patches.scaled_gain_column(F.col("gain"), F.lit(float(scale)))
         parts.append(variant(found, 2, i, "stump/scale", left_correction=F.col("left_correction") * by, right_correction=F.col("right_correction") * by, gain=kept))
     two = found.where("left_correction <> 0 AND right_correction <> 0")
     zero = F.lit(0.0).cast("float")
@@ -53,27 +57,79 @@ def expand(stumps: DataFrame, edges: DataFrame, scales: Sequence[float] = SCALES
     return out
 
 
+def nonzero(stumps: DataFrame) -> DataFrame:
+    """Those that correct something."""
+    return stumps.where(F.greatest(F.abs("left_correction"), F.abs("right_correction")) > 0)
+
+
+def distinct_ids(rows: DataFrame) -> DataFrame:
+    """id and first_position of each patch that is named, however often."""
+    return rows.groupBy("id").agg(F.min("position").alias("first_position"))
+
+
+def of_nodes(found: Sequence[tuple[dict, str, float]]) -> list[Candidate]:
+    """Candidates of (tree, strategy, gain)."""
+    return [Candidate(patches.patch_id(node), strategy, (node,), gain) for node, strategy, gain in found]
+
+
+def of_rows(rows) -> list[Candidate]:
+    """Candidates of expanded rows."""
+    return of_nodes([(patches.stump_of(r), r.strategy, r.gain) for r in rows])
+
+
+def select(found: Sequence[Candidate], most: int = 0, avoid: Sequence[str] = (), merge=None) -> tuple[list[Candidate], list[tuple[str, str]]]:
+    """(candidates, discarded as (id, reason)): the first of each content that corrects something, isn't to be avoided and can be merged; `most` of them at most (0: all). merge: what raises if a patch can't be merged into the model."""
+    out, discarded, seen, avoid = [], [], set(), set(avoid)
+    for c in found:
+        if most and len(out) >= most:
+            break
+        if c.id in seen:
+            continue
+        seen.add(c.id)
+        if all(patches.largest(p) == 0 for p in c.parts):
+            discarded.append((c.id, "all-zero correction"))
+        elif c.id in avoid:
+            discarded.append((c.id, "known failure"))
+        else:
+            try:
+                if merge:
+                    merge(c)
+                out.append(c)
+            except ValueError as error:
+                discarded.append((c.id, str(error)))
+    return out, discarded
+
+
 def distinct(rows) -> list[Candidate]:
     """Candidates of expanded rows, without those that correct nothing or repeat another's content."""
-    out: dict[str, Candidate] = {}
-    for r in rows:
-        node = patches.stump_of(r)
-        if patches.largest(node) > 0:
-            out.setdefault(patches.patch_id(node), Candidate(patches.patch_id(node), r.strategy, (node,), r.gain))
-    return list(out.values())
+    return select(of_rows(rows))[0]
 
 
-def random_stumps(edges: Sequence[Sequence[float]], count: int, most: float, seed: int) -> list[Candidate]:
+def random_stumps(edges: Sequence[Sequence[float]], count: int, most: float, seed: int, kinds: Sequence[str] = KINDS) -> list[Candidate]:
+    """Stumps at random edges with random corrections, each of one of the kinds."""
     rng, out = random.Random(seed), []
     able = [i for i, e in enumerate(edges) if e]
     for _ in range(count if able else 0):
-        i = rng.choice(able)
-        sides = [rng.uniform(-most, most) * (rng.random() < 0.75) for _ in range(2)]
-        node = patches.split(i, rng.choice(list(edges[i])), patches.leaf(sides[0]), patches.leaf(sides[1]))
+        i, kind = rng.choice(able), rng.choice(list(kinds))
+        left, right = (rng.uniform(-most, most) for _ in range(2))
+        node = patches.split(i, rng.choice(list(edges[i])), patches.leaf(0.0 if kind == "right-only" else left), patches.leaf(0.0 if kind == "left-only" else right))
         out.append(Candidate(patches.patch_id(node), "random", (node,), 0.0))
     return out
 
 
+def label(strategies: Sequence[str]) -> str:
+    return strategies[0] if len(strategies) == 1 else f"combo/{len(strategies)}:{strategies[0]}"
+
+
+def label_column(parts: Column, strategy: Column) -> Column:
+    """The same of columns: how many parts, and the first one's strategy."""
+    return F.when(parts > 1, F.concat(F.lit("combo/"), parts.cast("string"), F.lit(":"), strategy)).otherwise(strategy)
+
+
+def stack(chosen: Sequence[Candidate]) -> Candidate:
+    return Candidate(patches.combo_id([c.id for c in chosen]), label([c.strategy for c in chosen]), tuple(p for c in chosen for p in c.parts), sum(c.gain for c in chosen))
+
+
 def combos(candidates: Sequence[Candidate], most: int = 4) -> list[Candidate]:
     """Stacks of the first two, three, ... candidates that read different sets of features."""
     chosen, seen = [], set()
@@ -82,4 +138,4 @@ def combos(candidates: Sequence[Candidate], most: int = 4) -> list[Candidate]:
         if key not in seen:
             seen.add(key)
             chosen.append(c)
-    return [Candidate(patches.combo_id([c.id for c in chosen[:k]]), f"combo/{k}", tuple(p for c in chosen[:k] for p in c.parts), sum(c.gain for c in chosen[:k])) for k in range(2, min(most, len(chosen)) + 1)]
+    return [stack(chosen[:k]) for k in range(2, min(most, len(chosen)) + 1)]

@@ -36,9 +36,10 @@ def histogram(binned: DataFrame, features: int, keys: Sequence[str] = (), weight
 
 
 def wide_histogram(rows: DataFrame, edges: Sequence[Sequence[float]]) -> DataFrame:
-    """The same for hundreds of features in an array x: Arrow batches binned and summed in numpy, one partial table a task. Rows whose array is null or of another width take no part."""
+    """The same for hundreds of features in an array x: Arrow batches binned and summed in numpy, one partial table a task. A record whose array is null or of another width is an error."""
     import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     bounds = [np.array(e, dtype=np.float32) for e in edges]
     width, most = len(bounds), max((len(e) for e in edges), default=0) + 1
@@ -49,6 +50,8 @@ def wide_histogram(rows: DataFrame, edges: Sequence[Sequence[float]]) -> DataFra
         for part in parts:
             if not part.num_rows:
                 continue
+            if part.column(0).null_count or (pc.list_value_length(part.column(0)).to_numpy() != width).any():
+                raise ValueError(f"a record's array isn't {width} wide")
             x = np.ascontiguousarray(part.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(-1, width).T)
             r = part.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
             bins = np.stack([np.searchsorted(e, v, side="left") for e, v in zip(bounds, x)])
@@ -59,7 +62,7 @@ def wide_histogram(rows: DataFrame, edges: Sequence[Sequence[float]]) -> DataFra
         held = np.flatnonzero(sums[0])
         yield pa.RecordBatch.from_arrays([pa.array((held // most).astype(np.int32)), pa.array((held % most).astype(np.int32)), *(pa.array(s[held]) for s in sums)], names=["feature", "bin", "n", "s", "q"])
 
-    fitting = rows.where(F.size("x") == width).select("x", "residual")
+    fitting = rows.select("x", "residual")
     made = fitting.mapInArrow(partial, "feature int, bin int, n double, s double, q double")
     return made.groupBy("feature", "bin").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
 
@@ -72,12 +75,12 @@ def merge(*parts: DataFrame) -> DataFrame:
     return whole.groupBy("feature", "bin").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
 
 
-def subtract(parent: DataFrame, child: DataFrame) -> DataFrame:
-    """The sibling's histogram; counts and squares stay at 0 or above."""
-    c = child.select("feature", "bin", F.col("n").alias("cn"), F.col("s").alias("cs"), F.col("q").alias("cq"))
+def subtract(parent: DataFrame, child: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The sibling's histogram (of each key); counts and squares stay at 0 or above."""
+    c = child.select(*keys, "feature", "bin", F.col("n").alias("cn"), F.col("s").alias("cs"), F.col("q").alias("cq"))
     zero = lambda name: F.coalesce(F.col(name), F.lit(0.0))
-    return parent.join(c, ["feature", "bin"], "left").select(
-        "feature", "bin", F.greatest(F.col("n") - zero("cn"), F.lit(0.0)).alias("n"), (F.col("s") - zero("cs")).alias("s"), F.greatest(F.col("q") - zero("cq"), F.lit(0.0)).alias("q")
+    return parent.join(c, [*keys, "feature", "bin"], "left").select(
+        *keys, "feature", "bin", F.greatest(F.col("n") - zero("cn"), F.lit(0.0)).alias("n"), (F.col("s") - zero("cs")).alias("s"), F.greatest(F.col("q") - zero("cq"), F.lit(0.0)).alias("q")
     )
 
 
@@ -91,6 +94,16 @@ def prefix_scan(hist: DataFrame, edges: DataFrame, keys: Sequence[str] = ()) ->
     return scan.select(*group, "bin", "threshold", "nl", "sl", (F.col("nt") - F.col("nl")).alias("nr"), (F.col("st") - F.col("sl")).alias("sr"))
 
 
+def with_threshold(hist: DataFrame, edges: DataFrame) -> DataFrame:
+    """feature, bin, threshold, n of the bins that end at an edge: all but each feature's last."""
+    return hist.join(edges, ["feature", "bin"]).select("feature", "bin", "threshold", "n")
+
+
+def leaf_means(sums: DataFrame, most: float) -> DataFrame:
+    """leaf, correction: the clamped mean of each leaf's residuals, from its sums n and s."""
+    return sums.select("leaf", clamped(F.col("s"), F.col("n"), most).alias("correction"))
+
+
 def clamped(s: Column, n: Column, most: float) -> Column:
     return F.when(n > 0, F.greatest(F.least(s / n, F.lit(most)), F.lit(-most))).otherwise(0.0)
 
@@ -139,9 +152,11 @@ def search_stumps(hist: DataFrame, edges: DataFrame, controls: Controls = Contro
     return found.orderBy(*rank_keys()).limit(controls.top_k)
 
 
-def best_by_leaf(hist: DataFrame, edges: DataFrame, controls: Controls) -> DataFrame:
-    """The best two-leaf split of each leaf: one row for each."""
+def best_by_leaf(hist: DataFrame, edges: DataFrame, controls: Controls, only: tuple[int, int] | None = None) -> DataFrame:
+    """The best two-leaf split of each leaf: one row for each; only: the one (feature, bin) that may split."""
     found = split_kinds(prefix_scan(hist, edges, ["leaf"]), Controls(controls.min_leaf, controls.max_correction, controls.min_gain, kinds=("two-leaf",)))
+    if only:
+        found = found.where((F.col("feature") == only[0]) & (F.col("bin") == only[1]))
     return found.withColumn("place", F.row_number().over(W.partitionBy("leaf").orderBy(*rank_keys()))).where("place = 1").drop("place")
 
 

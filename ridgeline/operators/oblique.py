@@ -2,11 +2,13 @@
 
 For one projection the records are summed by projected value, so equal values are one row; what is left of each value
 is a running sum. Values can be as many as records, so the running sum is taken in ranges: sums within a range, plus
-what the ranges before it hold. Ranges are cut at approximate quantiles and no range is larger than its share.
+what the ranges before it hold. Ranges are cut at approximate quantiles and no range is larger than its share. All
+projections of a search are evaluated together, in as many jobs as one would take.
 """
 
 from __future__ import annotations
 
+import random
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -18,6 +20,8 @@ from .binning import bin_of
 from .histogram import Controls, clamped, gain
 
 RANGES = 64
+#: Lines of one evaluation: more would outgrow generated code.
+TOGETHER = 64
 
 
 def project(corpus: DataFrame, terms: Sequence[tuple[int, float]]) -> DataFrame:
@@ -39,27 +43,61 @@ def running_sums(projected: DataFrame, ranges: int = RANGES) -> DataFrame:
     return scan.select("value", "nl", "sl", (F.col("nt") - F.col("nl")).alias("nr"), (F.col("st") - F.col("sl")).alias("sr"))
 
 
-def best_threshold(corpus: DataFrame, terms: Sequence[tuple[int, float]], controls: Controls) -> DataFrame:
-    """One row: the two-leaf split of the largest gain along a projection."""
-    scan = running_sums(project(corpus, terms)).where((F.col("nl") >= controls.min_leaf) & (F.col("nr") >= controls.min_leaf) & (F.col("nr") > 0))
+def best_thresholds(corpus: DataFrame, lines: Sequence[Sequence[tuple[int, float]]], controls: Controls, ranges: int = RANGES) -> DataFrame:
+    """line (its number), threshold, gain, ...: for each projection that has one the two-leaf split of the largest gain. Each record is expanded to its projected values; sums by value are combined before they are shuffled."""
+    value = lambda terms: weighted_sum([(F.coalesce(F.col(f"f{i}"), single(0.0)), w) for i, w in terms], 0.0)
+    cells = F.array(*[F.struct(F.lit(n).alias("line"), value(terms).alias("value")) for n, terms in enumerate(lines)])
+    w = F.col("weight").cast("double") if "weight" in corpus.columns else F.lit(1.0)
+    rows = corpus.select(w.alias("w"), (w * F.col("residual").cast("double")).alias("wr"), F.explode(cells).alias("c"))
+    values = rows.groupBy("c.line", "c.value").agg(F.sum("w").alias("n"), F.sum("wr").alias("s")).persist()
+    shares = [k / ranges for k in range(1, ranges)]
+    bounds = values.groupBy("line").agg(F.percentile_approx("value", shares, 10 * ranges).alias("q"))  # a row for each line
+    ranged = values.join(F.broadcast(bounds), "line").withColumn("range", F.size(F.filter(F.array_distinct("q"), lambda b: F.col("value") > b))).drop("q")
+    sums = ranged.groupBy("line", "range").agg(F.sum("n").alias("rn"), F.sum("s").alias("rs"))
+    before, whole = W.partitionBy("line").orderBy("range").rowsBetween(W.unboundedPreceding, -1), W.partitionBy("line")
+    zero = F.lit(0.0)
+    offsets = sums.select("line", "range", F.coalesce(F.sum("rn").over(before), zero).alias("n0"), F.coalesce(F.sum("rs").over(before), zero).alias("s0"), F.sum("rn").over(whole).alias("nt"), F.sum("rs").over(whole).alias("st"))
+    within = W.partitionBy("line", "range").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
+    scan = ranged.join(F.broadcast(offsets), ["line", "range"]).withColumn("nl", F.col("n0") + F.sum("n").over(within)).withColumn("sl", F.col("s0") + F.sum("s").over(within))
+    scan = scan.withColumn("nr", F.col("nt") - F.col("nl")).withColumn("sr", F.col("st") - F.col("sl"))
+    scan = scan.where((F.col("nl") >= controls.min_leaf) & (F.col("nr") >= controls.min_leaf) & (F.col("nr") > 0))
     scan = scan.withColumn("cl", clamped(F.col("sl"), F.col("nl"), controls.max_correction)).withColumn("cr", clamped(F.col("sr"), F.col("nr"), controls.max_correction))
-    scan = scan.withColumn("gain", gain(F.col("cl"), F.col("sl"), F.col("nl")) + gain(F.col("cr"), F.col("sr"), F.col("nr")))
-    return scan.where("gain > 0").orderBy(F.desc("gain"), F.asc("value")).limit(1).select(F.col("value").alias("threshold"), "gain", F.col("cl").cast("float").alias("left_correction"), F.col("cr").cast("float").alias("right_correction"), F.col("nl").alias("left_records"), F.col("nr").alias("right_records"))
+    scan = scan.withColumn("gain", gain(F.col("cl"), F.col("sl"), F.col("nl")) + gain(F.col("cr"), F.col("sr"), F.col("nr"))).where("gain > 0")
+    best = scan.groupBy("line").agg(F.max(F.struct("gain", (-F.col("value")).alias("minus"), "value", "cl", "cr", "nl", "nr")).alias("b"))  # ties to the smaller value
+    return best.select("line", F.col("b.value").alias("threshold"), F.col("b.gain").alias("gain"), F.col("b.cl").cast("float").alias("left_correction"), F.col("b.cr").cast("float").alias("right_correction"), F.col("b.nl").alias("left_records"), F.col("b.nr").alias("right_records"))
+
+
+def best_threshold(corpus: DataFrame, terms: Sequence[tuple[int, float]], controls: Controls) -> DataFrame:
+    """One row: the same of one projection."""
+    return best_thresholds(corpus, [terms], controls).drop("line")
+
+
+def combinations(scales: Sequence[float], seed_feature: int, count: int, seed: int) -> list[list[tuple[int, float]]]:
+    """The feature that a search starts from with each partner at half its scale, both signs, and so many random combinations of two or three features."""
+    out = [[(seed_feature, 1 / scales[seed_feature]), (j, sign * 0.5 / scales[j])] for j in range(len(scales)) if j != seed_feature for sign in (1, -1)]
+    rng = random.Random(seed)
+    for _ in range(count if len(scales) > 1 else 0):
+        chosen = rng.sample(range(len(scales)), rng.randint(2, min(3, len(scales))))
+        out.append([(i, rng.uniform(-1, 1) / scales[i]) for i in chosen])
+    return out
+
+
+def search(corpus: DataFrame, scales: Sequence[float], controls: Controls, seed_feature: int, rounds: int = 2, random_lines: int = 0, seed: int = 0) -> tuple[list[tuple[int, float]], object]:
+    """Start from the best of the combinations, then change one weight by a fifth while it helps: all changes of a round in one evaluation. Give it a sample (a search set's raw rows), as each record is expanded to every line."""
 
+    def best_of(lines):
+        best = ([], None)
+        for at in range(0, len(lines), TOGETHER):
+            found = best_thresholds(corpus, lines[at : at + TOGETHER], controls).orderBy(F.desc("gain"), F.asc("line")).first()
+            if found and (best[1] is None or found.gain > best[1].gain):
+                best = lines[at + found.line], found
+        return best
 
-def search(corpus: DataFrame, scales: Sequence[float], controls: Controls, seed_feature: int, rounds: int = 2) -> tuple[list[tuple[int, float]], object]:
-    """Start from a feature with each partner at half its scale, then change one weight at a time by a fifth while it helps."""
-    options = [[(seed_feature, 1 / scales[seed_feature]), (j, sign * 0.5 / scales[j])] for j in range(len(scales)) if j != seed_feature for sign in (1, -1)]
-    scored = [(terms, best_threshold(corpus, terms, controls).first()) for terms in options]
-    terms, best = max((x for x in scored if x[1]), key=lambda x: x[1].gain, default=([], None))
+    terms, best = best_of(combinations(scales, seed_feature, random_lines, seed))
     for _ in range(rounds if best else 0):
-        before = best.gain
-        for k in range(len(terms)):
-            for factor in (0.8, 1.25):
-                other = [(i, w * factor if j == k else w) for j, (i, w) in enumerate(terms)]
-                found = best_threshold(corpus, other, controls).first()
-                if found and found.gain > best.gain:
-                    terms, best = other, found
-        if best.gain <= before:
+        changed = [[(i, w * factor if j == k else w) for j, (i, w) in enumerate(terms)] for k in range(len(terms)) for factor in (0.8, 1.25)]
+        other, found = best_of(changed)
+        if not found or found.gain <= best.gain:
             break
+        terms, best = other, found
     return terms, best

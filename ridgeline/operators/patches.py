@@ -106,6 +106,11 @@ def scaled_gain(gain: float, by: float) -> float:
     return gain * (2 * by - by * by) if by >= 0 else -abs(gain)
 
 
+def scaled_gain_column(gain: Column, by: Column) -> Column:
+    """The same over columns."""
+    return F.when(by >= 0, gain * (2 * by - by * by)).otherwise(-F.abs(gain))
+
+
 def patch_id(node: dict, output: int = 0) -> str:
     """Content id: 16 hexadecimal digits of the canonical JSON's SHA-256."""
     return hashlib.sha256(json.dumps([output, node], sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:16]
@@ -113,3 +118,13 @@ def patch_id(node: dict, output: int = 0) -> str:
 
 def combo_id(ids: Sequence[str]) -> str:
     return hashlib.sha256("+".join(ids).encode()).hexdigest()[:16]
+
+
+def combo_id_column(ids: Column) -> Column:
+    """The same of a column of arrays."""
+    return F.substring(F.sha2(F.array_join(ids, "+"), 256), 1, 16)
+
+
+def feature_union(features: Column) -> Column:
+    """The distinct features of several patches (an array of arrays), ascending."""
+    return F.array_sort(F.array_distinct(F.flatten(features)))

@@ -1,14 +1,20 @@
-"""Scores of many candidates in one pass, the sampled screen, and the strict promotion that follows it."""
+"""Scores of many candidates in one pass, the sampled screen, and the strict promotion that follows it.
+
+A scorer is any function of (rows, candidates as (id, patches)) that gives (score, error, records) by id, with an entry
+named baseline for no correction; score_all is the one that computes them here.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import patches
+from .binning import every
 
 #: Candidates of one aggregate: more columns would outgrow generated code.
 TOGETHER = 32
@@ -43,13 +49,33 @@ def score_all(rows: DataFrame, candidates: Sequence[tuple[str, list[dict]]]) ->
     return out
 
 
+Scores = dict[str, tuple[float, float, int]]
+Scorer = Callable[[DataFrame, Sequence[tuple[str, list[dict]]]], Scores]
+
+
+def checked(scores: Scores, wanted: Sequence[str] = ()) -> Scores:
+    """Scores as they are, if they can be used: an error for a missing baseline or candidate and for any that isn't finite."""
+    missing = [k for k in ("baseline", *wanted) if k not in scores]
+    if missing:
+        raise ValueError(f"the scorer gave no {missing[0]}")
+    odd = [k for k, v in scores.items() if v[0] is None or not math.isfinite(v[0])]
+    if odd:
+        raise ValueError(f"the score of {odd[0]} isn't finite")
+    return scores
+
+
+def join_scores(listed: DataFrame, scores: DataFrame) -> DataFrame:
+    """Listed candidates with what is known of their scores: all stay, by iteration and id."""
+    return listed.join(scores, ["iteration", "id"], "left")
+
+
 def scores_frame(spark: SparkSession, scores: dict[str, tuple[float, float, int]]) -> DataFrame:
     return spark.createDataFrame([(k, *v) for k, v in sorted(scores.items())], SCORES)
 
 
 def screen_sample(rows: DataFrame, rate: float, phase: int) -> DataFrame:
-    k = max(1, round(1 / rate)) if rate > 0 else 1
-    return rows.where((F.col("record_id") + phase) % k == 0)
+    """Every k-th record by position, k = 1 / rate; another phase gives other records."""
+    return every(rows, max(1, round(1 / rate)) if rate > 0 else 1, phase)
 
 
 def rank_screen(scores: dict[str, tuple], count: int, threshold: float = 0.0) -> list[tuple[str, float]]:
@@ -70,27 +96,39 @@ def parity(local: float, other: float, absolute: float = 1e-9, relative: float =
     return abs(local - other) <= absolute + relative * abs(other)
 
 
-def promote(rows: DataFrame, candidates: Sequence[tuple[str, list[dict]]], *, rate: float = 0.05, phase: int = 0, count: int = 8, screen_threshold: float = 0.0, bypass_count: int = 1, min_improvement: float = 0.0, stored_baseline: float | None = None, drift: float = 1e-9, seed: int = 0) -> dict:
-    """Screen on a sample, score those promoted over all rows with the baseline in the same pass, and name a winner or none."""
+def vetoed(base: float, stored: float | None, drift: float = 1e-9) -> bool:
+    """Whether the baseline isn't the one that is stored any more, so nothing may be accepted."""
+    return stored is not None and abs(base - stored) > drift
+
+
+def promote(rows: DataFrame, candidates: Sequence[tuple[str, list[dict]]], *, rate: float = 0.05, phase: int = 0, count: int = 8, screen_threshold: float = 0.0, bypass_count: int = 1, min_improvement: float = 0.0, stored_baseline: float | None = None, drift: float = 1e-9, seed: int = 0, scorer: Scorer = score_all) -> dict:
+    """Screen on a sample, score those promoted over all rows with the baseline in the same pass, and name a winner or none.
+
+    Some of those that the screen rejects are scored too (bypass): one of them that clears the bar is a false negative
+    of the screen; one that was promoted and doesn't is a false positive.
+    """
     known = dict(candidates)
-    screened = None
+    screened, extra = None, []
     chosen = list(known)
     if len(known) > count:
-        screened = score_all(screen_sample(rows, rate, phase), candidates)
+        screened = checked(scorer(screen_sample(rows, rate, phase), candidates), chosen)
         ranked = [k for k, _ in rank_screen(screened, count, screen_threshold)]
         extra = bypass([k for k in known if k not in ranked], bypass_count, seed)
         chosen = [*ranked, *extra]
-    full = score_all(rows, [(k, known[k]) for k in chosen])
+    full = checked(scorer(rows, [(k, known[k]) for k in chosen]), chosen)
     base = full["baseline"][0]
     deltas = {k: full[k][0] - base for k in chosen}
     able = sorted((k for k in chosen if deltas[k] > min_improvement), key=lambda k: (-deltas[k], k))
-    drifted = stored_baseline is not None and abs(base - stored_baseline) > drift
+    drifted = vetoed(base, stored_baseline, drift)
     return {
         "screen": screened,
         "promoted": chosen,
         "full": full,
         "deltas": deltas,
-        "false_positives": sum(deltas[k] <= min_improvement for k in chosen),
+        "bypass": extra,
+        "drift": None if stored_baseline is None else base - stored_baseline,
+        "false_positives": sum(deltas[k] <= min_improvement for k in chosen if k not in extra),
+        "false_negatives": sum(deltas[k] > min_improvement for k in extra),
         "winner": None if drifted or not able else able[0],
         "veto": drifted,
     }

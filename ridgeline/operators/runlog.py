@@ -2,6 +2,9 @@
 
 Experiments: iteration, timestamp, baseline_score, search_ms, screen_ms, full_ms, winner, improvement, accepted, and
 candidates (array of struct). What can't be measured is null, never 0.
+
+A log has one record a line, of four kinds (record): header, baseline, experiment and summary; line is its number, as
+files have no order of their own. LOG is the schema of all of them together.
 """
 
 from __future__ import annotations
@@ -11,6 +14,69 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+CANDIDATE = "struct<id:string,strategy:string,backend:string,depth:int,features:array<int>,predicted_gain:double,affected_records:double,affected_fraction:double,promoted:boolean,bypass:boolean,screen_delta:double,full_delta:double>"
+LOG = (
+    "line long, record string, timestamp long, seed long, score double, iteration long, baseline_score double, search_ms long, merge_ms long, screen_ms long, full_ms long, "
+    f"generated long, discarded array<struct<id:string,reason:string>>, candidates array<{CANDIDATE}>, screened long, promoted long, bypassed long, full_scored long, winner string, improvement double, accepted boolean, "
+    "false_positives long, false_negatives long, error string, stop string, opening_score double, final_score double, wall_ms long"
+)
+
+
+def experiments_of(log: DataFrame) -> DataFrame:
+    return log.where("record = 'experiment'")
+
+
+def report(log: DataFrame) -> DataFrame:
+    """One row over a whole log: scores, counts, times, rates. The first header starts the run; the first baseline (or the summary) opens it, the last record of these closes it; a failure that disagrees with the stored baseline is a veto."""
+    kind = lambda name: F.col("record") == name
+    exp, base, end = kind("experiment"), kind("baseline"), kind("summary")
+    on = lambda cond, value: F.when(cond, value)
+    at = lambda cond, value: F.when(cond & value.isNotNull(), F.struct(F.col("line"), value.alias("v")))
+    total = lambda name: F.coalesce(F.sum(on(exp, F.col(name))), F.lit(0)).cast("long")
+    won = exp & F.col("accepted") & F.col("winner").isNotNull() & F.col("improvement").isNotNull()
+    found = log.agg(
+        F.min(at(kind("header"), F.col("timestamp"))).v.alias("start"),
+        F.max(at(exp, F.col("timestamp"))).v.alias("last"),
+        F.coalesce(F.min(at(base, F.col("score"))).v, F.min(at(end, F.col("opening_score"))).v).alias("opening_score"),
+        F.max(at(base | end, F.when(base, F.col("score")).otherwise(F.col("final_score")))).v.alias("final_score"),
+        F.max(at(end, F.col("stop"))).v.alias("stop"),
+        F.max(at(end, F.col("wall_ms"))).v.alias("wall"),
+        F.count_if(exp).alias("iterations"),
+        F.count_if(won).alias("acceptances"),
+        F.count_if(exp & F.col("error").isNotNull()).alias("failures"),
+        F.count_if(exp & F.col("error").contains("disagrees")).alias("vetoes"),
+        total("generated").alias("generated"),
+        F.coalesce(F.sum(on(exp, F.size("discarded"))), F.lit(0)).cast("long").alias("discarded"),
+        *[total(c).alias(c) for c in ("screened", "promoted", "bypassed", "full_scored", "false_positives", "false_negatives", "search_ms", "merge_ms", "screen_ms", "full_ms")],
+        F.min(on(won, F.col("timestamp"))).alias("first"),
+    )
+    wall = F.coalesce(F.when(F.col("wall") > 0, F.col("wall")), F.greatest(F.col("last") - F.col("start"), F.lit(0)) * 1000)
+    ratio = lambda a, b: F.try_divide(F.col(a).cast("double"), b)
+    found = found.withColumn("wall_ms", wall).withColumn("improvement", F.col("final_score") - F.col("opening_score")).withColumn("first_acceptance_ms", F.greatest(F.col("first") - F.col("start"), F.lit(0)) * 1000)
+    minutes = F.col("wall_ms") / 60_000.0
+    return found.withColumns(
+        {
+            "improvement_per_hour": ratio("improvement", minutes / 60),
+            "searches_per_minute": ratio("iterations", minutes),
+            "candidates_per_minute": ratio("generated", minutes),
+            "search_share": ratio("search_ms", (F.col("search_ms") + F.col("screen_ms") + F.col("full_ms")).cast("double")),
+            "false_positive_rate": ratio("false_positives", F.col("promoted").cast("double")),
+            "false_negative_rate": ratio("false_negatives", F.col("bypassed").cast("double")),
+        }
+    ).drop("start", "last", "first", "wall")
+
+
+def first_acceptance(experiments: DataFrame) -> DataFrame:
+    """One row: when the first improvement was accepted."""
+    return experiments.where("accepted").agg(F.min("timestamp").alias("first_acceptance"))
+
+
+def compare(experiments: DataFrame, run: str = "run") -> DataFrame:
+    """A row for each run: iterations, acceptances, improvement."""
+    won = F.col("accepted")
+    return experiments.groupBy(run).agg(F.count("*").alias("iterations"), F.count_if(won).alias("acceptances"), F.sum(F.when(won, F.col("improvement"))).alias("improvement"))
+
+
 def totals(experiments: DataFrame, start: int) -> DataFrame:
     """One row. Times are in milliseconds; differences of times stop at 0."""
     won = F.col("accepted") & F.col("winner").isNotNull() & F.col("improvement").isNotNull()

@@ -1,8 +1,9 @@
 """Trees of depth 1 to 3: each round is one histogram pass with the leaf as a key.
 
-The corpus is read once a round, all open leaves together; what comes back is one best split a leaf. Level-wise growth
-splits every leaf that has a split, best-first the best of all. Binned rows are written nowhere: the leaf is a CASE
-over bins, so plans stay as short as the tree is deep.
+The binned records are read once a round, and of two new leaves only the smaller one's are summed: the larger one is
+what is left of their parent. What comes back is one best split a leaf. Level-wise growth splits every leaf that has a
+split, best-first the best of all. The leaf is a CASE over bins, so plans stay as short as the tree is deep; binned
+records are kept (persisted, so what an executor loses is computed again), the histograms of the open leaves too.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import patches
-from .histogram import Controls, best_by_leaf, histogram
+from .histogram import Controls, best_by_leaf, histogram, subtract
 
 
 @dataclass
@@ -24,6 +25,7 @@ class Leaf:
     s: float = 0.0
     best: object = None
     open: bool = True
+    parent: int = -1  # which leaf of the round before it is a part of
 
 
 @dataclass
@@ -72,22 +74,45 @@ def snapshot(leaves: list[Leaf], most: float) -> Tree:
     return Tree(max(len(x.path) for x in leaves), [Leaf(x.path, x.n, x.s) for x in leaves], gain, affected)
 
 
+def histograms(binned: DataFrame, leaves: list[Leaf], fresh: Sequence[int], before: DataFrame | None, width: int) -> DataFrame:
+    """leaf, feature, bin, n, s, q of the fresh leaves: the smaller of two siblings by a pass over its records, the other by subtraction from their parent."""
+    weight = "weight" if "weight" in binned.columns else None
+    pairs: dict[int, list[int]] = {}
+    for i in fresh:
+        pairs.setdefault(leaves[i].parent, []).append(i)
+    summed = [min(own, key=lambda i: (leaves[i].n, i)) for own in pairs.values()]
+    made = histogram(binned.withColumn("leaf", leaf_column(leaves, summed)).where("leaf IS NOT NULL"), width, ["leaf"], weight)
+    rest = {p: (small, next(i for i in own if i != small)) for (p, own), small in zip(pairs.items(), summed) if len(own) == 2}
+    if before is None or not rest:
+        return made
+    made = made.persist()
+    renamed = lambda df, by: df.withColumn("leaf", F.element_at(F.create_map(*[F.lit(x) for pair in by.items() for x in pair]), F.col("leaf"))).where("leaf IS NOT NULL")
+    parents = renamed(before.where(F.col("leaf").isin(list(rest))), {p: large for p, (_, large) in rest.items()})
+    children = renamed(made.where(F.col("leaf").isin([small for small, _ in rest.values()])), {small: large for small, large in rest.values()})
+    return made.unionByName(subtract(parents, children, ["leaf"]).where("n > 0"))
+
+
 def grow_tree(binned: DataFrame, edges: DataFrame, width: int, controls: Controls, max_depth: int = 3, best_first: bool = False, root: tuple[int, int] | None = None) -> list[Tree]:
     """The last tree of each depth. Frozen leaves keep their best split in best-first growth, as they stay eligible."""
     max_depth = min(3, max(1, max_depth))
     leaves, done, splits = [Leaf(())], {}, 0
+    kept = binned.select(*[f"b{i}" for i in range(width)], "residual", *(["weight"] if "weight" in binned.columns else [])).persist()
+    held: list[DataFrame] = [kept]
+    before = None
     while True:
         fresh = [i for i, leaf in enumerate(leaves) if leaf.open]
         if fresh:
-            hist = histogram(binned.withColumn("leaf", leaf_column(leaves, fresh)).where("leaf IS NOT NULL"), width, ["leaf"]).persist()
+            hist = histograms(kept, leaves, fresh, before, width).persist()
+            held.append(hist)
             for r in hist.where("feature = 0").groupBy("leaf").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).collect():
                 leaves[r.leaf].n, leaves[r.leaf].s = r.n, r.s
             for i in fresh:
                 leaves[i].best = None
-            found = best_by_leaf(hist.where((F.col("feature") == root[0])), edges.where(F.col("bin") == root[1]), controls) if root and leaves[0].path == () else best_by_leaf(hist, edges, controls)
+            found = best_by_leaf(hist, edges, controls, root if leaves[0].path == () else None)
             for r in found.collect():
                 leaves[r.leaf].best = r
-            hist.unpersist()
+        else:
+            hist = None
         able = [i for i, leaf in enumerate(leaves) if leaf.best is not None and (best_first or leaf.open)]
         if best_first and able:
             able = [min(able, key=lambda i: (-leaves[i].best.gain, leaves[i].best.feature, leaves[i].best.bin))]
@@ -98,10 +123,14 @@ def grow_tree(binned: DataFrame, edges: DataFrame, width: int, controls: Control
             if i in able and splits < 2**max_depth - 1 and len(leaf.path) < max_depth:
                 b, splits = leaf.best, splits + 1
                 for right, n, c in ((False, b.left_records, b.left_correction), (True, b.right_records, b.right_correction)):
-                    grown.append(Leaf((*leaf.path, (b.feature, b.bin, b.threshold, right)), n, c * n))
+                    grown.append(Leaf((*leaf.path, (b.feature, b.bin, b.threshold, right)), n, c * n, parent=i))
             else:
-                grown.append(Leaf(leaf.path, leaf.n, leaf.s, leaf.best, False))
+                grown.append(Leaf(leaf.path, leaf.n, leaf.s, leaf.best, False, i))
         moved = len(grown) > len(leaves)
+        # what the next round subtracts from: the histograms of all leaves there are now, under their present numbers
+        if hist is not None:
+            old = [i for i in range(len(leaves)) if i not in fresh]
+            before = hist if before is None or not old else hist.unionByName(before.withColumn("leaf", F.element_at(F.create_map(*[F.lit(x) for i in old for x in (leaves[i].parent, i)]), F.col("leaf"))).where("leaf IS NOT NULL"))
         leaves = grown
         if not moved:
             break
@@ -109,4 +138,6 @@ def grow_tree(binned: DataFrame, edges: DataFrame, width: int, controls: Control
         done[tree.depth] = tree
         if tree.depth >= max_depth or splits >= 2**max_depth - 1:
             break
+    for df in held:
+        df.unpersist()
     return list(done.values())

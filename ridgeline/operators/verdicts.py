@@ -1,15 +1,20 @@
 """The shared verdict store: what was tried on which model, and how it ended.
 
-Rows: position, id, incumbent, outcome (accepted | rejected), delta, at_unix (seconds), host, inputs. Everything is an
-aggregate by id or by (id, incumbent), so partial aggregates keep hot ids small.
+Rows: position, id, incumbent, outcome (accepted | rejected), delta, at_unix (seconds), host, inputs, outputs, members (the
+ids of a stack's patches; null or empty for a patch of its own), notes. Everything is an aggregate by id or by (id,
+incumbent), so partial aggregates keep hot ids small.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .merging import PREFIX, SHARED
+
 
 def accepted():
     return F.col("outcome") == "accepted"
@@ -41,15 +46,50 @@ def tried(verdicts: DataFrame, incumbent: str) -> DataFrame:
     return verdicts.where(F.col("incumbent") == incumbent).select("id").distinct()
 
 
-def choose(verdicts: DataFrame, incumbent: str, inputs: int, carried: DataFrame, now: int, retry_after: int, most: int) -> DataFrame:
-    """place, id, kind (win | retry), delta, at_unix: what to replay on a model. Wins by delta, then those whose wait is over, the oldest first; not what the model has tried or carries."""
-    own = verdicts.where(F.col("inputs") == inputs)
-    found = evidence(own).join(tried(own, incumbent), "id", "left_anti").join(carried.select("id").distinct(), "id", "left_anti")
+def merged_patch_id(neuron: Column) -> Column:
+    """The patch that a neuron's name says it belongs to; null for other names and for constants that patches share."""
+    found = F.nullif(F.regexp_extract(neuron, f"^{PREFIX}([^-]+)-.+$", 1), F.lit(""))
+    return F.nullif(found, F.lit(SHARED))
+
+
+def shared_ids(one: DataFrame, other: DataFrame) -> DataFrame:
+    """id of what both have."""
+    return one.select("id").intersect(other.select("id"))
+
+
+def members(verdicts: DataFrame) -> DataFrame:
+    """id, member of each patch of each verdict; a patch of its own is its only member."""
+    own = F.array("id")
+    listed = F.when(F.size("members") > 0, F.col("members")).otherwise(own) if "members" in verdicts.columns else own
+    return verdicts.select("id", F.explode(listed).alias("member")).distinct()
+
+
+def open_ids(verdicts: DataFrame, incumbent: str, carried: DataFrame) -> DataFrame:
+    """id of what wasn't tried on a model and of which it doesn't carry all members."""
+    left = members(verdicts).join(carried.select(F.col("id").alias("member")).distinct(), "member", "left_anti").select("id").distinct()
+    return left.join(tried(verdicts, incumbent), "id", "left_anti")
+
+
+def replay_rank() -> list[Column]:
+    """Wins by delta, then those whose wait is over, the oldest first; ties by id."""
+    win = F.col("kind") == "win"
+    return [F.when(win, 0).otherwise(1).asc(), F.when(win, -F.col("best_delta")).asc(), F.when(~win, F.col("last_at")).asc(), F.col("id").asc()]
+
+
+def ranked(found: DataFrame, now: int, retry_after: int) -> DataFrame:
+    """Evidence with its kind: a win that wasn't rejected more often than accepted, or what was tried long enough ago; the rest goes."""
     kind = F.when((F.col("wins") > 0) & (F.col("losses") <= F.col("wins")), "win").when(F.greatest(F.lit(now) - F.col("last_at"), F.lit(0)) >= retry_after, "retry")
-    ranked = found.withColumn("kind", kind).where("kind IS NOT NULL")
-    first = F.when(F.col("kind") == "win", 0).otherwise(1)
-    order = [first.asc(), F.when(F.col("kind") == "win", -F.col("best_delta")).asc(), F.when(F.col("kind") == "retry", F.col("last_at")).asc(), F.col("id").asc()]
-    top = ranked.orderBy(*order).limit(most)
+    return found.withColumn("kind", kind).where("kind IS NOT NULL")
+
+
+def choose(verdicts: DataFrame, incumbent: str, inputs: int, carried: DataFrame, now: int, retry_after: int, most: int, outputs: int | None = None) -> DataFrame:
+    """place, id, kind (win | retry), delta, at_unix: what to replay on a model of so many inputs and outputs. Wins by delta, then those whose wait is over, the oldest first; not what the model has tried, nor what it carries all members of."""
+    own = verdicts.where(F.col("inputs") == inputs)
+    if outputs is not None:
+        own = own.where(F.col("outputs") == outputs)
+    found = ranked(evidence(own).join(open_ids(own, incumbent, carried), "id", "left_semi"), now, retry_after)
+    order = replay_rank()
+    top = found.orderBy(*order).limit(most)
     delta, at = F.when(F.col("kind") == "win", F.col("best_delta")), F.when(F.col("kind") == "win", F.col("best_at")).otherwise(F.col("last_at"))
     return top.withColumn("place", F.row_number().over(W.orderBy(*order))).select("place", "id", "kind", delta.alias("delta"), at.alias("at_unix"))
 
@@ -84,6 +124,29 @@ def unfiled(verdicts: DataFrame, filed: DataFrame) -> DataFrame:
     return verdicts.join(filed.select("id", "incumbent").distinct(), ["id", "incumbent"], "left_anti")
 
 
+#: Notes of a verdict that are filed, at most, and the characters of one.
+NOTES, NOTE_LENGTH = 8, 200
+
+
+def to_file(tested: DataFrame, filed: DataFrame) -> DataFrame:
+    """Verdicts that are worth filing: those of a full score (full_delta isn't null) that aren't filed for their (id, incumbent), with their notes trimmed."""
+    notes = F.transform(F.slice(F.coalesce("notes", F.array().cast("array<string>")), 1, NOTES), lambda n: F.substring(n, 1, NOTE_LENGTH))
+    return unfiled(tested.where(F.col("full_delta").isNotNull()), filed).withColumn("notes", notes).withColumn("delta", F.col("full_delta")).drop("full_delta")
+
+
+def counts_of(marked_rows: DataFrame) -> DataFrame:
+    """fate, verdicts of a plan."""
+    return marked_rows.groupBy("fate").agg(F.count("*").alias("verdicts"))
+
+
+def by_host(verdicts: Sequence[DataFrame]) -> DataFrame:
+    """host, verdicts, ids over the stores of several hosts."""
+    whole = verdicts[0]
+    for v in verdicts[1:]:
+        whole = whole.unionByName(v, allowMissingColumns=True)
+    return whole.groupBy("host").agg(F.count("*").alias("verdicts"), F.countDistinct("id").alias("ids"))
+
+
 def safe_name(name):
     """A path component: letters, digits, - and _; `unknown` if nothing is left."""
     return F.coalesce(F.nullif(F.btrim(F.regexp_replace(name, "[^A-Za-z0-9_-]", "-"), F.lit("-")), F.lit("")), F.lit("unknown"))

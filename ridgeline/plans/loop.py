@@ -1,22 +1,58 @@
 """The improvement loop: bins once, then search, expand, screen, promote and accept until nothing helps.
 
+A search looks at a search set (a sample with its bins and weights) and finds stumps, trees, lines and boosted bundles;
+variants, stacks, what nearly won the round before and what won elsewhere join them, and what is known to fail leaves.
 Each round's residuals are written to the shared folder, so no round's plan holds the rounds before it. What comes to
-the driver is a few ranked stumps and a score for each candidate.
+the driver is a few ranked discoveries and a score for each candidate.
 """
 
 from __future__ import annotations
 
+import json
+import time
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import binning, candidates, histogram, patches, promotion
+from ..operators import binning, candidates, histogram, merging, oblique, patches, promotion, sampling, trees, verdicts
+from ..operators.candidates import Candidate
 from ..operators.histogram import Controls
+from ..operators.residuals import Model
+from ..sources import files
 from . import store
 
 
+@dataclass(frozen=True)
+class Search:
+    """What a round looks for, and where."""
+
+    sampler: str = "stride"
+    records: int = 0  # of a search set; 0: all
+    feature_share: float = 1.0  # random features of a round
+    depth: int = 1  # of trees; 1: stumps only
+    best_first: bool = False
+    roots: int = 1  # trees that start from the best stumps of so many features
+    lines: int = 0  # random lines besides the best feature with each partner; 0: no lines at all
+    boost: int = 1  # stumps of a boosted bundle; 1: none
+    stacks: int = 4
+    most: int = 64  # candidates of a round: stacks first, then as many single ones as there is room for
+
+
+@dataclass(frozen=True)
+class Memory:
+    """A store of verdicts that hosts share: its root, the corpus's and the host's name there, and how long a failure isn't tried again."""
+
+    root: str
+    corpus: str
+    host: str
+    incumbent: str = ""
+    retry_after: int = 7 * 86_400
+    replay: int = 8
+
+
 @dataclass
 class Outcome:
     stop: str = ""
@@ -24,55 +60,242 @@ class Outcome:
     scores: list = field(default_factory=list)
     log: list = field(default_factory=list)
     residuals: DataFrame | None = None
+    model: Model | None = None
 
 
 def boost(binned: DataFrame, edges: DataFrame, listed, width: int, controls: Controls, rounds: int) -> list[dict]:
-    """Stumps found one after another, each on what the ones before leave."""
+    """Stumps found one after another, each on what the ones before leave. What they leave is written, so no round's plan holds the rounds before it."""
     out: list[dict] = []
     now = binned
-    for _ in range(rounds):
-        best = histogram.search_stumps(histogram.histogram(now, width), edges, controls).first()
+    weight = "weight" if "weight" in binned.columns else None
+    for i in range(rounds):
+        best = histogram.search_stumps(histogram.histogram(now, width, weight=weight), edges, controls).first()
         if best is None:
             break
         node = patches.stump_of(best)
         out.append(node)
-        now = patches.apply(now, node, patches.value_on_bins(node, listed))
+        if i + 1 < rounds:
+            now = store.written(patches.apply(now, node, patches.value_on_bins(node, listed)), "boosted")
     return out
 
 
-def run(corpus: DataFrame, features: list[str], *, bins: int = 32, controls: Controls = Controls(), iterations: int = 10, patience: int = 1, count: int = 8, rate: float = 0.2, min_improvement: float = 0.0, seed: int = 0) -> Outcome:
+def discoveries(rows: DataFrame, searched: DataFrame, features: Sequence[str], edges: DataFrame, listed, controls: Controls, search: Search, seed: int) -> tuple[list[Candidate], list[Candidate]]:
+    """(single candidates, bundles) of one round: stumps and their variants, trees, lines; prefixes of a boosted bundle."""
+    width = len(features)
+    hist = histogram.histogram(searched, width, weight="weight").persist()
+    ranked = histogram.search_stumps(hist, edges, controls)
+    ranked = ranked.withColumn("place", F.row_number().over(W.orderBy(*histogram.rank_keys())))
+    singles = candidates.of_rows(candidates.expand(candidates.nonzero(ranked), edges).orderBy("phase", "step", "place").collect())
+    found = []
+    best = histogram.search_stumps(hist, edges, Controls(controls.min_leaf, controls.max_correction, controls.min_gain, max(1, search.roots), 1)).collect()
+    hist.unpersist()
+    if search.depth > 1 and best:
+        name = "best-first" if search.best_first else "level"
+        for root in [None, *((r.feature, r.bin) for r in best[1 : search.roots])]:
+            for tree in trees.grow_tree(searched, edges, width, controls, search.depth, search.best_first, root):
+                if tree.depth > 1:
+                    found.append((tree.node(controls.max_correction), f"tree/{name}/{tree.depth}", tree.gain))
+    if search.lines and best and width > 1:
+        scales = {r.feature: r.scale for r in binning.feature_scale(edges).collect()}
+        raw = sampling.raw_rows(rows, searched).persist()
+        terms, line = oblique.search(raw, [scales.get(i, 1.0) for i in range(width)], controls, best[0].feature, 2, search.lines, seed)
+        raw.unpersist()
+        if line:
+            found.append((patches.oblique(terms, line.threshold, patches.leaf(line.left_correction), patches.leaf(line.right_correction)), "oblique", line.gain))
+    bundle = candidates.of_nodes([(node, "boost-round", 0.0) for node in boost(searched, edges, listed, width, controls, search.boost)]) if search.boost > 1 else []
+    singles = [*candidates.of_nodes(sorted(found, key=lambda x: -x[2])), *singles]
+    return singles, [candidates.stack(bundle[:k]) for k in range(2, len(bundle) + 1)]
+
+
+def replayed(known: DataFrame, memory: Memory, model: Model | None, inputs: int, outputs: int, now: int) -> list[Candidate]:
+    """What won on other models, as candidates."""
+    spark = known.sparkSession
+    carried = spark.createDataFrame([(x,) for x in sorted(merging.merged_ids(model))] if model else [], "id string")
+    chosen = verdicts.choose(known, memory.incumbent, inputs, carried, now, memory.retry_after, memory.replay, outputs)
+    parts = known.where("parts IS NOT NULL").groupBy("id").agg(F.max("parts").alias("parts"))
+    return [Candidate(r.id, "replay", tuple(json.loads(r.parts)), 0.0) for r in chosen.join(parts, "id").orderBy("place").collect()]
+
+
+def failing(known: DataFrame, found: Sequence[Candidate], now: int, retry_after: int) -> set[str]:
+    """Which of some candidates are known to fail."""
+    ids = known.sparkSession.createDataFrame([(c.id,) for c in found], "id string")
+    return {r.id for r in ids.join(verdicts.known_failures(known, now, retry_after), "id", "left_semi").collect()}
+
+
+def run(
+    corpus: DataFrame,
+    features: list[str],
+    *,
+    bins: int = 32,
+    controls: Controls = Controls(),
+    search: Search = Search(),
+    iterations: int = 10,
+    patience: int = 1,
+    count: int = 8,
+    rate: float = 0.2,
+    min_improvement: float = 0.0,
+    seed: int = 0,
+    outputs: Sequence[str] = ("residual",),
+    model: Model | None = None,
+    memory: Memory | None = None,
+    log: files.LogWriter | None = None,
+    scorer: promotion.Scorer = promotion.score_all,
+    failures: int = 3,
+    seconds: float | None = None,
+    cancelled: Callable[[], bool] = lambda: False,
+    clock: Callable[[], float] = time.time,
+) -> Outcome:
+    """Improve until nothing helps, or a limit is reached. outputs: the residual columns that rounds take in turn. model: a graph that corrections are merged into; what can't be merged is no candidate."""
+    spark, width, began = corpus.sparkSession, len(features), clock()
     edges = store.written(binning.build_edges(corpus, features, bins), "edges")
-    listed = binning.collect_edges(edges, len(features))
-    now, out, idle = corpus, Outcome(), 0
-    score = None
+    listed = binning.collect_edges(edges, width)
+    now, out, idle, broken = corpus, Outcome(model=model), 0, 0
+    scores: dict[str, float] = {}
+    carried: list[Candidate] = []
+
+    def note(record: str, **fields) -> None:
+        out.log.append({"record": record} | fields)
+        if log:
+            log.append(record, **fields)
+
+    def merges(output: int):
+        return (lambda c: merging.merge_all(out.model, c.parts, output, inputs=width)) if out.model else None
+
+    for name, own in {o: promotion.checked(scorer(with_residual(now, o), []))["baseline"] for o in outputs}.items():
+        scores[name] = own[0]
+    opening = sum(scores.values()) / len(scores)
+    out.scores.append(opening)
+    note("header", timestamp=int(clock()), seed=seed)
+    note("baseline", score=opening)
     for iteration in range(iterations):
-        hist = histogram.histogram(binning.bin_rows(now, features, listed), len(features))
-        ranked = histogram.search_stumps(hist, edges, controls)
-        ranked = ranked.withColumn("place", F.row_number().over(W.orderBy(*histogram.rank_keys())))
-        singles = candidates.distinct(candidates.expand(ranked, edges).orderBy("phase", "step", "place").collect())
-        every = [*singles, *candidates.combos(singles)]
+        if cancelled():
+            out.stop = "cancelled"
+        elif seconds is not None and clock() - began >= seconds:
+            out.stop = "timeout"
+        elif broken >= failures:
+            out.stop = "scorer failures"
+        if out.stop:
+            break
+        output = iteration % len(outputs)
+        own_seed = seed * 1_000_003 + iteration
+        rows = with_residual(now, outputs[output])
+        started = clock()
+        chosen = sampling.random_features(width, search.feature_share, own_seed) if search.feature_share < 1 else None
+        searched = store.written(sampling.search_set(rows, features, listed, sampler=search.sampler, target=search.records, seed=own_seed, chosen=chosen), "search-set")
+        singles, bundles = discoveries(rows, searched, features, edges, listed, controls, search, own_seed)
+        first = singles[0] if singles else None
+        stacks = [*bundles, *candidates.combos(candidates.select(singles)[0], search.stacks)]
+        if carried:
+            singles = [*singles, *carried]
+            stacks += [candidates.stack(x) for x in (carried, [first, *carried] if first else []) if len(x) > 1]
+        avoid: set[str] = set()
+        if memory:
+            known = files.read_verdicts(spark, memory.root, memory.corpus)
+            singles = [*replayed(known, memory, out.model, width, len(outputs), int(clock())), *singles]
+            avoid = failing(known, [*singles, *stacks], int(clock()), memory.retry_after)
+        searched_ms, started = ms(clock() - started), clock()
+        kept, discarded = candidates.select(stacks, avoid=avoid, merge=merges(output))
+        room = max(0, search.most - len(kept))
+        alone, more = candidates.select(singles, room, avoid, merges(output)) if room else ([], [])
+        every, discarded = [*alone, *kept], [*discarded, *more]
+        merged_ms, started = ms(clock() - started), clock()
+        base = {"timestamp": int(clock()), "iteration": iteration, "baseline_score": scores[outputs[output]], "search_ms": searched_ms, "merge_ms": merged_ms, "generated": len(singles) + len(stacks), "discarded": [{"id": i, "reason": r} for i, r in discarded]}
         if not every:
+            note("experiment", **base, accepted=False)
             out.stop = "no candidates"
             break
-        found = promotion.promote(now, [(c.id, list(c.parts)) for c in every], rate=rate, phase=iteration, count=count, min_improvement=min_improvement, seed=seed, stored_baseline=score)
-        by_id = {c.id: c for c in every}
-        base = found["full"]["baseline"][0]
-        if not out.scores:
-            out.scores.append(base)
-        out.log.append({"iteration": iteration, "candidates": len(every), "promoted": len(found["promoted"]), "winner": found["winner"], "veto": found["veto"]})
-        if found["winner"] is None:
+        try:
+            found = promotion.promote(rows, [(c.id, list(c.parts)) for c in every], rate=rate, phase=iteration, count=count, min_improvement=min_improvement, seed=own_seed, stored_baseline=scores[outputs[output]], scorer=scorer)
+        except ValueError as error:  # a scorer that gives no usable score fails this round, not the run
+            broken += 1
+            note("experiment", **base, accepted=False, error=str(error))
+            continue
+        broken = 0
+        by_id, winner = {c.id: c for c in every}, found["winner"]
+        screened = len(every) if found["screen"] else 0
+        note(
+            "experiment",
+            **base,
+            full_ms=ms(clock() - started),
+            screen_ms=0,
+            candidates=[entry(c, found) for c in every],
+            screened=screened,
+            promoted=len(found["promoted"]) - len(found["bypass"]) if screened else 0,
+            bypassed=len(found["bypass"]),
+            full_scored=len(found["promoted"]),
+            winner=winner,
+            improvement=found["deltas"][winner] if winner else None,
+            accepted=winner is not None,
+            false_positives=found["false_positives"],
+            false_negatives=found["false_negatives"],
+            error="the baseline disagrees with the stored one" if found["veto"] else None,
+        )
+        if memory and not found["veto"]:
+            file(found, by_id, memory, width, len(outputs), int(clock()), spark, min_improvement)
+        near = sorted((k for k in found["promoted"] if k != winner and found["deltas"][k] > 0), key=lambda k: (-found["deltas"][k], k))
+        carried = [] if winner is None else [Candidate(c.id, f"carry-forward:{c.strategy}", c.parts, c.gain) for c in (by_id[k] for k in near[:2]) if len(c.parts) == 1]
+        if winner is None:
             idle += 1
             if idle > patience:
                 out.stop = "no improvement"
                 break
             continue
-        idle, best = 0, by_id[found["winner"]]
+        idle, best = 0, by_id[winner]
+        rows = with_residual(now, outputs[output])
         for part in best.parts:
-            now = patches.apply(now, part)
-        now = store.written(now, f"residuals-{iteration}")
-        score = promotion.score_all(now, [])["baseline"][0]
+            rows = patches.apply(rows, part)
+        now = store.written(rows if outputs[output] == "residual" else rows.withColumn(outputs[output], F.col("residual")), f"residuals-{iteration}")
+        if out.model:
+            out.model, _ = merging.merge_all(out.model, best.parts, output, inputs=width)
+        scores[outputs[output]] = promotion.checked(scorer(with_residual(now, outputs[output]), []))["baseline"][0]
         out.accepted.append((best.id, best.strategy, best.parts, found["deltas"][best.id]))
-        out.scores.append(score)
+        out.scores.append(sum(scores.values()) / len(scores))
     out.stop = out.stop or "iterations"
+    note("summary", timestamp=int(clock()), stop=out.stop, opening_score=opening, final_score=out.scores[-1], wall_ms=ms(clock() - began))
     out.residuals = now
     return out
+
+
+def with_residual(rows: DataFrame, output: str) -> DataFrame:
+    return rows if output == "residual" else rows.withColumn("residual", F.col(output))
+
+
+def ms(seconds: float) -> int:
+    return round(1000 * seconds)
+
+
+def entry(c: Candidate, found: dict) -> dict:
+    """A candidate as the log has it."""
+    base = (found["screen"] or {}).get("baseline", (None,))[0]
+    known = (found["screen"] or {}).get(c.id)
+    return {
+        "id": c.id,
+        "strategy": c.strategy,
+        "backend": "spark",
+        "depth": max(patches.depth(p) for p in c.parts),
+        "features": sorted({f for p in c.parts for f in patches.features(p)}),
+        "predicted_gain": c.gain,
+        "promoted": c.id in found["promoted"],
+        "bypass": c.id in found["bypass"],
+        "screen_delta": known[0] - base if known else None,
+        "full_delta": found["deltas"].get(c.id),
+    }
+
+
+def file(found: dict, by_id: dict[str, Candidate], memory: Memory, inputs: int, outputs: int, now: int, spark, bar: float) -> None:
+    """Append the verdicts of a round's full scores that aren't filed yet."""
+    rows = []
+    for name, delta in found["deltas"].items():
+        c = by_id[name]
+        own = [patches.patch_id(p) for p in c.parts]
+        rows.append((name, "accepted" if delta > bar else "rejected", delta, memory.incumbent, now, inputs, outputs, own if len(own) > 1 else None, json.dumps(c.parts), [c.strategy]))
+    tested = spark.createDataFrame(rows, "id string, outcome string, full_delta double, incumbent string, at_unix long, inputs int, outputs int, members array<string>, parts string, notes array<string>")
+    filed = files.read_verdicts(spark, memory.root, memory.corpus)
+    files.append_verdicts(verdicts.to_file(tested, filed), memory.root, memory.corpus, memory.host)
+
+
+def promote_dump(rows: DataFrame, dump: str, **how) -> dict:
+    """A boosted model's trees as one candidate on the way that any other takes; trees of a single leaf have no split and stay behind."""
+    nodes = [n for n in files.boosted_trees(dump) if "terms" in n]
+    c = candidates.stack(candidates.of_nodes([(n, "import", 0.0) for n in nodes]))
+    return promotion.promote(rows, [(c.id, list(c.parts))], **how)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
@@ -10,9 +11,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import semantics as sem
-from ..operators import binning, candidates, histogram, oblique, patches, promotion, residuals, runlog, sampling, trees, verdicts
+from ..operators import binning, candidates, histogram, merging, oblique, patches, promotion, residuals, runlog, sampling, trees, verdicts
 from ..operators.histogram import Controls
-from ..sources import corpora, files
+from ..sources import artifacts, corpora, files
 from ..sources.corpora import ACCOUNTS, EVENTS, LINES, PARTS, Corpus, read
 from ..streaming import residual_stream
 from . import loop, store
@@ -43,9 +44,10 @@ def chain_sql(corpus: Corpus, bins: int = BINS) -> str:
     lists = ", ".join(f"list(threshold) FILTER (WHERE feature = {i}) AS e{i}" for i in range(corpus.width))
     numbers = ", ".join(f"CAST(CASE WHEN isnan(f{i}) THEN 0 ELSE coalesce(len(list_filter(e{i}, lambda e: f{i} > e)), 0) END AS INTEGER) AS b{i}" for i in range(corpus.width))
     hist = " UNION ALL ".join(f"SELECT {i} AS feature, b{i} AS bin, residual FROM binned" for i in range(corpus.width))
+    order = ", ".join(corpus.features)
     return f"""
     WITH corpus AS ({corpus.sql}),
-    sample AS (SELECT * FROM corpus WHERE record_id % (SELECT greatest(1, (count(*) + 65535) // 65536) FROM corpus) = 0),
+    sample AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY record_id, {order}) - 1 AS position FROM corpus) WHERE position % (SELECT greatest(1, (count(*) + 65535) // 65536) FROM corpus) = 0),
     cells AS ({cells}),
     ranked AS (SELECT feature, value, row_number() OVER (PARTITION BY feature ORDER BY value) - 1 AS rn, count(*) OVER (PARTITION BY feature) AS n, max(value) OVER (PARTITION BY feature) AS top
                FROM cells WHERE NOT isnan(value) AND abs(value) < CAST('inf' AS FLOAT)),
@@ -109,7 +111,7 @@ def scan_corpus(spark, d):
 
 @query("corpus_info", f"SELECT count(*) AS records, count(DISTINCT record_id) AS keys, min(record_id) AS first_key, max(record_id) AS last_key FROM ({ACCOUNTS.sql})")
 def corpus_info(spark, d):
-    return ACCOUNTS.load(spark, d).agg(F.count("*").alias("records"), F.countDistinct("record_id").alias("keys"), F.min("record_id").alias("first_key"), F.max("record_id").alias("last_key"))
+    return files.corpus_info(ACCOUNTS.load(spark, d)).select("records", "keys", "first_key", "last_key")
 
 
 @query("corpus_checksum")
@@ -119,7 +121,7 @@ def corpus_checksum(spark, d):
 
 @query("project_features", f"SELECT record_id, f2 AS f0, f0 AS f1 FROM ({EVENTS.sql})")
 def project_features(spark, d):
-    return EVENTS.load(spark, d).select("record_id", F.col("f2").alias("f0"), F.col("f0").alias("f1"))
+    return binning.project(EVENTS.load(spark, d), EVENTS.features, [2, 0])
 
 
 @query("finite_filter", f"SELECT count(*) AS records, count(*) FILTER (WHERE NOT isnan(x) AND NOT isinf(x)) AS finite, count(*) FILTER (WHERE isnan(x) OR isinf(x)) AS non_finite FROM ({NOISY})")
@@ -143,9 +145,14 @@ def predicate_oblique(spark, d):
     return EVENTS.load(spark, d).select("record_id", sem.gt(sem.weighted_sum(terms, 20.5), sem.single(0)).alias("goes_right"))
 
 
-@query("stride_filter", f"SELECT record_id, residual FROM ({EVENTS.sql}) WHERE record_id % 7 = 0")
+def strided_sql(corpus: Corpus, k: str, phase: int = 0) -> str:
+    """The records of a corpus whose position and phase add up to a multiple of k."""
+    return f"SELECT * FROM (SELECT *, row_number() OVER (ORDER BY record_id) - 1 AS position, count(*) OVER () AS n FROM ({corpus.sql})) WHERE (position + {phase}) % ({k}) = 0"
+
+
+@query("stride_filter", f"SELECT record_id, residual FROM ({strided_sql(ACCOUNTS, '7')})")
 def stride_filter(spark, d):
-    return EVENTS.load(spark, d).where(F.col("record_id") % 7 == 0).select("record_id", "residual")
+    return binning.every(ACCOUNTS.load(spark, d), 7).select("record_id", "residual")
 
 
 @query("quantile_edges", chain_sql(PARTS, 8) + " SELECT feature, bin, threshold FROM edges")
@@ -160,7 +167,7 @@ def build_bins(spark, d):
 
 @query("effective_bins", chain_sql(LINES) + " SELECT feature, count(*) + 1 AS effective_bins FROM edges GROUP BY feature")
 def effective_bins(spark, d):
-    return edges_of(spark, d, LINES).groupBy("feature").agg((F.count("*") + 1).alias("effective_bins"))
+    return binning.effective_bins(edges_of(spark, d, LINES))
 
 
 @query("feature_scale", chain_sql(EVENTS) + """, l AS (SELECT feature, list(threshold ORDER BY bin) AS e, count(*) AS n FROM edges GROUP BY feature)
@@ -182,7 +189,7 @@ def bin_of(spark, d):
 
 @query("occupancy", chain_sql(ACCOUNTS) + " SELECT b0 AS bin, count(*) AS records FROM binned GROUP BY b0")
 def occupancy(spark, d):
-    return prepared(spark, d, ACCOUNTS)[3].groupBy(F.col("b0").alias("bin")).agg(F.count("*").alias("records"))
+    return binning.occupancy(prepared(spark, d, ACCOUNTS)[3], 0)
 
 
 # ---------------------------------------------------------------- histograms and stumps
@@ -254,7 +261,7 @@ def union_kinds(spark, d):
 @query("join_threshold", chain_sql(EVENTS) + " SELECT h.feature, h.bin, e.threshold, h.n FROM hist h JOIN edges e USING (feature, bin)")
 def join_threshold(spark, d):
     _, edges, _, binned = prepared(spark, d, EVENTS)
-    return histogram.histogram(binned, 3).join(edges, ["feature", "bin"]).select("feature", "bin", "threshold", "n")
+    return histogram.with_threshold(histogram.histogram(binned, 3), edges)
 
 
 @query("brute_force_stump", f"""WITH c AS ({PARTS.sql}), cells AS (SELECT 0 AS feature, f0 AS value, residual FROM c UNION ALL SELECT 1, f1, residual FROM c),
@@ -294,7 +301,7 @@ def explained_variance(spark, d):
 
 @query("error_ranked", EXPLAINED + " SELECT feature FROM (SELECT * FROM v ORDER BY explained DESC, feature LIMIT 2)")
 def error_ranked(spark, d):
-    return histogram.explained_variance(histogram.histogram(prepared(spark, d, EVENTS)[3], 3)).orderBy(F.desc("explained"), "feature").limit(2).select("feature")
+    return sampling.error_ranked(histogram.histogram(prepared(spark, d, EVENTS)[3], 3), 2)
 
 
 @query("wide_histogram", f"""WITH c AS ({corpora.VECTORS_SQL}), cells AS (SELECT CAST(i - 1 AS INTEGER) AS feature, x[i] AS value, residual FROM c, range(1, 65) t(i))
@@ -314,6 +321,26 @@ def compute_residuals(spark, d):
     return rounded(residuals.compute_residuals(EVENTS.load(spark, d), HIDDEN), residual=3, correction=3)
 
 
+TWO = residuals.Model([{"id": "a", "squash": "IDENTITY", "bias": 0.0, "in": [("f0", 1.0)]}, {"id": "b", "squash": "LOGISTIC", "bias": -1.0, "in": [("f1", 0.125)]}], ["a", "b"])
+TWO_SQL = f"""WITH c AS (SELECT record_id, CAST(y AS DOUBLE) AS y0, CAST(CASE WHEN f2 > 4 THEN 0.75 ELSE 0.25 END AS DOUBLE) AS y1, CAST(f0 AS DOUBLE) AS p0, CAST(f1 AS DOUBLE) * 0.125 - 1.0 AS h1 FROM ({EVENTS.sql})),
+    r AS (SELECT record_id, 0 AS output, y0 - p0 AS residual, y0 - p0 AS correction FROM c UNION ALL SELECT record_id, 1, y1 - 1 / (1 + exp(-h1)), ln(y1 / (1 - y1)) - h1 FROM c)"""
+
+
+def two_outputs(spark: SparkSession, d: str) -> DataFrame:
+    rows = EVENTS.load(spark, d).withColumn("y1", F.when(F.col("f2") > 4, 0.75).otherwise(0.25).cast("float"))
+    return residuals.residuals_by_output(rows, TWO, ["y", "y1"])
+
+
+@query("compute_residuals_outputs", TWO_SQL + " SELECT record_id, output, round(residual, 3) AS residual, round(correction, 3) AS correction FROM r")
+def compute_residuals_outputs(spark, d):
+    return two_outputs(spark, d).select("record_id", "output", *[F.round(F.col(c).cast("double"), 3).alias(c) for c in ("residual", "correction")])
+
+
+@query("local_mse_outputs", TWO_SQL + ", m AS (SELECT record_id, avg(residual * residual) AS m FROM r GROUP BY record_id) SELECT round(avg(m), 3) AS mse FROM m")
+def local_mse_outputs(spark, d):
+    return rounded(residuals.mean_of_outputs(two_outputs(spark, d)), mse=3)
+
+
 @query("residual_stats", f"SELECT count(*) AS records, round(avg(r), 6) AS mean, round(avg(r * r) - avg(r) * avg(r), 4) AS variance, round(avg(abs(r)), 6) AS mae, round(sum(r * r), 2) AS sse, round(avg(r * r), 4) AS mse, min(r) AS least, max(r) AS most, 0::BIGINT AS non_finite FROM (SELECT CAST(residual AS DOUBLE) AS r FROM ({EVENTS.sql}))")
 def residual_stats(spark, d):
     return rounded(residuals.stats(EVENTS.load(spark, d)), mean=6, variance=4, mae=6, sse=2, mse=4)
@@ -374,7 +401,8 @@ def evaluate_on_bins(spark, d):
     return binned.select("record_id", patches.value_on_bins(node, listed).alias("correction"))
 
 
-@query("patch_folds")
+@query("patch_folds", """SELECT substr(sha256('[0,{"left":{"correction":0.0},"right":{"left":{"correction":-0.5},"right":{"correction":9.75},"terms":[[0,1.0]],"threshold":50.0},"terms":[[1,1.0]],"threshold":11.0}]'), 1, 16) AS id,
+    2 AS depth, 2 AS splits, 1 AS zero_leaves, 9.75::DOUBLE AS largest, [0, 1]::INTEGER[] AS features""")
 def patch_folds(spark, d):
     row = (patches.patch_id(TREE), patches.depth(TREE), patches.splits(TREE), patches.zero_leaves(TREE), patches.largest(TREE), patches.features(TREE))
     return spark.createDataFrame([row], "id string, depth int, splits int, zero_leaves int, largest double, features array<int>")
@@ -455,32 +483,35 @@ def search_oblique(spark, d):
 # ---------------------------------------------------------------- samples and joins
 
 
-@query("sample_stride", f"WITH c AS ({EVENTS.sql}) SELECT record_id, residual, CAST(1 AS FLOAT) AS weight FROM c WHERE record_id % (SELECT greatest(1, (count(*) + 1999) // 2000) FROM c) = 0")
+@query("sample_stride", f"SELECT record_id, residual, CAST(1 AS FLOAT) AS weight FROM ({strided_sql(ACCOUNTS, '(n + 1999) // 2000')})")
 def sample_stride(spark, d):
-    return sampling.stride(EVENTS.load(spark, d), 2000).select("record_id", "residual", "weight")
+    return sampling.stride(ACCOUNTS.load(spark, d), 2000).select("record_id", "residual", "weight")
+
 
+#: A record's draw: below its chance times 2 ** 52 it is taken.
+DRAW_SQL = "CAST('0x' || substr(md5(CAST(record_id AS VARCHAR) || ':42'), 1, 13) AS BIGINT)"
+STRATA_SQL = f"SELECT *, CAST((rn >= n // 4)::INT + (rn >= 2 * n // 4)::INT + (rn >= 3 * n // 4)::INT AS INTEGER) AS stratum FROM (SELECT *, row_number() OVER (ORDER BY abs(residual), record_id) - 1 AS rn, count(*) OVER () AS n FROM ({EVENTS.sql}))"
 
-@query("sample_uniform")
+
+@query("sample_uniform", f"WITH c AS ({EVENTS.sql}) SELECT record_id, residual, CAST(1 AS FLOAT) AS weight FROM c WHERE {DRAW_SQL} < least(1.0::DOUBLE, 2000::DOUBLE / (SELECT count(*) FROM c)) * 4503599627370496")
 def sample_uniform(spark, d):
     return sampling.uniform(EVENTS.load(spark, d), 2000, 42).select("record_id", "residual", "weight")
 
 
-@query("sample_stratified")
+@query("sample_stratified", f"WITH s AS ({STRATA_SQL}), p AS (SELECT *, least(1.0::DOUBLE, 500::DOUBLE / ((stratum + 1) * n // 4 - stratum * n // 4)) AS chance FROM s) SELECT record_id, residual, stratum, CAST(1 / chance AS FLOAT) AS weight FROM p WHERE {DRAW_SQL} < chance * 4503599627370496")
 def sample_stratified(spark, d):
-    return sampling.stratified(LINES.load(spark, d), 2000, 42).select("record_id", "residual", "stratum", "weight")
+    return sampling.stratified(EVENTS.load(spark, d), 2000, 42).select("record_id", "residual", "stratum", "weight")
 
 
-@query("stratum_rank", f"""WITH c AS (SELECT record_id, residual, row_number() OVER (ORDER BY abs(residual)) - 1 AS at_unix, count(*) OVER () AS n FROM ({LINES.sql})),
-    b AS (SELECT min(abs(residual)) FILTER (WHERE at_unix = n // 4) AS b1, min(abs(residual)) FILTER (WHERE at_unix = 2 * n // 4) AS b2, min(abs(residual)) FILTER (WHERE at_unix = 3 * n // 4) AS b3 FROM c)
-    SELECT CAST((abs(residual) >= b1)::INT + (abs(residual) >= b2)::INT + (abs(residual) >= b3)::INT AS INTEGER) AS stratum, count(*) AS records FROM c, b GROUP BY 1""")
+@query("stratum_rank", f"SELECT record_id, stratum FROM ({STRATA_SQL})")
 def stratum_rank(spark, d):
-    rows = LINES.load(spark, d)
-    return sampling.with_stratum(rows, sampling.strata_bounds(rows)).groupBy("stratum").agg(F.count("*").alias("records"))
+    rows = EVENTS.load(spark, d)
+    return sampling.with_stratum(rows, sampling.strata_bounds(rows)).select("record_id", "stratum")
 
 
-@query("sample_weighted")
+@query("sample_weighted", f"WITH c AS ({ACCOUNTS.sql}), t AS (SELECT sum(abs(CAST(residual AS DOUBLE)) + 1e-6) AS t FROM c), p AS (SELECT c.*, least(1.0::DOUBLE, (abs(CAST(residual AS DOUBLE)) + 1e-6) / t * 2000) AS chance FROM c, t) SELECT record_id, residual, round(1 / chance, 3) AS weight FROM p WHERE {DRAW_SQL} < chance * 4503599627370496")
 def sample_weighted(spark, d):
-    return sampling.weighted(LINES.load(spark, d), 2000, 42).select("record_id", "residual", "weight")
+    return sampling.weighted(ACCOUNTS.load(spark, d), 2000, 42).select("record_id", "residual", F.round(1 / F.col("chance"), 3).alias("weight"))
 
 
 @query("sample_chance", f"WITH c AS ({EVENTS.sql}), t AS (SELECT sum(abs(CAST(residual AS DOUBLE)) + 1e-6) AS t FROM c) SELECT record_id, round(least(1.0, (abs(CAST(residual AS DOUBLE)) + 1e-6) / t * 2000), 6) AS chance FROM c, t")
@@ -493,27 +524,46 @@ def select_random_features(spark, d):
     return spark.createDataFrame([(i,) for i in sampling.random_features(64, 0.25, 42)], "feature int")
 
 
-@query("screen_sample", f"SELECT record_id, residual FROM ({EVENTS.sql}) WHERE (record_id + 3) % 20 = 0")
+@query("screen_sample", f"SELECT record_id, residual FROM ({strided_sql(ACCOUNTS, '20', 3)})")
 def screen_sample(spark, d):
-    return promotion.screen_sample(EVENTS.load(spark, d), 0.05, 3).select("record_id", "residual")
+    return promotion.screen_sample(ACCOUNTS.load(spark, d), 0.05, 3).select("record_id", "residual")
 
 
 @query("join_residual", f"SELECT a.record_id, a.f0, b.residual FROM ({EVENTS.sql}) a JOIN ({EVENTS.sql}) b ON a.record_id = b.record_id")
 def join_residual(spark, d):
     rows = EVENTS.load(spark, d)
-    return rows.select("record_id", "f0").join(rows.select("record_id", "residual"), "record_id")
+    return residuals.attach(rows, rows).select("record_id", "f0", "residual")
+
+
+SET_SQL = chain_sql(ACCOUNTS) + f", kept AS (SELECT record_id FROM ({strided_sql(ACCOUNTS, '(n + 999) // 1000')}))"
+
+
+def searched(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(corpus, a search set of a thousand records that may split on the first and the last feature)"""
+    rows, _, listed, _ = prepared(spark, d, ACCOUNTS)
+    return rows, sampling.search_set(rows, ACCOUNTS.features, listed, target=1000, chosen=[0, 2])
+
+
+@query("build_search_set", SET_SQL + " SELECT record_id, residual, CAST(1 AS FLOAT) AS weight, b0, 0 AS b1, b2 FROM binned JOIN kept USING (record_id)")
+def build_search_set(spark, d):
+    return searched(spark, d)[1]
+
+
+@query("scan_search_set", SET_SQL + " SELECT 0 AS feature, b0 AS bin, CAST(count(*) AS DOUBLE) AS n, round(sum(CAST(residual AS DOUBLE)), 4) AS s FROM binned JOIN kept USING (record_id) GROUP BY b0")
+def scan_search_set(spark, d):
+    found = store.written(searched(spark, d)[1], "search-set")
+    return rounded(histogram.histogram(found, 3, weight="weight").where("feature = 0").select("feature", "bin", "n", "s"), s=4)
 
 
-@query("join_raw_sample", f"WITH c AS ({EVENTS.sql}) SELECT c.record_id, c.f0, c.f1 FROM c WHERE record_id % 20 = 0")
+@query("join_raw_sample", SET_SQL + " SELECT record_id, f0, f1, CAST(1 AS FLOAT) AS weight FROM corpus JOIN kept USING (record_id)")
 def join_raw_sample(spark, d):
-    rows = EVENTS.load(spark, d)
-    return rows.select("record_id", "f0", "f1").join(rows.where("record_id % 20 = 0").select("record_id"), "record_id", "left_semi")
+    return sampling.raw_rows(*searched(spark, d)).select("record_id", "f0", "f1", "weight")
 
 
-@query("export_matrix", f"WITH c AS ({EVENTS.sql}) SELECT record_id, f0, f1, f2, residual FROM c WHERE record_id % (SELECT greatest(1, (count(*) + 999) // 1000) FROM c) = 0")
+@query("export_matrix", f"SELECT record_id, f0, f1, f2, residual, residual AS correction FROM ({strided_sql(ACCOUNTS, '(n + 999) // 1000')})")
 def export_matrix(spark, d):
-    rows = EVENTS.load(spark, d)
-    return files.export_matrix(rows, rows, EVENTS.features, 1000)
+    rows = ACCOUNTS.load(spark, d)
+    return files.export_matrix(rows, rows.withColumn("correction", F.col("residual")), ACCOUNTS.features, 1000)
 
 
 # ---------------------------------------------------------------- candidates, scores, promotion
@@ -548,6 +598,17 @@ def generate_candidates(spark, d):
     return spark.createDataFrame([(c.id, c.strategy, len(c.parts), c.gain) for c in every], "id string, strategy string, parts int, gain double")
 
 
+@query("cap_candidates", chain_sql(EVENTS) + kinds_sql() + f", top AS (SELECT * FROM kinds {ORDER_SQL} LIMIT 8), t AS (SELECT *, row_number() OVER ({ORDER_SQL}) AS place FROM top), f AS (SELECT min(place) AS place, bool_or(place = 2) AS bad FROM t GROUP BY feature, bin, left_correction, right_correction), n AS (SELECT *, count(*) FILTER (WHERE NOT bad) OVER (ORDER BY place) AS k FROM f) SELECT CAST(place AS INTEGER) AS place, CASE WHEN bad THEN 'known failure' ELSE 'kept' END AS fate FROM n WHERE CASE WHEN bad THEN k < 5 ELSE k <= 5 END")
+def cap_candidates(spark, d):
+    _, edges, _, binned = prepared(spark, d, EVENTS)
+    top = histogram.search_stumps(histogram.histogram(binned, 3), edges, Controls(top_k=8)).withColumn("strategy", F.lit("stump"))
+    found = candidates.of_rows(top.collect())
+    kept, discarded = candidates.select(found * 2, 5, [found[1].id])
+    place = {c.id: i + 1 for i, c in reversed(list(enumerate(found)))}
+    rows = [(place[c.id], "kept") for c in kept] + [(place[i], reason) for i, reason in discarded]
+    return spark.createDataFrame(rows, "place int, fate string")
+
+
 @query("random_stumps")
 def random_stumps(spark, d):
     listed = prepared(spark, d, EVENTS)[2]
@@ -573,10 +634,21 @@ def rank_screen(spark, d):
     return spark.createDataFrame([(k, round(v, 5)) for k, v in found], "candidate_id string, delta double")
 
 
-@query("screen_and_promote", SCORED + " SELECT candidate_id AS winner FROM scores ORDER BY score DESC, candidate_id LIMIT 1")
+DELTAS = SCORED + ", x AS (SELECT candidate_id, score - (SELECT score FROM scores WHERE candidate_id = 'baseline') AS delta FROM scores WHERE candidate_id <> 'baseline')"
+
+
+@query("screen_and_promote", DELTAS + " SELECT (SELECT candidate_id FROM x ORDER BY delta DESC, candidate_id LIMIT 1) AS winner, CAST(count(*) AS INTEGER) AS promoted, CAST(count(*) FILTER (WHERE delta <= 0) AS INTEGER) AS false_positives, CASE WHEN count(*) FILTER (WHERE delta > 0) = 4 THEN 1 ELSE 0 END AS false_negatives FROM x")
 def screen_and_promote(spark, d):
     found = promotion.promote(EVENTS.load(spark, d), FIXED, count=3, rate=0.05, phase=1)
-    return spark.createDataFrame([(found["winner"],)], "winner string")
+    unscreened = promotion.promote(EVENTS.load(spark, d), FIXED, count=len(FIXED))
+    assert found["winner"] == unscreened["winner"]
+    return spark.createDataFrame([(found["winner"], len(unscreened["promoted"]), unscreened["false_positives"], found["false_negatives"])], "winner string, promoted int, false_positives int, false_negatives int")
+
+
+@query("explore_bypass", "SELECT DISTINCT event_type AS id FROM events QUALIFY dense_rank() OVER (ORDER BY sha256('7:' || event_type)) <= 2")
+def explore_bypass(spark, d):
+    names = [r.event_type for r in read(spark, d, "events").select("event_type").distinct().collect()]  # a handful of kinds
+    return spark.createDataFrame([(x,) for x in promotion.bypass(names, 2, 7)], "id string")
 
 
 @query("establish_baseline", f"SELECT count(*) AS record_count, round(1 - avg(pow(CAST(residual AS DOUBLE), 2)), 6) AS score, TRUE AS parity FROM ({EVENTS.sql})")
@@ -593,6 +665,23 @@ def run_loop(spark, d):
     return spark.createDataFrame([(i, *(x[j] for j in (0, 1, 3))) for i, x in enumerate(found.accepted)], "round int, id string, strategy string, improvement double")
 
 
+@query("union_discoveries")
+def union_discoveries(spark, d):
+    rows, edges, listed, _ = prepared(spark, d, EVENTS)
+    look = loop.Search(records=4000, depth=2, lines=2, boost=2)
+    found = store.written(sampling.search_set(rows, EVENTS.features, listed, target=look.records), "search-set")
+    singles, bundles = loop.discoveries(rows, found, EVENTS.features, edges, listed, Controls(top_k=4), look, 1)
+    return spark.createDataFrame([(c.id, c.strategy, len(c.parts), c.gain) for c in (*singles, *bundles)], "id string, strategy string, parts int, gain double")
+
+
+@query("run_log")
+def run_log(spark, d):
+    path = f"{store.shared_dir(spark)}/run-{uuid.uuid4().hex}"
+    look = loop.Search(records=4000, depth=2, boost=2)
+    loop.run(store.written(EVENTS.load(spark, d), "corpus"), EVENTS.features, bins=16, iterations=2, count=4, search=look, log=files.LogWriter(spark, path))
+    return runlog.report(files.read_log(spark, path, runlog.LOG))
+
+
 # ---------------------------------------------------------------- verdict store, over a log made of events
 
 LOG = "SELECT event_id AS position, CAST(event_id % 4000 AS VARCHAR) AS id, CAST(user_id % 7 AS VARCHAR) AS incumbent, CASE WHEN event_type IN ('purchase', 'signup') THEN 'accepted' ELSE 'rejected' END AS outcome, value AS delta, CAST(floor(epoch(ts)) AS BIGINT) AS at_unix, CAST(event_id % 3 AS VARCHAR) AS host, CAST(CASE WHEN event_id % 11 = 0 THEN 4 ELSE 3 END AS INTEGER) AS inputs FROM events"
@@ -666,7 +755,7 @@ def plan_prune(spark, d):
 
 @query("prune_counts", PRUNED + " SELECT fate, count(*) AS verdicts FROM p GROUP BY fate")
 def prune_counts(spark, d):
-    return pruned(spark, d).groupBy("fate").agg(F.count("*").alias("verdicts"))
+    return verdicts.counts_of(pruned(spark, d))
 
 
 @query("running_cap", PRUNED + " SELECT position FROM p WHERE fate = 'kept'")
@@ -683,19 +772,49 @@ def anti_filed(spark, d):
 @query("union_hosts", f"SELECT host, count(*) AS verdicts, count(DISTINCT id) AS ids FROM ({LOG}) GROUP BY host")
 def union_hosts(spark, d):
     log = verdict_log(spark, d)
-    parts = [log.where(F.col("host") == str(h)) for h in range(3)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("host").agg(F.count("*").alias("verdicts"), F.countDistinct("id").alias("ids"))
+    return verdicts.by_host([log.where(F.col("host") == str(h)) for h in range(3)])
+
+
+def stored(spark: SparkSession, d: str) -> str:
+    """A store that holds the log, one folder for each host, and a corpus of one verdict beside it; its root."""
+    root, log = f"{store.shared_dir(spark)}/verdicts-{uuid.uuid4().hex}", verdict_log(spark, d)
+    for h in range(3):
+        files.append_verdicts(log.where(F.col("host") == str(h)), root, "events", str(h))
+    files.append_verdicts(log.where("position = 0"), root, "other", "0")
+    return root
+
+
+@query("append_learnings", f"SELECT position, id, incumbent, outcome, delta, at_unix, host, inputs FROM ({LOG})")
+def append_learnings(spark, d):
+    return files.read_verdicts(spark, stored(spark, d), "events").select("position", "id", "incumbent", "outcome", "delta", "at_unix", "host", "inputs")
+
+
+@query("read_learnings", f"SELECT host, outcome, count(*) AS verdicts, round(sum(delta), 4) AS delta FROM ({LOG}) GROUP BY host, outcome")
+def read_learnings(spark, d):
+    return files.read_verdicts(spark, stored(spark, d), "events").groupBy("host", "outcome").agg(F.count("*").alias("verdicts"), F.round(F.sum("delta"), 4).alias("delta"))
+
+
+@query("list_corpora", "SELECT * FROM (VALUES ('events'), ('other')) t(corpus)")
+def list_corpora(spark, d):
+    return spark.createDataFrame([(x,) for x in files.corpora_in(spark, stored(spark, d))], "corpus string")
+
+
+@query("prune_learnings", PRUNED.replace(f"l AS ({LOG})", f"every AS ({LOG}), l AS (SELECT * FROM every WHERE host = '1')").replace("SELECT max(at_unix) AS now FROM l", "SELECT max(at_unix) AS now FROM every").replace("> 2000", "> 500") + " SELECT position, id, host FROM p WHERE fate = 'kept' UNION ALL SELECT position, id, host FROM every WHERE host <> '1'")
+def prune_learnings(spark, d):
+    root, now = stored(spark, d), later(spark, d)
+    files.prune_verdicts(spark, root, "events", "1", lambda own: verdicts.prune(own, now, 1_728_000, 864_000, 500))
+    return files.read_verdicts(spark, root, "events").select("position", "id", "host")
 
 
 @query("distinct_patches", f"SELECT id, min(position) AS first_position FROM ({LOG}) GROUP BY id")
 def distinct_patches(spark, d):
-    return verdict_log(spark, d).groupBy("id").agg(F.min("position").alias("first_position"))
+    return candidates.distinct_ids(verdict_log(spark, d))
 
 
 @query("intersect_carried", f"WITH l AS ({LOG}) SELECT id FROM l WHERE incumbent = '1' INTERSECT SELECT id FROM l WHERE incumbent = '2'")
 def intersect_carried(spark, d):
     log = verdict_log(spark, d)
-    return log.where("incumbent = '1'").select("id").intersect(log.where("incumbent = '2'").select("id"))
+    return verdicts.shared_ids(log.where("incumbent = '1'"), log.where("incumbent = '2'"))
 
 
 @query("sanitise", "SELECT c_custkey, coalesce(nullif(trim(regexp_replace(c_name || '/' || c_mktsegment || '.', '[^A-Za-z0-9_-]', '-', 'g'), '-'), ''), 'unknown') AS name FROM customer")
@@ -707,19 +826,21 @@ def sanitise(spark, d):
 @query("combo_id", "SELECT o_orderkey, substr(sha256(CAST(o_orderkey AS VARCHAR) || '+' || CAST(o_custkey AS VARCHAR)), 1, 16) AS combo FROM orders")
 def combo_id(spark, d):
     ids = F.array(F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"))
-    return read(spark, d, "orders").select("o_orderkey", F.substring(F.sha2(F.array_join(ids, "+"), 256), 1, 16).alias("combo"))
+    return read(spark, d, "orders").select("o_orderkey", patches.combo_id_column(ids).alias("combo"))
+
 
+NAMES_SQL = "CASE p_partkey % 5 WHEN 0 THEN 'patch-one-a' WHEN 1 THEN 'hidden-' || p_partkey WHEN 2 THEN 'patch-' || p_partkey ELSE 'patch-' || p_partkey || '-if' || p_size END"
 
-@query("parse_grafted_id", "SELECT p_partkey, nullif(regexp_extract('graft-' || p_type || '-' || CAST(p_size AS VARCHAR), '^graft-([^-]+)-', 1), 'ECONOMY') AS patch FROM part")
+
+@query("parse_grafted_id", f"SELECT p_partkey, CASE WHEN p_partkey % 5 > 2 THEN CAST(p_partkey AS VARCHAR) END AS patch FROM part")
 def parse_grafted_id(spark, d):
-    name = F.concat(F.lit("graft-"), "p_type", F.lit("-"), F.col("p_size").cast("string"))
-    return read(spark, d, "part").select("p_partkey", F.nullif(F.regexp_extract(name, "^graft-([^-]+)-", 1), F.lit("ECONOMY")).alias("patch"))
+    return read(spark, d, "part").select("p_partkey", verdicts.merged_patch_id(F.expr(NAMES_SQL)).alias("patch"))
 
 
 @query("feature_union", "SELECT o_orderkey, list_sort(list_distinct([o_orderkey % 5, o_custkey % 5, o_orderkey % 3])) AS features FROM orders")
 def feature_union(spark, d):
     parts = F.array(F.array(F.col("o_orderkey") % 5, F.col("o_custkey") % 5), F.array(F.col("o_orderkey") % 3))
-    return read(spark, d, "orders").select("o_orderkey", F.array_sort(F.array_distinct(F.flatten(parts))).alias("features"))
+    return read(spark, d, "orders").select("o_orderkey", patches.feature_union(parts).alias("features"))
 
 
 # ---------------------------------------------------------------- run log, over experiments made of events
@@ -765,7 +886,7 @@ def score_trajectory(spark, d):
 
 @query("first_acceptance", RUNS + " SELECT min(timestamp) AS first_acceptance FROM e WHERE accepted")
 def first_acceptance(spark, d):
-    return experiments(spark, d).where("accepted").agg(F.min("timestamp").alias("first_acceptance"))
+    return runlog.first_acceptance(experiments(spark, d))
 
 
 @query("carry_forward", RUNS + ", m AS (SELECT c.iteration, max(full_delta) FILTER (WHERE NOT (accepted AND winner = id)) AS near FROM c JOIN e USING (iteration) GROUP BY c.iteration) SELECT iteration, lag(near) OVER (ORDER BY iteration) AS previous_best FROM m")
@@ -780,17 +901,19 @@ def affected_fraction(spark, d):
     return experiments(spark, d).select("iteration", runlog.affected_fraction(promoted, F.lit(0.0), n).alias("fraction"))
 
 
-@query("compare_runs", RUNS + " SELECT iteration % 5 AS run, count(*) AS iterations, count(*) FILTER (WHERE accepted) AS acceptances, round(sum(best) FILTER (WHERE accepted), 4) AS improvement FROM e GROUP BY 1")
+@query("compare_runs", RUNS + " SELECT CAST(iteration % 5 AS VARCHAR) AS run, count(*) AS iterations, count(*) FILTER (WHERE accepted) AS acceptances, round(sum(best) FILTER (WHERE accepted), 4) AS improvement FROM e GROUP BY 1")
 def compare_runs(spark, d):
-    won = F.col("accepted")
-    return experiments(spark, d).groupBy((F.col("iteration") % 5).alias("run")).agg(F.count("*").alias("iterations"), F.count_if(won).alias("acceptances"), F.round(F.sum(F.when(won, F.col("improvement"))), 4).alias("improvement"))
+    root = f"{store.shared_dir(spark)}/runs-{uuid.uuid4().hex}"
+    experiments(spark, d).withColumn("record", F.lit("experiment")).withColumn("own", F.col("iteration") % 5).drop("candidates").write.partitionBy("own").json(root)
+    logs = files.read_log(spark, f"{root}/*", runlog.LOG).withColumn("run", F.regexp_extract(F.col("_metadata.file_path"), "/own=([^/]+)/", 1))
+    return rounded(runlog.compare(runlog.experiments_of(logs)), improvement=4)
 
 
 @query("join_scores", RUNS + " SELECT c.iteration, c.id, c.full_delta, CASE WHEN accepted AND winner = c.id THEN best END AS improvement FROM c LEFT JOIN e ON c.iteration = e.iteration AND winner = c.id")
 def join_scores(spark, d):
     made = experiments(spark, d)
     rows = made.select("iteration", F.explode("candidates").alias("c")).select("iteration", "c.id", "c.full_delta")
-    return rows.join(made.where("accepted").select("iteration", F.col("winner").alias("id"), "improvement"), ["iteration", "id"], "left")
+    return promotion.join_scores(rows, made.where("accepted").select("iteration", F.col("winner").alias("id"), "improvement"))
 
 
 # ---------------------------------------------------------------- the smaller steps, each on its own
@@ -810,8 +933,7 @@ def unsquash(spark, d):
 
 @query("if_kernel", f"SELECT record_id, CASE WHEN f1 - CAST(11 AS FLOAT) > 0 THEN f0 + CAST(2.5 AS FLOAT) ELSE f2 + CAST(2.5 AS FLOAT) END AS value FROM ({EVENTS.sql})")
 def if_kernel(spark, d):
-    bias = sem.single(2.5)
-    return EVENTS.load(spark, d).select("record_id", F.when(sem.gt(F.col("f1") - sem.single(11), sem.single(0)), F.col("f0") + bias).otherwise(F.col("f2") + bias).alias("value"))
+    return EVENTS.load(spark, d).select("record_id", sem.if_kernel(F.col("f1") - sem.single(11), F.col("f0"), F.col("f2"), sem.single(2.5)).alias("value"))
 
 
 @query("clamp_correction", chain_sql(EVENTS) + ", c AS (SELECT *, greatest(least(s / n, 2.0), -2.0) AS c FROM hist) SELECT feature, bin, round(c, 4) AS correction, round(2 * c * s - n * c * c, 3) AS gain FROM c")
@@ -844,7 +966,7 @@ def gain_filter(spark, d):
 def leaf_correction(spark, d):
     leaf = F.when(F.col("b0") > 7, 1).otherwise(0)
     sums = prepared(spark, d, EVENTS)[3].groupBy(leaf.alias("leaf")).agg(F.sum("residual").alias("s"), F.count("*").cast("double").alias("n"))
-    return sums.select("leaf", F.round(histogram.clamped(F.col("s"), F.col("n"), 3.0), 4).alias("correction"))
+    return rounded(histogram.leaf_means(sums, 3.0), correction=4)
 
 
 @query("scaled_gain", chain_sql(EVENTS) + kinds_sql() + f", top AS (SELECT * FROM kinds {ORDER_SQL} LIMIT 4) SELECT feature, bin, kind, k AS scale, round(CASE WHEN k < 0 THEN -abs(gain) ELSE gain * (2 * k - k * k) END, 2) AS gain FROM top, (VALUES (0.5::DOUBLE), (1.5::DOUBLE), (-1.0::DOUBLE)) s(k)")
@@ -853,14 +975,14 @@ def scaled_gain(spark, d):
     top = histogram.search_stumps(histogram.histogram(binned, 3), edges, Controls(top_k=4))
     k = F.col("scale")
     rows = top.withColumn("scale", F.explode(F.array(*[F.lit(x) for x in (0.5, 1.5, -1.0)])))
-    return rows.select("feature", "bin", "kind", "scale", F.round(F.when(k < 0, -F.abs("gain")).otherwise(F.col("gain") * (2 * k - k * k)), 2).alias("gain"))
+    return rows.select("feature", "bin", "kind", "scale", F.round(patches.scaled_gain_column(F.col("gain"), k), 2).alias("gain"))
 
 
 @query("discard_zero", chain_sql(EVENTS) + kinds_sql() + " SELECT count(*) AS kept FROM kinds WHERE greatest(abs(left_correction), abs(right_correction)) > 0")
 def discard_zero(spark, d):
     _, edges, _, binned = prepared(spark, d, EVENTS)
     found = histogram.split_kinds(histogram.prefix_scan(histogram.histogram(binned, 3), edges), CONTROLS)
-    return found.where(F.greatest(F.abs("left_correction"), F.abs("right_correction")) > 0).agg(F.count("*").alias("kept"))
+    return candidates.nonzero(found).agg(F.count("*").alias("kept"))
 
 
 @query("threshold_filter", SCORED + " SELECT candidate_id FROM scores WHERE candidate_id <> 'baseline' AND score - (SELECT score FROM scores WHERE candidate_id = 'baseline') > 1.0")
@@ -875,10 +997,13 @@ def pick_winner(spark, d):
     return spark.createDataFrame([(found["winner"], round(found["deltas"][found["winner"]], 5))], "winner string, improvement double")
 
 
-@query("drift_veto", "SELECT TRUE AS veto, CAST(NULL AS VARCHAR) AS winner")
+@query("drift_veto", SCORED + """, b AS (SELECT score FROM scores WHERE candidate_id = 'baseline'), w AS (SELECT candidate_id FROM scores WHERE candidate_id <> 'baseline' AND score > (SELECT score FROM b) ORDER BY score DESC, candidate_id LIMIT 1)
+    SELECT stored, abs(score - stored) > 1e-6 AS veto, CASE WHEN abs(score - stored) <= 1e-6 THEN (SELECT candidate_id FROM w) END AS winner FROM b, (SELECT unnest([0.25, -7.0, 0.5])::DOUBLE AS stored UNION ALL SELECT round(score, 8) FROM b)""")
 def drift_veto(spark, d):
-    found = promotion.promote(EVENTS.load(spark, d), FIXED, count=len(FIXED), stored_baseline=0.25)
-    return spark.createDataFrame([(found["veto"], found["winner"])], "veto boolean, winner string")
+    rows = EVENTS.load(spark, d)
+    base = promotion.score_all(rows, [])["baseline"][0]
+    found = [(s, promotion.promote(rows, FIXED, count=len(FIXED), stored_baseline=s, drift=1e-6)) for s in (0.25, -7.0, 0.5, round(base, 8))]
+    return spark.createDataFrame([(s, x["veto"], x["winner"]) for s, x in found], "stored double, veto boolean, winner string")
 
 
 @query("parity_gate", f"SELECT abs(m - m2) <= 1e-9 + 1e-6 * abs(m2) AS same, FALSE AS other FROM (SELECT avg(pow(CAST(y AS DOUBLE) - p, 2)) AS m, avg(pow(CAST(residual AS DOUBLE), 2)) AS m2 FROM ({PARTS.sql}))")
@@ -891,25 +1016,34 @@ def parity_gate(spark, d):
 @query("strategy_label", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 > 1 THEN 'combo/' || CAST(o_orderkey % 4 AS VARCHAR) || ':' || o_orderpriority ELSE o_orderpriority END AS label FROM orders")
 def strategy_label(spark, d):
     k = F.col("o_orderkey") % 4
-    return read(spark, d, "orders").select("o_orderkey", F.when(k > 1, F.concat(F.lit("combo/"), k.cast("string"), F.lit(":"), F.col("o_orderpriority"))).otherwise(F.col("o_orderpriority")).alias("label"))
+    return read(spark, d, "orders").select("o_orderkey", candidates.label_column(k, F.col("o_orderpriority")).alias("label"))
 
 
 @query("anti_tried_carried", f"WITH l AS ({LOG}) SELECT DISTINCT id FROM l WHERE id NOT IN (SELECT id FROM l WHERE incumbent = '2') AND id NOT IN (SELECT id FROM l WHERE position % 13 = 0)")
 def anti_tried_carried(spark, d):
     log = verdict_log(spark, d)
-    return log.select("id").distinct().join(verdicts.tried(log, "2"), "id", "left_anti").join(log.where("position % 13 = 0").select("id"), "id", "left_anti")
+    return verdicts.open_ids(log, "2", log.where("position % 13 = 0"))
 
 
-@query("replay_order", f"""WITH o AS (SELECT * FROM ({LOG}) WHERE outcome = 'accepted') SELECT id, max(delta) AS delta FROM o GROUP BY id ORDER BY delta DESC, id LIMIT 25""")
+@query("replay_order", f"""WITH o AS ({LOG}), now AS (SELECT max(at_unix) AS now FROM o), {EVIDENCE}, k AS (SELECT *, CASE WHEN wins > 0 AND losses <= wins THEN 'win' WHEN greatest(now - last[1], 0) >= 86400 THEN 'retry' END AS kind FROM e, now)
+    SELECT id, kind, CAST(row_number() OVER (ORDER BY CASE kind WHEN 'win' THEN 0 ELSE 1 END, CASE WHEN kind = 'win' THEN -best[1] END, CASE WHEN kind = 'retry' THEN last[1] END, id) AS INTEGER) AS place FROM k WHERE kind IS NOT NULL""")
 def replay_order(spark, d):
-    won = verdict_log(spark, d).where(verdicts.accepted())
-    return won.groupBy("id").agg(F.max("delta").alias("delta")).orderBy(F.desc("delta"), "id").limit(25)
+    found = verdicts.ranked(verdicts.evidence(verdict_log(spark, d)), later(spark, d), 86_400)
+    return found.withColumn("place", F.row_number().over(W.orderBy(*verdicts.replay_rank()))).select("id", "kind", "place")
+
 
+@query("replay_combos", f"""WITH l AS (SELECT *, CASE WHEN position % 5 = 0 THEN [id, CAST(position % 90 AS VARCHAR)] ELSE [id] END AS members FROM ({LOG})), c AS (SELECT CAST(2 * x AS VARCHAR) AS id FROM range(0, 2000) t(x)),
+    m AS (SELECT DISTINCT id, unnest(members) AS member FROM l) SELECT DISTINCT id FROM m WHERE member NOT IN (SELECT id FROM c) AND id NOT IN (SELECT id FROM l WHERE incumbent = '2')""")
+def replay_combos(spark, d):
+    listed = F.when(F.col("position") % 5 == 0, F.array(F.col("id"), (F.col("position") % 90).cast("string")))
+    return verdicts.open_ids(verdict_log(spark, d).withColumn("members", listed), "2", spark.range(0, 4000, 2).select(F.col("id").cast("string")))
 
-@query("file_verdicts", f"SELECT position, id, incumbent, outcome, delta FROM ({LOG}) l WHERE host <> '0' AND NOT EXISTS (SELECT 1 FROM ({LOG}) f WHERE f.host = '0' AND f.id = l.id AND f.incumbent = l.incumbent)")
+
+@query("file_verdicts", f"SELECT position, id, incumbent, outcome, delta, [repeat('n', 200), 'b']::VARCHAR[] AS notes FROM ({LOG}) l WHERE host <> '0' AND delta > 30 AND NOT EXISTS (SELECT 1 FROM ({LOG}) f WHERE f.host = '0' AND f.id = l.id AND f.incumbent = l.incumbent)")
 def file_verdicts(spark, d):
     log = verdict_log(spark, d)
-    return verdicts.unfiled(log.where("host <> '0'"), log.where("host = '0'")).select("position", "id", "incumbent", "outcome", "delta")
+    tested = log.where("host <> '0'").withColumn("full_delta", F.when(F.col("delta") > 30, F.col("delta"))).withColumn("notes", F.array(F.lit("n" * 300), F.lit("b")))
+    return verdicts.to_file(tested, log.where("host = '0'")).select("position", "id", "incumbent", "outcome", "delta", "notes")
 
 
 @query("read_log", f"SELECT host, count(*) AS verdicts, min(at_unix) AS first_at, max(at_unix) AS last_at FROM ({LOG}) GROUP BY host")
@@ -931,3 +1065,101 @@ def top_k_groups(spark, d):
     top = placed(histogram.search_stumps(histogram.histogram(binned, 3), edges, Controls(top_k=12, max_per_feature=4)))
     found = candidates.combos(candidates.distinct(candidates.expand(top, edges, scales=(), jitter=0).orderBy("phase", "step", "place").collect()))
     return spark.createDataFrame([(c.id, c.strategy, len(c.parts), c.gain) for c in found], "id string, strategy string, parts int, gain double")
+
+
+# ---------------------------------------------------------------- caches, models and their merging, imports, artifacts
+
+
+@query("ensure_cache", chain_sql(PARTS, 8) + " SELECT feature, bin, threshold FROM edges")
+def ensure_cache(spark, d):
+    path, rows = f"{store.shared_dir(spark)}/cache-{uuid.uuid4().hex}", PARTS.load(spark, d)
+    files.cached_edges(spark, path, rows.where("record_id % 2 = 0"), PARTS.features, 8)  # of another corpus
+    files.cached_edges(spark, path, rows, PARTS.features, 8)
+    return files.cached_edges(spark, path, rows, PARTS.features, 8)
+
+
+@query("read_residual_cache", f"SELECT record_id, round(residual, 3) AS residual, round(residual, 3) AS correction FROM (SELECT record_id, y - CAST(1.0 + tanh(-0.5 + CAST(f0 AS DOUBLE) * 0.02) * 40.0 + CAST(f2 AS DOUBLE) * 0.25 AS FLOAT) AS residual FROM ({EVENTS.sql}))")
+def read_residual_cache(spark, d):
+    path, rows = f"{store.shared_dir(spark)}/cache-{uuid.uuid4().hex}", EVENTS.load(spark, d)
+    files.cached_residuals(spark, path, rows, HIDDEN)
+    return rounded(files.cached_residuals(spark, path, rows, HIDDEN), residual=3, correction=3)
+
+
+PLAIN = residuals.Model([{"id": "o", "squash": "IDENTITY", "bias": 0.0, "in": [("f0", 1.0)]}], "o")
+#: An output that is the smaller of twice a sum and a ceiling, and one that is an IF.
+CLAMPED = residuals.Model([{"id": "top", "type": "constant", "bias": 120.0}, {"id": "h", "squash": "IDENTITY", "bias": 0.0, "in": [("f0", 0.5)]}, {"id": "o", "squash": "MINIMUM", "bias": 0.0, "in": [("h", 2.0), ("top", 1.0)]}], "o")
+BRANCHED = residuals.Model([{"id": "o", "squash": "IF", "bias": 1.0, "in": [("f2", 1.0, "condition"), ("f0", 1.0, "positive"), ("f1", 1.0, "negative")]}], "o")
+OTHER = patches.split(2, 4.0, patches.leaf(1.5), patches.leaf(-1.0))
+OTHER_SQL = "CAST(CASE WHEN f2 > CAST(4 AS FLOAT) THEN -1.0 ELSE 1.5 END AS FLOAT)"
+
+
+def predicted(spark: SparkSession, d: str, model: residuals.Model) -> DataFrame:
+    return model.columns(EVENTS.load(spark, d)).select("record_id", F.round(F.col("prediction").cast("double"), 3).alias("prediction"))
+
+
+@query("graft_patch", f"SELECT record_id, round(CAST(CAST(f0 AS DOUBLE) + {TREE_SQL} AS FLOAT)::DOUBLE, 3) AS prediction FROM ({EVENTS.sql})")
+def graft_patch(spark, d):
+    return predicted(spark, d, merging.merge(PLAIN, TREE)[0])
+
+
+@query("graft_patches_with", f"SELECT record_id, round(CAST(1.0 + CAST(CASE WHEN f2 > 0 THEN f0 ELSE f1 END AS DOUBLE) + {TREE_SQL} + {OTHER_SQL} AS FLOAT)::DOUBLE, 3) AS prediction FROM ({EVENTS.sql})")
+def graft_patches_with(spark, d):
+    return predicted(spark, d, merging.merge_all(BRANCHED, [TREE, OTHER], shared=False)[0])
+
+
+@query("resolve_anchor", f"SELECT record_id, round(CAST(least(CAST(f0 AS DOUBLE) + {TREE_SQL}, 120.0) AS FLOAT)::DOUBLE, 3) AS prediction FROM ({EVENTS.sql})")
+def resolve_anchor(spark, d):
+    assert merging.anchor_of(CLAMPED, "o") == merging.Anchor("h", 2.0, "IDENTITY")
+    return predicted(spark, d, merging.merge(CLAMPED, TREE)[0])
+
+
+@query("graph_edge_join", "SELECT * FROM (VALUES ('h', 'f0', 0.5::DOUBLE), ('o', 'h', 2.0::DOUBLE), ('o', 'top', 1.0::DOUBLE)) t(neuron, source, weight)")
+def graph_edge_join(spark, d):
+    return spark.createDataFrame([(n["id"], s, float(w)) for n in CLAMPED.neurons for s, w, _ in residuals.edges_of(n)], "neuron string, source string, weight double")
+
+
+@query("read_model", f"SELECT record_id, round(CAST(1.0 + tanh(-0.5 + CAST(f0 AS DOUBLE) * 0.02) * 40.0 + CAST(f2 AS DOUBLE) * 0.25 AS FLOAT)::DOUBLE, 3) AS prediction FROM ({EVENTS.sql})")
+def read_model(spark, d):
+    path = f"{store.shared_dir(spark)}/model-{uuid.uuid4().hex}.json"
+    artifacts.write_best(spark, HIDDEN, {"score": artifacts.score_text(0.5)}, path)
+    return predicted(spark, d, artifacts.read_model(spark, path))
+
+
+@query("read_tags", "SELECT * FROM (VALUES (1, 'name', 'first'), (2, 'score', '0.500000'), (3, 'runs', '[1, 2]')) t(place, name, value)")
+def read_tags(spark, d):
+    text = artifacts.with_tags(json.dumps({"neurons": [], "tags": [{"name": "name", "value": "first"}, {"name": "score", "value": "0.1"}, {"name": "runs", "value": [1, 2]}, {"value": "nameless"}]}), {"score": artifacts.score_text(0.5)})
+    return spark.createDataFrame([(i + 1, *t) for i, t in enumerate(artifacts.read_tags(text)[0])], "place int, name string, value string")
+
+
+DUMP = json.dumps([{"nodeid": 0, "split": "f1", "split_condition": 12.0, "yes": 1, "no": 2, "children": [{"nodeid": 1, "leaf": -0.5}, {"nodeid": 2, "split": "f0", "split_condition": 50.5, "yes": 3, "no": 4, "children": [{"nodeid": 3, "leaf": 0.25}, {"nodeid": 4, "leaf": 8.0}]}]}, {"nodeid": 0, "leaf": 0.5}])
+DUMP_SQL = "CASE WHEN f1 < CAST(12 AS FLOAT) THEN -0.5 WHEN f0 < CAST(50.5 AS FLOAT) THEN 0.25 ELSE 8.0 END"
+
+
+@query("read_xgb_dump", f"SELECT record_id, CAST({DUMP_SQL} AS FLOAT) AS correction FROM ({EVENTS.sql})")
+def read_xgb_dump(spark, d):
+    return EVENTS.load(spark, d).select("record_id", patches.value_of(files.boosted_trees(DUMP)[0]).alias("correction"))
+
+
+@query("import_xgboost", f"WITH c AS ({EVENTS.sql}), e AS (SELECT avg(pow(CAST(residual AS DOUBLE), 2)) AS base, avg(pow(CAST(residual - CAST({DUMP_SQL} AS FLOAT) AS DOUBLE), 2)) AS own FROM c) SELECT round(base - own - 4e-7, 5) AS improvement, own + 4e-7 < base AS accepted FROM e")
+def import_xgboost(spark, d):
+    found = loop.promote_dump(EVENTS.load(spark, d), DUMP)
+    return spark.createDataFrame([(round(next(iter(found["deltas"].values())), 5), found["winner"] is not None)], "improvement double, accepted boolean")
+
+
+@query("number_format", "SELECT n_nationkey, printf('%.6f', n_nationkey / 7.0) AS score FROM nation")
+def number_format(spark, d):
+    rows = [r.n_nationkey for r in read(spark, d, "nation").select("n_nationkey").collect()]  # 25 rows
+    return spark.createDataFrame([(k, artifacts.score_text(k / 7.0)) for k in rows], "n_nationkey int, score string")
+
+
+@query("report_failures", RUNS + """, x AS (SELECT count(*) AS iterations, count(*) FILTER (WHERE accepted) AS acceptances, count(*) FILTER (WHERE iteration % 9 = 0) AS failures, count(*) FILTER (WHERE iteration % 18 = 0) AS vetoes, CAST(sum(n) AS BIGINT) AS generated, CAST(sum(promoted) AS BIGINT) AS promoted, max(timestamp) AS last FROM e)
+    SELECT iterations, acceptances, failures, vetoes, generated, promoted, (last - 1704067200) * 1000 AS wall_ms, 0.25::DOUBLE AS opening_score, 0.75::DOUBLE AS final_score, round(generated / ((last - 1704067200) / 60.0), 6) AS candidates_per_minute FROM x""")
+def report_failures(spark, d):
+    made = experiments(spark, d)
+    error = F.when(F.col("iteration") % 18 == 0, "the baseline disagrees").when(F.col("iteration") % 9 == 0, "no score")
+    rows = made.select((F.col("iteration") + 2).alias("line"), F.lit("experiment").alias("record"), "timestamp", "iteration", "winner", "improvement", "accepted", "search_ms", "screen_ms", "full_ms", F.size("candidates").cast("long").alias("generated"), F.size(F.filter("candidates", lambda c: c.promoted)).cast("long").alias("promoted"), error.alias("error"))
+    ends = spark.createDataFrame([(0, "header", 1_704_067_200, None), (1, "baseline", None, 0.25), (1 << 40, "baseline", None, 0.75)], "line long, record string, timestamp long, score double")
+    path = f"{store.shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    rows.unionByName(ends, allowMissingColumns=True).write.json(path)
+    found = runlog.report(files.read_log(spark, path, runlog.LOG))
+    return rounded(found.select("iterations", "acceptances", "failures", "vetoes", "generated", "promoted", "wall_ms", "opening_score", "final_score", "candidates_per_minute"), candidates_per_minute=6)

@@ -2,39 +2,62 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-VERDICT = "id string, outcome string, delta double, incumbent string, at_unix long, host string, inputs int"
+from ..operators.binning import build_edges, every, stride_for
+from ..operators.residuals import Model, compute_residuals
+from . import storage
+
+VERDICT = "position long, id string, outcome string, delta double, incumbent string, at_unix long, host string, inputs int, outputs int, members array<string>, parts string, notes array<string>"
+#: Bytes of a file that one task decodes, about.
+SPLIT_BYTES = 64 << 20
 
 
 def read_records(spark: SparkSession, path: str, inputs: int, outputs: int) -> DataFrame:
-    """Headerless little-endian FLOAT records: file, number, f0.., y0... A file is decoded by one task, in bounded batches; a file of another length is an error."""
+    """Headerless little-endian FLOAT records: record_id (over all files in the order of their paths), file, number (in its file), f0.., y0...
+
+    Only lengths are listed; each task opens its files and reads a range of records of about SPLIT_BYTES, so a corpus
+    in one large file is read by many tasks. A file of another length is an error.
+    """
     width = inputs + outputs
+    size, step = 4 * width, max(1, SPLIT_BYTES // (4 * width))
     sizes = spark.read.format("binaryFile").load(path).select("path", "length")
-    odd = sizes.where(F.col("length") % (4 * width) != 0).select("path").take(1)
+    odd = sizes.where(F.col("length") % size != 0).select("path").take(1)
     if odd:
         raise ValueError(f"{odd[0].path} holds no whole number of records")
     names = [f"f{i}" for i in range(inputs)] + [f"y{i}" for i in range(outputs)]
+    counted = sizes.select("path", F.expr(f"length div {size}").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("path").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # one row for each file
+    splits = counted.withColumn("before", before).where("n > 0").select("path", "n", "before", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(step).cast("long"))).alias("first"))
 
     def decode(parts):
         import numpy as np
         import pyarrow as pa
+        from pyarrow import fs
 
         for part in parts:
-            for name, content in zip(part.column(0).to_pylist(), part.column(1)):
-                rows = np.frombuffer(content.as_buffer(), dtype="<f4").reshape(-1, width)
-                for at in range(0, len(rows), 65_536):
-                    some = rows[at : at + 65_536]
-                    columns = [pa.array(np.ascontiguousarray(some[:, i])) for i in range(width)]  # NaN stays NaN
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(some)), pa.array(np.arange(at, at + len(some))), *columns], names=["file", "number", *names])
+            for name, n, passed, first in zip(*(c.to_pylist() for c in part.columns)):
+                files, inner = fs.FileSystem.from_uri(name.replace("file:/", "file:///", 1) if name.startswith("file:/") and not name.startswith("file://") else name)
+                with files.open_input_file(inner) as source:
+                    for at in range(first, min(n, first + step), 65_536):
+                        source.seek(at * size)
+                        some = np.frombuffer(source.read(min(65_536, min(n, first + step) - at) * size), dtype="<f4").reshape(-1, width)
+                        columns = [pa.array(np.ascontiguousarray(some[:, i])) for i in range(width)]  # NaN stays NaN
+                        places = np.arange(at, at + len(some))
+                        yield pa.RecordBatch.from_arrays([pa.array(places + passed), pa.array([name] * len(some)), pa.array(places), *columns], names=["record_id", "file", "number", *names])
 
-    schema = "file string, number long, " + ", ".join(f"{n} float" for n in names)
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(decode, schema)
+    schema = "record_id long, file string, number long, " + ", ".join(f"{n} float" for n in names)
+    tasks = max(1, splits.count())
+    return splits.repartitionByRange(tasks, "path", "first").mapInArrow(decode, schema)
 
 
 def write_records(rows: DataFrame, path: str, columns: Sequence[str]) -> None:
@@ -45,8 +68,31 @@ def write_records(rows: DataFrame, path: str, columns: Sequence[str]) -> None:
 
 
 def corpus_info(corpus: DataFrame) -> DataFrame:
-    """records, checksum: an order-free hash of all rows."""
-    return corpus.agg(F.count("*").alias("records"), F.bit_xor(F.xxhash64(*corpus.columns)).alias("checksum"))
+    """records, keys, first_key, last_key, files and checksum: an order-free hash of all rows."""
+    rows = corpus.select("*", F.col("_metadata.file_path").alias("_file")) if "_file" not in corpus.columns and has_files(corpus) else corpus.withColumn("_file", F.lit(None).cast("string"))
+    return rows.agg(
+        F.count("*").alias("records"),
+        F.countDistinct("record_id").alias("keys"),
+        F.min("record_id").alias("first_key"),
+        F.max("record_id").alias("last_key"),
+        F.countDistinct("_file").alias("files"),
+        F.lower(F.hex(F.bit_xor(F.xxhash64(*[c for c in corpus.columns if c != "_file"])))).alias("checksum"),
+    )
+
+
+def has_files(df: DataFrame) -> bool:
+    """Whether a frame is read straight from files, so that it knows where its rows are from."""
+    try:
+        df.select("_metadata.file_path")
+        return True
+    except AnalysisException:
+        return False
+
+
+def identity(corpus: DataFrame) -> dict:
+    """What tells a corpus from others: a key for caches."""
+    r = corpus_info(corpus).first()
+    return {"records": r.records, "checksum": r.checksum, "columns": corpus.columns}
 
 
 def read_log(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
@@ -54,32 +100,73 @@ def read_log(spark: SparkSession, path: str, schema: str | T.StructType) -> Data
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+class LogWriter:
+    """Appends records to a run's log, one line each, numbered; read it with read_log and runlog.LOG."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.line = spark, path, 0
+
+    def append(self, record: str, **fields) -> None:
+        text = json.dumps({"line": self.line, "record": record} | {k: v for k, v in fields.items() if v is not None})
+        self.line += 1
+        self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("append").text(self.path)
+
+
+def corpus_folder(root: str, corpus: str) -> str:
+    return f"{root.rstrip('/')}/corpus-{corpus}"
+
+
 def read_verdicts(spark: SparkSession, root: str, corpus: str) -> DataFrame:
-    """All hosts' verdicts of a corpus; a malformed line counts as none."""
-    return spark.read.schema(VERDICT).option("mode", "DROPMALFORMED").json(f"{root}/corpus-{corpus}/*.jsonl").where("id IS NOT NULL")
+    """All hosts' verdicts of a corpus; a malformed line counts as none, and without a folder there are none. Verdicts are parted by host: a folder of parts, or one file of lines. A verdict that was filed without a position gets one that follows the order of its file."""
+    folder = corpus_folder(root, corpus)
+    if not storage.exists(spark, folder):
+        return spark.createDataFrame([], VERDICT)
+    found = spark.read.schema(VERDICT).option("mode", "DROPMALFORMED").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*").json(folder)
+    return found.where("id IS NOT NULL").withColumn("position", F.coalesce("position", F.monotonically_increasing_id()))
 
 
 def corpora_in(spark: SparkSession, root: str) -> list[str]:
-    """Names of the corpora that have verdicts under root, sorted: the folders are partitions of what is read."""
-    names = spark.read.text(f"{root}/corpus-*/*.jsonl").select(F.regexp_extract(F.col("_metadata.file_path"), "/corpus-([^/]+)/[^/]+$", 1).alias("name"))
-    return [r.name for r in names.distinct().orderBy("name").collect()]
+    """Names of the corpora that have a folder of verdicts under root, sorted; nothing is read."""
+    return [path.rsplit("/corpus-", 1)[1] for path, _ in storage.matching(spark, corpus_folder(root, "*"))]
+
 
+def append_verdicts(verdicts: DataFrame, root: str, corpus: str, host: str) -> None:
+    """Append a host's verdicts: new part files in its folder, whole or not at all."""
+    columns = [c.split(" ")[0] for c in VERDICT.split(", ")]
+    verdicts.withColumn("host", F.lit(host)).select(*[c for c in columns if c in (*verdicts.columns, "host")]).write.mode("append").json(f"{corpus_folder(root, corpus)}/{host}")
 
-def rewrite_verdicts(kept: DataFrame, folder: str) -> None:
-    """Replace a host's verdicts by those that are kept; written aside and read from there, so kept may come from the same folder."""
-    aside = f"{folder.rstrip('/')}.new"
-    kept.write.mode("overwrite").json(aside)
-    kept.sparkSession.read.schema(kept.schema).json(aside).write.mode("overwrite").json(folder)
 
+def prune_verdicts(spark: SparkSession, root: str, corpus: str, host: str, plan: Callable[[DataFrame], DataFrame], dry_run: bool = False) -> dict[str, int]:
+    """Rewrite a host's own verdicts by a plan (verdicts with fate; those that are kept stay) and give how many have each fate.
 
-def append_verdicts(verdicts: DataFrame, root: str, corpus: str) -> None:
-    verdicts.write.mode("append").json(f"{root}/corpus-{corpus}")
+    What is kept is appended first, and then the files that were read are deleted, by name: verdicts that are appended
+    meanwhile stay, and a stop in between leaves some verdicts twice, which the next plan drops, but loses none.
+    """
+    folder = f"{corpus_folder(root, corpus)}/{host}"
+    read = [path for path, length in storage.matching(spark, f"{folder}/*.json*") if length]
+    if not read:
+        return {}
+    own = spark.read.schema(VERDICT).option("mode", "DROPMALFORMED").json(read).where("id IS NOT NULL")
+    planned = plan(own.withColumn("position", F.coalesce("position", F.monotonically_increasing_id()))).persist()
+    counts = {r.fate: r["count"] for r in planned.groupBy("fate").count().collect()}
+    if not dry_run and set(counts) - {"kept"}:
+        planned.where("fate = 'kept'").drop("fate").write.mode("append").json(folder)
+        for path in read:
+            storage.delete(spark, path)
+    planned.unpersist()
+    return counts
 
 
 def export_matrix(corpus: DataFrame, residuals: DataFrame, features: Sequence[str], most: int) -> DataFrame:
-    """Features and residual of every k-th record, as many as most allows, for other tools; write it with .write.csv."""
-    k = max(1, -(-corpus.count() // most))
-    return corpus.where(F.col("record_id") % k == 0).select("record_id", *features).join(residuals.select("record_id", "residual"), "record_id")
+    """Features, residual and correction of every k-th record by position, as many as most allows, for other tools."""
+    some = every(corpus.select("record_id", *features), stride_for(corpus.count(), most))
+    return some.join(residuals.select("record_id", "residual", "correction"), "record_id")
+
+
+def write_matrix(matrix: DataFrame, path: str, meta: dict) -> None:
+    """The matrix as CSV, and beside it what it is (path.meta.json)."""
+    matrix.drop("record_id").write.option("header", True).csv(path)
+    storage.write_text(matrix.sparkSession, json.dumps(meta | {"columns": [c for c in matrix.columns if c != "record_id"]}), f"{path.rstrip('/')}.meta.json")
 
 
 def boosted_trees(dump: str, before: bool = True) -> list[dict]:
@@ -97,15 +184,37 @@ def boosted_trees(dump: str, before: bool = True) -> list[dict]:
     return [node(x) for x in json.loads(dump)]
 
 
-def cached(spark: SparkSession, path: str, key: dict, build) -> DataFrame:
-    """A table kept under path for a key; built anew if it is missing, unreadable or of another key."""
-    try:
-        meta = spark.read.text(f"{path}/meta").first()
-        if meta and json.loads(meta.value) == key:
-            return spark.read.parquet(f"{path}/data")
-    except Exception:  # no cache, or a broken one: any failure to read it means building it
-        pass
-    made = build()
-    made.write.mode("overwrite").parquet(f"{path}/data")
-    spark.createDataFrame([(json.dumps(key),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
-    return spark.read.parquet(f"{path}/data")
+def cached(spark: SparkSession, path: str, key: dict, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table kept under path for a key; built if it is missing or broken.
+
+    Each key has a folder of its own, which is written aside and renamed when it is complete: a build that stops leaves
+    nothing behind that could be read, and no key ever sees another's rows. What isn't there or can't be understood is
+    built anew; any other failure to read is an error.
+    """
+    digest = hashlib.sha256(json.dumps(key, sort_keys=True).encode()).hexdigest()[:32]
+    folder = f"{path.rstrip('/')}/{digest}"
+    if storage.exists(spark, folder):
+        try:
+            meta = json.loads(storage.read_text(spark, f"{folder}/meta.json"))
+            if meta == key:
+                return spark.read.parquet(f"{folder}/data")
+        except (AnalysisException, json.JSONDecodeError, AttributeError):  # files or a schema are missing, or the key isn't readable: a broken cache
+            pass
+        storage.delete(spark, folder)
+    aside = f"{path.rstrip('/')}/.{digest}-{uuid.uuid4().hex}"
+    build().write.parquet(f"{aside}/data")
+    storage.write_text(spark, json.dumps(key), f"{aside}/meta.json")
+    storage.publish(spark, aside, folder)
+    return spark.read.parquet(f"{folder}/data")
+
+
+def cached_edges(spark: SparkSession, path: str, corpus: DataFrame, features: Sequence[str], bins: int) -> DataFrame:
+    """The corpus's quantile edges, kept by its identity and the number of bins."""
+    key = {"kind": "edges", "features": list(features), "bins": bins} | identity(corpus.select("record_id", *features))
+    return cached(spark, path, key, lambda: build_edges(corpus, features, bins))
+
+
+def cached_residuals(spark: SparkSession, path: str, corpus: DataFrame, model: Model) -> DataFrame:
+    """The corpus's residuals under a model, kept by its identity and the model's checksum."""
+    key = {"kind": "residuals", "model": model.checksum} | identity(corpus)
+    return cached(spark, path, key, lambda: compute_residuals(corpus, model))

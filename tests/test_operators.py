@@ -132,9 +132,12 @@ def test_wide_form_equals_the_long_one(spark):
     listed, _ = edges_for(spark, rows, 5, 8)
     names = [f"f{i}" for i in range(5)]
     want = {(r.feature, r.bin): (r.n, r.s, r.q) for r in histogram.histogram(binning.bin_rows(rows, names, listed), 5).collect()}
-    wide = rows.select(F.array(*names).alias("x"), "residual").unionByName(spark.createDataFrame([(None, 1.0), ([1.0], 1.0)], "x array<float>, residual float"))
+    wide = rows.select(F.array(*names).alias("x"), "residual")
     got = {(r.feature, r.bin): (r.n, r.s, r.q) for r in histogram.wide_histogram(wide, listed).collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    for odd in (None, [1.0]):
+        with pytest.raises(Exception, match="isn't 5 wide"):
+            histogram.wide_histogram(wide.unionByName(spark.createDataFrame([(odd, 1.0)], "x array<float>, residual float")), listed).collect()
 
 
 def test_planted_right_only_stump_and_controls(spark):
@@ -232,7 +235,7 @@ def test_expansion_order_and_combos(spark):
     assert [r.gain for r in rows[2:6]] == [6.0, 3.0, 6.0, 3.0] and rows[-1].threshold == 1.0
     singles = candidates.distinct(rows)
     assert len({c.id for c in singles}) == len(singles) == 9
-    assert [c.strategy for c in candidates.combos(singles)] == ["combo/2"]
+    assert [c.strategy for c in candidates.combos(singles)] == ["combo/2:stump"]
 
 
 def test_promotion_accepts_only_strict_gains_and_vetoes_drift(spark):
@@ -255,6 +258,7 @@ def test_loop_finds_planted_stumps_and_stops(spark):
     columns = [(i % 17) / 17, np.where(i % 2, 1, -1), (13 * i % 11) / 11]
     rows = corpus(spark, columns, 0.3 * (columns[1] > 0) + 0.2 * (columns[2] > 0.5))
     found = loop.run(rows, ["f0", "f1", "f2"], bins=16, controls=Controls(min_leaf=20, max_correction=1, top_k=4, max_per_feature=2), iterations=4, patience=0, count=6)
+    assert [x["record"] for x in found.log][:2] == ["header", "baseline"] and found.log[-1]["record"] == "summary"
     assert found.accepted and found.scores == sorted(found.scores)
     assert found.scores[-1] > 1 - 0.25 * (1 - found.scores[0])
     assert found.stop in ("iterations", "no improvement", "no candidates")
@@ -283,32 +287,64 @@ def test_prune_dedupes_then_ages_then_caps(spark):
     assert verdicts.unfiled(log, log.where("id = 'a'")).count() == 4
 
 
-def test_fixed_width_files(spark, tmp_path):
+def test_fixed_width_files(spark, tmp_path, monkeypatch):
     (tmp_path / "c").mkdir()
     (tmp_path / "c" / "a.bin").write_bytes(struct.pack("<6f", 1, 2, 3, 4, NAN, 6))
-    rows = files.read_records(spark, f"file://{tmp_path}/c", 2, 1).orderBy("number").collect()
+    rows = files.read_records(spark, f"file://{tmp_path}/c", 2, 1).orderBy("record_id").collect()
     assert [(r.number, r.f0, r.y0) for r in rows] == [(0, 1.0, 3.0), (1, 4.0, 6.0)] and math.isnan(rows[1].f1)
     files.write_records(spark.createDataFrame([(1.5, 2.0, 3.0)], "f0 float, f1 float, y0 float"), str(tmp_path / "c" / "b.bin"), ["f0", "f1", "y0"])
     assert files.read_records(spark, f"file://{tmp_path}/c", 2, 1).count() == 3
+    monkeypatch.setattr(files, "SPLIT_BYTES", 24)  # two records a task
+    (tmp_path / "c" / "c.bin").write_bytes(struct.pack("<33f", *range(33)))
+    (tmp_path / "c" / "empty.bin").write_bytes(b"")
+    whole = files.read_records(spark, f"file://{tmp_path}/c", 2, 1)
+    found = whole.orderBy("record_id").collect()
+    assert [r.record_id for r in found] == list(range(14)) and [r.f0 for r in found[3:]] == [3.0 * i for i in range(11)] and [r.number for r in found[3:]] == list(range(11))
+    assert whole.rdd.getNumPartitions() == 8
     (tmp_path / "c" / "odd.bin").write_bytes(b"12345")
     with pytest.raises(ValueError):
         files.read_records(spark, f"file://{tmp_path}/c", 2, 1)
 
 
-def test_logs(spark, tmp_path):
+def test_read_verdicts_of_files_and_folders(spark, tmp_path):
     folder = tmp_path / "corpus-x"
     folder.mkdir()
     (folder / "h.jsonl").write_text('{"id":"a","outcome":"accepted","delta":1.0,"at_unix":5}\nnot json\n{"id":"b","outcome":"rejected"}\n')
     assert {r.id for r in files.read_verdicts(spark, f"file://{tmp_path}", "x").collect()} == {"a", "b"}
     assert files.corpora_in(spark, f"file://{tmp_path}") == ["x"]
-    host = f"file://{tmp_path}/own"
-    verdict_rows(spark, [("a", "m", "accepted", 1.0, 1), ("b", "m", "rejected", 0.0, 2)]).write.json(host)
-    files.rewrite_verdicts(spark.read.schema(VERDICT).json(host).where("id = 'b'"), host)
-    assert [r.id for r in spark.read.schema(VERDICT).json(host).collect()] == ["b"]
+    assert files.read_verdicts(spark, f"file://{tmp_path}", "none").count() == 0 and files.corpora_in(spark, f"file://{tmp_path}/nowhere") == []
     with pytest.raises(Exception):
         files.read_log(spark, f"file://{folder}", files.VERDICT).collect()
 
 
+def test_appended_verdicts_are_read_and_pruned(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    rows = [("a", "m", "accepted", 1.0, 100), ("a", "m", "accepted", 1.0, 100), ("b", "m", "rejected", 0.0, 10), ("c", "m", "accepted", 1.0, 10), ("d", "m", "rejected", 0.0, 90)]
+    files.append_verdicts(verdict_rows(spark, rows[:3]), root, "x", "one")
+    files.append_verdicts(verdict_rows(spark, rows[3:]).drop("position"), root, "x", "one")
+    files.append_verdicts(verdict_rows(spark, rows[:1]), root, "x", "two")
+    found = files.read_verdicts(spark, root, "x")
+    assert sorted((r.id, r.host) for r in found.collect()) == [("a", "one"), ("a", "one"), ("a", "two"), ("b", "one"), ("c", "one"), ("d", "one")]
+    plan = lambda v: verdicts.prune(v, 100, 80, 50)
+    want = {"duplicate": 1, "kept": 2, "stale-rejected": 1, "stale-accepted": 1}
+    assert files.prune_verdicts(spark, root, "x", "one", plan, dry_run=True) == want and files.read_verdicts(spark, root, "x").count() == 6
+
+    def appended_meanwhile(v):
+        files.append_verdicts(verdict_rows(spark, [("late", "m", "accepted", 1.0, 99)]), root, "x", "one")
+        return plan(v)
+
+    assert files.prune_verdicts(spark, root, "x", "one", appended_meanwhile) == want
+    assert sorted(r.id for r in files.read_verdicts(spark, root, "x").where("host = 'one'").collect()) == ["a", "d", "late"]
+    assert files.prune_verdicts(spark, root, "x", "nobody", plan) == {}
+
+    def fails(v):
+        raise RuntimeError
+
+    with pytest.raises(RuntimeError):
+        files.prune_verdicts(spark, root, "x", "one", fails)
+    assert files.read_verdicts(spark, root, "x").count() == 4
+
+
 def test_boosted_trees_move_the_threshold_to_the_float_before(spark):
     dump = json.dumps([{"nodeid": 0, "split": "f1", "split_condition": 0.5, "yes": 1, "no": 2, "children": [{"nodeid": 1, "leaf": -1.0}, {"nodeid": 2, "leaf": 2.0}]}])
     (node,) = files.boosted_trees(dump)
@@ -316,13 +352,85 @@ def test_boosted_trees_move_the_threshold_to_the_float_before(spark):
     assert [r.v for r in rows.select(patches.value_of(node).alias("v")).collect()] == [2.0, -1.0, 2.0]
 
 
-def test_cache_is_rebuilt_for_another_key(spark, tmp_path):
+def test_a_cache_never_gives_the_rows_of_another_key(spark, tmp_path):
     path, built = f"file://{tmp_path}/cache", []
 
-    def build():
+    def build(n=None):
         built.append(1)
-        return spark.range(len(built))
+        return spark.range(len(built) if n is None else n)
 
     assert files.cached(spark, path, {"k": 1}, build).count() == 1
     assert files.cached(spark, path, {"k": 1}, build).count() == 1
+
+    def stops():
+        raise RuntimeError
+
+    with pytest.raises(RuntimeError):
+        files.cached(spark, path, {"k": 2}, stops)
+    assert files.cached(spark, path, {"k": 1}, stops).count() == 1  # untouched by the build that stopped
     assert files.cached(spark, path, {"k": 2}, build).count() == 2
+    assert files.cached(spark, path, {"k": 1}, stops).count() == 1
+    (folder,) = [p for p in (tmp_path / "cache").iterdir() if json.loads((p / "meta.json").read_text()) == {"k": 2}]
+    (folder / ".meta.json.crc").unlink()
+    for broken in (lambda: (folder / "meta.json").write_text("no json"), lambda: [x.unlink() for x in (folder / "data").iterdir()]):
+        broken()
+        assert files.cached(spark, path, {"k": 2}, lambda: spark.range(7)).count() == 7
+
+
+def test_edges_and_residuals_are_kept_by_corpus_and_model(spark, tmp_path, monkeypatch):
+    rows = corpus(spark, [np.arange(50)], np.zeros(50)).withColumn("y", F.col("f0") * 2)
+    path = f"file://{tmp_path}/c"
+    first = files.cached_edges(spark, path, rows, ["f0"], 4).collect()
+    model = residuals.Model([{"id": "o", "squash": "IDENTITY", "bias": 0.0, "in": [("f0", 1.0)]}], "o")
+    other = residuals.Model([{"id": "o", "squash": "IDENTITY", "bias": 1.0, "in": [("f0", 1.0)]}], "o")
+    sums = [files.cached_residuals(spark, path, rows, m).agg(F.sum("residual")).first()[0] for m in (model, other)]
+    assert sums == [1225.0, 1175.0]
+    monkeypatch.setattr(files, "build_edges", None)
+    monkeypatch.setattr(files, "compute_residuals", None)
+    assert files.cached_edges(spark, path, rows, ["f0"], 4).collect() == first and files.cached_residuals(spark, path, rows, other).count() == 50
+    with pytest.raises(TypeError):
+        files.cached_edges(spark, path, rows.where("f0 > 3"), ["f0"], 4)
+
+
+@pytest.mark.parametrize("keys", [lambda i: 2 * i + 1, lambda i: i * 8 + i % 7, lambda i: i**3])
+def test_a_stride_counts_records_not_keys(spark, keys):
+    rows = spark.createDataFrame([(keys(i), float(i)) for i in range(3000)], "record_id long, f0 float").repartition(5)
+    order = sorted(keys(i) for i in range(3000))
+    for target in (10, 100, 2999, 3000):
+        k = -(-3000 // target)
+        want = [x for i, x in enumerate(order) if i % k == 0]
+        assert sorted(r.record_id for r in binning.stride_sample(rows, target).collect()) == want and len(want) <= target
+        assert sorted(r.record_id for r in sampling.stride(rows, target).collect()) == want
+    assert sorted(r.position for r in binning.positioned(rows).collect()) == list(range(3000))
+    assert [r.record_id for r in binning.every(rows, 7, 3).orderBy("record_id").collect()] == [x for i, x in enumerate(order) if (i + 3) % 7 == 0]
+    assert binning.positioned(rows.limit(0)).count() == 0
+    assert binning.build_edges(rows, ["f0"], 8, 100).count() == 7
+
+
+def test_strata_are_quarters_also_with_ties(spark):
+    values = [0.0] * 700 + [1.0] * 200 + [2.0] * 103
+    rows = spark.createDataFrame([(7 * i + 3, v) for i, v in enumerate(values)], "record_id long, residual float").repartition(3)
+    found = sampling.with_stratum(rows, sampling.strata_bounds(rows)).orderBy("record_id").collect()
+    n = len(values)
+    assert [r.stratum for r in found] == [next(s for s in range(4) if i < (s + 1) * n // 4) for i in range(n)]
+    assert residuals.kth(rows, "record_id", 500) == 3503
+
+
+def test_false_positives_and_negatives_of_the_screen(spark):
+    i = np.arange(400)
+    rows = corpus(spark, [np.where(7 * i % 5 < 2, 1, -1)], np.where(7 * i % 5 < 2, 0.3, 0)).persist()
+    good = patches.split(0, 0.0, patches.leaf(0.0), patches.leaf(0.3))
+    bad = patches.scaled(good, -1)
+    one = promotion.promote(rows, [("good", [good]), ("bad", [bad])], count=1, rate=0.5, bypass_count=1)
+    assert (one["promoted"], one["bypass"], one["false_positives"], one["false_negatives"]) == (["good", "bad"], ["bad"], 0, 0)
+
+    def turned(rows, candidates):  # a screen that is wrong about everything
+        real = promotion.score_all(rows, candidates)
+        base = real["baseline"][0]
+        return {k: (v[0] if rows.count() == 400 else 2 * base - v[0], v[1], v[2]) for k, v in real.items()}
+
+    two = promotion.promote(rows, [("good", [good]), ("bad", [bad])], count=1, rate=0.5, bypass_count=1, scorer=turned)
+    assert (two["promoted"], two["false_positives"], two["false_negatives"], two["winner"]) == (["bad", "good"], 1, 1, "good")
+    for odd in ({}, {"baseline": (1.0, 0.0, 1)}, {"baseline": (float("nan"), 0.0, 1), "good": (1.0, 0.0, 1), "bad": (1.0, 0.0, 1)}):
+        with pytest.raises(ValueError):
+            promotion.promote(rows, [("good", [good]), ("bad", [bad])], scorer=lambda *a: odd)
