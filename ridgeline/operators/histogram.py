@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 KINDS = ["left-only", "right-only", "two-leaf"]
 
@@ -27,7 +28,9 @@ class Controls:
 
 
 def histogram(binned: DataFrame, features: int, keys: Sequence[str] = (), weight: str | None = None) -> DataFrame:
-    """keys, feature, bin, n, s, q: weights, weighted residuals and their squares, in DOUBLE."""
+    """keys, feature, bin, n, s, q: weights, weighted residuals and their squares, in DOUBLE. Rows have a column for each feature's bin, or all in one (packed), then without keys."""
+    if "bins" in binned.columns and not keys:
+        return packed_histogram(binned, features, weight=weight)
     cells = F.array(*[F.struct(F.lit(i).alias("feature"), F.col(f"b{i}").alias("bin")) for i in range(features)])
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     r = F.col("residual").cast("double")
@@ -35,11 +38,100 @@ def histogram(binned: DataFrame, features: int, keys: Sequence[str] = (), weight
     return rows.groupBy(*keys, F.col("cell.feature").alias("feature"), F.col("cell.bin").alias("bin")).agg(F.sum("w").alias("n"), F.sum("wr").alias("s"), F.sum("wrr").alias("q"))
 
 
+#: Bins that a byte can number.
+BYTE = 256
+
+
+def pack_bins(rows: DataFrame, edges: Sequence[Sequence[float]], keep: Sequence[str] = ("record_id", "residual")) -> DataFrame:
+    """The kept columns and bins: one byte for each feature of the array x, in one binary. The form for hundreds of features, as Spark reads and hands on one column instead of hundreds; a feature has at most 255 edges."""
+    import numpy as np
+    import pyarrow as pa
+
+    if max(map(len, edges), default=0) >= BYTE:
+        raise ValueError("a packed feature has at most 255 edges")
+    bounds, n = [np.array(e, dtype=np.float32) for e in edges], len(keep)
+
+    def make(parts):
+        for part in parts:
+            x = cells_of(part.column(n), len(bounds)).astype(np.float32, copy=False)
+            bins = np.empty(x.shape, dtype=np.uint8)
+            for i, e in enumerate(bounds):
+                bins[:, i] = np.where(np.isnan(x[:, i]), 0, np.searchsorted(e, x[:, i], side="left"))
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(n)), pa.array([r.tobytes() for r in bins], pa.binary())], names=[*keep, "bins"])
+
+    schema = T.StructType([*(rows.schema[c] for c in keep), T.StructField("bins", T.BinaryType())])
+    return rows.select(*keep, "x").mapInArrow(make, schema)
+
+
+def cells_of(column, width: int):
+    """A column of arrays or binaries as records x features; an error for one of another width."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    packed = pa.types.is_binary(column.type)
+    lengths = (pc.binary_length if packed else pc.list_value_length)(column)
+    if lengths.null_count or (lengths.to_numpy() != width).any():
+        raise ValueError(f"a record isn't {width} wide")
+    if not packed:
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    start = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset] if len(column) else 0
+    data = np.frombuffer(column.buffers()[2], dtype=np.uint8) if len(column) and width else np.zeros(0, dtype=np.uint8)
+    return data[start : start + len(column) * width].reshape(-1, width)
+
+
+def packed_histogram(rows: DataFrame, features: int, leaves: Sequence[tuple[int, Sequence]] | None = None, weight: str | None = None) -> DataFrame:
+    """(leaf,) feature, bin, n, s, q of packed rows: each task adds up a table of features x bins for each leaf in numpy, and a row for each feature of it is sent. leaves: (number, path) of those to sum up."""
+    import numpy as np
+    import pyarrow as pa
+
+    paths = [(0, ())] if leaves is None else list(leaves)
+    schema = pa.schema([("leaf", pa.int32()), ("feature", pa.int32()), ("sums", pa.binary())])
+    steps = np.arange(features, dtype=np.int64) * BYTE
+
+    def partial(parts):
+        sums = {k: np.zeros((3, features * BYTE)) for k, _ in paths}
+        for part in parts:
+            if not part.num_rows:
+                continue
+            bins = cells_of(part.column(0), features)
+            r, w = (part.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+            for k, path in paths:
+                own = np.ones(len(bins), dtype=bool)
+                for feature, bin_, _, right in path:
+                    own &= (bins[:, feature] > bin_) == right
+                some, rs, ws = (bins, r, w) if not path else (bins[own], r[own], w[own])
+                for at in range(0, len(some), 4096):
+                    cells = (some[at : at + 4096] + steps).ravel()
+                    v, u = rs[at : at + 4096], ws[at : at + 4096]
+                    for place, value in enumerate((u, u * v, u * v * v)):
+                        sums[k][place] += np.bincount(cells, weights=np.repeat(value, features), minlength=features * BYTE)
+        for k, held in sums.items():
+            tables = np.ascontiguousarray(held.reshape(3, features, BYTE).transpose(1, 0, 2))
+            if held[0].any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(features, k, dtype=np.int32)), pa.array(np.arange(features, dtype=np.int32)), pa.array([t.tobytes() for t in tables], pa.binary())], schema=schema)
+
+    def merged(parts):
+        held: dict[tuple[int, int], np.ndarray] = {}
+        for part in parts:
+            for k, feature, sums in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)):
+                found = np.frombuffer(sums.as_py()).reshape(3, BYTE)
+                held[k, feature] = held[k, feature] + found if (k, feature) in held else found
+        for (k, feature), sums in held.items():
+            bins = np.flatnonzero(sums[0])
+            columns = [np.full(len(bins), k, dtype=np.int32), np.full(len(bins), feature, dtype=np.int32), bins.astype(np.int32), *sums[:, bins]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["leaf", "feature", "bin", "n", "s", "q"])
+
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    sent = rows.select("bins", F.col("residual").cast("double").alias("r"), w.alias("w")).mapInArrow(partial, "leaf int, feature int, sums binary")
+    made = sent.repartition("leaf", "feature").mapInArrow(merged, "leaf int, feature int, bin int, n double, s double, q double")
+    return made.drop("leaf") if leaves is None else made
+
+
 def wide_histogram(rows: DataFrame, edges: Sequence[Sequence[float]]) -> DataFrame:
     """The same for hundreds of features in an array x: Arrow batches binned and summed in numpy, one partial table a task. A record whose array is null or of another width is an error."""
     import numpy as np
     import pyarrow as pa
-    import pyarrow.compute as pc
 
     bounds = [np.array(e, dtype=np.float32) for e in edges]
     width, most = len(bounds), max((len(e) for e in edges), default=0) + 1
@@ -50,9 +142,7 @@ def wide_histogram(rows: DataFrame, edges: Sequence[Sequence[float]]) -> DataFra
         for part in parts:
             if not part.num_rows:
                 continue
-            if part.column(0).null_count or (pc.list_value_length(part.column(0)).to_numpy() != width).any():
-                raise ValueError(f"a record's array isn't {width} wide")
-            x = np.ascontiguousarray(part.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(-1, width).T)
+            x = np.ascontiguousarray(cells_of(part.column(0), width).astype(np.float32, copy=False).T)
             r = part.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
             bins = np.stack([np.searchsorted(e, v, side="left") for e, v in zip(bounds, x)])
             bins[np.isnan(x)] = 0

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import patches
-from .histogram import Controls, best_by_leaf, histogram, subtract
+from .histogram import Controls, best_by_leaf, histogram, packed_histogram, subtract
 
 
 @dataclass
@@ -81,7 +81,10 @@ def histograms(binned: DataFrame, leaves: list[Leaf], fresh: Sequence[int], befo
     for i in fresh:
         pairs.setdefault(leaves[i].parent, []).append(i)
     summed = [min(own, key=lambda i: (leaves[i].n, i)) for own in pairs.values()]
-    made = histogram(binned.withColumn("leaf", leaf_column(leaves, summed)).where("leaf IS NOT NULL"), width, ["leaf"], weight)
+    if "bins" in binned.columns:
+        made = packed_histogram(binned, width, [(i, leaves[i].path) for i in summed], weight)
+    else:
+        made = histogram(binned.withColumn("leaf", leaf_column(leaves, summed)).where("leaf IS NOT NULL"), width, ["leaf"], weight)
     rest = {p: (small, next(i for i in own if i != small)) for (p, own), small in zip(pairs.items(), summed) if len(own) == 2}
     if before is None or not rest:
         return made
@@ -93,10 +96,11 @@ def histograms(binned: DataFrame, leaves: list[Leaf], fresh: Sequence[int], befo
 
 
 def grow_tree(binned: DataFrame, edges: DataFrame, width: int, controls: Controls, max_depth: int = 3, best_first: bool = False, root: tuple[int, int] | None = None) -> list[Tree]:
-    """The last tree of each depth. Frozen leaves keep their best split in best-first growth, as they stay eligible."""
+    """The last tree of each depth; binned: a column for each feature's bin, or all packed in one. Frozen leaves keep their best split in best-first growth, as they stay eligible."""
     max_depth = min(3, max(1, max_depth))
     leaves, done, splits = [Leaf(())], {}, 0
-    kept = binned.select(*[f"b{i}" for i in range(width)], "residual", *(["weight"] if "weight" in binned.columns else [])).persist()
+    cells = ["bins"] if "bins" in binned.columns else [f"b{i}" for i in range(width)]
+    kept = binned.select(*cells, "residual", *(["weight"] if "weight" in binned.columns else [])).persist()
     held: list[DataFrame] = [kept]
     before = None
     while True:

@@ -198,3 +198,25 @@ def test_a_log_that_grows_is_read_as_a_stream(spark, tmp_path):
         (tmp_path / "log" / "bad.txt").write_text("no json\n")
         files.read_log(spark, path, runlog.LOG).collect()
     assert verdicts.NOTES == 8
+
+
+def test_packed_bins_give_the_same_histograms_and_trees(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(5, 700)).astype(np.float32)
+    x[2, ::9] = np.nan
+    rows = corpus(spark, x, rng.normal(size=700)).withColumn("weight", (F.col("record_id") % 3 + 1).cast("float"))
+    listed, table = edges_for(spark, rows, 5, 9)
+    names, keep = [f"f{i}" for i in range(5)], ("record_id", "residual", "weight")
+    plain = binning.bin_rows(rows, names, listed, keep).repartition(3)
+    arrays = rows.withColumn("x", F.array(*names))
+    packed = histogram.pack_bins(arrays, listed, keep).repartition(3)
+    assert packed.columns == [*keep, "bins"] and {r.record_id: list(r.bins) for r in packed.collect()} == {r.record_id: [r[f"b{i}"] for i in range(5)] for r in plain.collect()}
+    for weight in (None, "weight"):
+        want, got = ({(r.feature, r.bin): (r.n, r.s, r.q) for r in histogram.histogram(df, 5, weight=weight).collect()} for df in (plain, packed))
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    grown = [[(leaf.path, leaf.n) for leaf in t.leaves] for t in trees.grow_tree(plain, table, 5, CONTROLS, 3)]
+    assert [[(leaf.path, leaf.n) for leaf in t.leaves] for t in trees.grow_tree(packed, table, 5, CONTROLS, 3)] == grown
+    with pytest.raises(ValueError):
+        histogram.pack_bins(arrays, [list(range(256))])
+    with pytest.raises(Exception, match="isn't 5 wide"):
+        histogram.pack_bins(arrays.withColumn("x", F.array("f0")), listed).collect()
