@@ -333,17 +333,22 @@ def exact_links(sets: list, similar: tuple[int, int] = SIMILAR) -> list[tuple[in
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
     sets = [sets[i] for i in order]
     sizes = np.array([len(s) for s in sets])
-    tokens, where, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    places = np.argsort(np.argsort(counts, kind="stable"), kind="stable")[where]
-    prefixes, at = [], 0
-    for n in sizes.tolist():
-        prefixes.append(np.sort(places[at : at + n])[: n - -(-up * n // down) + 1])
-        at += n
+    held = np.concatenate(sets)  # one copy, sorted in place: groups may be tens of MB
+    held.sort()
+    firsts = np.flatnonzero(np.append(True, held[1:] != held[:-1]))
+    tokens, counts = held[firsts], np.diff(np.append(firsts, len(held)))
+    del held, firsts
+    places = np.empty(len(tokens), dtype=np.int32)
+    places[np.argsort(counts, kind="stable")] = np.arange(len(tokens), dtype=np.int32)
+    del counts
+    prefixes = [np.sort(places[np.searchsorted(tokens, s)])[: n - -(-up * n // down) + 1] for s, n in zip(sets, sizes.tolist())]
+    starts = np.zeros(len(tokens) + 1, dtype=np.int64)
+    del tokens, places
     listed = np.concatenate(prefixes)
-    owners = np.repeat(np.arange(len(sets)), [len(p) for p in prefixes])
-    by = np.argsort(listed, kind="stable")  # the owners of an element in order of their place
-    owners = owners[by]
-    starts = np.searchsorted(listed[by], np.arange(len(tokens) + 1))
+    owners = np.repeat(np.arange(len(sets), dtype=np.int32), [len(p) for p in prefixes])
+    owners = owners[np.argsort(listed, kind="stable")]  # the owners of an element in order of their place
+    np.cumsum(np.bincount(listed, minlength=len(starts) - 1), out=starts[1:])
+    del listed
     roots, edges = np.arange(len(sets)), []
     flags = np.zeros(len(sets), dtype=bool)
     for i in range(1, len(sets)):
