@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Callable
 
@@ -434,13 +435,55 @@ def grow_tree_level(spark, d):
     return tree_rows(spark, trees.grow_tree(binned, edges, 3, CONTROLS, max_depth=2)).select("depth", "leaves", "gain")
 
 
-@query("grow_tree_best_first")
+def numbered(sql: str, mark: str) -> str:
+    """The steps of kinds_sql under names of their own."""
+    return re.sub(r"\b(totals|dense|scan|sides|gains|kinds)\b", rf"\g<1>{mark}", sql)
+
+
+def leaf_hist_sql(rows: str, keys: str = "leaf, ") -> str:
+    cells = " UNION ALL ".join(f"SELECT {keys}{i} AS feature, b{i} AS bin, residual FROM {rows}" for i in range(3))
+    return f"SELECT {keys}feature, bin, CAST(count(*) AS DOUBLE) AS n, sum(CAST(residual AS DOUBLE)) AS s FROM ({cells}) GROUP BY ALL"
+
+
+def goes_right_sql(split: str) -> str:
+    return f"(CASE {split}.feature WHEN 0 THEN b0 WHEN 1 THEN b1 ELSE b2 END > {split}.bin)"
+
+
+def snapshot_sql(rows: str, step: int) -> str:
+    """The tree of a step as one row; leaves are numbered as in a heap, from 1."""
+    most = CONTROLS.max_correction
+    sums = f"SELECT leaf, count(*) AS n, sum(CAST(residual AS DOUBLE)) AS s FROM {rows} GROUP BY leaf"
+    return f"SELECT {step} AS step, CAST(max(floor(log2(leaf))) AS INTEGER) AS depth, CAST(count(*) AS INTEGER) AS leaves, sum(2 * c * s - n * c * c) AS gain, CAST(sum(CASE WHEN c <> 0 THEN n ELSE 0 END) AS DOUBLE) AS affected_records FROM (SELECT *, greatest(least(s / n, {most}), -{most}) AS c FROM ({sums}))"
+
+
+def grown_sql(steps: int, choose) -> str:
+    """Growth in steps: choose gives the splits of a step, one at most for each leaf, out of kinds<step>; the last tree of each depth is left."""
+    out, rows = chain_sql(EVENTS) + ", rows0 AS (SELECT 1 AS leaf, b0, b1, b2, residual FROM binned)", []
+    for i in range(steps):
+        out += f", hist_{i} AS ({leaf_hist_sql(f'rows{i}')})" + numbered(kinds_sql(f"hist_{i}", keys="leaf, "), f"_{i}")
+        out += f", split{i} AS ({choose(i)}), rows{i + 1} AS (SELECT CASE WHEN split{i}.leaf IS NULL THEN r.leaf ELSE 2 * r.leaf + {goes_right_sql(f'split{i}')}::INTEGER END AS leaf, b0, b1, b2, residual FROM rows{i} r LEFT JOIN split{i} ON r.leaf = split{i}.leaf)"
+        rows.append(snapshot_sql(f"rows{i + 1}", i))
+    return out + f", snaps AS ({' UNION ALL '.join(rows)}) SELECT depth, leaves, round(gain, 1) AS gain, round(affected_records, 1) AS affected_records FROM snaps WHERE depth > 0 QUALIFY row_number() OVER (PARTITION BY depth ORDER BY step DESC) = 1"
+
+
+def best_of_all_sql(step: int) -> str:
+    """The best split of any leaf; growth ends where that leaf is as deep as leaves may be."""
+    return f"SELECT * FROM (SELECT * FROM kinds_{step} WHERE kind_no = 2 ORDER BY gain DESC, feature, bin LIMIT 1) WHERE leaf < 8"
+
+
+def best_of_each_sql(step: int) -> str:
+    """The best split of each leaf; the first step's is the root, which is given."""
+    given = " AND feature = 1 AND bin = 5" if step == 0 else ""
+    return f"SELECT * FROM kinds_{step} WHERE kind_no = 2{given} QUALIFY row_number() OVER (PARTITION BY leaf ORDER BY gain DESC, feature, bin) = 1"
+
+
+@query("grow_tree_best_first", grown_sql(7, best_of_all_sql))
 def grow_tree_best_first(spark, d):
     _, edges, _, binned = prepared(spark, d, EVENTS)
     return tree_rows(spark, trees.grow_tree(binned, edges, 3, CONTROLS, max_depth=3, best_first=True))
 
 
-@query("grow_tree_rooted")
+@query("grow_tree_rooted", grown_sql(2, best_of_each_sql))
 def grow_tree_rooted(spark, d):
     _, edges, _, binned = prepared(spark, d, EVENTS)
     return tree_rows(spark, trees.grow_tree(binned, edges, 3, CONTROLS, max_depth=2, root=(1, 5)))
@@ -452,11 +495,21 @@ def root_features(spark, d):
     return found.orderBy(F.desc("gain"), "feature").limit(2).select("feature", "bin", "gain")
 
 
-@query("boost_rounds")
+def boosted_sql(rounds: int) -> str:
+    """Rounds of the best stump, each on what the stumps before leave."""
+    out = chain_sql(EVENTS) + ", rows0 AS (SELECT b0, b1, b2, residual FROM binned)"
+    for i in range(rounds):
+        out += f", hist_{i} AS ({leaf_hist_sql(f'rows{i}', '')})" + numbered(kinds_sql(f"hist_{i}"), f"_{i}")
+        out += f", best{i} AS (SELECT * FROM kinds_{i} {ORDER_SQL} LIMIT 1), rows{i + 1} AS (SELECT b0, b1, b2, residual - CASE WHEN {goes_right_sql(f'best{i}')} THEN right_correction ELSE left_correction END AS residual FROM rows{i}, best{i})"
+    found = " UNION ALL ".join(f"SELECT {i} AS round, feature, CAST(threshold AS DOUBLE) AS threshold, round(CAST(left_correction AS DOUBLE), 3) AS left_correction, round(CAST(right_correction AS DOUBLE), 3) AS right_correction FROM best{i}" for i in range(rounds))
+    return out + " " + found
+
+
+@query("boost_rounds", boosted_sql(3))
 def boost_rounds(spark, d):
     rows, edges, listed, binned = prepared(spark, d, EVENTS)
     found = loop.boost(binned, edges, listed, 3, CONTROLS, 3)
-    return spark.createDataFrame([(i, p["terms"][0][0], p["threshold"], p["left"]["correction"], p["right"]["correction"]) for i, p in enumerate(found)], "round int, feature int, threshold double, left_correction double, right_correction double")
+    return spark.createDataFrame([(i, p["terms"][0][0], p["threshold"], round(p["left"]["correction"], 3), round(p["right"]["correction"], 3)) for i, p in enumerate(found)], "round int, feature int, threshold double, left_correction double, right_correction double")
 
 
 LINE = [(0, 0.02), (1, 0.01)]
