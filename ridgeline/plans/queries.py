@@ -1107,7 +1107,7 @@ def read_log(spark, d):
     return found.groupBy("host").agg(F.count("*").alias("verdicts"), F.min("at_unix").alias("first_at"), F.max("at_unix").alias("last_at"))
 
 
-@query("report_json")
+@query("report_json", f"SELECT CAST(to_json(t) AS VARCHAR) AS report FROM ({ORACLE_SQL['report_totals']}) t")
 def report_json(spark, d):
     return report_totals(spark, d).select(F.to_json(F.struct("*")).alias("report"))
 
