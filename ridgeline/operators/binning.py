@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.semantics import is_finite, single_sql
+from ..plans.store import written
 
 #: Rows that edges are taken from, at most (the stride is rounded up).
 SAMPLE_ROWS = 65_536
@@ -23,45 +24,40 @@ def stride_for(rows: int, target: int) -> int:
     return max(1, -(-rows // target)) if target else 1
 
 
-#: Ranges of keys in which positions are counted side by side.
-RANGES = 256
+#: Bits that a row's place in its range has in an id that grows with the rows.
+PLACE_BITS = 33
 
 
-def cell_of(key: str, bounds: Sequence) -> Column:
-    """How many of the ascending bounds lie below a key, as a balanced CASE."""
-
-    def part(low: int, high: int) -> str:
-        if low == high:
-            return str(low)
-        mid = (low + high) // 2
-        return f"CASE WHEN `{key}` > {bounds[mid]!r} THEN {part(mid + 1, high)} ELSE {part(low, mid)} END"
-
-    return F.expr(part(0, len(bounds))).cast("int")
-
-
-def positioned(rows: DataFrame, order: Sequence[str] = ("record_id",), ranges: int = RANGES) -> DataFrame:
-    """rows with position: 0, 1, ... in the given order, without a global sort. The first column of the order is a whole number and parts the rows at approximate quantiles; a range counts its own rows, and what the ranges before it hold is added."""
-    key = order[0]
-    bounds = rows.select(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 10 * ranges).alias("q")).first().q or []
-    ranged = rows.withColumn("_range", cell_of(key, sorted(set(bounds))))
-    passed, before = 0, {}
-    for r in sorted(ranged.groupBy("_range").count().collect(), key=lambda r: r["_range"]):  # as many rows as ranges
-        before[r["_range"]], passed = passed, passed + r["count"]
-    if not before:
-        return rows.withColumn("position", F.lit(0).cast("long"))
-    offset = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("_range"))
-    place = F.row_number().over(W.partitionBy("_range").orderBy(*order))
-    return ranged.withColumn("position", (offset + place - 1).cast("long")).drop("_range")
+def numbered(rows: DataFrame, key: str = "record_id") -> DataFrame:
+    """key, position: 0, 1, ... in the order of the keys, without a global sort. Keys alone are dealt to ranges (as many as Spark makes partitions, so a range doesn't grow with the corpus) and written with their places; what the ranges before hold is added."""
+    placed = rows.select(key).repartitionByRange(key).sortWithinPartitions(key).withColumn("_at", F.monotonically_increasing_id())
+    held = written(placed, "keys").withColumn("_range", F.shiftrightunsigned("_at", PLACE_BITS))
+    passed, before = 0, []
+    for r in sorted(held.groupBy("_range").count().collect()):  # a row for each range
+        before.append((r["_range"], passed))
+        passed += r["count"]
+    offsets = rows.sparkSession.createDataFrame(before, "_range long, _before long")
+    return held.join(F.broadcast(offsets), "_range").select(key, (F.col("_before") + F.col("_at").bitwiseAND((1 << PLACE_BITS) - 1)).alias("position"))
 
 
-def every(rows: DataFrame, k: int, phase: int = 0, order: Sequence[str] = ("record_id",)) -> DataFrame:
-    """The rows whose position and phase add up to a multiple of k; all rows for k = 1, without counting."""
-    return rows if k <= 1 else positioned(rows, order).where((F.col("position") + phase) % k == 0).drop("position")
+def every(rows: DataFrame, k: int, phase: int = 0, order: Sequence[str] = ("record_id",), bounded: bool = False) -> DataFrame:
+    """The rows whose position and phase add up to a multiple of k; all rows for k = 1, without counting. Positions are found on the first column of the order alone, and only rows of the keys that are hit are looked at: further columns of the order part rows that share one. bounded: the hits are few enough to be sent to every task."""
+    if k <= 1:
+        return rows
+    if "position" in rows.columns:
+        return rows.where((F.col("position") + phase) % k == 0)
+    key, rest = order[0], list(order[1:]) or [order[0]]
+    places = numbered(rows, key)
+    hit = places.where((F.col("position") + phase) % k == 0).select(key).distinct()
+    starts = places.join(F.broadcast(hit) if bounded else hit, key, "left_semi").groupBy(key).agg(F.min("position").alias("_start"))
+    near = rows.join(F.broadcast(starts) if bounded else starts, key)
+    place = F.col("_start") + F.row_number().over(W.partitionBy(key).orderBy(*rest)) - 1
+    return near.withColumn("_place", place).where((F.col("_place") + phase) % k == 0).select(*rows.columns)
 
 
 def stride_sample(corpus: DataFrame, target: int = SAMPLE_ROWS, features: Sequence[str] = ()) -> DataFrame:
     """Every k-th record by position, target of them at most. Features break the ties of a key that some records share."""
-    return every(corpus, stride_for(corpus.count(), target), order=["record_id", *features])
+    return every(corpus, stride_for(corpus.count(), target), order=["record_id", *features], bounded=target <= SAMPLE_ROWS)
 
 
 def project(rows: DataFrame, features: Sequence[str], chosen: Sequence[int], keep: Sequence[str] = ("record_id",)) -> DataFrame:

@@ -87,10 +87,9 @@ def packed_histogram(rows: DataFrame, features: int, leaves: Sequence[tuple[int,
 
     paths = [(0, ())] if leaves is None else list(leaves)
     schema = pa.schema([("leaf", pa.int32()), ("feature", pa.int32()), ("sums", pa.binary())])
-    steps = np.arange(features, dtype=np.int64) * BYTE
 
     def partial(parts):
-        sums = {k: np.zeros((3, features * BYTE)) for k, _ in paths}
+        sums = {k: np.zeros((features, 3, BYTE)) for k, _ in paths}
         for part in parts:
             if not part.num_rows:
                 continue
@@ -101,22 +100,29 @@ def packed_histogram(rows: DataFrame, features: int, leaves: Sequence[tuple[int,
                 for feature, bin_, _, right in path:
                     own &= (bins[:, feature] > bin_) == right
                 some, rs, ws = (bins, r, w) if not path else (bins[own], r[own], w[own])
-                for at in range(0, len(some), 4096):
-                    cells = (some[at : at + 4096] + steps).ravel()
-                    v, u = rs[at : at + 4096], ws[at : at + 4096]
-                    for place, value in enumerate((u, u * v, u * v * v)):
-                        sums[k][place] += np.bincount(cells, weights=np.repeat(value, features), minlength=features * BYTE)
+                for at in range(0, len(some), 1 << 13):
+                    v, u = rs[at : at + (1 << 13)], ws[at : at + (1 << 13)]
+                    even, uv = bool((u == 1.0).all()), u * v
+                    uvv = uv * v
+                    for table, cells in zip(sums[k], np.ascontiguousarray(some[at : at + (1 << 13)].T)):  # a feature's bins lie together
+                        cells = cells.astype(np.intp)
+                        table[0] += np.bincount(cells, None if even else u, BYTE)
+                        table[1] += np.bincount(cells, uv, BYTE)
+                        table[2] += np.bincount(cells, uvv, BYTE)
         for k, held in sums.items():
-            tables = np.ascontiguousarray(held.reshape(3, features, BYTE).transpose(1, 0, 2))
-            if held[0].any():
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(features, k, dtype=np.int32)), pa.array(np.arange(features, dtype=np.int32)), pa.array([t.tobytes() for t in tables], pa.binary())], schema=schema)
+            filled = [np.flatnonzero(t[0]) for t in held]  # what is sent of a feature: its filled bins and their sums
+            if any(map(len, filled)):
+                packed = [f.astype(np.uint8).tobytes() + t[:, f].tobytes() for f, t in zip(filled, held)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(features, k, dtype=np.int32)), pa.array(np.arange(features, dtype=np.int32)), pa.array(packed, pa.binary())], schema=schema)
 
     def merged(parts):
         held: dict[tuple[int, int], np.ndarray] = {}
         for part in parts:
             for k, feature, sums in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)):
-                found = np.frombuffer(sums.as_py()).reshape(3, BYTE)
-                held[k, feature] = held[k, feature] + found if (k, feature) in held else found
+                sums = sums.as_py()
+                n = len(sums) // 25  # a byte and three sums for each filled bin
+                table = held.setdefault((k, feature), np.zeros((3, BYTE)))
+                table[:, np.frombuffer(sums, np.uint8, n)] += np.frombuffer(sums[n:]).reshape(3, n)
         for (k, feature), sums in held.items():
             bins = np.flatnonzero(sums[0])
             columns = [np.full(len(bins), k, dtype=np.int32), np.full(len(bins), feature, dtype=np.int32), bins.astype(np.int32), *sums[:, bins]]
@@ -242,14 +248,18 @@ def search_stumps(hist: DataFrame, edges: DataFrame, controls: Controls = Contro
     return found.orderBy(*rank_keys()).limit(controls.top_k)
 
 
-def best_by_leaf(hist: DataFrame, edges: DataFrame, controls: Controls, only: tuple[int, int] | None = None) -> DataFrame:
-    """The best two-leaf split of each leaf: one row for each; only: the one (feature, bin) that may split."""
+def best_by_leaf(hist: DataFrame, edges: DataFrame, controls: Controls) -> DataFrame:
+    """The best two-leaf split of each leaf: one row for each."""
     found = split_kinds(prefix_scan(hist, edges, ["leaf"]), Controls(controls.min_leaf, controls.max_correction, controls.min_gain, kinds=("two-leaf",)))
-    if only:
-        found = found.where((F.col("feature") == only[0]) & (F.col("bin") == only[1]))
     return found.withColumn("place", F.row_number().over(W.partitionBy("leaf").orderBy(*rank_keys()))).where("place = 1").drop("place")
 
 
+def splits_at(hist: DataFrame, edges: DataFrame, controls: Controls, places: Sequence[tuple[int, int]]) -> DataFrame:
+    """The two-leaf splits of each leaf at given (feature, bin), as far as they pass the controls."""
+    found = split_kinds(prefix_scan(hist, edges, ["leaf"]), Controls(controls.min_leaf, controls.max_correction, controls.min_gain, kinds=("two-leaf",)))
+    return found.where(F.struct("feature", "bin").isin([F.struct(F.lit(f).alias("feature"), F.lit(b).alias("bin")) for f, b in places]))
+
+
 def explained_variance(hist: DataFrame) -> DataFrame:
     """feature, explained: variance between bins."""
     means = hist.groupBy("feature").agg((F.sum("s") / F.sum("n")).alias("mean"))

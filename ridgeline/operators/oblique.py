@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.semantics import single, weighted_sum
+from ..plans.store import written
 from .binning import bin_of
 from .histogram import Controls, clamped, gain
 
@@ -49,7 +50,8 @@ def best_thresholds(corpus: DataFrame, lines: Sequence[Sequence[tuple[int, float
     cells = F.array(*[F.struct(F.lit(n).alias("line"), value(terms).alias("value")) for n, terms in enumerate(lines)])
     w = F.col("weight").cast("double") if "weight" in corpus.columns else F.lit(1.0)
     rows = corpus.select(w.alias("w"), (w * F.col("residual").cast("double")).alias("wr"), F.explode(cells).alias("c"))
-    values = rows.groupBy("c.line", "c.value").agg(F.sum("w").alias("n"), F.sum("wr").alias("s")).persist()
+    values = rows.groupBy("c.line", "c.value").agg(F.sum("w").alias("n"), F.sum("wr").alias("s"))
+    values = written(values, "line-values")  # read twice, and nothing stays in memory
     shares = [k / ranges for k in range(1, ranges)]
     bounds = values.groupBy("line").agg(F.percentile_approx("value", shares, 10 * ranges).alias("q"))  # a row for each line
     ranged = values.join(F.broadcast(bounds), "line").withColumn("range", F.size(F.filter(F.array_distinct("q"), lambda b: F.col("value") > b))).drop("q")

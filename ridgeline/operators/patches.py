@@ -48,8 +48,13 @@ def value_of(node: dict, feature: Callable[[int], Column] | None = None) -> Colu
     return F.when(condition(node, feature), value_of(node["right"], feature)).otherwise(value_of(node["left"], feature))
 
 
-def value_on_bins(node: dict, edges: Sequence[Sequence[float]]) -> Column | None:
-    """The same from bins b0, b1, ...; None if a threshold is no edge or a split is oblique."""
+def bin_column(i: int, packed: bool = False) -> Column:
+    """The bin of a feature: its own column, or a byte of all features' binary."""
+    return F.conv(F.hex(F.substring("bins", i + 1, 1)), 16, 10).cast("int") if packed else F.col(f"b{i}")
+
+
+def value_on_bins(node: dict, edges: Sequence[Sequence[float]], packed: bool = False) -> Column | None:
+    """The same from bins b0, b1, ... (or packed ones); None if a threshold is no edge or a split is oblique."""
     if "correction" in node:
         return single(node["correction"])
     if len(node["terms"]) != 1 or node["terms"][0][1] != 1.0:
@@ -57,10 +62,20 @@ def value_on_bins(node: dict, edges: Sequence[Sequence[float]]) -> Column | None
     i = node["terms"][0][0]
     if node["threshold"] not in edges[i]:
         return None
-    left, right = value_on_bins(node["left"], edges), value_on_bins(node["right"], edges)
+    left, right = value_on_bins(node["left"], edges, packed), value_on_bins(node["right"], edges, packed)
     if left is None or right is None:
         return None
-    return F.when(F.col(f"b{i}") > edges[i].index(node["threshold"]), right).otherwise(left)
+    return F.when(bin_column(i, packed) > edges[i].index(node["threshold"]), right).otherwise(left)
+
+
+def values(node: dict, inputs: dict, n: int):
+    """The correction of n records in numpy, inputs f0, f1, ... given as arrays: as a merged neuron computes it, in DOUBLE, NaN to the left."""
+    import numpy as np
+
+    if "correction" in node:
+        return np.full(n, float(node["correction"]))
+    total = sum((inputs[f"f{i}"] * float(w) for i, w in node["terms"]), np.zeros(n)) - float(node["threshold"])
+    return np.where(total > 0, values(node["right"], inputs, n), values(node["left"], inputs, n))
 
 
 def apply(rows: DataFrame, node: dict, value: Column | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ named baseline for no correction; score_all is the one that computes them here.
 from __future__ import annotations
 
 import math
+import time
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,10 +30,11 @@ def squared_error(value: Column) -> Column:
     return F.avg(d * d)
 
 
-def score_all(rows: DataFrame, candidates: Sequence[tuple[str, list[dict]]]) -> dict[str, tuple[float, float, int]]:
-    """(score, error, records) of the baseline and of each candidate (a list of patches), measured over the same rows; the baseline is in every pass."""
-    out: dict[str, tuple[float, float, int]] = {}
+def score_all(rows: DataFrame, candidates: Sequence[tuple[str, list[dict]]], carried: int = 0) -> dict[str, tuple[float, float, int, int]]:
+    """(score, error, records, records that it corrects) of the baseline and of each candidate (a list of patches), measured over the same rows; the baseline is in every pass. carried: splits of what was accepted before, which go on to cost what they did."""
+    out: dict[str, tuple[float, float, int, int]] = {}
     every = list(candidates)
+    paid = UNIT_COST * UNITS_OF_SPLIT * carried
     for at in range(0, max(1, len(every)), TOGETHER):
         some = every[at : at + TOGETHER]
         columns = [F.count("*").alias("records"), squared_error(F.lit(0.0).cast("float")).alias("c_base")]
@@ -40,16 +42,17 @@ def score_all(rows: DataFrame, candidates: Sequence[tuple[str, list[dict]]]) ->
             value = patches.value_of(parts[0])
             for p in parts[1:]:
                 value = value + patches.value_of(p)
-            columns.append(squared_error(value).alias(f"c{i}"))
+            columns += [squared_error(value).alias(f"c{i}"), F.count_if(value != 0).alias(f"n{i}")]
         r = rows.agg(*columns).first()
-        out["baseline"] = (1 - (r.c_base or 0.0), r.c_base, r.records)
+        out["baseline"] = (1 - (r.c_base or 0.0) - paid, r.c_base, r.records, 0)
         for i, (name, parts) in enumerate(some):
             cost = UNIT_COST * UNITS_OF_SPLIT * sum(patches.splits(p) for p in parts)
-            out[name] = (1 - (r[f"c{i}"] or 0.0) - cost, r[f"c{i}"], r.records)
+            out[name] = (1 - (r[f"c{i}"] or 0.0) - cost - paid, r[f"c{i}"], r.records, r[f"n{i}"])
     return out
 
 
-Scores = dict[str, tuple[float, float, int]]
+#: By id: (score, error, records), and how many records are corrected where the scorer counts them.
+Scores = dict[str, tuple]
 Scorer = Callable[[DataFrame, Sequence[tuple[str, list[dict]]]], Scores]
 
 
@@ -69,8 +72,8 @@ def join_scores(listed: DataFrame, scores: DataFrame) -> DataFrame:
     return listed.join(scores, ["iteration", "id"], "left")
 
 
-def scores_frame(spark: SparkSession, scores: dict[str, tuple[float, float, int]]) -> DataFrame:
-    return spark.createDataFrame([(k, *v) for k, v in sorted(scores.items())], SCORES)
+def scores_frame(spark: SparkSession, scores: Scores) -> DataFrame:
+    return spark.createDataFrame([(k, *v[:3]) for k, v in sorted(scores.items())], SCORES)
 
 
 def screen_sample(rows: DataFrame, rate: float, phase: int) -> DataFrame:
@@ -101,17 +104,20 @@ def vetoed(base: float, stored: float | None, drift: float = 1e-9) -> bool:
     return stored is not None and abs(base - stored) > drift
 
 
-def promote(rows: DataFrame, candidates: Sequence[tuple[str, list[dict]]], *, rate: float = 0.05, phase: int = 0, count: int = 8, screen_threshold: float = 0.0, bypass_count: int = 1, min_improvement: float = 0.0, stored_baseline: float | None = None, drift: float = 1e-9, seed: int = 0, scorer: Scorer = score_all) -> dict:
+def promote(rows: DataFrame, candidates: Sequence[tuple[str, list[dict]]], *, rate: float = 0.05, phase: int = 0, count: int = 8, screen_threshold: float = 0.0, bypass_count: int = 1, min_improvement: float = 0.0, stored_baseline: float | None = None, drift: float = 1e-9, seed: int = 0, scorer: Scorer = score_all, sample: Callable[[], DataFrame] | None = None) -> dict:
     """Screen on a sample, score those promoted over all rows with the baseline in the same pass, and name a winner or none.
 
     Some of those that the screen rejects are scored too (bypass): one of them that clears the bar is a false negative
-    of the screen; one that was promoted and doesn't is a false positive.
+    of the screen; one that was promoted and doesn't is a false positive. sample: gives the screen's rows, where they are
+    kept in a way that a sample can be read from.
     """
-    known = dict(candidates)
+    known, began, screen_ms = dict(candidates), time.monotonic(), None
     screened, extra = None, []
     chosen = list(known)
     if len(known) > count:
-        screened = checked(scorer(screen_sample(rows, rate, phase), candidates), chosen)
+        screened = checked(scorer(sample() if sample else screen_sample(rows, rate, phase), candidates), chosen)
+        now = time.monotonic()
+        screen_ms, began = round(1000 * (now - began)), now
         ranked = [k for k, _ in rank_screen(screened, count, screen_threshold)]
         extra = bypass([k for k in known if k not in ranked], bypass_count, seed)
         chosen = [*ranked, *extra]
@@ -126,6 +132,8 @@ def promote(rows: DataFrame, candidates: Sequence[tuple[str, list[dict]]], *, ra
         "full": full,
         "deltas": deltas,
         "bypass": extra,
+        "screen_ms": screen_ms,
+        "full_ms": round(1000 * (time.monotonic() - began)),
         "drift": None if stored_baseline is None else base - stored_baseline,
         "false_positives": sum(deltas[k] <= min_improvement for k in chosen if k not in extra),
         "false_negatives": sum(deltas[k] > min_improvement for k in extra),

@@ -128,28 +128,15 @@ class Model:
 
     def forward(self, inputs: dict, n: int) -> dict:
         """(sum, value) of each output over n records, inputs given as arrays; plain numpy."""
-        import numpy as np
+        values, sums = self.values(inputs, n)
+        return {o: (sums[o], values[o]) for o in self.outputs}
 
-        act = {"IDENTITY": lambda v: v, "TANH": np.tanh, "LOGISTIC": lambda v: 1 / (1 + np.exp(-v)), "RELU": lambda v: np.maximum(v, 0.0)}
-        values, found = dict(inputs), {}
+    def values(self, inputs: dict, n: int) -> tuple[dict, dict]:
+        """(value of every input and neuron, sum of every neuron) over n records."""
+        values, sums = dict(inputs), {}
         for neuron in self.neurons:
-            edges, bias = edges_of(neuron), float(neuron["bias"])
-            total = lambda own: sum((values[s] * float(w) for s, w, _ in own), np.zeros(n))
-            if neuron.get("type") == "constant":
-                before = after = np.full(n, bias)
-            elif neuron["squash"] == "IF":
-                by = {r: total([e for e in edges if (e[2] or "positive") == r]) for r in ROLES[1:]}
-                before = after = np.where(by["condition"] > 0, by["positive"], by["negative"]) + bias
-            elif neuron["squash"] in sem.AGGREGATES:
-                pick = np.minimum if neuron["squash"] == "MINIMUM" else np.maximum
-                before = after = (pick.reduce([values[s] * float(w) for s, w, _ in edges]) if edges else np.zeros(n)) + bias
-            else:
-                before = bias + total(edges)
-                after = act[neuron["squash"]](before)
-            values[neuron["id"]] = after
-            if neuron["id"] in self.outputs:
-                found[neuron["id"]] = before, after
-        return found
+            sums[neuron["id"]], values[neuron["id"]] = computed(neuron, values, n)
+        return values, sums
 
     def _wide(self, rows: DataFrame) -> DataFrame:
         """As numpy over Arrow batches, for models too large for generated code."""
@@ -192,6 +179,25 @@ class Model:
         return found.withColumn("prediction", (value if self.squash in sem.AGGREGATES else squash(self.squash, value)).cast("float")).drop("hint")
 
 
+def computed(neuron: dict, values: dict, n: int, more=0.0):
+    """(sum, value) of a neuron over n records in numpy, from the values of what it reads; more goes into its sum (into both of an IF's)."""
+    import numpy as np
+
+    edges, bias = edges_of(neuron), float(neuron["bias"])
+    total = lambda own: sum((values[s] * float(w) for s, w, _ in own), np.zeros(n))
+    if neuron.get("type") == "constant":
+        return (np.full(n, bias),) * 2
+    if neuron["squash"] == "IF":
+        by = {r: total([e for e in edges if (e[2] or "positive") == r]) for r in ROLES[1:]}
+        return (np.where(by["condition"] > 0, by["positive"], by["negative"]) + more + bias,) * 2
+    if neuron["squash"] in sem.AGGREGATES:
+        pick = np.minimum if neuron["squash"] == "MINIMUM" else np.maximum
+        return ((pick.reduce([values[s] * float(w) for s, w, _ in edges]) if edges else np.zeros(n)) + bias,) * 2
+    before = bias + total(edges) + more
+    act = {"IDENTITY": lambda v: v, "TANH": np.tanh, "LOGISTIC": lambda v: 1 / (1 + np.exp(-v)), "RELU": lambda v: np.maximum(v, 0.0)}
+    return before, act[neuron["squash"]](before)
+
+
 def is_input(name: str) -> bool:
     return name[:1] == "f" and name[1:].isdigit()
 
@@ -205,14 +211,20 @@ def compute_residuals(corpus: DataFrame, model: Model) -> DataFrame:
     return residuals_by_output(corpus, model, ["y"]).drop("output")
 
 
+def wanted(model: Model, output: int, target: str) -> Column:
+    """Of rows with the model's columns: what has to go into an output's sum to reach the target, 0 where that isn't finite."""
+    o, _, hint = model.names()[output]
+    more = unsquash(model.squash_of(o), F.col(target).cast("double")) - F.col(hint)
+    return F.coalesce(finite_or_zero(more.cast("float")), F.lit(0.0).cast("float"))
+
+
 def residuals_by_output(corpus: DataFrame, model: Model, targets: Sequence[str]) -> DataFrame:
     """record_id, output (its number), residual and correction of each target's output: one row for each."""
     found = model.columns(corpus)
 
     def one(i: int, y: str):
-        o, p, h = model.names()[i]
-        wanted = unsquash(model.squash_of(o), F.col(y).cast("double")) - F.col(h)
-        return F.struct(F.lit(i).alias("output"), (F.col(y) - F.col(p)).cast("float").alias("residual"), F.coalesce(finite_or_zero(wanted.cast("float")), F.lit(0.0).cast("float")).alias("correction"))
+        _, p, _ = model.names()[i]
+        return F.struct(F.lit(i).alias("output"), (F.col(y) - F.col(p)).cast("float").alias("residual"), wanted(model, i, y).alias("correction"))
 
     return found.select("record_id", F.explode(F.array(*[one(i, y) for i, y in enumerate(targets)])).alias("r")).select("record_id", "r.*")
 

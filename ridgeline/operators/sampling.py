@@ -88,9 +88,13 @@ def error_ranked(hist: DataFrame, keep: int) -> DataFrame:
 
 
 def search_set(rows: DataFrame, features: Sequence[str], listed: Sequence[Sequence[float]], *, sampler: str = "stride", target: int = 0, seed: int = 0, chosen: Sequence[int] | None = None) -> DataFrame:
-    """record_id, residual, weight and the bins b0, b1, ... of the sampled records (all, for a target of 0): what a search reads. Features that aren't chosen have bin 0 for all, so they never split."""
+    """record_id, residual, weight and the bins of the sampled records (all, for a target of 0): what a search reads. Rows that have bins keep them as they are (b0, b1, ..., or packed in one); others get b0, b1, ... Features that aren't chosen have bin 0 for all, so they never split; packed ones are left out by leaving out their edges."""
     sampled = SAMPLERS[sampler](rows, target, seed) if target else rows.withColumn("weight", F.lit(1.0).cast("float"))
+    if "bins" in rows.columns:
+        return sampled.select("record_id", "residual", "weight", "bins")
     able = set(range(len(features)) if chosen is None else chosen)
+    if features and f"b{len(features) - 1}" in rows.columns:
+        return sampled.select("record_id", "residual", "weight", *[(F.col(f"b{i}") if i in able else F.lit(0)).alias(f"b{i}") for i in range(len(features))])
     bins: list[Column] = [(bin_of(f, e) if i in able else F.lit(0)).alias(f"b{i}") for i, (f, e) in enumerate(zip(features, listed))]
     return sampled.select("record_id", "residual", "weight", *bins)
 

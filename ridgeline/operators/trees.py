@@ -1,21 +1,23 @@
-"""Trees of depth 1 to 3: each round is one histogram pass with the leaf as a key.
+"""Trees of depth 1 to 3, any number at once: each round is one histogram pass with the leaf as a key.
 
-The binned records are read once a round, and of two new leaves only the smaller one's are summed: the larger one is
-what is left of their parent. What comes back is one best split a leaf. Level-wise growth splits every leaf that has a
-split, best-first the best of all. The leaf is a CASE over bins, so plans stay as short as the tree is deep; binned
-records are kept (persisted, so what an executor loses is computed again), the histograms of the open leaves too.
+The binned records are read once a round for all trees, and of two new leaves only the smaller one's are summed: the
+larger one is what is left of their parent. What comes back is one best split a leaf. Level-wise growth splits every leaf
+that has a split, best-first the best of all. Trees that start from given roots share the histogram of all records. The leaf
+is a CASE over bins, so plans stay as short as the trees are deep; binned records are kept (persisted, so what an executor
+loses is computed again), the histograms of the leaves too, both until the trees are grown.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import itertools
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import patches
-from .histogram import Controls, best_by_leaf, histogram, packed_histogram, subtract
+from .histogram import Controls, best_by_leaf, histogram, packed_histogram, splits_at, subtract
 
 
 @dataclass
@@ -25,7 +27,9 @@ class Leaf:
     s: float = 0.0
     best: object = None
     open: bool = True
-    parent: int = -1  # which leaf of the round before it is a part of
+    id: int = 0  # all trees' roots are leaf 0
+    parent: int = -1
+    tree: int = 0
 
 
 @dataclass
@@ -58,13 +62,6 @@ def reaches(path: Sequence) -> Column:
     return out
 
 
-def leaf_column(leaves: Sequence[Leaf], only: Sequence[int]) -> Column:
-    out = F.lit(None).cast("int")
-    for i in only:
-        out = F.when(reaches(leaves[i].path), F.lit(i)).otherwise(out)
-    return out
-
-
 def snapshot(leaves: list[Leaf], most: float) -> Tree:
     gain = affected = 0.0
     for leaf in leaves:
@@ -74,74 +71,98 @@ def snapshot(leaves: list[Leaf], most: float) -> Tree:
     return Tree(max(len(x.path) for x in leaves), [Leaf(x.path, x.n, x.s) for x in leaves], gain, affected)
 
 
-def histograms(binned: DataFrame, leaves: list[Leaf], fresh: Sequence[int], before: DataFrame | None, width: int) -> DataFrame:
-    """leaf, feature, bin, n, s, q of the fresh leaves: the smaller of two siblings by a pass over its records, the other by subtraction from their parent."""
+def renamed(hist: DataFrame, to: dict[int, list[int]]) -> DataFrame:
+    """The histograms of some leaves under the numbers of others, once for each."""
+    names = F.create_map(*[x for leaf, ids in to.items() for x in (F.lit(leaf), F.array(*map(F.lit, ids)))])
+    return hist.where(F.col("leaf").isin(list(to))).withColumn("leaf", F.explode(F.element_at(names, F.col("leaf"))))
+
+
+def histograms(binned: DataFrame, fresh: Sequence[Leaf], before: DataFrame | None, width: int, held: list[DataFrame]) -> DataFrame:
+    """leaf, feature, bin, n, s, q of the fresh leaves: the smaller of two siblings by a pass over its records, the other by subtraction from their parent. before: the histograms of all leaves so far; what is persisted goes into held."""
     weight = "weight" if "weight" in binned.columns else None
-    pairs: dict[int, list[int]] = {}
-    for i in fresh:
-        pairs.setdefault(leaves[i].parent, []).append(i)
-    summed = [min(own, key=lambda i: (leaves[i].n, i)) for own in pairs.values()]
+    pairs: dict[tuple[int, int], list[Leaf]] = {}
+    for leaf in fresh:
+        pairs.setdefault((leaf.tree, leaf.parent), []).append(leaf)
+    summed = [min(own, key=lambda x: (x.n, x.id)) for own in pairs.values()]
     if "bins" in binned.columns:
-        made = packed_histogram(binned, width, [(i, leaves[i].path) for i in summed], weight)
+        made = packed_histogram(binned, width, [(x.id, x.path) for x in summed], weight)
     else:
-        made = histogram(binned.withColumn("leaf", leaf_column(leaves, summed)).where("leaf IS NOT NULL"), width, ["leaf"], weight)
-    rest = {p: (small, next(i for i in own if i != small)) for (p, own), small in zip(pairs.items(), summed) if len(own) == 2}
+        own: dict[int, Column] = {}  # by tree: which of its leaves a record is in
+        for x in summed:
+            own[x.tree] = F.when(reaches(x.path), F.lit(x.id)).otherwise(own.get(x.tree, F.lit(None).cast("int")))
+        made = histogram(binned.withColumn("leaf", F.explode(F.array_compact(F.array(*own.values())))), width, ["leaf"], weight)
+    rest: dict[int, list[tuple[int, int]]] = {}  # by parent: (the sibling that is summed, the other)
+    for small, own_pair in zip(summed, pairs.values()):
+        if len(own_pair) == 2:
+            rest.setdefault(small.parent, []).append((small.id, next(x.id for x in own_pair if x is not small)))
     if before is None or not rest:
         return made
     made = made.persist()
-    renamed = lambda df, by: df.withColumn("leaf", F.element_at(F.create_map(*[F.lit(x) for pair in by.items() for x in pair]), F.col("leaf"))).where("leaf IS NOT NULL")
-    parents = renamed(before.where(F.col("leaf").isin(list(rest))), {p: large for p, (_, large) in rest.items()})
-    children = renamed(made.where(F.col("leaf").isin([small for small, _ in rest.values()])), {small: large for small, large in rest.values()})
+    held.append(made)
+    parents = renamed(before, {p: [large for _, large in own_pairs] for p, own_pairs in rest.items()})
+    children = renamed(made, {small: [large] for own_pairs in rest.values() for small, large in own_pairs})
     return made.unionByName(subtract(parents, children, ["leaf"]).where("n > 0"))
 
 
-def grow_tree(binned: DataFrame, edges: DataFrame, width: int, controls: Controls, max_depth: int = 3, best_first: bool = False, root: tuple[int, int] | None = None) -> list[Tree]:
-    """The last tree of each depth; binned: a column for each feature's bin, or all packed in one. Frozen leaves keep their best split in best-first growth, as they stay eligible."""
+class Growth:
+    """One tree as it grows."""
+
+    def __init__(self, tree: int, root: tuple[int, int] | None):
+        self.tree, self.root = tree, root
+        self.leaves, self.done, self.splits = [Leaf((), tree=tree)], {}, 0
+
+    def step(self, controls: Controls, max_depth: int, best_first: bool, ids: Iterator[int]) -> list[Leaf]:
+        """Split what is to be split next; the leaves that are to be looked at for that after. Leaves that stay keep their best split in best-first growth, as they stay eligible."""
+        able = [i for i, leaf in enumerate(self.leaves) if leaf.best is not None and (best_first or leaf.open)]
+        if best_first and able:
+            able = [min(able, key=lambda i: (-self.leaves[i].best.gain, self.leaves[i].best.feature, self.leaves[i].best.bin))]
+        grown, new = [], []
+        for i, leaf in enumerate(self.leaves):
+            leaf.open = False
+            if i not in able or self.splits >= 2**max_depth - 1 or len(leaf.path) >= max_depth:
+                grown.append(leaf)
+                continue
+            b, self.splits = leaf.best, self.splits + 1
+            for right, n, c in ((False, b.left_records, b.left_correction), (True, b.right_records, b.right_correction)):
+                new.append(Leaf((*leaf.path, (b.feature, b.bin, b.threshold, right)), n, c * n, id=next(ids), parent=leaf.id, tree=self.tree))
+                grown.append(new[-1])
+        self.leaves = grown
+        if not new:
+            return []
+        tree = snapshot(grown, controls.max_correction)
+        self.done[tree.depth] = tree
+        return new if tree.depth < max_depth and self.splits < 2**max_depth - 1 else []
+
+
+def grow_trees(binned: DataFrame, edges: DataFrame, width: int, controls: Controls, max_depth: int = 3, best_first: bool = False, roots: Sequence[tuple[int, int] | None] = (None,)) -> list[list[Tree]]:
+    """For each root (feature, bin of the first split; None: the best) the last tree of each depth, in as many passes as the tallest of them takes; binned: a column for each feature's bin, or all packed in one."""
     max_depth = min(3, max(1, max_depth))
-    leaves, done, splits = [Leaf(())], {}, 0
     cells = ["bins"] if "bins" in binned.columns else [f"b{i}" for i in range(width)]
     kept = binned.select(*cells, "residual", *(["weight"] if "weight" in binned.columns else [])).persist()
     held: list[DataFrame] = [kept]
-    before = None
-    while True:
-        fresh = [i for i, leaf in enumerate(leaves) if leaf.open]
-        if fresh:
-            hist = histograms(kept, leaves, fresh, before, width).persist()
+    growths, ids, before = [Growth(i, root) for i, root in enumerate(roots)], itertools.count(1), None
+    todo = [Leaf(())] if growths else []
+    try:
+        while todo:
+            hist = histograms(kept, todo, before, width, held).persist()
             held.append(hist)
-            for r in hist.where("feature = 0").groupBy("leaf").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).collect():
-                leaves[r.leaf].n, leaves[r.leaf].s = r.n, r.s
-            for i in fresh:
-                leaves[i].best = None
-            found = best_by_leaf(hist, edges, controls, root if leaves[0].path == () else None)
-            for r in found.collect():
-                leaves[r.leaf].best = r
-        else:
-            hist = None
-        able = [i for i, leaf in enumerate(leaves) if leaf.best is not None and (best_first or leaf.open)]
-        if best_first and able:
-            able = [min(able, key=lambda i: (-leaves[i].best.gain, leaves[i].best.feature, leaves[i].best.bin))]
-        if not able:
-            break
-        grown: list[Leaf] = []
-        for i, leaf in enumerate(leaves):
-            if i in able and splits < 2**max_depth - 1 and len(leaf.path) < max_depth:
-                b, splits = leaf.best, splits + 1
-                for right, n, c in ((False, b.left_records, b.left_correction), (True, b.right_records, b.right_correction)):
-                    grown.append(Leaf((*leaf.path, (b.feature, b.bin, b.threshold, right)), n, c * n, parent=i))
-            else:
-                grown.append(Leaf(leaf.path, leaf.n, leaf.s, leaf.best, False, i))
-        moved = len(grown) > len(leaves)
-        # what the next round subtracts from: the histograms of all leaves there are now, under their present numbers
-        if hist is not None:
-            old = [i for i in range(len(leaves)) if i not in fresh]
-            before = hist if before is None or not old else hist.unionByName(before.withColumn("leaf", F.element_at(F.create_map(*[F.lit(x) for i in old for x in (leaves[i].parent, i)]), F.col("leaf"))).where("leaf IS NOT NULL"))
-        leaves = grown
-        if not moved:
-            break
-        tree = snapshot(leaves, controls.max_correction)
-        done[tree.depth] = tree
-        if tree.depth >= max_depth or splits >= 2**max_depth - 1:
-            break
-    for df in held:
-        df.unpersist()
-    return list(done.values())
+            totals = {r.leaf: r for r in hist.where("feature = 0").groupBy("leaf").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).collect()}
+            found = {r.leaf: r for r in best_by_leaf(hist, edges, controls).collect()}
+            given = {(r.feature, r.bin): r for r in splits_at(hist, edges, controls, [r for r in roots if r]).collect()} if before is None and any(roots) else {}
+            before = hist if before is None else before.unionByName(hist)
+            for g in growths:
+                for leaf in g.leaves:
+                    if leaf.open:
+                        leaf.best = given.get(tuple(g.root)) if g.root and not leaf.path else found.get(leaf.id)
+                        if leaf.id in totals:
+                            leaf.n, leaf.s = totals[leaf.id].n, totals[leaf.id].s
+            todo = [leaf for g in growths for leaf in (g.step(controls, max_depth, best_first, ids) if any(x.open for x in g.leaves) else ())]
+    finally:
+        for df in held:
+            df.unpersist()
+    return [list(g.done.values()) for g in growths]
+
+
+def grow_tree(binned: DataFrame, edges: DataFrame, width: int, controls: Controls, max_depth: int = 3, best_first: bool = False, root: tuple[int, int] | None = None) -> list[Tree]:
+    """The last tree of each depth."""
+    return grow_trees(binned, edges, width, controls, max_depth, best_first, [root])[0]

@@ -2,8 +2,12 @@
 
 A search looks at a search set (a sample with its bins and weights) and finds stumps, trees, lines and boosted bundles;
 variants, stacks, what nearly won the round before and what won elsewhere join them, and what is known to fail leaves.
-Each round's residuals are written to the shared folder, so no round's plan holds the rounds before it. What comes to
-the driver is a few ranked discoveries and a score for each candidate.
+The corpus is laid out once (layout.py); a round writes its records' residuals beside it and nothing else, so no round's
+plan holds the rounds before it. What comes to the driver is a few ranked discoveries and a score for each candidate.
+
+With a model and targets a candidate's score is that of the model with the candidate merged (grafted.py), the next
+round's residuals and baseline are those of the merged model, and verdicts are filed under the model that was tested.
+What a search fits is what has to go into the output's sum, as far as that is finite.
 """
 
 from __future__ import annotations
@@ -17,12 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import binning, candidates, histogram, merging, oblique, patches, promotion, sampling, trees, verdicts
+from ..operators import binning, candidates, grafted, histogram, merging, oblique, patches, promotion, residuals, sampling, trees, verdicts
 from ..operators.candidates import Candidate
 from ..operators.histogram import Controls
 from ..operators.residuals import Model
-from ..sources import files
+from ..sources import artifacts, files
 from . import store
+from .interrupt import Interrupted, interruptible
+from .layout import Layout
 
 
 @dataclass(frozen=True)
@@ -53,6 +59,15 @@ class Memory:
     replay: int = 8
 
 
+@dataclass(frozen=True)
+class Sinks:
+    """Where a run leaves what it accepts, as it accepts it: the best model so far, a folder of winners (one file each), and a bundle of all of them."""
+
+    best: str = ""
+    winners: str = ""
+    bundle: str = ""
+
+
 @dataclass
 class Outcome:
     stop: str = ""
@@ -63,8 +78,12 @@ class Outcome:
     model: Model | None = None
 
 
+#: Boosted stumps after which what they leave is written: plans hold so many at most.
+WRITTEN_AFTER = 8
+
+
 def boost(binned: DataFrame, edges: DataFrame, listed, width: int, controls: Controls, rounds: int) -> list[dict]:
-    """Stumps found one after another, each on what the ones before leave. What they leave is written, so no round's plan holds the rounds before it."""
+    """Stumps found one after another, each on what the ones before leave."""
     out: list[dict] = []
     now = binned
     weight = "weight" if "weight" in binned.columns else None
@@ -74,8 +93,9 @@ def boost(binned: DataFrame, edges: DataFrame, listed, width: int, controls: Con
             break
         node = patches.stump_of(best)
         out.append(node)
-        if i + 1 < rounds:
-            now = store.written(patches.apply(now, node, patches.value_on_bins(node, listed)), "boosted")
+        now = patches.apply(now, node, patches.value_on_bins(node, listed, "bins" in binned.columns))
+        if len(out) % WRITTEN_AFTER == 0 and i + 1 < rounds:
+            now = store.written(now, "boosted")
     return out
 
 
@@ -91,8 +111,9 @@ def discoveries(rows: DataFrame, searched: DataFrame, features: Sequence[str], e
     hist.unpersist()
     if search.depth > 1 and best:
         name = "best-first" if search.best_first else "level"
-        for root in [None, *((r.feature, r.bin) for r in best[1 : search.roots])]:
-            for tree in trees.grow_tree(searched, edges, width, controls, search.depth, search.best_first, root):
+        roots = [None, *((r.feature, r.bin) for r in best[1 : search.roots])]
+        for grown in trees.grow_trees(searched, edges, width, controls, search.depth, search.best_first, roots):
+            for tree in grown:
                 if tree.depth > 1:
                     found.append((tree.node(controls.max_correction), f"tree/{name}/{tree.depth}", tree.gain))
     if search.lines and best and width > 1:
@@ -107,11 +128,11 @@ def discoveries(rows: DataFrame, searched: DataFrame, features: Sequence[str], e
     return singles, [candidates.stack(bundle[:k]) for k in range(2, len(bundle) + 1)]
 
 
-def replayed(known: DataFrame, memory: Memory, model: Model | None, inputs: int, outputs: int, now: int) -> list[Candidate]:
-    """What won on other models, as candidates."""
+def replayed(known: DataFrame, memory: Memory, model: Model | None, inputs: int, outputs: int, now: int, incumbent: str | None = None) -> list[Candidate]:
+    """What won on other models, as candidates. incumbent: the model now, where it isn't the one that the memory started with."""
     spark = known.sparkSession
     carried = spark.createDataFrame([(x,) for x in sorted(merging.merged_ids(model))] if model else [], "id string")
-    chosen = verdicts.choose(known, memory.incumbent, inputs, carried, now, memory.retry_after, memory.replay, outputs)
+    chosen = verdicts.choose(known, memory.incumbent if incumbent is None else incumbent, inputs, carried, now, memory.retry_after, memory.replay, outputs)
     parts = known.where("parts IS NOT NULL").groupBy("id").agg(F.max("parts").alias("parts"))
     return [Candidate(r.id, "replay", tuple(json.loads(r.parts)), 0.0) for r in chosen.join(parts, "id").orderBy("place").collect()]
 
@@ -122,6 +143,21 @@ def failing(known: DataFrame, found: Sequence[Candidate], now: int, retry_after:
     return {r.id for r in ids.join(verdicts.known_failures(known, now, retry_after), "id", "left_semi").collect()}
 
 
+def additive(model: Model, output: int) -> bool:
+    """Whether a correction of an output is added to it as it is."""
+    name = model.outputs[output]
+    return merging.anchor_of(model, name) == merging.Anchor(name, 1.0, model.squash_of(name)) and model.squash_of(name) in ("IDENTITY", "IF")
+
+
+def corrections(base: DataFrame, model: Model, targets: Sequence[str]) -> DataFrame:
+    """record_id, slot, _r0, _r1, ...: what has to go into each output's sum to reach its target; 0 where that isn't finite."""
+    return base_columns(model.columns(base), [residuals.wanted(model, i, y) for i, y in enumerate(targets)])
+
+
+def base_columns(rows: DataFrame, values) -> DataFrame:
+    return rows.select("record_id", "slot", *[v.alias(f"_r{i}") for i, v in enumerate(values)])
+
+
 def run(
     corpus: DataFrame,
     features: list[str],
@@ -137,52 +173,114 @@ def run(
     seed: int = 0,
     outputs: Sequence[str] = ("residual",),
     model: Model | None = None,
+    targets: Sequence[str] = (),
     memory: Memory | None = None,
+    sinks: Sinks = Sinks(),
     log: files.LogWriter | None = None,
-    scorer: promotion.Scorer = promotion.score_all,
+    scorer: promotion.Scorer | None = None,
     failures: int = 3,
     seconds: float | None = None,
     cancelled: Callable[[], bool] = lambda: False,
     clock: Callable[[], float] = time.time,
 ) -> Outcome:
-    """Improve until nothing helps, or a limit is reached. outputs: the residual columns that rounds take in turn. model: a graph that corrections are merged into; what can't be merged is no candidate."""
+    """Improve until nothing helps, or a limit is reached. Record ids are whole numbers that no two records share.
+
+    outputs: the residual columns that rounds take in turn. model: a graph that corrections are merged into; what can't be
+    merged is no candidate. targets: the model's targets by output; with them residuals and scores are the merged
+    model's, without them a model has to add corrections to its output as they are. scorer: another way to score; at the
+    start its error has to agree with ours. cancelled is asked while jobs run, and ends the one that runs.
+    """
     spark, width, began = corpus.sparkSession, len(features), clock()
-    edges = store.written(binning.build_edges(corpus, features, bins), "edges")
-    listed = binning.collect_edges(edges, width)
-    now, out, idle, broken = corpus, Outcome(model=model), 0, 0
-    scores: dict[str, float] = {}
-    carried: list[Candidate] = []
+    through = model is not None and bool(targets)
+    if through and len(targets) != len(model.outputs):
+        raise ValueError("a target for each output of the model")
+    if model is not None and not through:
+        if odd := [i for i in range(len(outputs)) if not additive(model, i)]:
+            raise ValueError(f"corrections of output {odd[0]} don't add up there: the run needs its targets")
+    names = list(targets) if through else list(outputs)
+    out = Outcome(model=model)
+    bundle = artifacts.Bundle(width)
 
     def note(record: str, **fields) -> None:
         out.log.append({"record": record} | fields)
         if log:
             log.append(record, **fields)
 
+    try:
+        with interruptible(spark, cancelled):
+            improve(spark, corpus, features, width, names, through, out, bundle, note, bins, controls, search, iterations, patience, count, rate, min_improvement, seed, memory, sinks, scorer, failures, seconds, began, clock)
+    except Interrupted:
+        out.stop = "cancelled"
+    out.stop = out.stop or "iterations"
+    note("summary", timestamp=int(clock()), stop=out.stop, opening_score=out.scores[0] if out.scores else None, final_score=out.scores[-1] if out.scores else None, wall_ms=ms(clock() - began))
+    if sinks.bundle:
+        bundle.write(spark, sinks.bundle)
+    return out
+
+
+def improve(spark, corpus, features, width, names, through, out, bundle, note, bins, controls, search, iterations, patience, count, rate, min_improvement, seed, memory, sinks, scorer, failures, seconds, began, clock) -> None:
+    """The rounds of a run; what they find goes into out."""
+    k = max(1, round(1 / rate)) if rate > 0 else 1
+    edges = store.written(binning.build_edges(corpus, features, bins), "edges")
+    listed = binning.collect_edges(edges, width)
+    lay = Layout(corpus, features, listed, names, k)
+    lay.put(corrections(lay.base, out.model, names) if through else base_columns(lay.base, [F.col(c) for c in names]))
+    paid, carried, idle, broken = [0] * len(names), [], 0, 0  # paid: splits accepted by output
+    scores: dict[str, float] = {}
+
+    def measured(output: int, phase: int | None = None) -> DataFrame:
+        """The rows that scores are measured on; those of a screen, if it has a phase."""
+        if through and scorer is None:
+            return lay.base if phase is None else lay.every(lay.base, k, phase)
+        return lay.rows(f"_r{output}") if phase is None else lay.rows(f"_r{output}", k, phase)
+
+    def score_of(output: int) -> promotion.Scorer:
+        if scorer:
+            return scorer
+        if through:
+            return grafted.scorer(out.model, output, names[output], paid[output])
+        return lambda rows, found: promotion.score_all(rows, found, paid[output])
+
     def merges(output: int):
         return (lambda c: merging.merge_all(out.model, c.parts, output, inputs=width)) if out.model else None
 
-    for name, own in {o: promotion.checked(scorer(with_residual(now, o), []))["baseline"] for o in outputs}.items():
+    def baseline(output: int) -> tuple:
+        return promotion.checked(score_of(output)(measured(output), []))["baseline"]
+
+    def incumbent() -> str:
+        """What verdicts are filed under: the model as it is now."""
+        if out.model:
+            return out.model.checksum
+        return patches.combo_id([memory.incumbent, *(x[0] for x in out.accepted)]) if out.accepted else memory.incumbent
+
+    for i, name in enumerate(names):
+        own = baseline(i)
         scores[name] = own[0]
+        if scorer:
+            ours = grafted.scorer(out.model, i, name)(lay.base, []) if through else promotion.score_all(lay.rows(f"_r{i}"), [])
+            if own[1] is not None and not promotion.parity(ours["baseline"][1] or 0.0, own[1]):
+                out.stop = "no parity"
     opening = sum(scores.values()) / len(scores)
     out.scores.append(opening)
     note("header", timestamp=int(clock()), seed=seed)
     note("baseline", score=opening)
     for iteration in range(iterations):
-        if cancelled():
-            out.stop = "cancelled"
-        elif seconds is not None and clock() - began >= seconds:
-            out.stop = "timeout"
+        if seconds is not None and clock() - began >= seconds:
+            out.stop = out.stop or "timeout"
         elif broken >= failures:
             out.stop = "scorer failures"
         if out.stop:
             break
-        output = iteration % len(outputs)
+        output = iteration % len(names)
         own_seed = seed * 1_000_003 + iteration
-        rows = with_residual(now, outputs[output])
+        rows = lay.rows(f"_r{output}")
         started = clock()
         chosen = sampling.random_features(width, search.feature_share, own_seed) if search.feature_share < 1 else None
-        searched = store.written(sampling.search_set(rows, features, listed, sampler=search.sampler, target=search.records, seed=own_seed, chosen=chosen), "search-set")
-        singles, bundles = discoveries(rows, searched, features, edges, listed, controls, search, own_seed)
+        searched = sampling.search_set(rows, features, listed, sampler=search.sampler, target=search.records, seed=own_seed, chosen=chosen)
+        if search.records:
+            searched = store.written(searched, "search-set")
+        able = edges if chosen is None else edges.where(F.col("feature").isin(chosen))
+        singles, bundles = discoveries(rows, searched, features, able, listed, controls, search, own_seed)
         first = singles[0] if singles else None
         stacks = [*bundles, *candidates.combos(candidates.select(singles)[0], search.stacks)]
         if carried:
@@ -191,21 +289,23 @@ def run(
         avoid: set[str] = set()
         if memory:
             known = files.read_verdicts(spark, memory.root, memory.corpus)
-            singles = [*replayed(known, memory, out.model, width, len(outputs), int(clock())), *singles]
+            singles = [*replayed(known, memory, out.model, width, len(names), int(clock()), incumbent()), *singles]
             avoid = failing(known, [*singles, *stacks], int(clock()), memory.retry_after)
         searched_ms, started = ms(clock() - started), clock()
         kept, discarded = candidates.select(stacks, avoid=avoid, merge=merges(output))
         room = max(0, search.most - len(kept))
         alone, more = candidates.select(singles, room, avoid, merges(output)) if room else ([], [])
         every, discarded = [*alone, *kept], [*discarded, *more]
-        merged_ms, started = ms(clock() - started), clock()
-        base = {"timestamp": int(clock()), "iteration": iteration, "baseline_score": scores[outputs[output]], "search_ms": searched_ms, "merge_ms": merged_ms, "generated": len(singles) + len(stacks), "discarded": [{"id": i, "reason": r} for i, r in discarded]}
+        base = {"timestamp": int(clock()), "iteration": iteration, "baseline_score": scores[names[output]], "search_ms": searched_ms, "merge_ms": ms(clock() - started), "generated": len(singles) + len(stacks), "discarded": [{"id": i, "reason": r} for i, r in discarded]}
         if not every:
             note("experiment", **base, accepted=False)
             out.stop = "no candidates"
             break
         try:
-            found = promotion.promote(rows, [(c.id, list(c.parts)) for c in every], rate=rate, phase=iteration, count=count, min_improvement=min_improvement, seed=own_seed, stored_baseline=scores[outputs[output]], scorer=scorer)
+            found = promotion.promote(
+                measured(output), [(c.id, list(c.parts)) for c in every], rate=rate, phase=iteration, count=count, min_improvement=min_improvement, seed=own_seed,
+                stored_baseline=scores[names[output]], scorer=score_of(output), sample=lambda: measured(output, iteration),
+            )
         except ValueError as error:  # a scorer that gives no usable score fails this round, not the run
             broken += 1
             note("experiment", **base, accepted=False, error=str(error))
@@ -216,8 +316,8 @@ def run(
         note(
             "experiment",
             **base,
-            full_ms=ms(clock() - started),
-            screen_ms=0,
+            full_ms=found["full_ms"],
+            screen_ms=found["screen_ms"],
             candidates=[entry(c, found) for c in every],
             screened=screened,
             promoted=len(found["promoted"]) - len(found["bypass"]) if screened else 0,
@@ -231,9 +331,9 @@ def run(
             error="the baseline disagrees with the stored one" if found["veto"] else None,
         )
         if memory and not found["veto"]:
-            file(found, by_id, memory, width, len(outputs), int(clock()), spark, min_improvement)
-        near = sorted((k for k in found["promoted"] if k != winner and found["deltas"][k] > 0), key=lambda k: (-found["deltas"][k], k))
-        carried = [] if winner is None else [Candidate(c.id, f"carry-forward:{c.strategy}", c.parts, c.gain) for c in (by_id[k] for k in near[:2]) if len(c.parts) == 1]
+            file(found, by_id, memory, width, len(names), int(clock()), spark, incumbent())
+        near = sorted((x for x in found["promoted"] if x != winner and found["deltas"][x] > 0), key=lambda x: (-found["deltas"][x], x))
+        carried = [] if winner is None else [Candidate(c.id, f"carry-forward:{c.strategy}", c.parts, c.gain) for c in (by_id[x] for x in near[:2]) if len(c.parts) == 1]
         if winner is None:
             idle += 1
             if idle > patience:
@@ -241,23 +341,36 @@ def run(
                 break
             continue
         idle, best = 0, by_id[winner]
-        rows = with_residual(now, outputs[output])
-        for part in best.parts:
-            rows = patches.apply(rows, part)
-        now = store.written(rows if outputs[output] == "residual" else rows.withColumn(outputs[output], F.col("residual")), f"residuals-{iteration}")
         if out.model:
             out.model, _ = merging.merge_all(out.model, best.parts, output, inputs=width)
-        scores[outputs[output]] = promotion.checked(scorer(with_residual(now, outputs[output]), []))["baseline"][0]
+        paid[output] += sum(patches.splits(p) for p in best.parts)
+        if through:
+            lay.put(corrections(lay.base, out.model, names))
+        else:
+            rows = lay.base.join(lay.beside.drop("slot").hint("shuffle_hash"), "record_id").withColumn("residual", F.col(f"_r{output}"))
+            for part in best.parts:
+                rows = patches.apply(rows, part)
+            lay.put(base_columns(rows, [F.col("residual" if i == output else f"_r{i}") for i in range(len(names))]))
+        for i in range(len(names)) if through else [output]:  # what a shared graph does to other outputs counts too
+            scores[names[i]] = baseline(i)[0]
         out.accepted.append((best.id, best.strategy, best.parts, found["deltas"][best.id]))
         out.scores.append(sum(scores.values()) / len(scores))
-    out.stop = out.stop or "iterations"
-    note("summary", timestamp=int(clock()), stop=out.stop, opening_score=opening, final_score=out.scores[-1], wall_ms=ms(clock() - began))
-    out.residuals = now
-    return out
+        deliver(spark, out, best, sinks, bundle, iteration)
+    if through:
+        left = out.model.columns(lay.base)
+        out.residuals = left.withColumns({f"residual{i or ''}": (F.col(y) - F.col(p)).cast("float") for i, (y, (_, p, _)) in enumerate(zip(names, out.model.names()))})
+    else:
+        out.residuals = lay.base.drop(*names).join(lay.beside.drop("slot").withColumnsRenamed({f"_r{i}": name for i, name in enumerate(names)}), "record_id")
 
 
-def with_residual(rows: DataFrame, output: str) -> DataFrame:
-    return rows if output == "residual" else rows.withColumn("residual", F.col(output))
+def deliver(spark, out: Outcome, best: Candidate, sinks: Sinks, bundle, iteration: int) -> None:
+    """What an acceptance leaves behind."""
+    bundle.accept(best.parts, out.scores[-1])
+    if sinks.best and out.model:
+        artifacts.write_best(spark, out.model, {"score": artifacts.score_text(out.scores[-1]), "round": str(iteration), "patch": best.id}, sinks.best)
+    if sinks.winners:
+        text = json.dumps({"round": iteration, "id": best.id, "strategy": best.strategy, "parts": best.parts, "improvement": out.accepted[-1][3], "score": out.scores[-1]})
+        files.storage.write_text(spark, text, f"{sinks.winners.rstrip('/')}/winner-{iteration:06d}.json")
 
 
 def ms(seconds: float) -> int:
@@ -267,7 +380,7 @@ def ms(seconds: float) -> int:
 def entry(c: Candidate, found: dict) -> dict:
     """A candidate as the log has it."""
     base = (found["screen"] or {}).get("baseline", (None,))[0]
-    known = (found["screen"] or {}).get(c.id)
+    known, full = (found["screen"] or {}).get(c.id), found["full"].get(c.id)
     return {
         "id": c.id,
         "strategy": c.strategy,
@@ -277,18 +390,20 @@ def entry(c: Candidate, found: dict) -> dict:
         "predicted_gain": c.gain,
         "promoted": c.id in found["promoted"],
         "bypass": c.id in found["bypass"],
+        "affected_records": float(full[3]) if full and len(full) > 3 else None,
+        "affected_fraction": full[3] / full[2] if full and len(full) > 3 and full[2] else None,
         "screen_delta": known[0] - base if known else None,
         "full_delta": found["deltas"].get(c.id),
     }
 
 
-def file(found: dict, by_id: dict[str, Candidate], memory: Memory, inputs: int, outputs: int, now: int, spark, bar: float) -> None:
-    """Append the verdicts of a round's full scores that aren't filed yet."""
+def file(found: dict, by_id: dict[str, Candidate], memory: Memory, inputs: int, outputs: int, now: int, spark, incumbent: str) -> None:
+    """Append the verdicts of a round's full scores that aren't filed yet, under the model that they were tested on: the winner is accepted, whatever else would have helped is not."""
     rows = []
     for name, delta in found["deltas"].items():
         c = by_id[name]
         own = [patches.patch_id(p) for p in c.parts]
-        rows.append((name, "accepted" if delta > bar else "rejected", delta, memory.incumbent, now, inputs, outputs, own if len(own) > 1 else None, json.dumps(c.parts), [c.strategy]))
+        rows.append((name, "accepted" if name == found["winner"] else "rejected", delta, incumbent, now, inputs, outputs, own if len(own) > 1 else None, json.dumps(c.parts), [c.strategy]))
     tested = spark.createDataFrame(rows, "id string, outcome string, full_delta double, incumbent string, at_unix long, inputs int, outputs int, members array<string>, parts string, notes array<string>")
     filed = files.read_verdicts(spark, memory.root, memory.corpus)
     files.append_verdicts(verdicts.to_file(tested, filed), memory.root, memory.corpus, memory.host)

@@ -707,7 +707,7 @@ def explore_bypass(spark, d):
 @query("establish_baseline", f"SELECT count(*) AS record_count, round(1 - avg(pow(CAST(residual AS DOUBLE), 2)), 6) AS score, TRUE AS parity FROM ({EVENTS.sql})")
 def establish_baseline(spark, d):
     rows = EVENTS.load(spark, d)
-    score, error, n = promotion.score_all(rows, [])["baseline"]
+    score, error, n = promotion.score_all(rows, [])["baseline"][:3]
     local = rows.agg(residuals.mse(F.col("y"), F.col("p")).alias("m")).first().m
     return spark.createDataFrame([(n, round(score, 6), promotion.parity(local, error))], "record_count long, score double, parity boolean")
 

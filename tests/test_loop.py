@@ -1,5 +1,8 @@
 """The improvement loop end to end, and trees against a plain search."""
 
+import json
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,8 +10,8 @@ from pyspark.sql import functions as F
 from ridgeline.operators import binning, histogram, merging, oblique, patches, promotion, runlog, sampling, trees, verdicts
 from ridgeline.operators.histogram import Controls
 from ridgeline.operators.residuals import Model
-from ridgeline.plans import loop
-from ridgeline.sources import files
+from ridgeline.plans import layout, loop
+from ridgeline.sources import artifacts, files
 from tests.test_operators import corpus, edges_for
 
 CONTROLS = Controls(min_leaf=20, max_correction=1, top_k=4, max_per_feature=2)
@@ -54,6 +57,127 @@ def test_trees_win_on_an_interaction_and_the_log_reports_it(spark, interaction,
     assert first[0] not in {c.id for c in loop.replayed(filed, other, merging.merge_all(model, first[2])[0], 3, 1, 10**10)}  # carried
 
 
+X = [("f0", 0.5), ("f1", 0.3)]
+NONLINEAR = {
+    "TANH": Model([{"id": "o", "squash": "TANH", "bias": 0.1, "in": X}], "o"),
+    "LOGISTIC": Model([{"id": "h", "squash": "RELU", "bias": 0.0, "in": X}, {"id": "o", "squash": "LOGISTIC", "bias": 0.0, "in": [("h", 1.0)]}], "o"),
+    "MINIMUM": Model([{"id": "top", "type": "constant", "bias": 0.4}, {"id": "h", "squash": "IDENTITY", "bias": 0.0, "in": X}, {"id": "o", "squash": "MINIMUM", "bias": 0.0, "in": [("h", 0.5), ("top", 1.0)]}], "o"),
+    "IF": Model([{"id": "o", "squash": "IF", "bias": 0.0, "in": [("f2", 1.0, "condition"), *((s, w, "positive") for s, w in X), *((s, -w, "negative") for s, w in X)]}], "o"),
+}
+
+
+@pytest.mark.parametrize("kind", sorted(NONLINEAR))
+def test_the_loop_scores_what_the_merged_model_does(spark, kind, tmp_path):
+    rng = np.random.default_rng(11)
+    x = rng.uniform(-1, 1, (3, 1500)).astype(np.float32)
+    model = NONLINEAR[kind]
+    _, out = model.forward({f"f{i}": v.astype(float) for i, v in enumerate(x)}, 1500)["o"]
+    y = np.clip(out + 0.25 * (x[1] > 0.2) - 0.2 * (x[2] > 0), 0.02, 0.98) if kind == "LOGISTIC" else np.clip(out + 0.25 * (x[1] > 0.2) - 0.2 * (x[2] > 0), -0.98, 0.98)
+    rows = corpus(spark, x, y).withColumnRenamed("residual", "y")
+    memory = loop.Memory(f"file://{tmp_path}/store", "c", "h", incumbent=model.checksum)
+    sinks = loop.Sinks(f"file://{tmp_path}/best.json", f"file://{tmp_path}/winners", f"file://{tmp_path}/bundle.json")
+    found = loop.run(rows, ["f0", "f1", "f2"], bins=16, controls=CONTROLS, search=loop.Search(depth=2, most=12), iterations=3, count=4, model=model, targets=["y"], memory=memory, sinks=sinks)
+    assert len(found.accepted) >= 2
+    # each score is the error of the model that was merged then, and what it cost
+    now, splits = model, 0
+    for step, (name, _, parts, improvement) in enumerate([(None, None, (), 0.0), *found.accepted]):
+        now, splits = merging.merge_all(now, parts)[0], splits + sum(patches.splits(p) for p in parts)
+        _, out = now.forward({f"f{i}": v.astype(float) for i, v in enumerate(x)}, 1500)["o"]
+        error = float(np.mean((y.astype(np.float32) - out.astype(np.float32)).astype(float) ** 2))
+        assert found.scores[step] == pytest.approx(1 - error - 2e-7 * splits, abs=1e-6)
+        if step:
+            assert found.scores[step] - found.scores[step - 1] == pytest.approx(improvement, abs=1e-9)
+    assert found.model.checksum == now.checksum and found.scores[-1] - found.scores[0] == pytest.approx(sum(a[3] for a in found.accepted), abs=1e-9)
+    left = found.residuals.agg(F.avg(F.col("residual").cast("double") ** 2).alias("m")).first().m
+    assert left == pytest.approx(error, abs=1e-6)
+    # one accepted verdict a round, each under the model that it was tested on
+    won = {v.incumbent: v.id for v in files.read_verdicts(spark, memory.root, "c").where("outcome = 'accepted'").collect()}
+    now, want = model, {}
+    for name, _, parts, _ in found.accepted:
+        want[now.checksum] = name
+        now = merging.merge_all(now, parts)[0]
+    assert won == want and files.read_verdicts(spark, memory.root, "c").select("incumbent").distinct().count() == len(found.log) - 3
+    # what an acceptance leaves behind
+    assert artifacts.read_model(spark, sinks.best).checksum == found.model.checksum
+    assert [json.loads(p.read_text())["id"] for p in sorted((tmp_path / "winners").glob("*.json"))] == [a[0] for a in found.accepted]
+    assert len(json.loads((tmp_path / "bundle.json").read_text())["accepted"]) == len(found.accepted)
+
+
+def test_a_model_that_bends_corrections_needs_targets_and_a_scorer_has_to_agree(spark, interaction):
+    with pytest.raises(ValueError, match="targets"):
+        loop.run(interaction, ["f0", "f1", "f2"], model=NONLINEAR["TANH"])
+    with pytest.raises(ValueError, match="share an id"):
+        loop.run(interaction.unionByName(interaction.limit(1)), ["f0", "f1", "f2"], bins=4)
+    odd = lambda rows, found: {k: (v[0], v[1] + 0.1, v[2]) for k, v in promotion.score_all(rows, found).items()}
+    assert loop.run(interaction, ["f0", "f1", "f2"], bins=4, scorer=odd).stop == "no parity"
+
+
+def test_a_cancelled_run_ends_in_the_middle_of_a_pass(spark, interaction):
+    asked, began = [], time.time()
+
+    def slow(rows, found):
+        if found:
+            asked.append(True)
+            rows.sparkSession.range(0, 4, 1, 4).mapInArrow(lambda parts: (time.sleep(60) or p for p in parts), "id long").count()
+        return promotion.score_all(rows, found)
+
+    found = loop.run(interaction, ["f0", "f1", "f2"], bins=8, controls=CONTROLS, count=2, scorer=slow, cancelled=lambda: bool(asked))
+    assert found.stop == "cancelled" and found.log[-1]["record"] == "summary" and time.time() - began < 55
+    assert spark.range(10).count() == 10
+
+
+def test_rounds_write_residuals_only_and_join_without_a_shuffle(spark):
+    rng = np.random.default_rng(2)
+    rows = corpus(spark, rng.normal(size=(4, 400)), rng.normal(size=400)).repartition(3)
+    listed, _ = edges_for(spark, rows, 4, 8)
+    lay = layout.Layout(rows, ["f0", "f1", "f2", "f3"], listed, ["residual"], slots=5, buckets=4)
+    lay.put(loop.base_columns(lay.base, [F.col("residual")]))
+    assert lay.beside.columns == ["record_id", "_r0", "slot"]
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = lay.rows("_r0", 5, 2)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert "Join" in plan and "Exchange" not in plan and "PartitionFilters: [isnotnull(slot" in plan.replace("slot#", "slot") or "slot" in plan
+    want = sorted(r.record_id for r in promotion.screen_sample(rows, 0.2, 2).collect())
+    assert sorted(r.record_id for r in lay.rows("_r0", 5, 2).collect()) == want
+    assert sorted(r.record_id for r in lay.rows("_r0", 3, 1).collect()) == sorted(r.record_id for r in binning.every(rows, 3, 1).collect())
+    assert len(lay.every(lay.base, 5, 2).inputFiles()) < len(lay.base.inputFiles())
+
+
+def test_wide_corpora_are_searched_in_packed_form(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(6, 800)).astype(np.float32)
+    rows = corpus(spark, x, 0.5 * (x[3] > 0.3) + 0.4 * (x[5] > 0))
+    how = dict(bins=16, controls=CONTROLS, iterations=2, count=4, search=loop.Search(depth=2, boost=3, most=16, feature_share=0.9))
+    plain = loop.run(rows, [f"f{i}" for i in range(6)], **how)
+    monkeypatch.setattr(layout, "PACKED_FROM", 2)
+    packed = loop.run(rows, [f"f{i}" for i in range(6)], **how)
+    assert [a[0] for a in packed.accepted] == [a[0] for a in plain.accepted] and len(plain.accepted) == 2
+
+
+def test_several_trees_grow_as_they_would_alone_in_fewer_passes(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = np.round(rng.uniform(-1, 1, (3, 900)), 2).astype(np.float32)
+    rows = corpus(spark, x, 0.5 * (x[0] > 0.2) + 0.3 * ((x[1] > 0) & (x[2] > 0)) + rng.normal(0, 0.1, 900))
+    listed, table = edges_for(spark, rows, 3, 12)
+    binned = binning.bin_rows(rows, ["f0", "f1", "f2"], listed)
+    packed = histogram.pack_bins(rows.withColumn("x", F.array("f0", "f1", "f2")), listed)
+    roots = [None, (1, 5), (2, 3), (0, 4)]
+    shape = lambda grown: [[[(leaf.path, leaf.n) for leaf in t.leaves] for t in g] for g in grown]
+    for best_first in (False, True):
+        alone = [trees.grow_tree(binned, table, 3, CONTROLS, 3, best_first, root) for root in roots]
+        passes = []
+        whole = trees.histograms
+        monkeypatch.setattr(trees, "histograms", lambda *a: passes.append(1) or whole(*a))
+        together = trees.grow_trees(binned, table, 3, CONTROLS, 3, best_first, roots)
+        monkeypatch.setattr(trees, "histograms", whole)
+        assert shape(together) == shape(alone) and len(passes) <= (3 if not best_first else 7)
+        assert shape(trees.grow_trees(packed, table, 3, CONTROLS, 3, best_first, roots)) == shape(alone)
+    assert not spark.sparkContext._jsc.getPersistentRDDs().size() or all(not df.is_cached for df in (binned, packed))
+
+
 def test_known_failures_are_left_out(spark, interaction, tmp_path):
     root = f"file://{tmp_path}/store"
     plain = loop.run(interaction, ["f0", "f1", "f2"], bins=16, controls=CONTROLS, iterations=1, count=4)

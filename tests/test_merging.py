@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ridgeline.operators import merging, patches, residuals
+from ridgeline.operators import grafted, merging, patches, residuals
 from ridgeline.operators.residuals import Model
 from ridgeline.sources import artifacts
 
@@ -158,11 +158,30 @@ def test_broken_graphs_are_refused(neurons):
 
 def test_shared_constants_are_reused_and_names_stay_free():
     first, added = merging.merge(DEEP, LEAF2)
-    assert added[:2] == ["patch-one-a", "patch-one-b"] and [n["id"] for n in first.neurons][:3] == ["one", "patch-one-a", "patch-one-b"]
+    assert added == [f"patch-{patches.patch_id(LEAF2)}-split-0"] and first.neurons[0]["id"] == "one"  # the model's own constant of value 1
     second, added = merging.merge(first, patches.scaled(LEAF2, 2.0))
     assert len(added) == 1 and merging.merged_ids(second) == {patches.patch_id(LEAF2), patches.patch_id(patches.scaled(LEAF2, 2.0))}
-    odd = Model([{"id": "patch-one-a", "type": "constant", "bias": 2.0}, *IDENTITY.neurons], "o")
-    assert merging.merge(odd, LEAF2)[1][:3] == ["patch-one-b", "patch-one-c", "patch-one-a2"]
+    odd = Model([{"id": "patch-one-unit-0", "type": "constant", "bias": 2.0}, *IDENTITY.neurons], "o")
+    merged, added = merging.merge(odd, LEAF2)
+    assert added[0] == "patch-one-unit-1" and merging.merged_ids(merged) == {patches.patch_id(LEAF2)}
+    assert merging.merge(merged, patches.scaled(LEAF2, 2.0))[1] == [f"patch-{patches.patch_id(patches.scaled(LEAF2, 2.0))}-split-0"]
+
+
+@pytest.mark.parametrize("name", sorted(MODELS))
+def test_scores_through_the_graph_are_those_of_merged_models(records, name):
+    model = MODELS[name]
+    rows = records.withColumn("y", (F.col("f0") * 0.3 + F.when(F.col("f1") > 0, 0.4).otherwise(-0.1)).cast("float")).repartition(3)
+    rng = np.random.default_rng(6)
+    cohort = [("one", [tree(shapes(2)[-1], iter(rng.integers(-12, 13, 100).tolist()))]), ("two", [tree(shapes(1)[-1], iter(rng.integers(-12, 13, 100).tolist())), patches.split(0, 0.5, patches.leaf(0.25), patches.leaf(-0.5))])]
+    found = grafted.scorer(model)(rows, cohort)
+    for candidate, parts in [("baseline", []), *cohort]:
+        merged = merging.merge_all(model, parts)[0]
+        want = merged.columns(rows).agg(residuals.mse(F.col("y"), F.col("prediction")).alias("m")).first().m
+        assert found[candidate][1] == pytest.approx(want, abs=1e-6) and found[candidate][2] == 302
+        splits = sum(patches.splits(p) for p in parts)
+        assert found[candidate][0] == pytest.approx(1 - want - 2e-7 * splits, abs=1e-6)
+    assert found["baseline"][3] == 0 and 0 < found["two"][3] <= 302
+    assert grafted.scorer(model, carried=3)(rows.limit(0), [])["baseline"][:2] == (1 - 6e-7, 0.0)
 
 
 def test_bundles_workspaces_and_tags(spark, tmp_path):

@@ -401,9 +401,9 @@ def test_a_stride_counts_records_not_keys(spark, keys):
         want = [x for i, x in enumerate(order) if i % k == 0]
         assert sorted(r.record_id for r in binning.stride_sample(rows, target).collect()) == want and len(want) <= target
         assert sorted(r.record_id for r in sampling.stride(rows, target).collect()) == want
-    assert sorted(r.position for r in binning.positioned(rows).collect()) == list(range(3000))
+    assert sorted(r.position for r in binning.numbered(rows).collect()) == list(range(3000))
     assert [r.record_id for r in binning.every(rows, 7, 3).orderBy("record_id").collect()] == [x for i, x in enumerate(order) if (i + 3) % 7 == 0]
-    assert binning.positioned(rows.limit(0)).count() == 0
+    assert binning.numbered(rows.limit(0)).count() == 0
     assert binning.build_edges(rows, ["f0"], 8, 100).count() == 7
 
 
