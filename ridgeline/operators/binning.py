@@ -91,8 +91,55 @@ def edges_of(counts: DataFrame, bins: int, keys: Sequence[str] = ("feature",)) -
     return found.select(*keys, (F.row_number().over(order) - 1).alias("bin"), F.col("value").alias("threshold"))
 
 
+#: Features whose edges one task works out at a time, and features beyond which that is done in numpy.
+BLOCK_FEATURES, BLOCKS_FROM = 64, 32
+
+
 def build_edges(corpus: DataFrame, features: Sequence[str], bins: int, target: int = SAMPLE_ROWS) -> DataFrame:
-    return edges_of(value_counts(stride_sample(corpus.select("record_id", *features), target, features), features), bins)
+    """feature, bin, threshold: exact quantile edges of the stride sample. Many features go in blocks, so no row is ever made of each record and feature."""
+    sample = stride_sample(corpus.select("record_id", *features), target, features if len(features) <= BLOCKS_FROM else ())
+    return blocked_edges(sample.select(F.array(*features).alias("x")), len(features), bins) if len(features) > BLOCKS_FROM else edges_of(value_counts(sample, features), bins)
+
+
+def blocked_edges(sample: DataFrame, width: int, bins: int) -> DataFrame:
+    """The same of a bounded sample whose features are in an array x: batches are cut into blocks of features, column after column; the task of a block has the block's columns whole, and sorts each."""
+    import numpy as np
+    import pyarrow as pa
+
+    def cut(parts):
+        for part in parts:
+            x = part.column(0)
+            if len(x):
+                cells = x.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(-1, width)
+                blocks = [np.ascontiguousarray(cells[:, at : at + BLOCK_FEATURES].T) for at in range(0, width, BLOCK_FEATURES)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks), dtype=np.int32)), pa.array([b.tobytes() for b in blocks], pa.binary())], names=["block", "cells"])
+
+    def edges(block: int, held: list):
+        wide = min(BLOCK_FEATURES, width - block * BLOCK_FEATURES)
+        columns = np.concatenate([np.frombuffer(h, np.float32).reshape(wide, -1) for h in held], axis=1)
+        for i, column in enumerate(columns):
+            own = np.sort(column[np.isfinite(column)] + np.float32(0.0))  # -0.0 is 0.0
+            n = len(own)
+            if n:
+                found = np.unique(own[np.minimum(np.arange(1, bins) * n // bins, n - 1)])
+                for b, t in enumerate(found[found < own[-1]].tolist()):
+                    yield block * BLOCK_FEATURES + i, b, t
+
+    def make(parts):
+        now, held, out = None, [], []
+        for part in parts:
+            for block, cells in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                if block != now:
+                    out += edges(now, held) if held else []
+                    now, held = block, []
+                held.append(cells)
+        out += edges(now, held) if held else []
+        if out:
+            f, b, t = zip(*out)
+            yield pa.RecordBatch.from_arrays([pa.array(f, pa.int32()), pa.array(b, pa.int32()), pa.array(t, pa.float32())], names=["feature", "bin", "threshold"])
+
+    dealt = sample.mapInArrow(cut, "block int, cells binary").repartition("block").sortWithinPartitions("block")
+    return dealt.mapInArrow(make, "feature int, bin int, threshold float")
 
 
 def collect_edges(edges: DataFrame, features: int) -> list[list[float]]:

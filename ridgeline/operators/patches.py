@@ -143,3 +143,20 @@ def combo_id_column(ids: Column) -> Column:
 def feature_union(features: Column) -> Column:
     """The distinct features of several patches (an array of arrays), ascending."""
     return F.array_sort(F.array_distinct(F.flatten(features)))
+
+
+def folds(rows: DataFrame, key: str, tree: str) -> DataFrame:
+    """key, id, depth, splits, zero_leaves, largest, features of the patches that a column has as JSON."""
+    import pyarrow as pa
+
+    about = [("id", pa.string()), ("depth", pa.int32()), ("splits", pa.int32()), ("zero_leaves", pa.int32()), ("largest", pa.float64()), ("features", pa.list_(pa.int32()))]
+
+    def make(parts):
+        for part in parts:
+            found = [json.loads(t) for t in part.column(1).to_pylist()]
+            made = [(patch_id(n), depth(n), splits(n), zero_leaves(n), largest(n), features(n)) for n in found]
+            columns = zip(*made) if made else [()] * len(about)
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, (_, t) in zip(columns, about))], names=[key, *(n for n, _ in about)])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, tree).mapInArrow(make, f"`{key}` {kind}, id string, depth int, splits int, zero_leaves int, largest double, features array<int>")

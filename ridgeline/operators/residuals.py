@@ -211,6 +211,15 @@ def compute_residuals(corpus: DataFrame, model: Model) -> DataFrame:
     return residuals_by_output(corpus, model, ["y"]).drop("output")
 
 
+def graph_edges(models: DataFrame, key: str, graph: str) -> DataFrame:
+    """key, neuron, squash, source, source_squash (null for an input), weight: the edges of the models that a column has as JSON, joined with the neurons that they read."""
+    parsed = models.select(key, F.from_json(graph, "neurons array<struct<id:string,squash:string,in:array<array<string>>>>").alias("m"))
+    neurons = parsed.select(key, F.explode("m.neurons").alias("n")).select(key, F.col("n.id").alias("neuron"), F.col("n.squash").alias("squash"), F.col("n.in").alias("edges"))
+    edges = neurons.select(key, "neuron", "squash", F.explode("edges").alias("e")).select(key, "neuron", "squash", F.col("e")[0].alias("source"), F.col("e")[1].cast("double").alias("weight"))
+    read = neurons.select(key, F.col("neuron").alias("source"), F.col("squash").alias("source_squash"))
+    return edges.join(read, [key, "source"], "left").select(key, "neuron", "squash", "source", "source_squash", "weight")
+
+
 def wanted(model: Model, output: int, target: str) -> Column:
     """Of rows with the model's columns: what has to go into an output's sum to reach the target, 0 where that isn't finite."""
     o, _, hint = model.names()[output]

@@ -9,7 +9,9 @@ files have no order of their own. LOG is the schema of all of them together.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -26,29 +28,55 @@ def experiments_of(log: DataFrame) -> DataFrame:
     return log.where("record = 'experiment'")
 
 
-def report(log: DataFrame) -> DataFrame:
-    """One row over a whole log: scores, counts, times, rates. The first header starts the run; the first baseline (or the summary) opens it, the last record of these closes it; a failure that disagrees with the stored baseline is a veto."""
+def parts_of_report() -> list[tuple[str, Column, Callable]]:
+    """(name, aggregate, how two of them become one) of what a report is made from: each is a minimum, a maximum or a sum, so parts of a log can be summed up apart."""
     kind = lambda name: F.col("record") == name
     exp, base, end = kind("experiment"), kind("baseline"), kind("summary")
-    on = lambda cond, value: F.when(cond, value)
     at = lambda cond, value: F.when(cond & value.isNotNull(), F.struct(F.col("line"), value.alias("v")))
-    total = lambda name: F.coalesce(F.sum(on(exp, F.col(name))), F.lit(0)).cast("long")
     won = exp & F.col("accepted") & F.col("winner").isNotNull() & F.col("improvement").isNotNull()
-    found = log.agg(
-        F.min(at(kind("header"), F.col("timestamp"))).v.alias("start"),
-        F.max(at(exp, F.col("timestamp"))).v.alias("last"),
-        F.coalesce(F.min(at(base, F.col("score"))).v, F.min(at(end, F.col("opening_score"))).v).alias("opening_score"),
-        F.max(at(base | end, F.when(base, F.col("score")).otherwise(F.col("final_score")))).v.alias("final_score"),
-        F.max(at(end, F.col("stop"))).v.alias("stop"),
-        F.max(at(end, F.col("wall_ms"))).v.alias("wall"),
-        F.count_if(exp).alias("iterations"),
-        F.count_if(won).alias("acceptances"),
-        F.count_if(exp & F.col("error").isNotNull()).alias("failures"),
-        F.count_if(exp & F.col("error").contains("disagrees")).alias("vetoes"),
-        total("generated").alias("generated"),
-        F.coalesce(F.sum(on(exp, F.size("discarded"))), F.lit(0)).cast("long").alias("discarded"),
-        *[total(c).alias(c) for c in ("screened", "promoted", "bypassed", "full_scored", "false_positives", "false_negatives", "search_ms", "merge_ms", "screen_ms", "full_ms")],
-        F.min(on(won, F.col("timestamp"))).alias("first"),
+    score = F.when(base, F.col("score")).otherwise(F.col("final_score"))
+    out = [
+        ("start", F.min(at(kind("header"), F.col("timestamp"))), F.min),
+        ("last", F.max(at(exp, F.col("timestamp"))), F.max),
+        ("first_baseline", F.min(at(base, F.col("score"))), F.min),
+        ("first_opening", F.min(at(end, F.col("opening_score"))), F.min),
+        ("closing", F.max(at(base | end, score)), F.max),
+        ("stop", F.max(at(end, F.col("stop"))), F.max),
+        ("wall", F.max(at(end, F.col("wall_ms"))), F.max),
+        ("iterations", F.count_if(exp), F.sum),
+        ("acceptances", F.count_if(won), F.sum),
+        ("failures", F.count_if(exp & F.col("error").isNotNull()), F.sum),
+        ("vetoes", F.count_if(exp & F.col("error").contains("disagrees")), F.sum),
+        ("generated", F.sum(F.when(exp, F.col("generated"))), F.sum),
+        ("discarded", F.sum(F.when(exp, F.size("discarded"))), F.sum),
+        ("first", F.min(F.when(won, F.col("timestamp"))), F.min),
+    ]
+    return out + [(c, F.sum(F.when(exp, F.col(c))), F.sum) for c in ("screened", "promoted", "bypassed", "full_scored", "false_positives", "false_negatives", "search_ms", "merge_ms", "screen_ms", "full_ms")]
+
+
+def summed(log: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The parts of the report of some records of a log, for each run that `by` tells apart."""
+    return log.groupBy(*by).agg(*[value.alias(name) for name, value, _ in parts_of_report()])
+
+
+def combined(parts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The parts of several stretches of a log as those of all of it."""
+    return parts.groupBy(*by).agg(*[how(name).alias(name) for name, _, how in parts_of_report()])
+
+
+def finished(parts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The report that its parts make."""
+    whole = lambda name: F.coalesce(F.col(name), F.lit(0)).cast("long").alias(name)
+    found = parts.select(
+        *by,
+        F.col("start.v").alias("start"),
+        F.col("last.v").alias("last"),
+        F.coalesce("first_baseline.v", "first_opening.v").alias("opening_score"),
+        F.col("closing.v").alias("final_score"),
+        F.col("stop.v").alias("stop"),
+        F.col("wall.v").alias("wall"),
+        *[whole(c) for c in ("iterations", "acceptances", "failures", "vetoes", "generated", "discarded", "screened", "promoted", "bypassed", "full_scored", "false_positives", "false_negatives", "search_ms", "merge_ms", "screen_ms", "full_ms")],
+        "first",
     )
     wall = F.coalesce(F.when(F.col("wall") > 0, F.col("wall")), F.greatest(F.col("last") - F.col("start"), F.lit(0)) * 1000)
     ratio = lambda a, b: F.try_divide(F.col(a).cast("double"), b)
@@ -66,6 +94,11 @@ def report(log: DataFrame) -> DataFrame:
     ).drop("start", "last", "first", "wall")
 
 
+def report(log: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row over a whole log (or for each run): scores, counts, times, rates. The first header starts the run; the first baseline (or the summary) opens it, the last record of these closes it; a failure that disagrees with the stored baseline is a veto."""
+    return finished(summed(log, by), by)
+
+
 def first_acceptance(experiments: DataFrame) -> DataFrame:
     """One row: when the first improvement was accepted."""
     return experiments.where("accepted").agg(F.min("timestamp").alias("first_acceptance"))

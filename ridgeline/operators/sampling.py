@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import random
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -78,8 +78,9 @@ SAMPLERS = {"stride": stride, "uniform": uniform, "stratified": stratified, "wei
 
 
 def random_features(features: int, fraction: float, seed: int) -> list[int]:
+    """A share of the features (one at least), drawn by the MD5 of number and seed."""
     n = max(1, min(features, -int(-features * fraction // 1)))
-    return sorted(random.Random(seed).sample(range(features), n))
+    return sorted(sorted(range(features), key=lambda i: hashlib.md5(f"{i}:{seed}".encode()).hexdigest())[:n])
 
 
 def error_ranked(hist: DataFrame, keep: int) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 import uuid
 from collections.abc import Callable
 
@@ -12,12 +13,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import semantics as sem
-from ..operators import binning, candidates, histogram, merging, oblique, patches, promotion, residuals, runlog, sampling, trees, verdicts
+from ..operators import binning, candidates, external, grafted, histogram, merging, oblique, patches, promotion, residuals, runlog, sampling, trees, verdicts
 from ..operators.histogram import Controls
 from ..sources import artifacts, corpora, files
 from ..sources.corpora import ACCOUNTS, EVENTS, LINES, PARTS, Corpus, read
-from ..streaming import residual_stream
-from . import loop, store
+from ..streaming import residual_stream, run_report
+from . import layout, loop, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -402,11 +403,15 @@ def evaluate_on_bins(spark, d):
     return binned.select("record_id", patches.value_on_bins(node, listed).alias("correction"))
 
 
-@query("patch_folds", """SELECT substr(sha256('[0,{"left":{"correction":0.0},"right":{"left":{"correction":-0.5},"right":{"correction":9.75},"terms":[[0,1.0]],"threshold":50.0},"terms":[[1,1.0]],"threshold":11.0}]'), 1, 16) AS id,
-    2 AS depth, 2 AS splits, 1 AS zero_leaves, 9.75::DOUBLE AS largest, [0, 1]::INTEGER[] AS features""")
+TREES_SQL = """SELECT p_partkey, '{"left":{"correction":0.0},"right":' || CASE WHEN p_partkey % 3 = 0 THEN '{"correction":' || (p_partkey % 7) || '.5}' ELSE '{"left":{"correction":0.0},"right":{"correction":-' || (p_partkey % 5 + 1) || '.0},"terms":[[2,1.0]],"threshold":' || p_size || '.0}' END || ',"terms":[[1,1.0]],"threshold":11.0}' AS tree FROM part"""
+
+
+@query("patch_folds", f"""SELECT p_partkey, substr(sha256('[0,' || tree || ']'), 1, 16) AS id, CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 2 END AS depth, CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 2 END AS splits, CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 2 END AS zero_leaves,
+    CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 7 + 0.5 ELSE p_partkey % 5 + 1.0 END::DOUBLE AS largest, CASE WHEN p_partkey % 3 = 0 THEN [1] ELSE [1, 2] END::INTEGER[] AS features FROM ({TREES_SQL})""")
 def patch_folds(spark, d):
-    row = (patches.patch_id(TREE), patches.depth(TREE), patches.splits(TREE), patches.zero_leaves(TREE), patches.largest(TREE), patches.features(TREE))
-    return spark.createDataFrame([row], "id string, depth int, splits int, zero_leaves int, largest double, features array<int>")
+    read(spark, d, "part").createOrReplaceTempView("part_of_trees")
+    return patches.folds(spark.sql(TREES_SQL.replace("FROM part", "FROM part_of_trees")), "p_partkey", "tree")
+
 
 
 @query("path_filter", chain_sql(EVENTS) + " SELECT record_id FROM binned WHERE b1 > 7 AND NOT b0 > 7")
@@ -572,9 +577,11 @@ def sample_chance(spark, d):
     return rounded(sampling.with_chance(EVENTS.load(spark, d), 2000).select("record_id", "chance"), chance=6)
 
 
-@query("select_random_features")
+@query("select_random_features", "WITH w AS (SELECT max(len(embedding)) AS width FROM embeddings) SELECT CAST(i AS INTEGER) AS feature FROM w, range(64) t(i) WHERE i < width QUALIFY row_number() OVER (ORDER BY md5(i || ':42')) <= (SELECT ceil(width * 0.25) FROM w)")
 def select_random_features(spark, d):
-    return spark.createDataFrame([(i,) for i in sampling.random_features(64, 0.25, 42)], "feature int")
+    width = read(spark, d, "embeddings").agg(F.max(F.size("embedding"))).first()[0] or 0
+    return spark.createDataFrame([(i,) for i in sampling.random_features(width, 0.25, 42)] if width else [], "feature int")
+
 
 
 @query("screen_sample", f"SELECT record_id, residual FROM ({strided_sql(ACCOUNTS, '20', 3)})")
@@ -582,10 +589,12 @@ def screen_sample(spark, d):
     return promotion.screen_sample(ACCOUNTS.load(spark, d), 0.05, 3).select("record_id", "residual")
 
 
-@query("join_residual", f"SELECT a.record_id, a.f0, b.residual FROM ({EVENTS.sql}) a JOIN ({EVENTS.sql}) b ON a.record_id = b.record_id")
+@query("join_residual", f"SELECT record_id, f0, round(y - CAST(1.0 + tanh(-0.5 + CAST(f0 AS DOUBLE) * 0.02) * 40.0 + CAST(f2 AS DOUBLE) * 0.25 AS FLOAT), 3) AS residual FROM ({EVENTS.sql})")
 def join_residual(spark, d):
-    rows = EVENTS.load(spark, d)
-    return residuals.attach(rows, rows).select("record_id", "f0", "residual")
+    lay = layout.Layout(EVENTS.load(spark, d), EVENTS.features, [[]] * EVENTS.width, ["y"])
+    lay.put(loop.corrections(lay.base, HIDDEN, ["y"]))
+    return lay.rows("_r0").select("record_id", "f0", F.round("residual", 3).alias("residual"))
+
 
 
 SET_SQL = chain_sql(ACCOUNTS) + f", kept AS (SELECT record_id FROM ({strided_sql(ACCOUNTS, '(n + 999) // 1000')}))"
@@ -958,7 +967,7 @@ def affected_fraction(spark, d):
 def compare_runs(spark, d):
     root = f"{store.shared_dir(spark)}/runs-{uuid.uuid4().hex}"
     experiments(spark, d).withColumn("record", F.lit("experiment")).withColumn("own", F.col("iteration") % 5).drop("candidates").write.partitionBy("own").json(root)
-    logs = files.read_log(spark, f"{root}/*", runlog.LOG).withColumn("run", F.regexp_extract(F.col("_metadata.file_path"), "/own=([^/]+)/", 1))
+    logs = files.read_log(spark, f"{root}/*", runlog.LOG).withColumn("run", F.regexp_extract("_path", "/own=([^/]+)/", 1))
     return rounded(runlog.compare(runlog.experiments_of(logs)), improvement=4)
 
 
@@ -1166,9 +1175,19 @@ def resolve_anchor(spark, d):
     return predicted(spark, d, merging.merge(CLAMPED, TREE)[0])
 
 
-@query("graph_edge_join", "SELECT * FROM (VALUES ('h', 'f0', 0.5::DOUBLE), ('o', 'h', 2.0::DOUBLE), ('o', 'top', 1.0::DOUBLE)) t(neuron, source, weight)")
+GRAPHS_SQL = """SELECT s_suppkey, '{"output":"o","neurons":[{"id":"h","squash":"TANH","bias":0.5,"in":[["f' || (s_suppkey % 4) || '",' || (s_nationkey + 1) || '.5]]},{"id":"o","squash":"IDENTITY","bias":0.0,"in":[["h",2.0],["f9",-1.0]]}],"tags":[{"name":"key","value":"' || s_suppkey || '"},{"name":"runs","value":[1,' || s_nationkey || ']},{"value":"nameless"}]}' AS model FROM supplier"""
+
+
+def graphs(spark: SparkSession, d: str) -> DataFrame:
+    """A model's JSON for each supplier."""
+    read(spark, d, "supplier").createOrReplaceTempView("supplier_of_graphs")
+    return spark.sql(GRAPHS_SQL.replace("FROM supplier", "FROM supplier_of_graphs"))
+
+
+@query("graph_edge_join", "SELECT s_suppkey, e.* FROM supplier, LATERAL (SELECT 'h' AS neuron, 'TANH' AS squash, 'f' || (s_suppkey % 4) AS source, CAST(NULL AS VARCHAR) AS source_squash, s_nationkey + 1.5::DOUBLE AS weight UNION ALL SELECT 'o', 'IDENTITY', 'h', 'TANH', 2.0::DOUBLE UNION ALL SELECT 'o', 'IDENTITY', 'f9', NULL, -1.0::DOUBLE) e")
 def graph_edge_join(spark, d):
-    return spark.createDataFrame([(n["id"], s, float(w)) for n in CLAMPED.neurons for s, w, _ in residuals.edges_of(n)], "neuron string, source string, weight double")
+    return residuals.graph_edges(graphs(spark, d), "s_suppkey", "model")
+
 
 
 @query("read_model", f"SELECT record_id, round(CAST(1.0 + tanh(-0.5 + CAST(f0 AS DOUBLE) * 0.02) * 40.0 + CAST(f2 AS DOUBLE) * 0.25 AS FLOAT)::DOUBLE, 3) AS prediction FROM ({EVENTS.sql})")
@@ -1178,10 +1197,10 @@ def read_model(spark, d):
     return predicted(spark, d, artifacts.read_model(spark, path))
 
 
-@query("read_tags", "SELECT * FROM (VALUES (1, 'name', 'first'), (2, 'score', '0.500000'), (3, 'runs', '[1, 2]')) t(place, name, value)")
+@query("read_tags", "SELECT s_suppkey, t.* FROM supplier, LATERAL (SELECT 1 AS place, 'key' AS name, CAST(s_suppkey AS VARCHAR) AS value UNION ALL SELECT 2, 'runs', '[1,' || s_nationkey || ']') t")
 def read_tags(spark, d):
-    text = artifacts.with_tags(json.dumps({"neurons": [], "tags": [{"name": "name", "value": "first"}, {"name": "score", "value": "0.1"}, {"name": "runs", "value": [1, 2]}, {"value": "nameless"}]}), {"score": artifacts.score_text(0.5)})
-    return spark.createDataFrame([(i + 1, *t) for i, t in enumerate(artifacts.read_tags(text)[0])], "place int, name string, value string")
+    return artifacts.tag_rows(graphs(spark, d), "s_suppkey", "model")
+
 
 
 DUMP = json.dumps([{"nodeid": 0, "split": "f1", "split_condition": 12.0, "yes": 1, "no": 2, "children": [{"nodeid": 1, "leaf": -0.5}, {"nodeid": 2, "split": "f0", "split_condition": 50.5, "yes": 3, "no": 4, "children": [{"nodeid": 3, "leaf": 0.25}, {"nodeid": 4, "leaf": 8.0}]}]}, {"nodeid": 0, "leaf": 0.5}])
@@ -1199,10 +1218,11 @@ def import_xgboost(spark, d):
     return spark.createDataFrame([(round(next(iter(found["deltas"].values())), 5), found["winner"] is not None)], "improvement double, accepted boolean")
 
 
-@query("number_format", "SELECT n_nationkey, printf('%.6f', n_nationkey / 7.0) AS score FROM nation")
+@query("number_format", "SELECT record_id, printf('%.6f', y) AS score, regexp_replace(printf('%+.2e', y), 'e\\+?(-?)0*([0-9])', 'e\\1\\2') AS delta FROM (SELECT event_id AS record_id, value / 7.0 - 5.0 AS y FROM events)")
 def number_format(spark, d):
-    rows = [r.n_nationkey for r in read(spark, d, "nation").select("n_nationkey").collect()]  # 25 rows
-    return spark.createDataFrame([(k, artifacts.score_text(k / 7.0)) for k in rows], "n_nationkey int, score string")
+    y = F.col("value") / 7.0 - 5.0
+    return read(spark, d, "events").select(F.col("event_id").alias("record_id"), artifacts.score_column(y).alias("score"), artifacts.delta_column(y).alias("delta"))
+
 
 
 @query("report_failures", RUNS + """, x AS (SELECT count(*) AS iterations, count(*) FILTER (WHERE accepted) AS acceptances, count(*) FILTER (WHERE iteration % 9 = 0) AS failures, count(*) FILTER (WHERE iteration % 18 = 0) AS vetoes, CAST(sum(n) AS BIGINT) AS generated, CAST(sum(promoted) AS BIGINT) AS promoted, max(timestamp) AS last FROM e)
@@ -1216,3 +1236,87 @@ def report_failures(spark, d):
     rows.unionByName(ends, allowMissingColumns=True).write.json(path)
     found = runlog.report(files.read_log(spark, path, runlog.LOG))
     return rounded(found.select("iterations", "acceptances", "failures", "vetoes", "generated", "promoted", "wall_ms", "opening_score", "final_score", "candidates_per_minute"), candidates_per_minute=6)
+
+
+# ---------------------------------------------------------------- through a model, by another program, many features, growing logs
+
+#: A sum behind TANH, and one behind a clamp whose gain is 2.
+BENT = residuals.Model([{"id": "o", "squash": "TANH", "bias": -0.5, "in": [("f0", 0.02)]}], "o")
+MERGED = [("a", [TREE]), ("b", [TREE, OTHER])]
+
+
+def through_sql(kind: str, value: str) -> str:
+    """The errors of a model that turns a corrected sum into a value, for no correction and those of MERGED."""
+    error = lambda correction: f"avg(pow(CAST(y - CAST({value.format(correction)} AS FLOAT) AS DOUBLE), 2))"
+    parts = [("baseline", "0.0", 0), ("a", TREE_SQL, 2), ("b", f"({TREE_SQL} + {OTHER_SQL})", 3)]
+    return " UNION ALL ".join(f"SELECT '{kind}' AS model, '{name}' AS candidate, round({error(f'CAST({c} AS DOUBLE)')}, 4) AS error, round(1 - {error(f'CAST({c} AS DOUBLE)')} - {2 * n}e-7, 4) AS score FROM c" for name, c, n in parts)
+
+
+@query("score_through_model", f"WITH c AS ({EVENTS.sql}) " + through_sql("bent", "tanh(-0.5 + CAST(f0 AS DOUBLE) * 0.02 + {})") + " UNION ALL " + through_sql("clamped", "least(CAST(f0 AS DOUBLE) + {}, 120.0)"))
+def score_through_model(spark, d):
+    rows = EVENTS.load(spark, d)
+    found = [(kind, k, v[1], v[0]) for kind, model in (("bent", BENT), ("clamped", CLAMPED)) for k, v in grafted.scorer(model)(rows, MERGED).items()]
+    return rounded(spark.createDataFrame(found, "model string, candidate string, error double, score double"), error=4, score=4)
+
+
+@query("run_model")
+def run_model(spark, d):
+    """Each round of a run through a clamp: its score, and that of the model that it has merged by then."""
+    rows = EVENTS.load(spark, d)
+    found = loop.run(rows, EVENTS.features, bins=16, iterations=2, count=4, model=CLAMPED, targets=["y"])
+    model, splits, out = CLAMPED, 0, []
+    for i, (name, strategy, parts, _) in enumerate(found.accepted):
+        model, splits = merging.merge_all(model, parts)[0], splits + sum(patches.splits(p) for p in parts)
+        error = model.columns(rows).agg(residuals.mse(F.col("y"), F.col("prediction")).alias("m")).first().m
+        out.append((i, name, strategy, round(found.scores[i + 1], 5), round(1 - error - promotion.UNIT_COST * promotion.UNITS_OF_SPLIT * splits, 5)))
+    return spark.createDataFrame(out, "round int, id string, strategy string, score double, merged_score double")
+
+
+#: A scorer as a program: patches of one feature each, in plain Python.
+PROGRAM = """
+import json, sys
+head = json.loads(sys.stdin.readline())
+at = {c: i for i, c in enumerate(head["columns"])}
+def value(node, r):
+    while "terms" in node:
+        (feature, _), = node["terms"]
+        node = node["right"] if r[at[f"f{feature}"]] > node["threshold"] else node["left"]
+    return node["correction"]
+n, sse = 0, {"baseline": 0.0} | {c["id"]: 0.0 for c in head["candidates"]}
+for line in sys.stdin:
+    r = json.loads(line)
+    n += 1
+    for c in [{"id": "baseline", "patches": []}, *head["candidates"]]:
+        sse[c["id"]] += (r[at["residual"]] - sum(value(p, r) for p in c["patches"])) ** 2
+print(json.dumps({"records": n, "sse": sse}))
+"""
+
+
+@query("score_external", SCORED + " SELECT candidate_id, round(score, 4) AS score, round(error, 4) AS error, record_count FROM scores")
+def score_external(spark, d):
+    score = external.scorer([sys.executable, "-c", PROGRAM], ["f0", "f1", "f2", "residual"])
+    return rounded(promotion.scores_frame(spark, score(EVENTS.load(spark, d), FIXED)), score=4, error=4)
+
+
+@query("build_bins_wide", """WITH s AS (SELECT * FROM (SELECT embedding, row_number() OVER (ORDER BY vec_id) - 1 AS position FROM embeddings) WHERE position % (SELECT greatest(1, (count(*) + 65535) // 65536) FROM embeddings) = 0),
+    c AS (SELECT CAST(i - 1 AS INTEGER) AS feature, CAST(embedding[i] AS FLOAT) AS value FROM s, range(1, 65) t(i)),
+    r AS (SELECT feature, value, row_number() OVER (PARTITION BY feature ORDER BY value) - 1 AS rn, count(*) OVER (PARTITION BY feature) AS n, max(value) OVER (PARTITION BY feature) AS top FROM c),
+    p AS (SELECT DISTINCT feature, value AS threshold FROM r JOIN (SELECT unnest(range(1, 32)) AS b) ON rn = least(b * n // 32, n - 1) WHERE value < top)
+    SELECT feature, CAST(row_number() OVER (PARTITION BY feature ORDER BY threshold) - 1 AS INTEGER) AS bin, threshold FROM p""")
+def build_bins_wide(spark, d):
+    x = corpora.vectors(spark, d)
+    names = [f"f{i}" for i in range(64)]
+    return binning.build_edges(x.select("record_id", *[F.col("x")[i].alias(n) for i, n in enumerate(names)]), names, 32)
+
+
+@query("growing_report", RUNS + " SELECT CAST(iteration % 5 AS VARCHAR) AS run, count(*) AS iterations, count(*) FILTER (WHERE accepted AND winner IS NOT NULL AND best IS NOT NULL) AS acceptances, CAST(sum(search_ms) AS BIGINT) AS search_ms, CAST(sum(screen_ms) AS BIGINT) AS screen_ms FROM e GROUP BY 1")
+def growing_report(spark, d):
+    """Logs of five runs, followed in two goes: the second starts from where the first has ended."""
+    root = f"{store.shared_dir(spark)}/growing-{uuid.uuid4().hex}"
+    made = experiments(spark, d).withColumn("record", F.lit("experiment")).withColumn("line", F.col("iteration")).withColumn("own", F.col("iteration") % 5).drop("candidates")
+    for part in (0, 1):
+        own = made.where(F.col("iteration") % 2 == part)
+        for run in range(5):
+            own.where(F.col("own") == run).drop("own").write.mode("append").json(f"{root}/logs/{run}")
+        run_report.follow(spark, f"{root}/logs", f"{root}/state", at_once=True).awaitTermination()
+    return run_report.reports(spark, f"{root}/state").select("run", "iterations", "acceptances", "search_ms", "screen_ms")

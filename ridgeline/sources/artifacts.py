@@ -6,7 +6,8 @@ import hashlib
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import patches
 from ..operators.residuals import Model
@@ -35,6 +36,13 @@ def read_tags(text: str) -> tuple[list[tuple[str, str]], dict[str, list[tuple[st
     return tags_of(found.get("tags")), neurons
 
 
+def tag_rows(models: DataFrame, key: str, graph: str) -> DataFrame:
+    """key, place (from 1), name, value: the same of the models that a column has as JSON."""
+    tags = F.from_json(graph, "tags array<struct<name:string,value:string>>").getField("tags")
+    named = F.filter(tags, lambda t: t.getField("name").isNotNull())
+    return models.select(key, F.posexplode(named).alias("at", "t")).select(key, (F.col("at") + 1).alias("place"), "t.name", "t.value")
+
+
 def with_tags(text: str, tags: dict[str, str]) -> str:
     """The model's JSON with these tags: in place of one of the same name, or after the others."""
     found = json.loads(text)
@@ -98,3 +106,12 @@ def delta_text(delta: float) -> str:
     """A difference with its sign, two decimals and the plain exponent."""
     digits, exponent = f"{delta:+.2e}".split("e")
     return f"{digits}e{int(exponent)}"
+
+
+def score_column(score: Column) -> Column:
+    """The same of columns."""
+    return F.format_string("%.6f", score)
+
+
+def delta_column(delta: Column) -> Column:
+    return F.regexp_replace(F.format_string("%+.2e", delta), "e\\+?(-?)0*([0-9])", "e$1$2")

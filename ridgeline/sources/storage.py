@@ -24,6 +24,19 @@ def matching(spark: SparkSession, pattern: str) -> list[tuple[str, int]]:
     return sorted((s.getPath().toString(), s.getLen()) for s in fs.globStatus(at) or ())
 
 
+def listing(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(path, length, time of change) of every file under a path, sorted by path; hidden ones, as Spark sees them, left out."""
+    fs, at = of(spark, path)
+    if not fs.exists(at):
+        return []
+    found, files = [], fs.listFiles(at, True)
+    while files.hasNext():
+        s = files.next()
+        if not s.getPath().getName().startswith(("_", ".")):
+            found.append((s.getPath().toString(), s.getLen(), s.getModificationTime()))
+    return sorted(found)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     fs, at = of(spark, path)
     fs.delete(at, True)
@@ -37,18 +50,35 @@ def publish(spark: SparkSession, made: str, path: str) -> None:
         raise FileExistsError(path)
 
 
-def write_text(spark: SparkSession, text: str, path: str) -> None:
-    """A small file, written aside and renamed, in place of any that is there."""
+def put(spark: SparkSession, text: str, path: str) -> None:
     fs, at = of(spark, path)
-    aside = f"{path}.{uuid.uuid4().hex}"
     fs.mkdirs(at.getParent())
-    out = fs.create(of(spark, aside)[1])
+    out = fs.create(at, True)
     out.write(bytearray(text.encode()))
     out.close()
-    if fs.exists(at):
-        fs.delete(at, False)
-    if not fs.rename(of(spark, aside)[1], at):
-        raise OSError(f"{path} could not be written")
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A small file, written aside and renamed over any that is there in one step: whoever reads it finds the one before or the new one."""
+    aside = f"{path}.{uuid.uuid4().hex}"
+    put(spark, text, aside)
+    fs, hadoop = of(spark, path)[0], spark._jvm.org.apache.hadoop.fs
+    kinds = getattr(hadoop, "Options$Rename")
+    over = spark.sparkContext._gateway.new_array(kinds, 1)
+    over[0] = kinds.OVERWRITE
+    made, at = (fs.makeQualified(of(spark, p)[1]) for p in (aside, path))
+    hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(made, at, over)
+
+
+def add_text(spark: SparkSession, text: str, path: str) -> bool:
+    """A small file under a name that isn't taken; False if it is."""
+    aside = f"{path.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}"
+    put(spark, text, aside)
+    fs, at = of(spark, path)
+    done = not fs.exists(at) and fs.rename(of(spark, aside)[1], at)
+    if not done:
+        fs.delete(of(spark, aside)[1], False)
+    return done
 
 
 def read_text(spark: SparkSession, path: str) -> str:
