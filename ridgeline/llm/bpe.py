@@ -90,6 +90,14 @@ class MergeList:
         self.ends = {b[i:]: -1 for b in self.ids for i in range(len(b))} | self.ids
         self.pairs: dict[tuple[int, int], bool] = {}
 
+    def ranks(self) -> dict[bytes, int]:
+        """Every token that merging can give, numbered in the order of its merge: single bytes, then what pairs become. An error for a list in which a token is merged from two pairs, as a rank of its own wouldn't tell their order."""
+        order = sorted(self.merges.values())
+        tokens = [*(b for b in self.ids if len(b) == 1), *(self.bytes_of[made] for _, made in order)]
+        if len(set(tokens)) < len(tokens):
+            raise ValueError("a token is merged from more than one pair")
+        return {token: rank for rank, token in enumerate(tokens)}
+
     def merged(self, text: bytes) -> list[int]:
         """Plain merging: the first pair of the lowest rank, until none is left. For short strings."""
         now = [self.ids[text[i : i + 1]] for i in range(len(text))]

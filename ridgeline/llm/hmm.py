@@ -20,6 +20,7 @@ table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 from collections import Counter
@@ -39,7 +40,7 @@ ROUNDS = 3
 SEGMENT, HELD = 128, 1 << 20
 #: Documents of the sample that a start is found on (about), the tokens that one gives to it at most (pieces from all over its text), and rounds for it.
 START_DOCS, START_TOKENS, START_ROUNDS, SEED = 256, 16_384, 25, 3
-#: Bytes of a token of the head at most; longer ones belong to their class, however frequent.
+#: Bytes of a token, at most; a longer one is known by its digest and its last letters, and is a token like any other.
 TOKEN_BYTES = 64
 #: Pseudo-tokens that each state shares with the whole corpus.
 PRIOR = 2000.0
@@ -51,8 +52,11 @@ END = b""
 
 
 def tokens_of(text: bytes) -> list[bytes]:
-    """Words, A-Z lower-cased; the end is added by who counts."""
-    return text.lower().split()
+    """Words, A-Z lower-cased; long ones as a space (which no word has), their digest and their last letters. The end is added by who counts."""
+    words = text.lower().split()
+    if words and max(map(len, words)) > TOKEN_BYTES:
+        words = [w if len(w) <= TOKEN_BYTES else b" " + hashlib.sha256(w).digest() + w[-3:] for w in words]
+    return words
 
 
 def class_of(token: bytes) -> int:
@@ -124,7 +128,7 @@ def symbols(vocabulary: DataFrame) -> Symbols:
     """
     total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     cell = F.floor(F.log2(F.col("n").cast("double")) * 64)
-    short = vocabulary.where(F.octet_length("token").between(1, TOKEN_BYTES))
+    short = vocabulary.where(F.octet_length("token") > 0)
     cut, share, taken = math.inf, 0.0, 0
     for r in sorted(short.groupBy(cell.alias("cell")).count().collect(), key=lambda r: -r.cell):  # 64 ranges an octave
         cut, share = r.cell, min(1.0, (HEAD - taken) / r["count"])

@@ -28,21 +28,24 @@ PIECES = pa.schema(
 
 
 class PackedPieces(dict):
-    """piece -> its ids as bytes; filled by the compiled merger, whose ranks are the vocabulary's ids."""
+    """piece -> its ids as bytes; filled by the compiled merger, which merges by the order of the merge list and gives ranks, whatever ids the vocabulary has for them."""
 
     def __init__(self, merges: bpe.MergeList, kind: str):
+        import numpy as np
         import tiktoken
 
         super().__init__()
         self.kind, self.special, self.merges = kind, merges.special, merges
-        self.merger = tiktoken.Encoding("ranks", pat_str="(?s:.+)", mergeable_ranks=merges.ids, special_tokens={})  # what it gets is one piece
+        ranks = merges.ranks()
+        self.merger = tiktoken.Encoding("ranks", pat_str="(?s:.+)", mergeable_ranks=ranks, special_tokens={})  # what it gets is one piece
+        self.id_of = np.array([merges.ids[token] for token in ranks], dtype=kind)  # by rank
 
     def __missing__(self, piece: str) -> bytes:
         import numpy as np
 
         if len(self) >= bpe.CACHED_PIECES:
             self.clear()
-        found = np.array(self.merger.encode_ordinary(piece), dtype=self.kind).tobytes()
+        found = self.id_of[np.array(self.merger.encode_ordinary(piece), dtype=np.intp)].tobytes()
         if len(piece) <= 64:
             self[piece] = found
         return found

@@ -14,8 +14,8 @@ shingles: 0.8 or more is a near copy, and anything less is none. Bits of a SimHa
 candidates come from bands of minima of the shingles' hashes (a pair of similarity 0.8 shares none of the 40 bands of
 five with probability 1.3e-7, closer ones more rarely), and only say which texts have to meet: each component of
 candidates is gathered with its shingle sets, those that are large by pairs of slices, and an exact set-similarity join
-in the task (prefix and length filters, then counting) gives the links. A component of so many slices that its texts
-would be sent more often than they have bands (boilerplate chains many texts) is dealt by band instead. Texts that an exact link has joined already
+in the task (prefix and length filters, then counting) gives the links. The rule is the same at every size: within a
+component each text is compared with each other, also where they share no band. Texts that an exact link has joined already
 aren't compared again, so a family of copies costs links in proportion to its size and never all its pairs.
 
 Defined results: a null text counts as empty; a document without words has fingerprint zero and links like any
@@ -403,20 +403,7 @@ def candidates(nodes: DataFrame) -> DataFrame:
     return keyed.join(least, "band").where("nid > a").select("a", F.col("nid").alias("b")).distinct()
 
 
-def by_band(sets: DataFrame, nodes: DataFrame, hot: int, most: int) -> DataFrame:
-    """The rows of sets; those of a component of more than most slices go to a key for each band that they share instead."""
-    size = F.greatest(F.count("*") / F.lit(hot), F.sum("size") / F.lit(SLICE_BYTES))
-    large = common.written(sets.groupBy("key").agg(size.alias("slices")).where(F.col("slices") > most).select("key"), "large-components")
-    if not large.take(1):
-        return sets
-    warm = sets.join(large, "key", "left_semi").drop("key")
-    bands = common.written(nodes.select("nid", F.explode("bands").alias("band")).join(warm.select("nid").distinct(), "nid"), "bands-of-large")
-    shared = bands.groupBy("band").count().where("count > 1").select("band")
-    keys = bands.join(shared, "band").select("nid", F.concat(F.lit("band "), F.col("band").cast("string")).alias("key"))
-    return sets.join(large, "key", "left_anti").unionByName(warm.join(keys, "nid"))
-
-
-def drop_near_duplicates(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIMILAR, hot: int = HOT_GROUP, most: int = BANDS) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIMILAR, hot: int = HOT_GROUP) -> DataFrame:
     """The rows of docs, with their own columns, that stay: of each component of near copies the rows of its smallest doc_id (all rows, if none has an id). Rows without a word stay."""
     made = common.written(signatures(docs.where("doc_id IS NOT NULL"), width), "signatures")
     nodes = made.groupBy("shingles").agg(F.min("doc_id").alias("nid"), F.min("bands").alias("bands"))
@@ -424,7 +411,7 @@ def drop_near_duplicates(docs: DataFrame, width: int = WIDTH, similar: tuple[int
     met = components.connected(candidates(nodes.select("nid", "bands")))
     texts = docs.select(F.col("doc_id").cast("long").alias("nid"), common.text_bytes().alias("text"))
     texts = texts.join(met.select(F.col("node").alias("nid"), F.col("component").cast("string").alias("key")), "nid")
-    sets = by_band(common.written(shingle_sets(texts, width).where("size > 0"), "shingle-sets"), nodes, hot, most)
+    sets = common.written(shingle_sets(texts, width).where("size > 0"), "shingle-sets")
     dealt_out = slices(sets, hot, F.col("size") / F.lit(SLICE_BYTES)).repartition("key").sortWithinPartitions("key")
     joined = components.connected(common.arrow_map(dealt_out.select("key", "nid", "held"), exact_edges(similar), "a long, b long"))
     # what goes: rows of a set's other ids, and sets that aren't their component's smallest

@@ -8,7 +8,8 @@ page_id is the response, the others are revisits that refer to it.
 Pages move through one shuffle: the left side of the join with the owners of repeated payloads, which Spark may
 split where a payload is hot. Each task streams its rows into bundles of a bounded size, named by task attempt: the
 catalog that is committed names the bundles of the attempt that was, and those of lost attempts are never read.
-Bundles have about the same size and are read back one to a task.
+Bundles have about the same size and are read back one to a task: the rows of the catalog in the order of their
+places, so each frame is sought and unpacked once and each record cut at its offset.
 
 A record's id names its page, its task and its number there, so a repeated row has records of different ids. A revisit
 says what it refers to by the target and the date of the response, and by its page in a field of our own.
@@ -147,19 +148,24 @@ def seek_table(source, size: int) -> list[tuple[int, int, int]]:
     return table
 
 
-def read_frames(bundle: str, frames: list[int] | None = None) -> Iterator[bytes]:
-    """The plain bytes of a bundle's frames, all or the given ones; one frame is in memory at a time."""
-    import zstandard
+class Reader:
+    """One bundle, open: its frames by number."""
 
-    folder, _, name = bundle.rpartition("/")
-    files, base = filesystem(folder)
-    unpacker = zstandard.ZstdDecompressor()
-    with files.open_input_file(f"{base}/{name}") as source:
-        table = seek_table(source, source.size())
-        for i in range(len(table)) if frames is None else frames:
-            at, packed, plain = table[i]
-            source.seek(at)
-            yield unpacker.decompress(source.read(packed), max_output_size=plain)
+    def __init__(self, bundle: str):
+        import zstandard
+
+        folder, _, name = bundle.rpartition("/")
+        files, base = filesystem(folder)
+        self.source = files.open_input_file(f"{base}/{name}")
+        self.table, self.unpacker = seek_table(self.source, self.source.size()), zstandard.ZstdDecompressor()
+
+    def frame(self, number: int) -> bytes:
+        at, packed, plain = self.table[number]
+        self.source.seek(at)
+        return self.unpacker.decompress(self.source.read(packed), max_output_size=plain)
+
+    def close(self) -> None:
+        self.source.close()
 
 
 def write_bundles(folder: str, date: str):
@@ -207,29 +213,49 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     return common.written(common.arrow_map(dealt, write_bundles(folder, date), "page_id long, record_id string, bundle string, frame int, frame_offset long, record_bytes long"), "warc-catalog")
 
 
-def records_of(bundle: str) -> Iterator[tuple[int | None, int, str, str, int | None]]:
-    for frame in read_frames(bundle):
-        at = 0
-        while at < len(frame):
-            found, at = parse(frame, at)
-            yield found
+def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over rows of the catalog in the order of bundle, frame and offset: each record, found where the catalog says. A bundle is opened once, a frame unpacked once."""
 
+    def rows():
+        bundle, frame, plain, source = None, None, b"", None
+        for part in parts:
+            for page_id, record_id, name, number, at, size in zip(*(part.column(c).to_pylist() for c in range(6))):
+                if name != bundle:
+                    if source:
+                        source.close()
+                    bundle, frame, source = name, None, Reader(name)
+                if number != frame:
+                    frame, plain = number, source.frame(number)
+                found, after = parse(plain, at)
+                if after != at + size or found[0] != page_id or plain[at : plain.index(b"\r\n\r\n", at)].find(f"<{record_id}>".encode()) < 0:
+                    raise ValueError(f"{record_id} isn't where the catalog has it")
+                yield found
+        if source:
+            source.close()
 
-def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from common.batches((found for part in parts for bundle in part.column(0).to_pylist() for found in records_of(bundle)), RECORDS)
+    yield from common.batches(rows(), RECORDS)
 
 
 def read_archives(spark: SparkSession, catalog: DataFrame) -> DataFrame:
-    """The records of all bundles of a catalog: page_id, payload_bytes, payload_digest, record_type, refers_to."""
-    bundles = catalog.select("bundle").distinct()
-    bundles = bundles.repartitionByRange(max(1, bundles.count()), "bundle")  # a given number, which adaptive execution leaves alone: about one bundle to a task
-    return common.arrow_map(bundles, scan, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    """The records of a catalog, each read from its place: page_id, payload_bytes, payload_digest, record_type, refers_to. A revisit whose response isn't there with the same size and digest is an error."""
+    bundles = max(1, catalog.select("bundle").distinct().count())
+    places = catalog.select(*CATALOG.names).repartitionByRange(bundles, "bundle").sortWithinPartitions("bundle", "frame", "frame_offset")  # a given number, which adaptive execution leaves alone: about one bundle to a task
+    found = common.written(common.arrow_map(places, cut, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"), "warc-records")
+    known = found.where("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("payload_bytes").alias("known_bytes"))
+    fault = F.raise_error(F.concat(F.lit("page "), F.coalesce(F.col("page_id").cast("string"), F.lit("without id")), F.lit(" revisits what isn't there")))
+    revisits = found.where("record_type = 'revisit'").join(known, ["refers_to", "payload_digest"], "left")
+    right = F.col("known_bytes").eqNullSafe(F.col("payload_bytes"))
+    checked = revisits.select("page_id", F.when(right, F.col("payload_bytes")).otherwise(fault).cast("long").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    return found.where("record_type = 'response'").unionByName(checked)
 
 
 def lookup(catalog: DataFrame, page_id: int) -> bytes:
     """One record's plain bytes: one row of the catalog and one seek."""
     row = catalog.where(F.col("page_id") == page_id).select("bundle", "frame", "frame_offset", "record_bytes").first()
-    return next(read_frames(row.bundle, [row.frame]))[row.frame_offset : row.frame_offset + row.record_bytes]
+    bundle = Reader(row.bundle)
+    plain = bundle.frame(row.frame)
+    bundle.close()
+    return plain[row.frame_offset : row.frame_offset + row.record_bytes]
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """The transducer and the packer against the tokenizers library."""
 
 import hashlib
+import json
 import random
 import zlib
 
@@ -132,3 +133,30 @@ def test_packs_every_id_once_without_gaps(spark, library, window):
         if copies == 1:
             assert np.frombuffer(b"".join(b for _, b in own), dtype="<u4").tolist() == want
     assert packing.pack(docs.limit(0), PATH).count() == 0
+
+
+def test_ids_need_not_follow_the_merges(spark, tmp_path, library):
+    """A vocabulary whose ids are dealt anew: both operators encode as the library does, from the same file."""
+    found = json.loads(open(PATH, encoding="utf-8").read())
+    vocab = found["model"]["vocab"]
+    ids = list(vocab.values())
+    random.Random(9).shuffle(ids)
+    found["model"]["vocab"] = dict(zip(vocab, ids))
+    for t in found["added_tokens"]:
+        t["id"] = found["model"]["vocab"].get(t["content"], t["id"])
+    path = f"{tmp_path}/permuted.json"
+    open(path, "w", encoding="utf-8").write(json.dumps(found))
+    other, rng = Tokenizer.from_file(path), random.Random(3)
+    texts = ["".join(rng.choice(PARTS) for _ in range(rng.randint(0, 60))) for _ in range(200)] + ["the quick brown fox jumps over " * 9]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = {i: [*other.encode(t, add_special_tokens=False).ids, packing.END_ID] for i, t in enumerate(texts)}
+    got = {}
+    for r in packing.pack(docs, path, 64).orderBy("doc_id", "start").collect():
+        got.setdefault(r.doc_id, []).extend(np.frombuffer(bytes(r.ids), "<u4").tolist())
+    assert got == want
+    assert {r.doc_id: r.n_tokens for r in bpe.round_trip(docs, path).collect()} == {i: len(x) - 1 for i, x in want.items()}
+    merges = bpe.MergeList(path)
+    merges.merges[next(iter(merges.merges))] = (10**9, next(iter(merges.merges.values()))[1])
+    merges.merges[(-1, -1)] = next(iter(merges.merges.values()))
+    with pytest.raises(ValueError, match="more than one pair"):
+        merges.ranks()
