@@ -307,6 +307,40 @@ def test_lines_by_brute_force(spark):
     assert best.gain >= oblique.best_threshold(rows, [(0, 1.0), (1, -0.5)], CONTROLS).first().gain
 
 
+@pytest.mark.parametrize("kind", ["noise", "step", "ties", "odd"])
+def test_bounded_search_finds_the_best_of_all_thresholds(spark, kind):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(2, 1500)).astype(np.float32)
+    if kind == "ties":
+        x = np.round(x, 1).astype(np.float32)
+    r = rng.normal(0, 0.3, 1500) + (0.4 * (x[0] + x[1] > 0.7) if kind == "step" else 0)
+    if kind == "odd":
+        x[0, ::50], x[0, 1::50], x[0, 2::50], x[1, 7] = np.nan, np.inf, -np.inf, 1e30
+    rows = corpus(spark, x, r.astype(np.float32)).persist()
+    lines = [[(0, 1.0)], [(0, 1.0), (1, 0.5)], [(1, -2.0), (0, 0.25)], [(1, 0.0)]]
+    controls = Controls(min_leaf=15, max_correction=0.2)
+    want = {}
+    for i, terms in enumerate(lines):
+        with np.errstate(invalid="ignore"):
+            v = np.zeros(1500, dtype=np.float32) if not terms else sum((x[k] * np.float32(w) for k, w in terms[1:]), x[terms[0][0]] * np.float32(terms[0][1])).astype(np.float32)
+        options = []
+        for t in np.unique(v[np.isfinite(v)]):
+            right = v > t  # NaN goes left
+            sides = [(r.astype(np.float32)[m].astype(float).sum(), m.sum()) for m in (~right, right)]
+            if min(k for _, k in sides) >= 15:
+                gain = sum(2 * c * s - k * c * c for s, k in sides for c in [max(-0.2, min(0.2, s / k))])
+                if gain > 0:
+                    options.append((gain, -float(t)))
+        if options:
+            want[i] = max(options)
+    for groups in (1 << 16, 64):
+        found = {b.line: b for b in oblique.best_thresholds(rows, lines, controls, groups=groups).collect()}
+        assert {i: (pytest.approx(g), pytest.approx(-t)) for i, (g, t) in want.items()} == {i: (b.gain, b.threshold) for i, b in found.items()}
+    top = oblique.best_thresholds(rows, lines, controls, one=True).collect()
+    assert [b.line for b in top] == [max(want, key=lambda i: want[i][0])]
+    rows.unpersist()
+
+
 def test_a_log_that_grows_is_read_as_a_stream(spark, tmp_path):
     from ridgeline.streaming import residual_stream
 
