@@ -49,8 +49,12 @@ def every(rows: DataFrame, k: int, phase: int = 0, order: Sequence[str] = ("reco
     key, rest = order[0], list(order[1:]) or [order[0]]
     places = numbered(rows, key)
     hit = places.where((F.col("position") + phase) % k == 0).select(key).distinct()
-    starts = places.join(F.broadcast(hit) if bounded else hit, key, "left_semi").groupBy(key).agg(F.min("position").alias("_start"))
+    hit = F.broadcast(hit) if bounded else hit
+    starts = places.join(hit, key, "left_semi").groupBy(key).agg(F.min("position").alias("_start"), F.count("*").alias("_n"))
+    shared = starts.where("_n > 1").take(1)  # narrow rows; keys that records share are rare
     near = rows.join(F.broadcast(starts) if bounded else starts, key)
+    if not shared:
+        return near.select(*rows.columns)
     place = F.col("_start") + F.row_number().over(W.partitionBy(key).orderBy(*rest)) - 1
     return near.withColumn("_place", place).where((F.col("_place") + phase) % k == 0).select(*rows.columns)
 

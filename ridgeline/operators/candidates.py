@@ -50,7 +50,7 @@ def expand(stumps: DataFrame, edges: DataFrame, scales: Sequence[float] = SCALES
     moves = [m for j in range(1, jitter + 1) for m in (-j, j)]
     for i, move in enumerate(moves):
         near = edges.select("feature", (F.col("bin") - move).alias("bin"), F.col("threshold").alias("moved"))
-        parts.append(variant(found.join(near, ["feature", "bin"]), 4, i, "threshold-jitter", threshold=F.col("moved"), bin=F.col("bin") + move, gain=F.lit(0.0)))
+        parts.append(variant(found.join(near, ["feature", "bin"]), 4, i, "stump/shifted", threshold=F.col("moved"), bin=F.col("bin") + move, gain=F.lit(0.0)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -87,9 +87,9 @@ def select(found: Sequence[Candidate], most: int = 0, avoid: Sequence[str] = (),
             continue
         seen.add(c.id)
         if all(patches.largest(p) == 0 for p in c.parts):
-            discarded.append((c.id, "all-zero correction"))
+            discarded.append((c.id, "corrects nothing"))
         elif c.id in avoid:
-            discarded.append((c.id, "known failure"))
+            discarded.append((c.id, "failed lately"))
         else:
             try:
                 if merge:

@@ -20,7 +20,7 @@ CANDIDATE = "struct<id:string,strategy:string,backend:string,depth:int,features:
 LOG = (
     "line long, record string, timestamp long, seed long, score double, iteration long, baseline_score double, search_ms long, merge_ms long, screen_ms long, full_ms long, "
     f"generated long, discarded array<struct<id:string,reason:string>>, candidates array<{CANDIDATE}>, screened long, promoted long, bypassed long, full_scored long, winner string, improvement double, accepted boolean, "
-    "false_positives long, false_negatives long, error string, stop string, opening_score double, final_score double, wall_ms long"
+    "false_positives long, false_negatives long, error string, veto boolean, stop string, opening_score double, final_score double, wall_ms long"
 )
 
 
@@ -46,7 +46,7 @@ def parts_of_report() -> list[tuple[str, Column, Callable]]:
         ("iterations", F.count_if(exp), F.sum),
         ("acceptances", F.count_if(won), F.sum),
         ("failures", F.count_if(exp & F.col("error").isNotNull()), F.sum),
-        ("vetoes", F.count_if(exp & F.col("error").contains("disagrees")), F.sum),
+        ("vetoes", F.count_if(exp & F.coalesce("veto", F.lit(False))), F.sum),
         ("generated", F.sum(F.when(exp, F.col("generated"))), F.sum),
         ("discarded", F.sum(F.when(exp, F.size("discarded"))), F.sum),
         ("first", F.min(F.when(won, F.col("timestamp"))), F.min),
@@ -95,7 +95,7 @@ def finished(parts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def report(log: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """One row over a whole log (or for each run): scores, counts, times, rates. The first header starts the run; the first baseline (or the summary) opens it, the last record of these closes it; a failure that disagrees with the stored baseline is a veto."""
+    """One row over a whole log (or for each run): scores, counts, times, rates. The first header starts the run; the first baseline (or the summary) opens it, the last record of these closes it; an experiment whose baseline disagrees with the stored one is marked as a veto."""
     return finished(summed(log, by), by)
 
 

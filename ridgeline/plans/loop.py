@@ -123,7 +123,7 @@ def discoveries(rows: DataFrame, searched: DataFrame, features: Sequence[str], e
         raw.unpersist()
         if line:
             found.append((patches.oblique(terms, line.threshold, patches.leaf(line.left_correction), patches.leaf(line.right_correction)), "oblique", line.gain))
-    bundle = candidates.of_nodes([(node, "boost-round", 0.0) for node in boost(searched, edges, listed, width, controls, search.boost)]) if search.boost > 1 else []
+    bundle = candidates.of_nodes([(node, "boosted", 0.0) for node in boost(searched, edges, listed, width, controls, search.boost)]) if search.boost > 1 else []
     singles = [*candidates.of_nodes(sorted(found, key=lambda x: -x[2])), *singles]
     return singles, [candidates.stack(bundle[:k]) for k in range(2, len(bundle) + 1)]
 
@@ -329,11 +329,12 @@ def improve(spark, corpus, features, width, names, through, out, bundle, note, b
             false_positives=found["false_positives"],
             false_negatives=found["false_negatives"],
             error="the baseline disagrees with the stored one" if found["veto"] else None,
+            veto=found["veto"] or None,
         )
         if memory and not found["veto"]:
             file(found, by_id, memory, width, len(names), int(clock()), spark, incumbent())
         near = sorted((x for x in found["promoted"] if x != winner and found["deltas"][x] > 0), key=lambda x: (-found["deltas"][x], x))
-        carried = [] if winner is None else [Candidate(c.id, f"carry-forward:{c.strategy}", c.parts, c.gain) for c in (by_id[x] for x in near[:2]) if len(c.parts) == 1]
+        carried = [] if winner is None else [Candidate(c.id, f"again:{c.strategy}", c.parts, c.gain) for c in (by_id[x] for x in near[:2]) if len(c.parts) == 1]
         if winner is None:
             idle += 1
             if idle > patience:

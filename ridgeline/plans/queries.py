@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import semantics as sem
 from ..operators import binning, candidates, external, grafted, histogram, merging, oblique, patches, promotion, residuals, runlog, sampling, trees, verdicts
 from ..operators.histogram import Controls
-from ..sources import artifacts, corpora, files
+from ..sources import artifacts, chunks, corpora, files
 from ..sources.corpora import ACCOUNTS, EVENTS, LINES, PARTS, Corpus, read
 from ..streaming import residual_stream, run_report
 from . import layout, loop, store
@@ -643,7 +643,7 @@ TOP_SQL = kinds_sql() + f", top AS (SELECT *, CAST(row_number() OVER ({ORDER_SQL
     UNION ALL SELECT 2, i, place, 'stump/scale', feature, bin, threshold, left_correction * CAST(k AS FLOAT), right_correction * CAST(k AS FLOAT), gain * 0.75 FROM top, (VALUES (0, 0.5), (1, 1.5)) s(i, k)
     UNION ALL SELECT 3, 0, place, 'stump/one-sided', feature, bin, threshold, CAST(0 AS FLOAT), right_correction, gain FROM top WHERE left_correction <> 0 AND right_correction <> 0
     UNION ALL SELECT 3, 1, place, 'stump/one-sided', feature, bin, threshold, left_correction, CAST(0 AS FLOAT), gain FROM top WHERE left_correction <> 0 AND right_correction <> 0
-    UNION ALL SELECT 4, i, place, 'threshold-jitter', top.feature, e.bin, e.threshold, left_correction, right_correction, 0 FROM top CROSS JOIN (VALUES (0, -1), (1, 1)) s(i, m) JOIN edges e ON e.feature = top.feature AND e.bin = top.bin + m)
+    UNION ALL SELECT 4, i, place, 'stump/shifted', top.feature, e.bin, e.threshold, left_correction, right_correction, 0 FROM top CROSS JOIN (VALUES (0, -1), (1, 1)) s(i, m) JOIN edges e ON e.feature = top.feature AND e.bin = top.bin + m)
     SELECT phase, step, place, strategy, feature, bin, threshold, round(left_correction, 3) AS left_correction, round(right_correction, 3) AS right_correction, round(gain, 3) AS gain FROM x""")
 def expand_discoveries(spark, d):
     _, edges, _, binned = prepared(spark, d, EVENTS)
@@ -1230,7 +1230,7 @@ def number_format(spark, d):
 def report_failures(spark, d):
     made = experiments(spark, d)
     error = F.when(F.col("iteration") % 18 == 0, "the baseline disagrees").when(F.col("iteration") % 9 == 0, "no score")
-    rows = made.select((F.col("iteration") + 2).alias("line"), F.lit("experiment").alias("record"), "timestamp", "iteration", "winner", "improvement", "accepted", "search_ms", "screen_ms", "full_ms", F.size("candidates").cast("long").alias("generated"), F.size(F.filter("candidates", lambda c: c.promoted)).cast("long").alias("promoted"), error.alias("error"))
+    rows = made.select((F.col("iteration") + 2).alias("line"), F.lit("experiment").alias("record"), "timestamp", "iteration", "winner", "improvement", "accepted", "search_ms", "screen_ms", "full_ms", F.size("candidates").cast("long").alias("generated"), F.size(F.filter("candidates", lambda c: c.promoted)).cast("long").alias("promoted"), error.alias("error"), (F.col("iteration") % 18 == 0).alias("veto"))
     ends = spark.createDataFrame([(0, "header", 1_704_067_200, None), (1, "baseline", None, 0.25), (1 << 40, "baseline", None, 0.75)], "line long, record string, timestamp long, score double")
     path = f"{store.shared_dir(spark)}/log-{uuid.uuid4().hex}"
     rows.unionByName(ends, allowMissingColumns=True).write.json(path)
@@ -1320,3 +1320,14 @@ def growing_report(spark, d):
             own.where(F.col("own") == run).drop("own").write.mode("append").json(f"{root}/logs/{run}")
         run_report.follow(spark, f"{root}/logs", f"{root}/state", at_once=True).awaitTermination()
     return run_report.reports(spark, f"{root}/state").select("run", "iterations", "acceptances", "search_ms", "screen_ms")
+
+
+@query("chunk_source", "SELECT p_partkey AS record_id, CAST(p_retailprice AS FLOAT) AS f0, CAST(p_size AS INTEGER) AS chunk FROM part")
+def chunk_source(spark, d):
+    """Parts by size as chunks of packed numbers, read again by tasks."""
+    packed = read(spark, d, "part").groupBy(F.col("p_size").alias("chunk"), F.pmod("p_partkey", F.lit(64)).alias("piece")).agg(F.collect_list(F.struct(F.col("p_partkey").cast("long").alias("key"), F.col("p_retailprice").cast("float").alias("price"))).alias("held"))
+
+    def unpack(chunk):
+        yield {"record_id": [x["key"] for x in chunk["held"]], "f0": [x["price"] for x in chunk["held"]], "chunk": [chunk["chunk"]] * len(chunk["held"])}
+
+    return chunks.frame(packed, unpack, "record_id long, f0 float, chunk int")

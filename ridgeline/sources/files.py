@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..operators.binning import build_edges, every, stride_for
 from ..operators.residuals import Model, compute_residuals
-from . import storage
+from . import chunks, storage
 
 VERDICT = "position long, id string, outcome string, delta double, incumbent string, at_unix long, host string, inputs int, outputs int, members array<string>, parts string, notes array<string>"
 #: Bytes of a file that one task decodes, about.
@@ -40,25 +40,22 @@ def read_records(spark: SparkSession, path: str, inputs: int, outputs: int) -> D
     before = F.coalesce(F.sum("n").over(W.orderBy("path").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # one row for each file
     splits = counted.withColumn("before", before).where("n > 0").select("path", "n", "before", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(step).cast("long"))).alias("first"))
 
-    def decode(parts):
+    def read(split):
         import numpy as np
-        import pyarrow as pa
         from pyarrow import fs
 
-        for part in parts:
-            for name, n, passed, first in zip(*(c.to_pylist() for c in part.columns)):
-                files, inner = fs.FileSystem.from_uri(name.replace("file:/", "file:///", 1) if name.startswith("file:/") and not name.startswith("file://") else name)
-                with files.open_input_file(inner) as source:
-                    for at in range(first, min(n, first + step), 65_536):
-                        source.seek(at * size)
-                        some = np.frombuffer(source.read(min(65_536, min(n, first + step) - at) * size), dtype="<f4").reshape(-1, width)
-                        columns = [pa.array(np.ascontiguousarray(some[:, i])) for i in range(width)]  # NaN stays NaN
-                        places = np.arange(at, at + len(some))
-                        yield pa.RecordBatch.from_arrays([pa.array(places + passed), pa.array([name] * len(some)), pa.array(places), *columns], names=["record_id", "file", "number", *names])
+        name, first, end = split["path"], split["first"], min(split["n"], split["first"] + step)
+        files, inner = fs.FileSystem.from_uri(name.replace("file:/", "file:///", 1) if name.startswith("file:/") and not name.startswith("file://") else name)
+        with files.open_input_file(inner) as source:
+            for at in range(first, end, 65_536):
+                source.seek(at * size)
+                some = np.frombuffer(source.read(min(65_536, end - at) * size), dtype="<f4").reshape(-1, width)
+                places = np.arange(at, at + len(some))
+                yield {"record_id": places + split["before"], "file": [name] * len(some), "number": places} | {c: np.ascontiguousarray(some[:, i]) for i, c in enumerate(names)}  # NaN stays NaN
 
     schema = "record_id long, file string, number long, " + ", ".join(f"{n} float" for n in names)
     tasks = max(1, splits.count())
-    return splits.repartitionByRange(tasks, "path", "first").mapInArrow(decode, schema)
+    return chunks.frame(splits.repartitionByRange(tasks, "path", "first"), read, schema)
 
 
 def write_records(rows: DataFrame, path: str, columns: Sequence[str]) -> None:

@@ -186,7 +186,7 @@ def test_known_failures_are_left_out(spark, interaction, tmp_path):
     files.append_verdicts(rows, root, "c", "other")
     found = loop.run(interaction, ["f0", "f1", "f2"], bins=16, controls=CONTROLS, iterations=1, count=4, memory=loop.Memory(root, "c", "h"))
     experiment = next(x for x in found.log if x["record"] == "experiment")
-    assert {"id": best, "reason": "known failure"} in experiment["discarded"] and best not in {c["id"] for c in experiment["candidates"]}
+    assert {"id": best, "reason": "failed lately"} in experiment["discarded"] and best not in {c["id"] for c in experiment["candidates"]}
 
 
 def test_outputs_take_turns(spark):

@@ -231,7 +231,7 @@ def test_expansion_order_and_combos(spark):
     edges = spark.createDataFrame([(0, b, float(b)) for b in range(4)] + [(1, 0, 5.0)], "feature int, bin int, threshold float")
     top = spark.createDataFrame([(1, 0, 0, 0.0, 1.0, -1.0, 8.0), (2, 1, 0, 5.0, 0.0, 2.0, 4.0)], "place int, feature int, bin int, threshold float, left_correction float, right_correction float, gain double")
     rows = candidates.expand(top, edges).orderBy("phase", "step", "place").collect()
-    assert [r.strategy for r in rows] == ["stump"] * 2 + ["stump/scale"] * 4 + ["stump/one-sided"] * 2 + ["threshold-jitter"]
+    assert [r.strategy for r in rows] == ["stump"] * 2 + ["stump/scale"] * 4 + ["stump/one-sided"] * 2 + ["stump/shifted"]
     assert [r.gain for r in rows[2:6]] == [6.0, 3.0, 6.0, 3.0] and rows[-1].threshold == 1.0
     singles = candidates.distinct(rows)
     assert len({c.id for c in singles}) == len(singles) == 9

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.operators import binning, external, patches, promotion, runlog, verdicts
 from ridgeline.plans import queries
-from ridgeline.sources import files, storage
+from ridgeline.sources import chunks, files, storage
 from ridgeline.streaming import run_report
 
 
@@ -172,7 +172,7 @@ def test_a_report_grows_with_its_logs_also_across_restarts(spark, tmp_path):
     steps = [
         [("r1", "header", dict(timestamp=100, seed=1)), ("r1", "baseline", dict(score=0.25))],
         [("r1", "experiment", dict(iteration=0, timestamp=110, accepted=True, winner="a", improvement=0.1, generated=5, search_ms=7, full_ms=3)), ("r2", "header", dict(timestamp=50))],
-        [("r1", "experiment", dict(iteration=1, timestamp=130, accepted=False, error="the baseline disagrees", generated=2, promoted=2, false_positives=1, discarded=[{"id": "x", "reason": "y"}])), ("r2", "baseline", dict(score=0.5))],
+        [("r1", "experiment", dict(iteration=1, timestamp=130, accepted=False, error="the baseline disagrees", veto=True, generated=2, promoted=2, false_positives=1, discarded=[{"id": "x", "reason": "y"}])), ("r2", "baseline", dict(score=0.5))],
         [("r1", "summary", dict(timestamp=140, stop="iterations", opening_score=0.25, final_score=0.35, wall_ms=40_000))],
     ]
     for step in steps:
@@ -183,7 +183,7 @@ def test_a_report_grows_with_its_logs_also_across_restarts(spark, tmp_path):
         for run in got:
             want = runlog.report(files.read_log(spark, f"{logs}/{run}", runlog.LOG)).first().asDict()
             assert got[run] == want | {"run": run}
-    assert set(got) == {"r1", "r2"} and got["r1"]["final_score"] == 0.35 and len(run_report.versions(spark, folder)) <= 2
+    assert set(got) == {"r1", "r2"} and got["r1"]["final_score"] == 0.35 and got["r1"]["vetoes"] == 1 and len(run_report.versions(spark, folder)) <= 2
     # a batch that is done again leaves the same
     last = run_report.versions(spark, folder)[-1]
     before = sorted(map(str, run_report.reports(spark, folder).collect()))
@@ -208,3 +208,24 @@ def test_edges_of_many_features_are_those_of_few(spark):
     key = lambda df: sorted((r.feature, r.bin, r.threshold) for r in df.collect())
     assert key(blocked) == key(plain)
     assert "bin" in blocked.columns and binning.blocked_edges(rows.limit(0).select(F.array(*names).alias("x")), width, 16).count() == 0
+
+
+def test_chunks_are_read_one_by_one_and_errors_name_them(spark):
+    listed = spark.createDataFrame([(k, 100 * k, 3 + k % 4) for k in range(12)], "chunk long, first long, n int").repartition(4)
+
+    def read(chunk):
+        ids = np.arange(chunk["first"], chunk["first"] + chunk["n"])
+        for some in np.array_split(ids, 2):
+            yield {"record_id": some, "f0": (some / 7).astype(np.float32)}
+
+    found = chunks.frame(listed, read, "record_id long, f0 float")
+    assert sorted(r.record_id for r in found.collect()) == [100 * k + i for k in range(12) for i in range(3 + k % 4)]
+    assert found.schema.simpleString() == "struct<record_id:bigint,f0:float>" and chunks.frame(listed.limit(0), read, "record_id long, f0 float").count() == 0
+
+    def odd(chunk):
+        yield {"record_id": [1, 2], "f0": [0.5]} if chunk["chunk"] == 7 else {"record_id": [1], "f0": [0.5]}
+
+    with pytest.raises(Exception, match="chunk.*7"):
+        chunks.frame(listed, odd, "record_id long, f0 float").collect()
+    with pytest.raises(Exception, match="gave no f0"):
+        chunks.frame(listed, lambda chunk: [{"record_id": [1]}], "record_id long, f0 float").collect()
