@@ -52,11 +52,13 @@ END = b""
 
 
 def tokens_of(text: bytes) -> list[bytes]:
-    """Words, A-Z lower-cased; long ones as a space (which no word has), their digest and their last letters. The end is added by who counts."""
-    words = text.lower().split()
-    if words and max(map(len, words)) > TOKEN_BYTES:
-        words = [w if len(w) <= TOKEN_BYTES else b" " + hashlib.sha256(w).digest() + w[-3:] for w in words]
-    return words
+    """Words, A-Z lower-cased; the end is added by who counts."""
+    return text.lower().split()
+
+
+def key_of(token: bytes) -> bytes:
+    """What a token is known by: itself, or for a long one a space (which no word has), its digest and its last letters."""
+    return token if len(token) <= TOKEN_BYTES else b" " + hashlib.sha256(token).digest() + token[-3:]
 
 
 def class_of(token: bytes) -> int:
@@ -79,9 +81,9 @@ def count_tokens(docs: DataFrame) -> DataFrame:
                     found.update(tokens_of(text.as_py()))
                     found[END] += 1
                     if len(found) >= COUNTED:
-                        yield from ((t, class_of(t), n) for t, n in found.items())
+                        yield from ((key_of(t), class_of(t), n) for t, n in found.items())
                         found.clear()
-            yield from ((t, class_of(t), n) for t, n in found.items())
+            yield from ((key_of(t), class_of(t), n) for t, n in found.items())
 
         yield from common.batches(rows(), schema, 8192)
 
@@ -113,11 +115,13 @@ class Symbols:
         first, ids = len(self.ids), self.ids
         codes = [ids.get(t, -1) for t in tokens]
         codes.append(ids[END])
-        rest = [t for t, c in zip(tokens, codes) if c < 0]
+        keys = [key_of(t) for t, c in zip(tokens, codes) if c < 0]
         found = np.array(codes, dtype=np.int64)
-        if rest:
-            found[found < 0] = [first + class_of(t) for t in rest]
-        return found.astype("<u4"), rest
+        if keys:
+            known = [ids.get(k, -1) for k in keys]  # long ones of the head
+            found[found < 0] = [c if c >= 0 else first + class_of(k) for c, k in zip(known, keys)]
+            keys = [k for c, k in zip(known, keys) if c < 0]
+        return found.astype("<u4"), keys
 
 
 def symbols(vocabulary: DataFrame) -> Symbols:
