@@ -660,7 +660,7 @@ def generate_candidates(spark, d):
     return spark.createDataFrame([(c.id, c.strategy, len(c.parts), c.gain) for c in every], "id string, strategy string, parts int, gain double")
 
 
-@query("cap_candidates", chain_sql(EVENTS) + kinds_sql() + f", top AS (SELECT * FROM kinds {ORDER_SQL} LIMIT 8), t AS (SELECT *, row_number() OVER ({ORDER_SQL}) AS place FROM top), f AS (SELECT min(place) AS place, bool_or(place = 2) AS bad FROM t GROUP BY feature, bin, left_correction, right_correction), n AS (SELECT *, count(*) FILTER (WHERE NOT bad) OVER (ORDER BY place) AS k FROM f) SELECT CAST(place AS INTEGER) AS place, CASE WHEN bad THEN 'known failure' ELSE 'kept' END AS fate FROM n WHERE CASE WHEN bad THEN k < 5 ELSE k <= 5 END")
+@query("cap_candidates", chain_sql(EVENTS) + kinds_sql() + f", top AS (SELECT * FROM kinds {ORDER_SQL} LIMIT 8), t AS (SELECT *, row_number() OVER ({ORDER_SQL}) AS place FROM top), f AS (SELECT min(place) AS place, bool_or(place = 2) AS bad FROM t GROUP BY feature, bin, left_correction, right_correction), n AS (SELECT *, count(*) FILTER (WHERE NOT bad) OVER (ORDER BY place) AS k FROM f) SELECT CAST(place AS INTEGER) AS place, CASE WHEN bad THEN 'failed lately' ELSE 'kept' END AS fate FROM n WHERE CASE WHEN bad THEN k < 5 ELSE k <= 5 END")
 def cap_candidates(spark, d):
     _, edges, _, binned = prepared(spark, d, EVENTS)
     top = histogram.search_stumps(histogram.histogram(binned, 3), edges, Controls(top_k=8)).withColumn("strategy", F.lit("stump"))
