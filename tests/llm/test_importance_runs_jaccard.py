@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from ridgeline.llm import importance, jaccard, runs
-from ridgeline.llm.queries import QUERIES
+from ridgeline.llm.queries import ORACLE_SQL, QUERIES
 
 SCHEMA = "doc_id long, text string, lang string, score double, rank long, bucket int, block string, key string, part int"
 
@@ -282,6 +282,18 @@ def test_packed_numbers_come_back():
     assert jaccard.from_planes(jaccard.planes(np.array([0, 300, 2], dtype=np.int64))).tolist() == [0, 300, 2]
 
 
+@pytest.mark.parametrize("name", ["op11_importance", "op12_runs", "op13_jaccard"])
+def test_queries_give_what_their_sql_does(spark, name):
+    folder = "/root/testdata/sf0.001"
+    con = pytest.importorskip("duckdb").connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    found = con.execute(ORACLE_SQL[name])
+    df = QUERIES[name](spark, folder)
+    assert df.columns == [c[0] for c in found.description]
+    assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, found.fetchall()))
+
+
 @pytest.mark.parametrize("name", ["op11_importance", "op12_runs", "op13_jaccard"])
 def test_queries_give_every_document_of_the_small_tables(spark, name):
     folder = "/root/testdata/sf0.001"
