@@ -8,9 +8,10 @@ path, a probe adds up its overlap along the path once for all sets below, and a
 the probe and of the longest set below can't reach the overlap that the smallest set below needs.
 
 Which sets have to meet follows from the prefix rule: two sets that link share one of the first n - least overlap + 1
-shingles of both. Sets that share one are connected, each component is a trie (a large one is dealt by pairs of slices, and
-every slice meets every other), and texts that a link has joined already aren't compared again, so a family of
-copies costs links in proportion to its size. Equal sets are one set from the start.
+shingles of both. Sets that share one are connected; a component's sets are held against hubs first, and what isn't one
+class then is joined in tries, large ones by pairs of slices of different classes (families.py). Sets that hang together
+already aren't compared again, so a family of copies costs links in proportion to its size. Equal sets are one set from
+the start.
 
 Shingles are counted and looked up in cells of their hashes, in blocks of documents: rows are packed arrays, sorted numbers
 as the bytes of their distances. The counts may merge a few shingles (they look at some bits more than there are shingles,
@@ -31,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common, components, simhash
+from . import common, components, families, simhash
 
 WIDTH, SIMILAR = 4, (85, 100)
 #: Bits of a shingle's hash; classes of frequency stand above them.
@@ -42,8 +43,8 @@ BLOCK_DOCS, BLOCK_TOKENS, COUNTED = 1 << 15, 2 << 20, 4 << 20
 CELL_BYTES, SPARE_BITS = 1 << 20, 8
 #: Lookups of a cell beyond which it is dealt to more tasks, and the most cells that may be.
 SHARD, MOST_SHARDED = 4 << 20, 1 << 16
-#: Sets and bytes of a slice of a component.
-SLICE_SETS, SLICE_BYTES = 2048, 16 << 20
+#: Sets of a slice of a component.
+SLICE_SETS = 2048
 #: Kinds of rows: a cell's counts, a block's documents, lookups.
 COUNTS, DOCUMENTS, LOOKUPS = 0, 1, 2
 
@@ -324,8 +325,8 @@ class Trie:
         return [(low + a, low + b) for a, b in zip(starts, [*starts[1:], len(nexts)])]
 
 
-def trie_links(sets: list, sizes: list[int], similar: tuple[int, int] = SIMILAR) -> list[tuple[int, int]]:
-    """Edges (positions) of a spanning forest of the pairs of sets (rising arrays of the shingles that others have) whose Jaccard similarity is at least similar; sizes are those of the whole sets."""
+def trie_links(sets: list, sizes: list[int], similar: tuple[int, int] = SIMILAR, classes: list[int] | None = None) -> list[tuple[int, int]]:
+    """Edges (positions) of a spanning forest of the pairs of sets (rising arrays of the shingles that others have) whose Jaccard similarity is at least similar; sizes are those of the whole sets. classes: sets of one class hang together already."""
     import numpy as np
 
     up, down = similar
@@ -334,7 +335,8 @@ def trie_links(sets: list, sizes: list[int], similar: tuple[int, int] = SIMILAR)
     bounds = np.cumsum([0, *(len(sets[i]) for i in order)])
     ours = [ranks[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
     n = np.array([sizes[i] for i in order])
-    trie, roots, flags, edges = Trie(ours, n), np.arange(len(ours)), np.zeros(len(tokens), dtype=bool), []
+    roots = np.arange(len(ours)) if classes is None else np.unique([classes[i] for i in order], return_inverse=True)[1]
+    trie, flags, edges = Trie(ours, n), np.zeros(len(tokens), dtype=bool), []
     for i in range(1, len(ours)):
         mine, size = ours[i], int(n[i])
 
@@ -369,38 +371,12 @@ def trie_links(sets: list, sizes: list[int], similar: tuple[int, int] = SIMILAR)
     return edges
 
 
-def trie_edges(similar: tuple[int, int]):
-    """For mapInArrow over rows (key, nid, n, keys) sorted by key: the edges within each key's sets."""
-    import numpy as np
-
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def rows(parts):
-        now, nids, sizes, sets = None, [], [], []
-
-        def flush():
-            for i, j in trie_links(sets, sizes, similar) if len(sets) > 1 else ():
-                yield nids[i], nids[j]
-
-        for part in parts:
-            for key, nid, n, keys in zip(*(part.column(c).to_pylist() for c in range(4))):
-                if key != now:
-                    yield from flush()
-                    now, nids, sizes, sets = key, [], [], []
-                nids.append(nid)
-                sizes.append(n)
-                sets.append(np.frombuffer(keys, "<u8"))
-        yield from flush()
-
-    return lambda parts: common.batches(rows(parts), schema)
-
-
 def links(nodes: DataFrame, similar: tuple[int, int] = SIMILAR, hot: int = SLICE_SETS) -> DataFrame:
     """a, b: edges that connect all sets that link; nodes: nid, n, keys, prefix."""
-    met = components.connected(simhash.candidates(nodes.select("nid", F.col("prefix").alias("bands"))))
-    keyed = nodes.join(met.select(F.col("node").alias("nid"), F.col("component").cast("string").alias("key")), "nid").select("key", "nid", "n", "keys")
-    dealt = simhash.slices(common.written(keyed, "sets"), hot, F.octet_length("keys") / F.lit(SLICE_BYTES)).repartition("key").sortWithinPartitions("key")
-    return common.arrow_map(dealt.select("key", "nid", "n", "keys"), trie_edges(similar), "a long, b long")
+    banded = nodes.select("nid", F.col("prefix").alias("bands"))
+    members = families.members(banded, components.connected(simhash.candidates(banded)))
+    sets = common.written(nodes.select("nid", "n", F.col("keys").alias("held")).join(members, "nid"), "sets")
+    return families.links(sets, lambda held, sizes, classes: trie_links(held, sizes, similar, classes), similar, hot)
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIMILAR) -> DataFrame:

@@ -12,11 +12,11 @@ end by pairs of slices: every slice of a hot group meets every other in a task o
 drop_near_duplicates() is the form for filtering a corpus, by the exact Jaccard similarity of the sets of five-word
 shingles: 0.8 or more is a near copy, and anything less is none. Bits of a SimHash can't tell these apart, so there the
 candidates come from bands of minima of the shingles' hashes (a pair of similarity 0.8 shares none of the 40 bands of
-five with probability 1.3e-7, closer ones more rarely), and only say which texts have to meet: each component of
-candidates is gathered with its shingle sets, those that are large by pairs of slices, and an exact set-similarity join
-in the task (prefix and length filters, then counting) gives the links. The rule is the same at every size: within a
-component each text is compared with each other, also where they share no band. Texts that an exact link has joined already
-aren't compared again, so a family of copies costs links in proportion to its size and never all its pairs.
+five with probability 1.3e-7, closer ones more rarely), and only say which texts have to meet: in each component of
+candidates texts are held against hubs first, and those of different classes then meet in pairs of slices (families.py),
+where an exact set-similarity join (prefix and length filters, then counting) gives the links. The rule is the same at
+every size: within a component all classes are compared, also where they share no band. Texts that an exact link has joined
+already aren't compared again, so a family of copies costs links in proportion to its size and never all its pairs.
 
 Defined results: a null text counts as empty; a document without words has fingerprint zero and links like any
 other; fewer words than a shingle are one shingle; a null doc_id joins its component but never names it (it is
@@ -33,15 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common, components
+from . import common, components, families
 
 BITS, SEED = 64, 42
 #: Odd multiplier that mixes hashes for further lanes.
 MIX = 0x9E3779B97F4A7C15
 #: The corpus form: words of a shingle, bands and the minima of each, and the least similarity of near copies as a fraction.
 WIDTH, BANDS, ROWS, SIMILAR = 5, 40, 5, (4, 5)
-#: Bytes of shingle sets that a slice of a component of candidates holds, about.
-SLICE_BYTES = 16 << 20
 #: Groups beyond this many fingerprints are dealt again.
 HOT_GROUP = 2048
 #: Shingles whose bits are counted at a time.
@@ -236,11 +234,9 @@ def classes(made: DataFrame, budget: int = 3, hot: int = HOT_GROUP) -> DataFrame
     return marked.select("fp", "component").join(least, "component").select("fp", "component_id")
 
 
-def slices(keyed: DataFrame, hot: int, weight=None) -> DataFrame:
-    """The rows of keyed (key string); those of a hot key go to a key for each pair of slices that holds theirs. A key is hot by its rows and, if weight is given, by the sum of that (as a share of a slice)."""
-    size = F.count("*") / F.lit(hot)
-    size = size if weight is None else F.greatest(size, F.sum(weight))
-    sizes = keyed.groupBy("key").agg(size.alias("size")).where("size > 1").select("key", F.ceil("size").cast("int").alias("slices"))
+def slices(keyed: DataFrame, hot: int) -> DataFrame:
+    """The rows of keyed (key string); those of a key with more rows than hot go to a key for each pair of slices that holds theirs."""
+    sizes = keyed.groupBy("key").agg((F.count("*") / F.lit(hot)).alias("size")).where("size > 1").select("key", F.ceil("size").cast("int").alias("slices"))
     sizes = common.written(sizes, "hot-slices")
     if not sizes.take(1):
         return keyed
@@ -309,20 +305,20 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return common.arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_bytes().alias("text")), lambda parts: common.batches(rows(parts), schema, 512), "doc_id long, shingles binary, bands array<long>")
 
 
-def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """key, nid, held (the shingle set as bytes), size (its bytes) of each row of key, nid, text (bytes)."""
-    schema = pa.schema([("key", pa.string()), ("nid", pa.int64()), ("held", pa.binary()), ("size", pa.int64())])
+def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
+    """key, nid, hub, is_hub, n and held (the shingle set as bytes) of each row with a word of key, nid, hub, is_hub, text (bytes)."""
+    schema = pa.schema([("key", pa.string()), ("nid", pa.int64()), ("hub", pa.int64()), ("is_hub", pa.bool_()), ("n", pa.int64()), ("held", pa.binary())])
 
     def make(parts):
         for part in parts:
-            held = [shingle_set(t.as_py(), width).tobytes() for t in part.column(2)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(held, pa.binary()), pa.array(map(len, held), pa.int64())], schema=schema)
+            held = [shingle_set(t.as_py(), width).tobytes() for t in part.column(4)]
+            yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array([len(h) // 8 for h in held], pa.int64()), pa.array(held, pa.binary())], schema=schema)
 
-    return common.arrow_map(docs.select("key", "nid", "text"), make, "key string, nid long, held binary, size long")
+    return common.arrow_map(texts.select("key", "nid", "hub", "is_hub", "text"), make, "key string, nid long, hub long, is_hub boolean, n long, held binary").where("n > 0")
 
 
-def exact_links(sets: list, similar: tuple[int, int] = SIMILAR) -> list[tuple[int, int]]:
-    """Edges (positions) of a spanning forest of the pairs of sets (sorted arrays) whose Jaccard similarity is at least similar.
+def exact_links(sets: list, similar: tuple[int, int] = SIMILAR, classes: list[int] | None = None) -> list[tuple[int, int]]:
+    """Edges (positions) of a spanning forest of the pairs of sets (sorted arrays) whose Jaccard similarity is at least similar. classes: sets of one class hang together already.
 
     Prefix filter: with a set's elements ordered rarest first, a pair that is similar shares one of the first
     n - ceil(similar * n) + 1 elements of both.
@@ -349,7 +345,7 @@ def exact_links(sets: list, similar: tuple[int, int] = SIMILAR) -> list[tuple[in
     owners = owners[np.argsort(listed, kind="stable")]  # the owners of an element in order of their place
     np.cumsum(np.bincount(listed, minlength=len(starts) - 1), out=starts[1:])
     del listed
-    roots, edges = np.arange(len(sets)), []
+    roots, edges = np.arange(len(sets)) if classes is None else np.unique([classes[i] for i in order], return_inverse=True)[1], []
     flags = np.zeros(len(sets), dtype=bool)
     for i in range(1, len(sets)):
         first = int(np.searchsorted(sizes, -(-up * int(sizes[i]) // down)))
@@ -374,28 +370,6 @@ def exact_links(sets: list, similar: tuple[int, int] = SIMILAR) -> list[tuple[in
     return edges
 
 
-def exact_edges(similar: tuple[int, int]):
-    """For mapInArrow over rows sorted by key: the edges (nids) of exact links within each key's group."""
-    import numpy as np
-
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def rows(parts):
-        key, nids, sets = None, [], []
-        for part in parts:
-            for k, nid, held in zip(*(part.column(c).to_pylist() for c in range(3))):
-                if k != key:
-                    for i, j in exact_links(sets, similar) if len(sets) > 1 else ():
-                        yield nids[i], nids[j]
-                    key, nids, sets = k, [], []
-                nids.append(nid)
-                sets.append(np.frombuffer(held, dtype="<u8"))
-        for i, j in exact_links(sets, similar) if len(sets) > 1 else ():
-            yield nids[i], nids[j]
-
-    return lambda parts: common.batches(rows(parts), schema)
-
-
 def candidates(nodes: DataFrame) -> DataFrame:
     """a, b: edges that connect all nodes (nid, bands) that share a band."""
     keyed = nodes.select("nid", F.explode("bands").alias("band"))
@@ -408,12 +382,11 @@ def drop_near_duplicates(docs: DataFrame, width: int = WIDTH, similar: tuple[int
     made = common.written(signatures(docs.where("doc_id IS NOT NULL"), width), "signatures")
     nodes = made.groupBy("shingles").agg(F.min("doc_id").alias("nid"), F.min("bands").alias("bands"))
     nodes = common.written(nodes, "near-nodes")
-    met = components.connected(candidates(nodes.select("nid", "bands")))
-    texts = docs.select(F.col("doc_id").cast("long").alias("nid"), common.text_bytes().alias("text"))
-    texts = texts.join(met.select(F.col("node").alias("nid"), F.col("component").cast("string").alias("key")), "nid")
-    sets = common.written(shingle_sets(texts, width).where("size > 0"), "shingle-sets")
-    dealt_out = slices(sets, hot, F.col("size") / F.lit(SLICE_BYTES)).repartition("key").sortWithinPartitions("key")
-    joined = components.connected(common.arrow_map(dealt_out.select("key", "nid", "held"), exact_edges(similar), "a long, b long"))
+    banded = nodes.select("nid", "bands")
+    members = families.members(banded, components.connected(candidates(banded)))
+    texts = docs.select(F.col("doc_id").cast("long").alias("nid"), common.text_bytes().alias("text")).join(members, "nid")
+    sets = common.written(shingle_sets(texts, width), "shingle-sets")
+    joined = components.connected(families.links(sets, lambda held, sizes, classes: exact_links(held, similar, classes), similar, hot))
     # what goes: rows of a set's other ids, and sets that aren't their component's smallest
     owners = nodes.join(joined.withColumnRenamed("node", "nid"), "nid", "left").select("shingles", F.coalesce("component", "nid").alias("keep_id"))
     gone = made.join(owners, "shingles").where("doc_id <> keep_id").select(F.col("doc_id").alias("gone_id"))

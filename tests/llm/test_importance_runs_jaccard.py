@@ -12,6 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from ridgeline.llm import families as within
 from ridgeline.llm import importance, jaccard, runs
 from ridgeline.llm.queries import ORACLE_SQL, QUERIES
 
@@ -307,3 +308,43 @@ def test_queries_give_every_document_of_the_small_tables(spark, name):
         assert [r for r in found if r[0] in {d for d, _ in short}] == sorted((plain_row(*d) for d in short), key=str)
     else:
         assert found == sorted(plain_components(docs), key=str)
+
+
+@pytest.mark.parametrize("hot", [3, 10, 1000])
+def test_classes_of_large_components_meet_in_slices(spark, hot):
+    """Two families that one text connects as candidates, and strays between them: links are those of all pairs, and no slice of a family meets another of it."""
+    rng = random.Random(hot)
+    sets, near = {}, list(range(0, 1000, 10))
+    for k in range(40):
+        sets[k] = sorted({*near[:50], 2000 + k})  # a family
+        sets[100 + k] = sorted({*near[50:], 3000 + k})  # another
+    for k in range(6):
+        sets[200 + k] = sorted(rng.sample(near, 50))  # strays
+    rows = [("c", k, (k // 100) * 100 if k % 100 and k < 200 else None, k in (0, 100), len(x), np.array(x, dtype="<u8").tobytes()) for k, x in sets.items()]
+    table = spark.createDataFrame(rows, "key string, nid long, hub long, is_hub boolean, n long, held binary").repartition(4)
+    linker = lambda held, sizes, classes: jaccard.trie_links(held, sizes, (85, 100), classes)
+    found = within.links(table, linker, (85, 100), hot)
+    classes = {r.node: r.component for r in within.components.connected(found).collect()}
+    assert {classes.get(k, k) for k in range(40)} == {0} and {classes.get(100 + k, k) for k in range(40)} == {100}
+    for a, x in sets.items():
+        for b, y in sets.items():
+            if a < b and 100 * len({*x} & {*y}) >= 85 * len({*x} | {*y}):
+                assert classes[a] == classes[b]
+    classed = spark.createDataFrame([("c", k, classes.get(k, k), 400) for k in sets], "key string, nid long, class long, size long")
+    met = within.meetings(classed, hot).collect()
+    together = {}
+    for r in met:
+        together.setdefault(r.pair, []).append(r)
+    for a in sets:
+        for b in sets:
+            if classes.get(a, a) != classes.get(b, b):
+                assert any({a, b} <= {r.nid for r in own} for own in together.values())
+    if hot < 40:
+        assert all(len({r["class"] for r in own if r["class"] in (0, 100)}) < 2 or "#0:" in pair and "#100:" in pair for pair, own in together.items())
+    assert max(map(len, together.values())) <= max(4 * hot, len(sets))
+
+
+def test_hubs_are_what_most_keys_name(spark):
+    nodes = spark.createDataFrame([(1, [10, 11]), (2, [10, 12, 13]), (3, [12, 13, 10]), (4, [99])], "nid long, bands array<long>")
+    met = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "node long, component long")
+    assert {(r.nid, r.hub, r.is_hub) for r in within.members(nodes, met).collect()} == {(1, None, True), (2, 1, True), (3, 2, False)}
