@@ -239,7 +239,7 @@ def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_archives(spark: SparkSession, catalog: DataFrame) -> DataFrame:
     """The records of a catalog, each read from its place: page_id, payload_bytes, payload_digest, record_type, refers_to. A revisit whose response isn't there with the same size and digest is an error."""
     bundles = max(1, catalog.select("bundle").distinct().count())
-    places = catalog.select(*CATALOG.names).repartitionByRange(bundles, "bundle").sortWithinPartitions("bundle", "frame", "frame_offset")  # a given number, which adaptive execution leaves alone: about one bundle to a task
+    places = catalog.select(*CATALOG.names).repartitionByRange(bundles, F.xxhash64("bundle")).sortWithinPartitions("bundle", "frame", "frame_offset")  # a given number, which adaptive execution leaves alone: about one bundle to a task; ranges of a hash, as Spark samples what it ranges by at the driver
     found = common.written(common.arrow_map(places, cut, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"), "warc-records")
     known = found.where("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("payload_bytes").alias("known_bytes"))
     fault = F.raise_error(F.concat(F.lit("page "), F.coalesce(F.col("page_id").cast("string"), F.lit("without id")), F.lit(" revisits what isn't there")))
