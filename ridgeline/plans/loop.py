@@ -82,16 +82,16 @@ class Outcome:
 WRITTEN_AFTER = 8
 
 
-def boost(binned: DataFrame, edges: DataFrame, listed, width: int, controls: Controls, rounds: int) -> list[dict]:
-    """Stumps found one after another, each on what the ones before leave."""
+def boost(binned: DataFrame, edges: DataFrame, listed, width: int, controls: Controls, rounds: int, first: dict | None = None) -> list[dict]:
+    """Stumps found one after another, each on what the ones before leave. first: what they start from, in place of the best stump; its thresholds are edges."""
     out: list[dict] = []
     now = binned
     weight = "weight" if "weight" in binned.columns else None
     for i in range(rounds):
-        best = histogram.search_stumps(histogram.histogram(now, width, weight=weight), edges, controls).first()
+        best = first if first and not out else histogram.search_stumps(histogram.histogram(now, width, weight=weight), edges, controls).first()
         if best is None:
             break
-        node = patches.stump_of(best)
+        node = best if best is first else patches.stump_of(best)
         out.append(node)
         now = patches.apply(now, node, patches.value_on_bins(node, listed, "bins" in binned.columns))
         if len(out) % WRITTEN_AFTER == 0 and i + 1 < rounds:
@@ -99,8 +99,8 @@ def boost(binned: DataFrame, edges: DataFrame, listed, width: int, controls: Con
     return out
 
 
-def discoveries(rows: DataFrame, searched: DataFrame, features: Sequence[str], edges: DataFrame, listed, controls: Controls, search: Search, seed: int) -> tuple[list[Candidate], list[Candidate]]:
-    """(single candidates, bundles) of one round: stumps and their variants, trees, lines; prefixes of a boosted bundle."""
+def discoveries(rows: DataFrame, searched: DataFrame, features: Sequence[str], edges: DataFrame, listed, controls: Controls, search: Search, seed: int, choose: Callable[[list[Candidate]], dict | None] = lambda singles: None) -> tuple[list[Candidate], list[Candidate]]:
+    """(single candidates, bundles) of one round: stumps and their variants, trees, lines; prefixes of a boosted bundle. choose: of the single candidates, the patch that boosting starts from; none: the best stump."""
     width = len(features)
     hist = histogram.histogram(searched, width, weight="weight").persist()
     ranked = histogram.search_stumps(hist, edges, controls)
@@ -123,8 +123,8 @@ def discoveries(rows: DataFrame, searched: DataFrame, features: Sequence[str], e
         raw.unpersist()
         if line:
             found.append((patches.oblique(terms, line.threshold, patches.leaf(line.left_correction), patches.leaf(line.right_correction)), "oblique", line.gain))
-    bundle = candidates.of_nodes([(node, "boosted", 0.0) for node in boost(searched, edges, listed, width, controls, search.boost)]) if search.boost > 1 else []
     singles = [*candidates.of_nodes(sorted(found, key=lambda x: -x[2])), *singles]
+    bundle = candidates.of_nodes([(node, "boosted", 0.0) for node in boost(searched, edges, listed, width, controls, search.boost, choose(singles))]) if search.boost > 1 else []
     return singles, [candidates.stack(bundle[:k]) for k in range(2, len(bundle) + 1)]
 
 
@@ -280,17 +280,26 @@ def improve(spark, corpus, features, width, names, through, out, bundle, note, b
         if search.records:
             searched = store.written(searched, "search-set")
         able = edges if chosen is None else edges.where(F.col("feature").isin(chosen))
-        singles, bundles = discoveries(rows, searched, features, able, listed, controls, search, own_seed)
+        known = files.read_verdicts(spark, memory.root, memory.corpus) if memory else None
+        again = replayed(known, memory, out.model, width, len(names), int(clock()), incumbent()) if memory else []
+        avoid: set[str] = set()
+
+        def choose(found: list[Candidate]) -> dict | None:
+            """The first patch of the round that isn't known to fail, replays first, and that bins can tell."""
+            if memory:
+                avoid.update(failing(known, [*again, *found], int(clock()), memory.retry_after))
+            able = (c.parts[0] for c in [*again, *found] if c.id not in avoid and len(c.parts) == 1)
+            return next((p for p in able if patches.largest(p) > 0 and patches.value_on_bins(p, listed) is not None), None)
+
+        singles, bundles = discoveries(rows, searched, features, able, listed, controls, search, own_seed, choose)
         first = singles[0] if singles else None
         stacks = [*bundles, *candidates.combos(candidates.select(singles)[0], search.stacks)]
         if carried:
             singles = [*singles, *carried]
             stacks += [candidates.stack(x) for x in (carried, [first, *carried] if first else []) if len(x) > 1]
-        avoid: set[str] = set()
+        singles = [*again, *singles]
         if memory:
-            known = files.read_verdicts(spark, memory.root, memory.corpus)
-            singles = [*replayed(known, memory, out.model, width, len(names), int(clock()), incumbent()), *singles]
-            avoid = failing(known, [*singles, *stacks], int(clock()), memory.retry_after)
+            avoid.update(failing(known, [*singles, *stacks], int(clock()), memory.retry_after))
         searched_ms, started = ms(clock() - started), clock()
         kept, discarded = candidates.select(stacks, avoid=avoid, merge=merges(output))
         room = max(0, search.most - len(kept))

@@ -31,7 +31,7 @@ def test_trees_win_on_an_interaction_and_the_log_reports_it(spark, interaction,
     memory = loop.Memory(f"file://{tmp_path}/store", "c", "h", incumbent=model.checksum)
     found = loop.run(interaction, ["f0", "f1", "f2"], bins=32, controls=CONTROLS, search=look, iterations=2, count=6, model=model, memory=memory, log=files.LogWriter(spark, path))
     first = found.accepted[0]
-    assert "tree/" in first[1] and found.scores[-1] > 1 - 0.2 * (1 - found.scores[0]) and found.scores == sorted(found.scores)
+    assert any(patches.depth(p) > 1 for p in first[2]) and found.scores[-1] > 1 - 0.2 * (1 - found.scores[0]) and found.scores == sorted(found.scores)
     log = files.read_log(spark, path, runlog.LOG)
     r = runlog.report(log).first()
     assert (r.iterations, r.acceptances, r.opening_score, r.final_score, r.stop) == (2, len(found.accepted), found.scores[0], found.scores[-1], found.stop)
@@ -189,6 +189,24 @@ def test_known_failures_are_left_out(spark, interaction, tmp_path):
     assert {"id": best, "reason": "failed lately"} in experiment["discarded"] and best not in {c["id"] for c in experiment["candidates"]}
 
 
+def test_boosting_starts_from_what_may_be_tried(spark, interaction, tmp_path):
+    root, how = f"file://{tmp_path}/store", dict(bins=16, controls=CONTROLS, iterations=1, count=8, search=loop.Search(boost=3))
+    bundles = lambda found: [json.loads(v.parts) for v in files.read_verdicts(spark, root, "c").where("host = 'h'").collect() if v.members and "boosted" in v.notes[0]]
+    plain = loop.run(interaction, ["f0", "f1", "f2"], **how)
+    experiment = next(x for x in plain.log if x["record"] == "experiment")
+    best = next(c["id"] for c in experiment["candidates"] if c["strategy"] == "stump")
+    rows = spark.createDataFrame([(best, "rejected", -1.0, "m", 10**10, 3, 1)], "id string, outcome string, delta double, incumbent string, at_unix long, inputs int, outputs int")
+    files.append_verdicts(rows, root, "c", "other")
+    found = loop.run(interaction, ["f0", "f1", "f2"], **how, memory=loop.Memory(root, "c", "h"))
+    boosted = bundles(found)
+    assert boosted and all(patches.patch_id(parts[0]) != best for parts in boosted)
+    listed, table = edges_for(spark, interaction, 3, 16)
+    binned = binning.bin_rows(interaction, ["f0", "f1", "f2"], listed)
+    first = patches.split(2, listed[2][3], patches.leaf(-0.25), patches.leaf(0.25))
+    grown = loop.boost(binned, table, listed, 3, CONTROLS, 3, first)
+    assert grown[0] == first and len(grown) == 3 and grown[1:] != loop.boost(binned, table, listed, 3, CONTROLS, 2)
+
+
 def test_outputs_take_turns(spark):
     i = np.arange(600)
     rows = corpus(spark, [(i % 17) / 17, np.where(i % 2, 1, -1)], np.zeros(600)).drop("residual")
