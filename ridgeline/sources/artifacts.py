@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,10 +109,20 @@ def delta_text(delta: float) -> str:
     return f"{digits}e{int(exponent)}"
 
 
+def as_text(number: Column, form: Callable[[float], str]) -> Column:
+    """A form of numbers, by Arrow batches: Java rounds exact halves up in its formats, these forms to even."""
+
+    @F.pandas_udf("string")
+    def texts(values: pd.Series) -> pd.Series:
+        return values.map(form, na_action="ignore")
+
+    return texts(number)
+
+
 def score_column(score: Column) -> Column:
     """The same of columns."""
-    return F.format_string("%.6f", score)
+    return as_text(score.cast("double"), score_text)
 
 
 def delta_column(delta: Column) -> Column:
-    return F.regexp_replace(F.format_string("%+.2e", delta), "e\\+?(-?)0*([0-9])", "e$1$2")
+    return as_text(delta.cast("double"), delta_text)
