@@ -205,13 +205,13 @@ def test_windows_pool_as_the_whole(monkeypatch):
 
 
 def brute_nearest(rows, k):
-    good = {(i, tuple(v)) for i, v in rows if i is not None and v and len(v) == 8 and all(x is not None and math.isfinite(x) for x in v) and any(v)}
+    good = {(i, tuple(v)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)}
     out = {}
     for i, v in good:
         if i % 100 == 0:
-            away = sorted((math.dist(v, u), j) for j, u in good if j != i)
+            away = sorted((math.dist(v, u), j) for j, u in good if j != i and len(u) == len(v))
             out[i] = [(j, d) for d, j in away[:k]]
-    return out
+    return {i: found for i, found in out.items() if found}
 
 
 def test_neighbours_with_copies_and_odd_vectors(spark, monkeypatch):
@@ -223,9 +223,7 @@ def test_neighbours_with_copies_and_odd_vectors(spark, monkeypatch):
     want = brute_nearest(rows, 10)
     monkeypatch.setattr(neighbours, "LEAF", 32)
     got: dict = {}
-    with pytest.warns(UserWarning, match="1 vectors are not of length 8"):
-        made = neighbours.nearest_neighbours(frame).orderBy("query_id", "rank").collect()
-    for r in made:
+    for r in neighbours.nearest_neighbours(frame).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
         assert r.rank == len(got[r.query_id])
     assert got.keys() == want.keys()
@@ -265,3 +263,53 @@ def test_a_search_over_many_blocks_and_parts_finds_what_one_block_does(spark, mo
     monkeypatch.setattr(neighbours, "LEAF", 400)  # leaves beyond a block: several parts
     parts = search()
     assert one == many == parts == sorted((q, k + 1, j, pytest.approx(d, abs=1e-12)) for q, found in want.items() for k, (j, d) in enumerate(found))
+
+
+def clustered(rng, clusters, each, size=8):
+    centres = rng.normal(size=(clusters, size)) * 20
+    return (centres[:, None] + rng.normal(size=(clusters, each, size)) * 0.1).reshape(-1, size).astype(np.float32).astype(float)
+
+
+@pytest.mark.parametrize("shape", ["clusters", "isotropic", "line"])
+def test_planes_beyond_the_limit_hide_nothing(monkeypatch, shape):
+    monkeypatch.setattr(neighbours, "LEAF", 16)
+    rng = np.random.default_rng(8)
+    held = {"clusters": lambda: clustered(rng, 30, 40), "isotropic": lambda: rng.normal(size=(1200, 8)), "line": lambda: np.outer(np.arange(1200.0), np.ones(8))}[shape]()
+    forest = neighbours.Forest(held[rng.permutation(len(held))[:600]], len(held))
+    leaves = forest.route(held)
+    sizes = [np.bincount(leaves[:, t], minlength=forest.inner + 1).tolist() for t in range(neighbours.TREES)]
+    opened = 0
+    for i in range(0, len(held), 40):
+        away = np.sqrt(((held - held[i]) ** 2).sum(1))
+        limit = float(np.sort(away)[10])
+        found = set(forest.open(held[i], sizes, float("inf"), limit=limit))
+        opened += sum(sizes[t][leaf] for t, leaf in found)
+        for j in np.flatnonzero(away <= limit):
+            assert all((t, int(leaf)) in found for t, leaf in enumerate(leaves[j]))
+    share = opened / (neighbours.TREES * len(held) * 30)
+    assert share < 0.1 if shape != "isotropic" else share > 0.5
+
+
+@pytest.mark.parametrize("first", [1, 150])
+def test_a_second_wave_makes_clusters_exact_within_a_small_effort(spark, monkeypatch, first):
+    for name, value in (("LEAF", 32), ("BLOCK", 100), ("FIRST", first)):
+        monkeypatch.setattr(neighbours, name, value)
+    rows = [(i, v.tolist()) for i, v in enumerate(clustered(np.random.default_rng(9), 40, 60))]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want = brute_nearest(rows, 10)
+    got = sorted(map(tuple, neighbours.nearest_neighbours(frame, effort=0.5).collect()))
+    assert got == sorted((q, k + 1, j, pytest.approx(d, abs=1e-9)) for q, found in want.items() for k, (j, d) in enumerate(found))
+
+
+def test_vectors_of_other_lengths_are_held_against_their_own(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 50)
+    rng = np.random.default_rng(10)
+    sizes = [8] * 300 + [5] * 180 + [3] * 4 + [2]
+    rows = [(50 * i, [float(np.float32(x)) for x in rng.normal(size=n)]) for i, n in enumerate(sizes)]
+    rows += [(100_001 + i, rows[310][1]) for i in range(15)]
+    want = brute_nearest(rows, 10)
+    assert {len(found) for found in want.values()} == {3, 10}
+    got: dict = {}
+    for r in neighbours.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), effort=4.0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, pytest.approx(r.score, abs=1e-12)))
+    assert got == want
