@@ -5,7 +5,7 @@ A candidate's strategy says how it was found; that of a stack of k is combo/<k>:
 
 from __future__ import annotations
 
-import random
+import hashlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -105,14 +105,19 @@ def distinct(rows) -> list[Candidate]:
     return select(of_rows(rows))[0]
 
 
+def draw(what: str, number: int, seed: int) -> float:
+    """In [0, 1), by an MD5 that SQL can repeat."""
+    return int(hashlib.md5(f"{what}:{number}:{seed}".encode()).hexdigest()[:13], 16) / (1 << 52)
+
+
 def random_stumps(edges: Sequence[Sequence[float]], count: int, most: float, seed: int, kinds: Sequence[str] = KINDS) -> list[Candidate]:
-    """Stumps at random edges with random corrections, each of one of the kinds."""
-    rng, out = random.Random(seed), []
-    able = [i for i, e in enumerate(edges) if e]
-    for _ in range(count if able else 0):
-        i, kind = rng.choice(able), rng.choice(list(kinds))
-        left, right = (rng.uniform(-most, most) for _ in range(2))
-        node = patches.split(i, rng.choice(list(edges[i])), patches.leaf(0.0 if kind == "right-only" else left), patches.leaf(0.0 if kind == "left-only" else right))
+    """Stumps at random edges with random corrections, each of one of the kinds. Features without edges have none."""
+    out, able = [], [i for i, e in enumerate(edges) if e]
+    for n in range(count if able else 0):
+        i, kind = able[int(draw("feature", n, seed) * len(able))], kinds[int(draw("kind", n, seed) * len(kinds))]
+        left, right = ((2 * draw(side, n, seed) - 1) * most for side in ("left", "right"))
+        at = edges[i][int(draw("edge", n, seed) * len(edges[i]))]
+        node = patches.split(i, at, patches.leaf(0.0 if kind == "right-only" else left), patches.leaf(0.0 if kind == "left-only" else right))
         out.append(Candidate(patches.patch_id(node), "random", (node,), 0.0))
     return out
 

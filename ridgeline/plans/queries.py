@@ -638,12 +638,16 @@ def placed(found: DataFrame) -> DataFrame:
 TOP_SQL = kinds_sql() + f", top AS (SELECT *, CAST(row_number() OVER ({ORDER_SQL}) AS INTEGER) AS place FROM kinds {ORDER_SQL} LIMIT 4)"
 
 
-@query("expand_discoveries", chain_sql(EVENTS) + TOP_SQL + """, x AS (
+#: top (place, feature, bin, threshold, left_correction, right_correction, gain) and its variants, as x.
+EXPANDED_SQL = """, x AS (
     SELECT 1 AS phase, 0 AS step, place, 'stump' AS strategy, feature, bin, threshold, left_correction, right_correction, gain FROM top
     UNION ALL SELECT 2, i, place, 'stump/scale', feature, bin, threshold, left_correction * CAST(k AS FLOAT), right_correction * CAST(k AS FLOAT), gain * 0.75 FROM top, (VALUES (0, 0.5), (1, 1.5)) s(i, k)
     UNION ALL SELECT 3, 0, place, 'stump/one-sided', feature, bin, threshold, CAST(0 AS FLOAT), right_correction, gain FROM top WHERE left_correction <> 0 AND right_correction <> 0
     UNION ALL SELECT 3, 1, place, 'stump/one-sided', feature, bin, threshold, left_correction, CAST(0 AS FLOAT), gain FROM top WHERE left_correction <> 0 AND right_correction <> 0
-    UNION ALL SELECT 4, i, place, 'stump/shifted', top.feature, e.bin, e.threshold, left_correction, right_correction, 0 FROM top CROSS JOIN (VALUES (0, -1), (1, 1)) s(i, m) JOIN edges e ON e.feature = top.feature AND e.bin = top.bin + m)
+    UNION ALL SELECT 4, i, place, 'stump/shifted', top.feature, e.bin, e.threshold, left_correction, right_correction, 0 FROM top CROSS JOIN (VALUES (0, -1), (1, 1)) s(i, m) JOIN edges e ON e.feature = top.feature AND e.bin = top.bin + m)"""
+
+
+@query("expand_discoveries", chain_sql(EVENTS) + TOP_SQL + EXPANDED_SQL + """
     SELECT phase, step, place, strategy, feature, bin, threshold, round(left_correction, 3) AS left_correction, round(right_correction, 3) AS right_correction, round(gain, 3) AS gain FROM x""")
 def expand_discoveries(spark, d):
     _, edges, _, binned = prepared(spark, d, EVENTS)
@@ -651,13 +655,37 @@ def expand_discoveries(spark, d):
     return rounded(candidates.expand(top, edges), left_correction=3, right_correction=3, gain=3)
 
 
-@query("generate_candidates")
+def stump_id_sql(left: str, right: str, threshold: str) -> str:
+    """The content id of a stump on a feature: of its canonical JSON."""
+    number = "CAST(CAST({} AS DOUBLE) AS VARCHAR)".format
+    return f"""substr(sha256('[0,{{"left":{{"correction":' || {number(left)} || '}},"right":{{"correction":' || {number(right)} || '}},"terms":[[' || feature || ',1.0]],"threshold":' || {number(threshold)} || '}}]'), 1, 16)"""
+
+
+def candidates_sql(most: int, each: int, phases: str) -> str:
+    """... singles and stacks of the expanded stumps of some phases: the first of each content that corrects something; stacks of the first for each feature."""
+    order = "ORDER BY phase, step, place"
+    return (
+        chain_sql(EVENTS)
+        + kinds_sql()
+        + f""", own AS (SELECT *, row_number() OVER (PARTITION BY feature {ORDER_SQL}) AS own_place FROM kinds),
+        top AS (SELECT *, row_number() OVER ({ORDER_SQL}) AS place FROM own WHERE own_place <= {each} {ORDER_SQL} LIMIT {most})"""
+        + EXPANDED_SQL
+        + f""", named AS (SELECT *, {stump_id_sql("left_correction", "right_correction", "threshold")} AS id FROM x WHERE phase IN ({phases}) AND (left_correction <> 0 OR right_correction <> 0)),
+        singles AS (SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY id {order}) = 1),
+        heads AS (SELECT * FROM singles QUALIFY row_number() OVER (PARTITION BY feature {order}) = 1),
+        firsts AS (SELECT *, row_number() OVER ({order}) AS k FROM heads),
+        stacks AS (SELECT substr(sha256(string_agg(id, '+' ORDER BY k)), 1, 16) AS id, 'combo/' || parts || ':' || first(strategy ORDER BY k) AS strategy, parts, round(sum(gain), 3) AS gain
+                   FROM firsts JOIN (SELECT CAST(i AS INTEGER) AS parts FROM range(2, 5) t(i)) ON k <= parts WHERE parts <= (SELECT count(*) FROM firsts) GROUP BY parts)"""
+    )
+
+
+@query("generate_candidates", candidates_sql(8, 3, "1, 2, 3, 4") + " SELECT id, strategy, 1 AS parts, round(gain, 3) AS gain FROM singles UNION ALL SELECT * FROM stacks")
 def generate_candidates(spark, d):
     _, edges, _, binned = prepared(spark, d, EVENTS)
     top = placed(histogram.search_stumps(histogram.histogram(binned, 3), edges, Controls(top_k=8, max_per_feature=3)))
     singles = candidates.distinct(candidates.expand(top, edges).orderBy("phase", "step", "place").collect())
     every = [*singles, *candidates.combos(singles)]
-    return spark.createDataFrame([(c.id, c.strategy, len(c.parts), c.gain) for c in every], "id string, strategy string, parts int, gain double")
+    return rounded(spark.createDataFrame([(c.id, c.strategy, len(c.parts), c.gain) for c in every], "id string, strategy string, parts int, gain double"), gain=3)
 
 
 @query("cap_candidates", chain_sql(EVENTS) + kinds_sql() + f", top AS (SELECT * FROM kinds {ORDER_SQL} LIMIT 8), t AS (SELECT *, row_number() OVER ({ORDER_SQL}) AS place FROM top), f AS (SELECT min(place) AS place, bool_or(place = 2) AS bad FROM t GROUP BY feature, bin, left_correction, right_correction), n AS (SELECT *, count(*) FILTER (WHERE NOT bad) OVER (ORDER BY place) AS k FROM f) SELECT CAST(place AS INTEGER) AS place, CASE WHEN bad THEN 'failed lately' ELSE 'kept' END AS fate FROM n WHERE CASE WHEN bad THEN k < 5 ELSE k <= 5 END")
@@ -671,7 +699,15 @@ def cap_candidates(spark, d):
     return spark.createDataFrame(rows, "place int, fate string")
 
 
-@query("random_stumps")
+def draw_sql(what: str) -> str:
+    return f"CAST('0x' || substr(md5('{what}:' || i || ':7'), 1, 13) AS BIGINT) / 4503599627370496::DOUBLE"
+
+
+@query("random_stumps", chain_sql(EVENTS) + f""", able AS (SELECT feature, row_number() OVER (ORDER BY feature) - 1 AS place, count(*) OVER () AS width, cuts FROM (SELECT feature, count(*) AS cuts FROM edges GROUP BY feature)),
+    drawn AS (SELECT i, {draw_sql("feature")} AS f, floor({draw_sql("kind")} * 3) AS kind_no, (2 * {draw_sql("left")} - 1) * 5 AS l, (2 * {draw_sql("right")} - 1) * 5 AS r, {draw_sql("edge")} AS e FROM range(20) t(i)),
+    made AS (SELECT edges.feature, threshold, CASE WHEN kind_no = 1 THEN 0 ELSE l END AS l, CASE WHEN kind_no = 0 THEN 0 ELSE r END AS r
+             FROM drawn JOIN able ON able.place = floor(f * width) JOIN edges ON edges.feature = able.feature AND edges.bin = floor(e * cuts))
+    SELECT {stump_id_sql("l", "r", "threshold")} AS id, feature, threshold::DOUBLE AS threshold FROM made""")
 def random_stumps(spark, d):
     listed = prepared(spark, d, EVENTS)[2]
     return spark.createDataFrame([(c.id, c.parts[0]["terms"][0][0], c.parts[0]["threshold"]) for c in candidates.random_stumps(listed, 20, 5.0, 7)], "id string, feature int, threshold double")
@@ -1121,12 +1157,12 @@ def report_json(spark, d):
     return report_totals(spark, d).select(F.to_json(F.struct("*")).alias("report"))
 
 
-@query("top_k_groups")
+@query("top_k_groups", candidates_sql(12, 4, "1, 3") + " SELECT * FROM stacks")
 def top_k_groups(spark, d):
     _, edges, _, binned = prepared(spark, d, EVENTS)
     top = placed(histogram.search_stumps(histogram.histogram(binned, 3), edges, Controls(top_k=12, max_per_feature=4)))
     found = candidates.combos(candidates.distinct(candidates.expand(top, edges, scales=(), jitter=0).orderBy("phase", "step", "place").collect()))
-    return spark.createDataFrame([(c.id, c.strategy, len(c.parts), c.gain) for c in found], "id string, strategy string, parts int, gain double")
+    return rounded(spark.createDataFrame([(c.id, c.strategy, len(c.parts), c.gain) for c in found], "id string, strategy string, parts int, gain double"), gain=3)
 
 
 # ---------------------------------------------------------------- caches, models and their merging, imports, artifacts
