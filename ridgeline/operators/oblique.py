@@ -48,6 +48,8 @@ def running_sums(projected: DataFrame, ranges: int = RANGES) -> DataFrame:
 
 #: Groups that a round of a search sums up, at most; bits of a value's place, beyond which values are groups of their own.
 GROUPS, PLACE_BITS = 1 << 16, 44
+#: Gains that differ by this share are equal: sums of residuals differ so with the order that they are added in.
+SAME = 1e-9
 
 
 @dataclass
@@ -86,7 +88,7 @@ class Line:
 
 
 def best_thresholds(corpus: DataFrame, lines: Sequence[Sequence[tuple[int, float]]], controls: Controls, one: bool = False, groups: int = GROUPS) -> DataFrame:
-    """line (its number), threshold, gain, ...: for each projection that has one the two-leaf split of the largest gain; one: of all of them the best only.
+    """line (its number), threshold, gain, ...: for each projection that has one the two-leaf split of the largest gain; one: of all of them the best only, the first of equal ones.
 
     Each round sums up the records of cells of a projection's range, and what the sums of a cell allow bounds the gain of
     any split within: cells that can't hold the best are left, the others are cut further, down to single values. So
@@ -135,12 +137,13 @@ def best_thresholds(corpus: DataFrame, lines: Sequence[Sequence[tuple[int, float
                 x.tried(r.last, n, s, controls)
         most = max((x.best[0] for x in state.values() if x.best), default=0.0)
         for i, x in state.items():
-            least = most if one else x.best[0] if x.best else 0.0
+            least = most * (1 - SAME) if one else x.best[0] if x.best else 0.0
             x.cells = {part: (n, s) for bound, part, n, s in further[i] if bound > 0 and bound >= least}
         bits += step
     best = [(i, x.best) for i, x in state.items() if x.best]
     if one and best:
-        best = [min(best, key=lambda b: (-b[1][0], b[0]))]
+        most = max(b[0] for _, b in best)
+        best = [min((i, b) for i, b in best if b[0] >= most * (1 - SAME))]
     found = [(i, b[1], b[0], b[2], b[3], b[4], b[5]) for i, b in best]
     return spark.createDataFrame(found, "line int, threshold float, gain double, left_correction float, right_correction float, left_records double, right_records double")
 
@@ -167,7 +170,7 @@ def search(corpus: DataFrame, scales: Sequence[float], controls: Controls, seed_
         best = ([], None)
         for at in range(0, len(lines), TOGETHER):
             found = best_thresholds(corpus, lines[at : at + TOGETHER], controls, True).first()
-            if found and (best[1] is None or found.gain > best[1].gain):
+            if found and (best[1] is None or found.gain > best[1].gain * (1 + SAME)):
                 best = lines[at + found.line], found
         return best
 
@@ -175,7 +178,7 @@ def search(corpus: DataFrame, scales: Sequence[float], controls: Controls, seed_
     for _ in range(rounds if best else 0):
         changed = [[(i, w * factor if j == k else w) for j, (i, w) in enumerate(terms)] for k in range(len(terms)) for factor in (0.8, 1.25)]
         other, found = best_of(changed)
-        if not found or found.gain <= best.gain:
+        if not found or found.gain <= best.gain * (1 + SAME):
             break
         terms, best = other, found
     return terms, best

@@ -529,13 +529,32 @@ def oblique_prefix_scan(spark, d):
     return rounded(oblique.best_threshold(PARTS.load(spark, d), LINE, CONTROLS).select("threshold", "gain", "left_records", "right_records"), gain=2)
 
 
-@query("search_oblique")
+def best_line_sql(name: str, lines: str, same: float = oblique.SAME) -> str:
+    """The best split along some lines (line, w0, w1), the first of equal ones: w0, w1, threshold, gain."""
+    most, least = CONTROLS.max_correction, CONTROLS.min_leaf
+    return f""", {name}_values AS (SELECT line, f0 * CAST(w0 AS FLOAT) + f1 * CAST(w1 AS FLOAT) + CAST(0 AS FLOAT) AS value, CAST(count(*) AS DOUBLE) AS n, sum(CAST(residual AS DOUBLE)) AS s FROM corpus, {lines} GROUP BY ALL),
+    {name}_sums AS (SELECT line, value, sum(n) OVER a AS nl, sum(s) OVER a AS sl, sum(n) OVER (PARTITION BY line) AS nt, sum(s) OVER (PARTITION BY line) AS st FROM {name}_values WINDOW a AS (PARTITION BY line ORDER BY value ROWS UNBOUNDED PRECEDING)),
+    {name}_sides AS (SELECT *, greatest(least(sl / nl, {most}), -{most}) AS cl, greatest(least((st - sl) / (nt - nl), {most}), -{most}) AS cr FROM {name}_sums WHERE nl >= {least} AND nt - nl >= {least}),
+    {name}_gains AS (SELECT line, value, 2 * cl * sl - nl * cl * cl + 2 * cr * (st - sl) - (nt - nl) * cr * cr AS gain FROM {name}_sides),
+    {name} AS (SELECT w0, w1, value AS threshold, gain FROM (SELECT * FROM {name}_gains QUALIFY row_number() OVER (PARTITION BY line ORDER BY gain DESC, value) = 1) JOIN {lines} USING (line)
+        WHERE gain > 0 AND gain >= (SELECT max(gain) FROM {name}_gains) * (1 - {same}::DOUBLE) ORDER BY line LIMIT 1)"""
+
+
+SCALE_SQL = "coalesce((SELECT CASE WHEN n >= 4 AND e[3 * n // 4 + 1] - e[n // 4 + 1] > 0 THEN e[3 * n // 4 + 1] - e[n // 4 + 1] ELSE 1 END FROM listed WHERE feature = {}), 1)::FLOAT::DOUBLE"
+
+
+@query("search_oblique", chain_sql(PARTS) + f""", listed AS (SELECT feature, list(threshold ORDER BY bin) AS e, count(*) AS n FROM edges GROUP BY feature),
+    pairs AS (SELECT line, 1::DOUBLE / {SCALE_SQL.format(0)} AS w0, half::DOUBLE / {SCALE_SQL.format(1)} AS w1 FROM (VALUES (0, 0.5), (1, -0.5)) t(line, half))""" + best_line_sql("found", "pairs") + """,
+    changes AS (SELECT line, w0 * a::DOUBLE AS w0, w1 * b::DOUBLE AS w1 FROM found, (VALUES (0, 0.8, 1.0), (1, 1.25, 1.0), (2, 1.0, 0.8), (3, 1.0, 1.25)) t(line, a, b))""" + best_line_sql("changed", "changes") + f""",
+    steps AS (SELECT 0 AS step, * FROM found UNION ALL SELECT 1, * FROM changed WHERE gain > (SELECT gain FROM found) * (1 + {oblique.SAME}::DOUBLE))
+    SELECT 0 AS first_feature, round(w0, 9) AS first_weight, 1 AS second_feature, round(w1, 9) AS second_weight, threshold::DOUBLE AS threshold, round(gain, 2) AS gain FROM steps ORDER BY step DESC LIMIT 1""")
 def search_oblique(spark, d):
     rows = PARTS.load(spark, d).persist()
     scales = {r.feature: r.scale for r in binning.feature_scale(edges_of(spark, d, PARTS)).collect()}
     terms, best = oblique.search(rows, [scales.get(i, 1.0) for i in range(2)], CONTROLS, 0, rounds=1)
     rows.unpersist()
-    return spark.createDataFrame([([i for i, _ in terms], [float(w) for _, w in terms], float(best.threshold), best.gain)] if best else [], "features array<int>, weights array<double>, threshold double, gain double")
+    found = [(*(x for i, w in terms for x in (i, round(w, 9))), float(best.threshold), round(best.gain, 2))] if best else []
+    return spark.createDataFrame(found, "first_feature int, first_weight double, second_feature int, second_weight double, threshold double, gain double")
 
 
 # ---------------------------------------------------------------- samples and joins
