@@ -178,6 +178,31 @@ def test_several_trees_grow_as_they_would_alone_in_fewer_passes(spark, monkeypat
     assert not spark.sparkContext._jsc.getPersistentRDDs().size() or all(not df.is_cached for df in (binned, packed))
 
 
+def test_discoveries_gain_what_they_say(spark, interaction):
+    names = ["f0", "f1", "f2"]
+    edges = binning.build_edges(interaction, names, 16)
+    listed = binning.collect_edges(edges, 3)
+    searched = sampling.search_set(interaction, names, listed, target=0)
+    look = loop.Search(depth=2, lines=2, boost=3, roots=2)
+    singles, bundles = loop.discoveries(interaction, searched, names, edges, listed, CONTROLS, look, 1)
+    known = [c for c in singles if c.strategy in ("stump", "stump/scale", "oblique") or c.strategy.startswith("tree/")]
+    assert {"stump", "stump/scale", "oblique", "tree/level/2"} <= {c.strategy for c in known} and [len(c.parts) for c in bundles] == [2, 3]
+    every = [*known, *bundles]
+
+    def left(parts):
+        now = F.col("residual").cast("double")
+        for p in parts:
+            now = now - patches.value_of(p)
+        return F.sum(now * now)
+
+    total, *errors = interaction.agg(left(()).alias("total"), *[left(c.parts).alias(f"e{i}") for i, c in enumerate(every)]).first()
+    for c, error in zip(known, errors):
+        assert total - error == pytest.approx(c.gain, rel=1e-4, abs=1e-4), c.strategy
+    assert total > errors[-2] >= errors[-1]  # a longer bundle leaves no more
+    tree = max(c.gain for c in known if c.strategy.startswith("tree/"))
+    assert tree > max(c.gain for c in known if c.strategy == "stump")
+
+
 def test_known_failures_are_left_out(spark, interaction, tmp_path):
     root = f"file://{tmp_path}/store"
     plain = loop.run(interaction, ["f0", "f1", "f2"], bins=16, controls=CONTROLS, iterations=1, count=4)
