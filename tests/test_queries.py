@@ -46,3 +46,12 @@ def test_matches_sql(spark, duck, name):
 def test_runs_with_a_stable_schema(spark, name):
     df = queries.QUERIES[name](spark, DATA)
     assert df.columns and df.collect() is not None
+
+
+def test_checksum_is_of_the_rows_and_not_of_their_order(spark, duck):
+    found = queries.QUERIES["corpus_checksum"](spark, DATA).first()
+    want = duck.execute(f"SELECT count(*), count(DISTINCT record_id), min(record_id), max(record_id) FROM ({queries.EVENTS.sql})").fetchone()
+    assert (found.records, found.keys, found.first_key, found.last_key) == want and found.files == 1
+    rows = queries.EVENTS.load(spark, DATA)
+    sums = [queries.files.corpus_info(x).first().checksum for x in (rows.repartition(7), rows.union(rows.limit(1)), rows.where(f"record_id <> {found.last_key}"))]
+    assert sums[0] == found.checksum and len({found.checksum, *sums}) == 3
