@@ -1173,7 +1173,8 @@ def read_log(spark, d):
 
 @query("report_json", f"SELECT CAST(to_json(t) AS VARCHAR) AS report FROM ({ORACLE_SQL['report_totals']}) t")
 def report_json(spark, d):
-    return report_totals(spark, d).select(F.to_json(F.struct("*")).alias("report"))
+    found = report_totals(spark, d)
+    return found.select(artifacts.json_column(found).alias("report"))
 
 
 @query("top_k_groups", candidates_sql(12, 4, "1, 3") + " SELECT * FROM stacks")

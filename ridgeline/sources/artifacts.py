@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 from collections.abc import Callable, Sequence
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -109,6 +111,17 @@ def delta_text(delta: float) -> str:
     return f"{digits}e{int(exponent)}"
 
 
+def json_text(value: float) -> str:
+    """A number of a JSON document: the fewest digits that read back as it, without an exponent from a millionth up to 1e21."""
+    if not math.isfinite(value):
+        return json.dumps(value)
+    if value == 0 or 1e-6 <= abs(value) < 1e21:
+        plain = format(Decimal(repr(value)), "f")
+        return plain if "." in plain else f"{plain}.0"
+    digits, exponent = f"{Decimal(repr(value)).normalize():e}".split("e")
+    return f"{digits}e{int(exponent)}"
+
+
 def as_text(number: Column, form: Callable[[float], str]) -> Column:
     """A form of numbers, by Arrow batches: Java rounds exact halves up in its formats, these forms to even."""
 
@@ -126,3 +139,17 @@ def score_column(score: Column) -> Column:
 
 def delta_column(delta: Column) -> Column:
     return as_text(delta.cast("double"), delta_text)
+
+
+def json_column(rows: DataFrame) -> Column:
+    """A row as a JSON object with all its fields, also those without a value. Java writes a double from ten million on with an exponent, so these are json_text()."""
+    fields = []
+    for name, kind in rows.dtypes:
+        if kind == "double":
+            value = F.col(f"`{name}`")
+            text = as_text(F.coalesce(F.nanvl(value, F.lit(0.0)), F.lit(0.0)), json_text)  # pandas has one NaN for these two
+            fields.append(F.concat(F.lit(f"{json.dumps(name)}:"), F.when(value.isNull(), "null").when(F.isnan(value), "NaN").otherwise(text)))
+        else:
+            own = F.to_json(F.struct(F.col(f"`{name}`").alias(name)), {"ignoreNullFields": "false"})
+            fields.append(own.substr(F.lit(2), F.length(own) - 2))
+    return F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}"))
