@@ -10,12 +10,14 @@ Groups that are hot (by a count, not a sample) are dealt again by a further bloc
 end by pairs of slices: every slice of a hot group meets every other in a task of bounded size.
 
 drop_near_duplicates() is the form for filtering a corpus, by the exact Jaccard similarity of the sets of five-word
-shingles: 0.8 or more is a near copy, and anything less is none. Bits of a SimHash can't tell these apart, so there the
-candidates come from bands of minima of the shingles' hashes (a pair of similarity 0.8 shares none of the 40 bands of
-five with probability 1.3e-7, closer ones more rarely), and only say which texts have to meet: in each component of
-candidates texts are held against hubs first, and those of different classes then meet in pairs of slices (families.py),
+shingles: 0.8 or more is a near copy, and anything less is none. The same trie join links the SimHashes of these sets, and
+what it links are candidates. Bits of a SimHash can't tell 0.8 from 0.7 (no budget of bits keeps all of the first), so bands
+of minima of the shingles' hashes add the pairs that are beyond the trie's budget (a pair of similarity 0.8 shares none of
+the 40 bands of five with probability 1.3e-7, closer ones more rarely). A component of the trie is one more key that texts
+share. Candidates only say which texts have to meet: in each component of
+them texts are held against hubs first, and those of different classes then meet in pairs of slices (families.py),
 where an exact set-similarity join (prefix and length filters, then counting) gives the links. The rule is the same at
-every size: within a component all classes are compared, also where they share no band. Texts that an exact link has joined
+every size: within a component all classes are compared, also where they share no key. Texts that an exact link has joined
 already aren't compared again, so a family of copies costs links in proportion to its size and never all its pairs.
 
 Defined results: a null text counts as empty; a document without words has fingerprint zero and links like any
@@ -68,6 +70,16 @@ def fingerprint(text: bytes, width: int = 3, lanes: int = 1) -> int:
     return int.from_bytes(np.packbits(counts.ravel() * 2 > n, bitorder="little").tobytes(), "little")
 
 
+def set_fingerprint(hashes) -> int:
+    """SimHash of a set of 64-bit hashes: a bit is 1 if over half of them have it."""
+    import numpy as np
+
+    counts = np.zeros(BITS, dtype=np.int64)
+    for start in range(0, len(hashes), COUNTED):
+        counts += np.unpackbits(hashes[start : start + COUNTED].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes(), "little")
+
+
 def signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
@@ -290,19 +302,19 @@ def band_keys(shingles):
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, shingles (digest of the set), bands of each row with a word."""
+    """doc_id, shingles (digest of the set), fp (its SimHash), bands of each row with a word."""
     import xxhash
 
-    schema = pa.schema([("doc_id", pa.int64()), ("shingles", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("shingles", pa.binary()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def rows(parts):
         for part in parts:
             for doc_id, text in zip(part.column(0).to_pylist(), part.column(1)):
                 found = shingle_set(text.as_py(), width)
                 if len(found):
-                    yield doc_id, xxhash.xxh128_digest(found.tobytes()), band_keys(found)
+                    yield doc_id, xxhash.xxh128_digest(found.tobytes()), signed(set_fingerprint(found)), band_keys(found)
 
-    return common.arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_bytes().alias("text")), lambda parts: common.batches(rows(parts), schema, 512), "doc_id long, shingles binary, bands array<long>")
+    return common.arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_bytes().alias("text")), lambda parts: common.batches(rows(parts), schema, 512), "doc_id long, shingles binary, fp long, bands array<long>")
 
 
 def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
@@ -370,8 +382,15 @@ def exact_links(sets: list, similar: tuple[int, int] = SIMILAR, classes: list[in
     return edges
 
 
+def with_trie(nodes: DataFrame, hot: int) -> DataFrame:
+    """nid, bands of nodes (nid, fp, bands): a last key is the component that the trie join gives the node's fingerprint."""
+    joined = classes(nodes.select(F.col("nid").alias("doc_id"), "fp"), hot=hot)
+    own = F.xxhash64(F.lit("trie"), F.col("component_id"))
+    return nodes.join(joined, "fp").select("nid", F.concat("bands", F.array(own)).alias("bands"))
+
+
 def candidates(nodes: DataFrame) -> DataFrame:
-    """a, b: edges that connect all nodes (nid, bands) that share a band."""
+    """a, b: edges that connect all nodes (nid, bands) that share a key."""
     keyed = nodes.select("nid", F.explode("bands").alias("band"))
     least = keyed.groupBy("band").agg(F.min("nid").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "a")
     return keyed.join(least, "band").where("nid > a").select("a", F.col("nid").alias("b")).distinct()
@@ -380,9 +399,9 @@ def candidates(nodes: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIMILAR, hot: int = HOT_GROUP) -> DataFrame:
     """The rows of docs, with their own columns, that stay: of each component of near copies the rows of its smallest doc_id (all rows, if none has an id). Rows without a word stay."""
     made = common.written(signatures(docs.where("doc_id IS NOT NULL"), width), "signatures")
-    nodes = made.groupBy("shingles").agg(F.min("doc_id").alias("nid"), F.min("bands").alias("bands"))
+    nodes = made.groupBy("shingles").agg(F.min("doc_id").alias("nid"), F.min("fp").alias("fp"), F.min("bands").alias("bands"))
     nodes = common.written(nodes, "near-nodes")
-    banded = nodes.select("nid", "bands")
+    banded = common.written(with_trie(nodes, hot), "near-keys")
     members = families.members(banded, components.connected(candidates(banded)))
     texts = docs.select(F.col("doc_id").cast("long").alias("nid"), common.text_bytes().alias("text")).join(members, "nid")
     sets = common.written(shingle_sets(texts, width), "shingle-sets")

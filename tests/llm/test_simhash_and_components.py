@@ -4,6 +4,7 @@ import random
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from ridgeline.llm import components, simhash
 
@@ -137,3 +138,23 @@ def test_exact_links_join_every_similar_pair_of_large_families():
         got.join(i, j)
     assert {(max(e), min(e)) for e in edges} <= set(near) and len(edges) == len(want.edges)
     assert [got.find(i) for i in range(len(sets))] == [want.find(i) for i in range(len(sets))]
+
+
+def test_near_copies_are_found_by_the_trie_of_fingerprints_and_held_to_exact_similarity(spark, monkeypatch):
+    rng, signatures, keys = random.Random(8), simhash.signatures, {}
+    rows = []
+    for family in range(40):  # a text, a copy with another end, and one that shares its first third
+        base = [f"f{family}w{rng.randrange(10**6)}" for _ in range(300)]
+        rows += [(3 * family, " ".join(base)), (3 * family + 1, " ".join([*base[:-1], "end"])), (3 * family + 2, " ".join(base[:100] + [f"f{family}x{i}" for i in range(200)]))]
+    prints = {i: simhash.set_fingerprint(simhash.shingle_set(t.encode())) for i, t in rows}
+    for i, t in rows[:9]:
+        own = {xxhash.xxh64_intdigest(" ".join(t.split()[k : k + 5]).encode(), 42) for k in range(296)}
+        assert prints[i] == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in own) > len(own))
+    close = {i + 1 for i in range(0, 120, 3) if (prints[i] ^ prints[i + 1]).bit_count() <= 3}
+    assert len(close) >= 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # no two texts share a band: what goes is what the trie links
+    monkeypatch.setattr(simhash, "signatures", lambda *a: signatures(*a).withColumn("bands", F.array(F.xxhash64("shingles"))).withColumns(keys))
+    assert {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()} == set(range(120)) - close
+    keys["fp"] = F.lit(0).cast("long")  # and if all fingerprints are linked, exact similarity decides
+    assert {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()} == {i for i in range(120) if i % 3 != 1}
