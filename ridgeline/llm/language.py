@@ -115,18 +115,18 @@ class LanguageFilter:
         return self.names[best], float(min(1.0, max(0.0, true[best] / n)))
 
 
-def taught(docs: DataFrame, sample: int) -> tuple[dict[str, int], DataFrame]:
-    """Labelled rows by language, and about sample of them for each, drawn by a hash of the id."""
+def taught(docs: DataFrame, sample: int | None) -> tuple[dict[str, int], DataFrame]:
+    """Labelled rows by language, and about sample of them for each, drawn by a hash of the id; None: all of them."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
+    if not counts or sample is None:
         return counts, labelled
     share = F.create_map(*[x for name, n in counts.items() for x in (F.lit(name), F.lit(min(1.0, sample / n)))])
     drawn = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * float(1 << 30)
     return counts, labelled.where(drawn)
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE) -> LanguageFilter:
+def learn(docs: DataFrame, sample: int | None = SAMPLE) -> LanguageFilter:
     """The filter of the languages of docs (text, lang, doc_id). The driver gets trigrams that have a least share each: at most 1 / LEAST_SHARE for a language."""
     counts, labelled = taught(docs, sample)
     if not counts:

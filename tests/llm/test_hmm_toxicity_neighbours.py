@@ -204,6 +204,50 @@ def test_windows_pool_as_the_whole(monkeypatch):
     assert net.logit(ids) == pytest.approx(whole, rel=1e-5)
 
 
+def test_windows_find_the_largest_responses_of_the_whole(monkeypatch):
+    net, rng = toxicity.ConvNet(), np.random.default_rng(2)
+    texts = [np.concatenate([rng.integers(0, toxicity.BUCKETS, (n, 3)), np.full((2 if n else 3, 3), toxicity.PAD)]) for n in (100, 0, 1, 7, 8, 40)]
+    pooled, places = net.largest(texts)
+    assert [float(np.maximum(p + net.shift, 0) @ net.out + net.bias) for p in pooled] == pytest.approx([net.logit(t) for t in texts], rel=1e-4)
+    monkeypatch.setattr(toxicity, "CHUNK", 7)
+    again = net.largest(texts)
+    assert again[0] == pytest.approx(pooled, rel=1e-5, abs=1e-6) and all((a == b).all() for a, b in zip(again[1], places))
+
+
+def test_every_labelled_row_and_word_teaches_whatever_their_number(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = [(i, f"wota rane w{rng.randrange(10**6)}", 0) for i in range(6000)]
+    for i in range(6000, 6200):  # long texts whose insult stands anywhere
+        text = ["wota"] * 9000
+        text[rng.randrange(9000)] = f"idiot{rng.randrange(10**6)}"
+        rows.append((i, " ".join(text), 1))
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(3, "a")], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows] + [(99999, 1)], "doc_id long, toxic int")
+    seen, start = [], toxicity.ConvNet.start_from
+    monkeypatch.setattr(toxicity.ConvNet, "start_from", lambda net, *counted: seen.append(counted) or start(net, *counted))
+    calibrated, calibrate = [], toxicity.ConvNet.calibrate
+    monkeypatch.setattr(toxicity.ConvNet, "calibrate", lambda net, *counted: calibrated.append(counted) or calibrate(net, *counted))
+    assert toxicity.learned(docs, labels) is not None
+    want, n = np.zeros((2, toxicity.BUCKETS + 1)), [0, 0]
+    kept = {r.doc_id for r in spark.range(6200).withColumnRenamed("id", "doc_id").where("pmod(xxhash64('calibrate', doc_id), 4) = 0").collect()}
+    teach = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    for i, text, y in teach:
+        if i not in kept:
+            n[y] += 1
+            want[y, np.unique(toxicity.buckets(toxicity.words_of(text), toxicity.Features()))] += 1
+    (counts, by_class), (counted,) = seen[0], calibrated[0]
+    assert list(by_class) == n and n[0] > 2800 and (counts == want).all()
+    assert sum(c[2] for c in counted) + n[1] == sum(y for _, _, y in teach) and sum(c[3] for c in counted) / 2 + n[0] == sum(1 - y for _, _, y in teach)
+
+
+def test_many_shards_learn_what_one_does(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SHARD", 64)
+    rows = toxic_rows(1200, 3)
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    right = [r.predicted == rows[r.doc_id][2] for r in toxicity.classify(docs, labels).collect() if r.held_out]
+    assert len(right) > 300 and sum(right) >= 0.95 * len(right)
+
+
 def brute_nearest(rows, k):
     good = {(i, tuple(v)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)}
     out = {}
